@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import exact_dedup
+from . import exact_dedup, secret_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,12 +15,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(_documents(spark, sf_dir)))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_exact_dedup,)}
+    return {f.__name__: f for f in (op2_secret_scan, op5_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
