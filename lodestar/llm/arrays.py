@@ -16,7 +16,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Fixed odd multipliers of the hashes.
 BASE, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_powers = np.ones(1, np.uint64)
+#: Bytes hashed at once.
+WINDOW = 1 << 17
+_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,12 +45,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             start, done = stop, int(size[stop - 1])
 
 
-def powers(n: int) -> np.ndarray:
-    """BASE ** i modulo 2 ** 64 for i < n."""
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and BASE ** -i modulo 2 ** 64 for i < n."""
     global _powers
-    if len(_powers) < n:
-        _powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, 2 * len(_powers)), BASE))])
-    return _powers[:n]
+    if len(_powers[0]) < n:
+        _powers = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, x, np.uint64))]) for x in (BASE, pow(int(BASE), -1, 1 << 64)))
+    return _powers[0][:n], _powers[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,17 +61,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[starts[i]:ends[i]], for spans in order that don't overlap."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    total = int(lengths.sum())
-    first = np.cumsum(lengths) - lengths
-    inside = np.arange(total, dtype=np.int64) - np.repeat(first, lengths)
-    where = inside + np.repeat(starts, lengths)
-    terms = (data[where].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max(initial=0)) + 1)[inside]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
-    return mix(sums[first + lengths] - sums[first] + lengths.astype(np.uint64) * MIX1)
+    """64-bit polynomial hashes of data[starts[i]:ends[i]], for spans in order that don't overlap."""
+    raw = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):  # windows that stay in the processor's cache
+        base = int(starts[first])
+        stop = max(first + 1, int(np.searchsorted(ends, base + WINDOW, "right")))
+        width = int(ends[stop - 1]) - base
+        up, down = powers(width + 1)
+        sums = np.zeros(width + 1, np.uint64)
+        np.cumsum((data[base : base + width].astype(np.uint64) + np.uint64(1)) * up[:width], out=sums[1:])
+        a, b = starts[first:stop] - base, ends[first:stop] - base
+        raw[first:stop] = (sums[b] - sums[a]) * down[a]
+        first = stop
+    return mix(raw + (ends - starts).astype(np.uint64) * MIX1)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -185,7 +185,7 @@ def compile_rules(rules: dict[str, str]) -> Automaton:
     out_masks[rank] = small_masks
     first = int(rank[block[0]])
     sync = (small == first).all(axis=0)[classes]
-    return Automaton(kinds, classes, n_classes, (small * n_classes).astype(np.int32).ravel(), first * n_classes, int((out_masks == 0).sum()) * n_classes, out_masks, sync)
+    return Automaton(kinds, classes, n_classes, (small * n_classes).ravel(), first * n_classes, int((out_masks == 0).sum()) * n_classes, out_masks, sync)
 
 
 def lanes(data: np.ndarray, offsets: np.ndarray, sync: np.ndarray, length: int = LANE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,14 +203,13 @@ def run_lanes(dfa: Automaton, data: np.ndarray, starts: np.ndarray, ends: np.nda
     """The mask of rules that accept somewhere in each lane."""
     order = np.argsort(starts - ends, kind="stable")
     at, left = starts[order], (ends - starts)[order]
-    classes = dfa.classes[data].astype(np.int32)
-    state = np.full(len(at), dfa.start, np.int32)
+    classes = dfa.classes[data]
+    state = np.full(len(at), dfa.start, np.int64)
     masks = np.zeros(len(at), np.int64)
     alive = np.searchsorted(-left, -np.arange(int(left.max(initial=0))), "left")  # lanes longer than each step
     for t, k in enumerate(alive.tolist()):
-        now = state[:k]
-        np.add(now, classes[at[:k] + t], out=now)
-        np.take(dfa.step, now, out=now)
+        now = dfa.step[state[:k] + classes[at[:k] + t]]
+        state[:k] = now
         hit = now >= dfa.accepting
         if hit.any():
             rows = np.flatnonzero(hit)
