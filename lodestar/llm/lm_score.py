@@ -11,7 +11,7 @@ range sums all training counts and answers each block; the block then holds the
 texts can reach, and one left-to-right traversal of all its texts in step carries each text's state and
 accumulates its log-probability. Nothing is pruned, capped or sampled.
 
-Words are 64-bit hashes, n-grams 48 bits beside their range's number. Defined results: null text is empty and has
+Words are 64-bit hashes, of which 56 travel beside their range's number, of longer n-grams 40. Defined results: null text is empty and has
 only the end token; rows with a null doc_id are training rows; an empty table gives an empty result; repeated
 rows count each; other columns are not read.
 """
@@ -30,7 +30,7 @@ from ..session import stage
 from .arrays import LOWER, groups, mix, slices, span_hashes, text_bytes, words
 
 #: Highest n-gram length; bytes of text in a block; tokens a key range stands for.
-ORDER, BLOCK_BYTES, RANGE_TOKENS = 2, 8 << 20, 2_000_000
+ORDER, BLOCK_BYTES, RANGE_TOKENS = 2, 12 << 20, 2_000_000
 END, START = np.uint64(0x8F3A6B1C2D4E5F60), np.uint64(0x1B7C9D2E3F405162)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Powers of two of context counts.
@@ -39,14 +39,16 @@ _codec = "zstd"
 
 
 def _pack(x: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(x).tobytes()
+    """Numbers as compressed planes of their first, second, ... bytes."""
+    raw = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_codec, asbytes=True) if raw else b""
 
 
 def _unpack(x: bytes, dtype) -> np.ndarray:
     if not x:
         return np.zeros(0, dtype)
-    return np.frombuffer(pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec=_codec, asbytes=True), dtype)
+    raw = np.frombuffer(pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec=_codec, asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
 def tokenize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +103,9 @@ def _range_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
-def _tail(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The 48 bits after the range's, in six bytes."""
-    return (keys << np.uint64(bits) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+def _tail(keys: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """The bits after the range's: 56 of a word's, 40 of a longer n-gram's (one of a million in a range shares another's)."""
+    return keys << np.uint64(bits) >> np.uint64(8 if k == 1 else 24)
 
 
 def _requests(order: int, bits: int):
@@ -122,7 +124,7 @@ def _requests(order: int, bits: int):
                     edges = np.flatnonzero(np.diff(parts, prepend=-1, append=-1))
                     columns: list[list] = [[], [], [], [], []]
                     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                        for column, value in zip(columns, (int(parts[a]), row["block"], k, _tail(distinct[a:b], bits).tobytes(), counts[a:b].tobytes())):
+                        for column, value in zip(columns, (int(parts[a]), row["block"], k, _pack(np.diff(_tail(distinct[a:b], bits, k), prepend=np.uint64(0))), _pack(counts[a:b]))):
                             column.append(value)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
@@ -135,7 +137,6 @@ def _with_start(distinct: np.ndarray, counts: np.ndarray, texts: int) -> tuple[n
 
 
 def _answers(bits: int):
-    start_tail = int.from_bytes(_tail(np.array([START]), bits)[0].tobytes(), "little")
     start_part = int(_range_of(np.array([START]), bits)[0])
 
     def answer(table: pa.Table) -> pa.Table:
@@ -144,19 +145,15 @@ def _answers(bits: int):
         rows = table.to_pylist()
         for k in sorted({r["k"] for r in rows}):
             own = [r for r in rows if r["k"] == k]
-            raw = np.zeros((sum(len(r["keys"]) for r in own) // 6, 8), np.uint8)
-            raw[:, :6] = np.frombuffer(b"".join(r["keys"] for r in own), np.uint8).reshape(-1, 6)
-            keys = raw.view("<u8").ravel()
-            counts = np.frombuffer(b"".join(r["counts"] for r in own), np.uint32)
-            distinct, place = groups(keys << np.uint64(16))
+            keys = [np.cumsum(_unpack(r["keys"], np.uint64)) for r in own]
+            counts = np.concatenate([_unpack(r["counts"], np.uint32) for r in own])
+            distinct, place = groups(np.concatenate(keys) << np.uint64(8 if k == 1 else 24))
             sums = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.uint64)
             seen = int((sums > 0).sum())
             if k == 1 and rows[0]["part"] == start_part:
-                at = np.searchsorted(distinct, np.uint64(start_tail << 16))
-                seen -= int(sums[at] > 0)
+                seen -= int(sums[np.searchsorted(distinct, _tail(np.array([START]), bits, 1)[0] << np.uint64(8))] > 0)
             told, edge = sums[place], 0
-            for r in own:
-                n = len(r["keys"]) // 6
+            for r, n in zip(own, map(len, keys)):
                 for column, value in zip(out, (r["block"], r["part"], k, _pack(told[edge : edge + n]), seen if k == 1 else 0)):
                     column.append(value)
                 edge += n

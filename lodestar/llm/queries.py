@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import exact_dedup, lm_score, secret_scan
+from . import byte_bpe, exact_dedup, lm_score, secret_scan
+
+
+def tokenizer(name: str) -> str:
+    """A public vocabulary file, installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +36,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(_documents(spark, sf_dir), tokenizer("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op5_exact_dedup)}
+    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op5_exact_dedup, op6_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
