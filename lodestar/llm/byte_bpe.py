@@ -17,6 +17,7 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -144,6 +145,7 @@ class Vocabulary:
             byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
             ids = model["model"]["vocab"]
             self.special = [t["content"] for t in model["added_tokens"]]
+            self.special_ids = {t["content"].encode(): t["id"] for t in model["added_tokens"]}
             to_bytes = lambda s: bytes(byte_of[c] for c in s)
             tokens = {i: (t.encode() if t in self.special else to_bytes(t)) for t, i in ids.items()}
             merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
@@ -296,6 +298,25 @@ class Vocabulary:
         owner = np.searchsorted(offsets, begins, "right") - 1
         return ids, np.bincount(owner, weights=count, minlength=texts).astype(np.int64)
 
+    def encode_special(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Like ``encode``, but the vocabulary's special tokens standing in a text become their ids."""
+        raw = data.tobytes() if self.special else b""
+        cuts = sorted({(m.start(), m.end()) for m in re.finditer(b"|".join(re.escape(t.encode()) for t in self.special), raw)}) if any(t.encode() in raw for t in self.special) else []
+        owner = np.searchsorted(offsets, [a for a, _ in cuts], "right") - 1
+        cuts = [c for c, o in zip(cuts, owner.tolist()) if c[1] <= offsets[o + 1]]
+        if not cuts:
+            return self.encode(data, offsets)
+        edges = np.unique(np.concatenate([offsets, np.ravel(cuts)]))
+        ids, counts = self.encode(data, edges)
+        first = np.cumsum(counts) - counts
+        keep, at = np.ones(len(ids), bool), np.searchsorted(edges, [a for a, _ in cuts])
+        for (a, b), i in zip(cuts, at.tolist()):
+            ids[first[i]] = self.special_ids[raw[a:b]]
+            keep[first[i] + 1 : first[i] + counts[i]] = False
+            counts[i] = 1
+        total = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(edges, offsets)]
+        return ids[keep], np.diff(total)
+
     def offsets_of(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The byte in its text at which each token begins."""
         size = self.first[ids + 1] - self.first[ids]
