@@ -30,7 +30,7 @@ from ..session import stage
 from .arrays import LOWER, groups, mix, slices, span_hashes, text_bytes, words
 
 #: Highest n-gram length; bytes of text in a block; tokens a key range stands for.
-ORDER, BLOCK_BYTES, RANGE_TOKENS = 2, 12 << 20, 2_000_000
+ORDER, BLOCK_BYTES, RANGE_TOKENS = 2, 9 << 20, 2_000_000
 END, START = np.uint64(0x8F3A6B1C2D4E5F60), np.uint64(0x1B7C9D2E3F405162)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Powers of two of context counts.
@@ -67,7 +67,9 @@ def _blocks(docs: DataFrame, doc_id: Column, text: Column, held: Column) -> Data
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for part in slices(source, "text", BLOCK_BYTES):
-            tokens, lengths = tokenize(*text_bytes(part.column("text")))
+            got = [tokenize(*text_bytes(x.column("text"))) for x in slices(iter([part]), "text")]
+            tokens, lengths = (np.concatenate(x) for x in zip(*got))
+            del got
             distinct, codes = groups(tokens)
             often = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")  # small codes for frequent words
             place = np.empty(len(often), np.uint32)
@@ -171,7 +173,7 @@ def _resolve(order: int):
             lengths, codes, table, train = _read(row)
             sums = [np.concatenate([_unpack(r["sums"], np.uint64) for r in told if r["k"] == k]) for k in range(1, order + 1)]
             single, every = np.zeros((order, BINS)), np.zeros((order, BINS))
-            counts, places, start = _counts(lengths, table[codes], sums, order)
+            counts, start = _counts(lengths, table[codes], sums, order)
             for k in range(2, order + 1):
                 now, context = counts[k - 1][train], _context_counts(lengths, counts[k - 2], start, k)[train]
                 slot = _bins(context)
@@ -191,9 +193,9 @@ def _bins(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1].clip(0, BINS - 1)
 
 
-def _counts(lengths: np.ndarray, tokens: np.ndarray, sums: list[np.ndarray], order: int) -> tuple[list[np.ndarray], list[np.ndarray], int]:
-    """(corpus counts of the n-gram ending at each token, by length; its number among the block's; the count of the start)."""
-    counts, places, start = [], [], 0
+def _counts(lengths: np.ndarray, tokens: np.ndarray, sums: list[np.ndarray], order: int) -> tuple[list[np.ndarray], int]:
+    """(corpus counts of the n-gram ending at each token, by length; the count of the start)."""
+    counts, start = [], 0
     for k, keys in enumerate(_grams(lengths, tokens, order), 1):
         distinct, place = groups(keys)
         known = sums[k - 1].astype(np.int64)
@@ -201,8 +203,7 @@ def _counts(lengths: np.ndarray, tokens: np.ndarray, sums: list[np.ndarray], ord
             at = int(np.searchsorted(distinct, START))
             start, known = int(known[at]), np.delete(known, at)
         counts.append(known[place])
-        places.append(place)
-    return counts, places, start
+    return counts, start
 
 
 def _context_counts(lengths: np.ndarray, shorter: np.ndarray, start: int, k: int) -> np.ndarray:
@@ -253,7 +254,7 @@ def _score(order: int, total: int, distinct: int, share: np.ndarray):
                 if not len(lengths):
                     continue
                 tokens = table[codes]
-                counts, _, start = _counts(lengths, tokens, [_unpack(s, np.uint64) for s in row["sums"]], order)
+                counts, start = _counts(lengths, tokens, [_unpack(s, np.uint64) for s in row["sums"]], order)
                 edges = np.cumsum(lengths) - lengths
                 p = (counts[0] + 1) / room
                 base = np.log10(p)

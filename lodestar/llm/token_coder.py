@@ -207,7 +207,7 @@ def _decode_lanes(blocks: list[bytes], width: int) -> np.ndarray:
         code -= inner * span
         now = np.where(hit2, model.guess2, np.where(rest, model.firsts[row] + inner.astype(np.int64), model.guess1)).astype(np.int64)
         short = np.flatnonzero(span < _U(1 << 32))
-        code[short] = code[short] << _U(32) | flat[at[short]]
+        code[short] = code[short] << _U(32) | flat[np.minimum(at[short], len(flat) - 1)]  # a damaged block may run on
         at[short] += 1
         span[short] <<= _U(32)
         out[t] = now
