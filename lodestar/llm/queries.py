@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import byte_bpe, exact_dedup, lm_score, packing, secret_scan, token_coder
+from . import byte_bpe, exact_dedup, lm_score, order_minhash, packing, secret_scan, token_coder
 
 
 def tokenizer(name: str) -> str:
@@ -32,6 +32,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_documents(spark, sf_dir)))
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_likeness(_documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -49,7 +53,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op4_best_fit_packing, op5_exact_dedup, op6_byte_bpe, op9_token_files)}
+    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_order_minhash, op4_best_fit_packing, op5_exact_dedup, op6_byte_bpe, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
