@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import byte_bpe, chosen_path, exact_dedup, lm_score, order_minhash, packing, secret_scan, token_coder
+from . import byte_bpe, chosen_path, exact_dedup, lm_score, order_minhash, packing, quality, secret_scan, token_coder
 
 
 def tokenizer(name: str) -> str:
@@ -56,8 +56,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_coder.round_trip(_documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept, with their probabilities."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.classify(_documents(spark, sf_dir), labels).filter("keep")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_order_minhash, op4_best_fit_packing, op5_exact_dedup, op6_byte_bpe, op8_ngram_jaccard_join, op9_token_files)}
+    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_order_minhash, op4_best_fit_packing, op5_exact_dedup, op6_byte_bpe, op8_ngram_jaccard_join, op9_token_files, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -260,8 +260,8 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules:
     return rows.mapInArrow(batches, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
 
 
-def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret span in the text replaced by ``mark``; all other columns as they are."""
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", count_col: str = "n_chars") -> DataFrame:
+    """``docs`` with every secret span in the text replaced by ``mark``; ``count_col``, if there is one, counts the changed texts' characters."""
     dfa = compile_rules({k: r["scan"] for k, r in RULES.items()})
     schema, rules = docs.schema, RULES
 
@@ -282,7 +282,10 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", mark
                             pieces += [text[done:start], mark]
                         done = max(done, end)
                     texts[number] = "".join([*pieces, text[done:]])
-                columns = [pa.array(texts, part.schema.field(i).type) if i == where else part.column(i) for i in range(part.num_columns)]
+                columns = list(part.columns)
+                columns[where] = pa.array(texts, part.schema.field(where).type)
+                if (at := part.schema.get_field_index(count_col)) >= 0:
+                    columns[at] = pa.array([len(texts[i]) if i in found else n for i, n in enumerate(part.column(at).to_pylist())], part.schema.field(at).type)
                 part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
             yield part
 
