@@ -4,20 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import exact_dedup
+from lodestar.llm import chosen_path, exact_dedup, packing, quality, secret_scan
+from lodestar.llm.queries import tokenizer
 from lodestar.session import ship, stage
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    ship(spark)
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest doc_id."""
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of similar texts, the document with the least doc_id."""
+    ship(spark)
+    return chosen_path.keep_one(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, every secret in their texts replaced by a mark, and n_chars counted anew."""
+    ship(spark)
+    return secret_scan.redact(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document and where each lies in which sequence."""
+    ship(spark)
+    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_classifier", good_documents),
+    ("exact_dedup", distinct_documents),
+    ("ngram_jaccard_join", dissimilar_documents),
+    ("secret_scans", without_secrets),
+    ("best_fit_packing", packed_sequences),
+]
+#: The classifier, the similarity join and the tokenizer are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES:
         docs = stage(function(spark, docs, sf_dir), name)
