@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import byte_bpe, chosen_path, exact_dedup, lm_score, order_minhash, packing, quality, secret_scan, token_coder
+from . import byte_bpe, chosen_path, exact_dedup, lm_score, order_minhash, packing, quality, secret_scan, substring_dedup, token_coder
 
 
 def tokenizer(name: str) -> str:
@@ -48,6 +48,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_documents(spark, sf_dir), tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages that repeat, by document; documents without one have no row."""
+    return substring_dedup.repeated_passages(_documents(spark, sf_dir))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.similar_texts(_documents(spark, sf_dir))
 
@@ -63,7 +68,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_order_minhash, op4_best_fit_packing, op5_exact_dedup, op6_byte_bpe, op8_ngram_jaccard_join, op9_token_files, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_order_minhash, op4_best_fit_packing, op5_exact_dedup, op6_byte_bpe, op7_substring_dedup, op8_ngram_jaccard_join, op9_token_files, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
