@@ -55,7 +55,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> list[
     first = np.searchsorted(owner, np.arange(len(offsets)))
     rolled = np.zeros(max(0, len(hashes) - n + 1), _U)
     for i in range(n):
-        rolled += mix(hashes[i : i + len(rolled)] + _U(i) * MIX2) * _U(2 * i + 1)
+        rolled += mix(hashes[i : i + len(rolled)] + _U(i)) * _U(2 * i + 1)
     rolled = mix(rolled)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
