@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The characters of a token.
 TOKEN = "[a-z0-9à-öø-ÿ]+"
@@ -35,11 +36,13 @@ def char_count(text: Column) -> Column:
     return F.length(F.coalesce(text, F.lit("")))
 
 
-@F.pandas_udf("string")
-def _nfc(text: pd.Series) -> pd.Series:
+def _normalised(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+_nfc = F.pandas_udf(_normalised, T.StringType())
+
+
 def sanitise(text: Column) -> Column:
     """SCL-1: NFC (an Arrow UDF, Spark has none), control characters and U+FFFD to spaces, runs of white space to one."""
     return F.trim(F.regexp_replace(F.regexp_replace(_nfc(text), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f�]", " "), r"\s+", " "))
@@ -117,11 +120,8 @@ def escape_regex(text: Column) -> Column:
 def any_word_in(query: Column, *columns: Column) -> Column:
     """PRJ-4: whether any word of the query is in any of the columns, whatever the case; words are literal."""
     words = F.filter(F.split(F.lower(query), r"\s+"), lambda w: w != "")
-    hits = [F.exists(words, lambda w, c=c: F.contains(F.lower(c), w)) for c in columns]
-    found = hits[0]
-    for h in hits[1:]:
-        found = found | h
-    return F.coalesce(found, F.lit(False))
+    haystack = F.concat_ws("\n", *[F.lower(c) for c in columns])  # words hold no line feed
+    return F.exists(words, lambda w: F.contains(haystack, w))
 
 
 def strip_think(text: Column) -> Column:

@@ -44,7 +44,7 @@ def ranked(rows: DataFrame, k: int | None, by: Column | str, *keys: str, order:
     """WIN-1: ranks from 1 within ``keys``; ``k`` of them. The filter prunes before the shuffle (window group limit)."""
     window = Window.partitionBy(*keys).orderBy(F.desc(by) if isinstance(by, str) else by, F.asc(order))
     out = rows.withColumn(name, F.row_number().over(window))
-    return out.filter(F.col(name) <= k) if k else out
+    return (out.filter(F.col(name) <= k) if k else out).withColumn(name, F.col(name).cast("long"))
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
@@ -202,6 +202,6 @@ def group_hits(hits: DataFrame, files: DataFrame, number: int, size: int, key: s
     """
     best = hits.groupBy("qid", key).agg(F.max_by(F.struct("score", "text", "rank"), F.struct(F.col("score"), -F.col("rank"))).alias("b")).select("qid", key, "b.*")
     window = Window.partitionBy("qid").orderBy(F.desc("score"), "rank")
-    placed = best.withColumn("place", F.row_number().over(window)).withColumn("total", F.count("*").over(Window.partitionBy("qid")))
+    placed = best.withColumn("place", F.row_number().over(window).cast("long")).withColumn("total", F.count("*").over(Window.partitionBy("qid")))
     shown = placed.filter((F.col("place") > (number - 1) * size) & (F.col("place") <= number * size))
     return shown.join(files, key).select("qid", "place", key, *[c for c in files.columns if c != key], F.round("score", 4).alias("relevance_score"), tx.search_snippet(F.col("text")).alias("snippet"), "total")
