@@ -3,8 +3,9 @@
 A text is the set of its shingles (``words`` words after lower-casing A-Z). Texts with equal sets are one node. In a run,
 a node goes to the buckets of the shingles that a hash, seeded by run and path, samples with probability BRANCHES / |set|:
 two sets that are alike sample the same shingle often. A bucket of at most ``limit`` nodes is brute-forced; a larger one
-splits again by shingles sampled along the path, down to DEPTH; one still too large is compared in blocks, all pairs of
-blocks in tasks of their own, so no size is too much and none is dropped. ``runs_for`` repeats runs until a pair at the
+splits again by shingles sampled along the path, down to DEPTH, unless its nodes are alike on average, when splitting parts
+nothing. One of over ``block`` nodes is compared in blocks, all pairs of blocks in groups of their own, so no size is too much
+and none is dropped. ``runs_for`` repeats runs until a pair at the
 threshold is missed with probability at most 1 - recall, by the branching process that the sampling is.
 
 A pair is judged once, in the least leaf bucket that both are in. There bottom-k sketches rule most pairs out, and exact
@@ -34,6 +35,8 @@ from .components import components
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: Expected shingles sampled at a node, levels, nodes brute-forced at once, least hashes kept in a sketch.
 BRANCHES, DEPTH, LIMIT, SKETCH = 2.5, 3, 256, 64
+#: Nodes compared in one task, mean agreement from which a large bucket isn't split.
+BLOCK, ALIKE = 1024, 0.5
 #: Standard deviations that a sketch's estimate may lie below the threshold.
 SLACK = 4.5
 _U = np.uint64
@@ -130,25 +133,37 @@ def features(docs: DataFrame, runs: int, n: int, text_col: str, id_col: str) ->
     return rows.mapInArrow(batches, ", ".join(["doc_id long", "node long", "size long", *[f"{x} array<long>" for x in names[3:]]]))
 
 
+def _alike(posts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, alike): the mean chance that two nodes of a bucket agree on a minimum of their sketches."""
+    least = [F.expr(f"array_min(transform(sketch, x -> xxhash64(x, {i})))").alias(f"m{i}") for i in range(4)]
+    rows = posts.join(nodes.select("node", *least), "node").select("key", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"m{i}").alias("m")) for i in range(4)])).alias("x"))
+    held = rows.groupBy("key", "n", "x.i", "x.m").agg(F.count("*").alias("c"))
+    return held.groupBy("key").agg((F.sum(F.col("c") * F.col("c")) / F.max(4.0 * F.col("n") * F.col("n"))).alias("alike"))
+
+
 def leaves(nodes: DataFrame, limit: int) -> DataFrame:
-    """(node, bucket, n): the buckets of two or more nodes that are brute-forced, whatever their size at the last level."""
+    """(node, bucket, n): the buckets of two or more nodes that are brute-forced.
+
+    Larger ones split again, but for those at the last level and those whose nodes are alike on average, which no split would part.
+    """
     found = None
-    reached = None  # (node, key) of the buckets that split again
+    reached = None  # (node, ups) of the nodes in buckets that split again
     for level in range(1, DEPTH + 1):
-        posts = nodes.select("node", F.explode(F.arrays_zip(F.col(f"from{level}").alias("up"), F.col(f"to{level}").alias("key"))).alias("p")).select("node", "p.up", "p.key")
-        if reached is not None:
-            posts = posts.join(reached.select("node", F.col("key").alias("up")), ["node", "up"], "left_semi")
-        posts = posts.select("node", "key")
+        if reached is None:
+            posts = nodes.select("node", F.explode(f"to{level}").alias("key"))
+        else:
+            tree = nodes.select("node", F.arrays_zip(F.col(f"from{level}").alias("up"), F.col(f"to{level}").alias("key")).alias("tree")).join(reached, "node")
+            posts = tree.select("node", F.explode(F.expr("transform(filter(tree, x -> array_contains(ups, x.up)), x -> x.key)")).alias("key"))
         sizes = posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
         posts = stage(posts.join(sizes, "key").select("node", "key", "n"), f"posts{level}")
-        own = posts if level == DEPTH else posts.filter(F.col("n") <= limit)
+        large = posts.filter(F.col("n") > limit)
+        if level == DEPTH or large.isEmpty():
+            return (posts if found is None else found.unionByName(posts)).select("node", F.col("key").alias("bucket"), "n")
+        alike = _alike(large, nodes).filter(F.col("alike") >= ALIKE).select("key")
+        large = stage(large.join(alike.withColumn("stuck", F.lit(True)), "key", "left").select("node", "key", "n", F.coalesce("stuck", F.lit(False)).alias("stuck")), f"large{level}")
+        own = posts.filter(F.col("n") <= limit).unionByName(large.filter("stuck").drop("stuck"))
         found = own if found is None else found.unionByName(own)
-        if level == DEPTH:
-            break
-        reached = posts.filter(F.col("n") > limit)
-        if reached.isEmpty():
-            break
-    return found.select("node", F.col("key").alias("bucket"), "n")
+        reached = large.filter("not stuck").groupBy("node").agg(F.collect_set("key").alias("ups"))  # at most a tree's keys
 
 
 def _incidence(rows: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -289,7 +304,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(task_count(rows.sparkSession), *keys).sortWithinPartitions(*keys, "node")
 
 
-def similar_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, limit: int = LIMIT) -> DataFrame:
+def similar_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, class_id, n_links (different sets of shingles that it is linked to), copy_id (the least doc_id of its equal set), n_copies."""
     spark = docs.sparkSession
     runs = runs_for(similarity, recall)
@@ -298,7 +313,7 @@ def similar_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     nodes = found.filter("size > 0").dropDuplicates(["node"])
     leaf = stage(leaves(nodes, limit), "leaves")
     lists = leaf.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("leaves"), F.collect_set(F.struct("bucket", "n")).alias("at"))  # at most a tree's keys
-    blocks = F.ceil(F.col("a.n") / limit).cast("int")
+    blocks = F.ceil(F.col("a.n") / block).cast("int")
     posts = (
         nodes.select("node", "size", "sketch").join(lists, "node").select("*", F.explode("at").alias("a"))
         .select("node", "size", "sketch", "leaves", F.col("a.bucket").alias("bucket"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))

@@ -53,7 +53,7 @@ def corpus(seed=1, groups=25, common=True):
 def test_equals_brute_force(spark, limit):
     rows = corpus()
     docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, node int").repartition(3)
-    got = {r.doc_id: (r.class_id, r.n_links, r.copy_id, r.n_copies) for r in chosen_path.similar_texts(docs, limit=limit, recall=0.99999999).collect()}
+    got = {r.doc_id: (r.class_id, r.n_links, r.copy_id, r.n_copies) for r in chosen_path.similar_texts(docs, limit=limit, block=2 * limit, recall=0.99999999).collect()}
     assert got == brute(rows)
 
 
@@ -65,7 +65,16 @@ def test_large_near_group_in_blocks(spark):
         own = list(base)
         own[rng.randrange(120)] = f"x{i}"
         rows.append((i, " ".join(own)))
-    got = {r.doc_id: (r.class_id, r.n_links, r.copy_id, r.n_copies) for r in chosen_path.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), limit=16, recall=0.99999999).collect()}
+    got = {r.doc_id: (r.class_id, r.n_links, r.copy_id, r.n_copies) for r in chosen_path.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), limit=16, block=20, recall=0.99999999).collect()}
+    assert got == brute(rows)
+
+
+def test_common_passage_splits(spark):
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, " ".join(str(rng.random()) for _ in range(70)) + " " + passage) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " end") for i in range(10)]
+    got = {r.doc_id: (r.class_id, r.n_links, r.copy_id, r.n_copies) for r in chosen_path.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), limit=8, block=8, recall=0.99999999).collect()}
     assert got == brute(rows)
 
 
