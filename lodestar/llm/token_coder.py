@@ -31,21 +31,28 @@ from ..session import stage
 from .arrays import slices, text_bytes
 from .byte_bpe import vocabulary
 
-BLOCK_IDS, SEGMENT_BYTES = 4096, 12 << 20
+BLOCK_IDS, SEGMENT_BYTES = 2048, 12 << 20
 #: Slots of the order-2 and order-1 tables, bits of the code space, steps between refreshes of order 0.
-SLOTS2, SLOTS1, BITS, REFRESH = 4096, 2048, 16, 128
+SLOTS2, SLOTS1, BITS, REFRESH = 1024, 1024, 16, 256
 #: Order 0: ids below FINE in ranges of 16, others of 1024; counts scaled to ORDER0.
 FINE, ORDER0_BITS = 1024, 11
 MAGIC = 0x4C535452
+#: Code space that both orders share: order 0 keeps one for each of its parts.
+LEFT = (1 << BITS) - 1 - (1 << ORDER0_BITS)
 _U = np.uint64
 
 
+#: What a confidence changes by: up to 15 by one if the prediction was right, else down by two (below two the id is replaced).
+NEXT = np.array([0, 0, *[-2] * 14, *[1] * 15, 0])
+
+
 @lru_cache(1)
 def ranges() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(range of each id, first id of each range, bits of each range)."""
+    """(first id of each range, bits of each range, for each id its range << 16 | place in it << 5 | bits)."""
     firsts = np.concatenate([np.arange(0, FINE, 16), np.arange(FINE, 1 << 16, 1024)])
     bits = np.where(firsts < FINE, 4, 10)
-    return np.repeat(np.arange(len(firsts)), 1 << bits), firsts, bits
+    of = np.repeat(np.arange(len(firsts)), 1 << bits)
+    return firsts, bits, of << 16 | (np.arange(1 << 16) - firsts[of]) << 5 | bits[of]
 
 
 class _Model:
@@ -53,53 +60,65 @@ class _Model:
 
     def __init__(self, lanes: int) -> None:
         self.lane = np.arange(lanes)
-        self.range_of, self.firsts, self.range_bits = ranges()
+        self.firsts, self.range_bits, self.split = ranges()
         self.n_ranges = len(self.firsts)
         self.table2, self.table1 = np.zeros(lanes * SLOTS2, np.int32), np.zeros(lanes * SLOTS1, np.int32)  # id << 4 | confidence
-        self.right = np.full((2, lanes * 16), 1 << 13, np.int64)  # of 1 << 16: how often such predictions are right
-        self.counts = np.ones(lanes * self.n_ranges, np.int32)
+        self.right = np.full((2, lanes * 16), 1 << 13)  # of 1 << 16: how often such predictions are right
+        self.counts = np.ones((lanes, self.n_ranges), np.int64)
         self.lane2, self.lane1, self.lane16, self.lane_r = self.lane * SLOTS2, self.lane * SLOTS1, self.lane * 16, self.lane * self.n_ranges
-        self.last, self.before, self.steps = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), 0
+        self.hash, self.before, self.steps = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), 0
+        self.past: tuple[list, list, list] = ([], [], [])  # since the last refresh: rows of ids, of each order's (confidence, right)
         self.refresh()
 
     def refresh(self) -> None:
-        counts = self.counts.reshape(-1, self.n_ranges)
-        room = (1 << ORDER0_BITS) - self.n_ranges  # every range keeps one
-        ends = np.cumsum(counts, 1)
-        self.ends = (ends * room) // ends[:, -1:] + np.arange(1, self.n_ranges + 1)
-        self.begins = np.zeros_like(self.ends)
-        self.begins[:, 1:] = self.ends[:, :-1]
-        self.flat_begin, self.flat_size = self.begins.ravel(), (self.ends - self.begins).ravel()
-        self.inverse = None
+        """Order 0 and the shares of the orders learn from the steps since the last time."""
+        if self.past[0]:
+            rows = self.split[np.stack(self.past[0])] >> 16
+            self.counts += 24 * np.bincount((rows + self.lane_r).ravel(), minlength=self.counts.size).reshape(self.counts.shape)
+            for right, seen in zip(self.right, self.past[1:]):
+                at, hit = (np.stack(x).ravel() for x in zip(*seen))
+                n = np.bincount(at, minlength=len(right))
+                k = np.bincount(at, weights=hit, minlength=len(right))
+                right[:] = (right * 8 + k * 65536) / (8 + n)  # a mean in which the past weighs as eight
+        ends = np.cumsum(self.counts, 1)
+        ends = (ends * ((1 << ORDER0_BITS) - self.n_ranges)) // ends[:, -1:] + np.arange(1, self.n_ranges + 1)  # every range keeps one
+        begins = np.zeros_like(ends)
+        begins[:, 1:] = ends[:, :-1]
+        self.sizes = (ends - begins).ravel()
+        self.part = (begins.ravel() << 16) + self.sizes
+        self.end_of2 = (self.right[0] * 15 >> 4) + 1  # at least a sixteenth is left
+        self.inverse, self.past = None, ([], [], [])
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The range of ids that ``value`` (below 1 << ORDER0_BITS) falls in."""
         if self.inverse is None:
-            self.inverse = np.repeat(np.tile(np.arange(self.n_ranges, dtype=np.uint8), len(self.lane)), self.flat_size)
-        return self.inverse[(self.lane << ORDER0_BITS) + value].astype(np.int64)
+            self.inverse = np.repeat(np.tile(np.arange(self.n_ranges, dtype=np.uint8), len(self.lane)), self.sizes)
+        return self.inverse.take((self.lane << ORDER0_BITS) + value).astype(np.int64)
 
     def predict(self) -> None:
         """Sets the predictions and the ends of their shares of the code space."""
-        self.slot2 = self.lane2 + ((self.last * 0x9E3B + self.before * 0x85EB5) >> 3 & SLOTS2 - 1)
-        self.slot1 = self.lane1 + (self.last * 0x9E3B >> 4 & SLOTS1 - 1)
-        self.entry2, self.entry1 = self.table2[self.slot2], self.table1[self.slot1]
+        self.slot2 = ((self.hash + (self.before << 5)) >> 7 & SLOTS2 - 1) + self.lane2
+        self.slot1 = (self.hash >> 4 & SLOTS1 - 1) + self.lane1
+        self.entry2, self.entry1 = self.table2.take(self.slot2), self.table1.take(self.slot1)
         self.guess2, self.guess1 = self.entry2 >> 4, self.entry1 >> 4
-        self.at2, self.at1 = self.lane16 + (self.entry2 & 15), self.lane16 + (self.entry1 & 15)
-        share2, share1 = self.right[0][self.at2], self.right[1][self.at1]
-        self.end2 = (share2 * 15 >> 4) + 1  # at least a sixteenth is left
-        left = 65535 - (1 << ORDER0_BITS) - self.end2  # order 0 keeps one for each of its parts
-        self.end1 = self.end2 + np.where(self.guess1 == self.guess2, 0, (left * share1 >> BITS) + 1)
+        self.at2, self.at1 = (self.entry2 & 15) + self.lane16, (self.entry1 & 15) + self.lane16
+        self.end2 = self.end_of2.take(self.at2)
+        add = ((LEFT - self.end2) * self.right[1].take(self.at1) >> BITS) + 1
+        add[self.guess1 == self.guess2] = 0
+        self.end1 = self.end2 + add
         self.unit = 65536 - self.end1 >> ORDER0_BITS
 
-    def update(self, ids: np.ndarray) -> None:
-        for table, slot, entry, guess, right, at in ((self.table2, self.slot2, self.entry2, self.guess2, self.right[0], self.at2), (self.table1, self.slot1, self.entry1, self.guess1, self.right[1], self.at1)):
-            hit = guess == ids
-            sure = entry & 15
-            table[slot] = np.where(hit, entry + (sure < 15), np.where(sure > 1, entry - 2, ids << 4))
-            old = right[at]
-            right[at] = old + ((hit * 65535 - old) >> 5)
-        self.counts[self.lane_r + self.range_of[ids]] += 24
-        self.before, self.last = self.last, ids
+    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        fresh = ids << 4
+        for table, slot, entry, hit in ((self.table2, self.slot2, self.entry2, hit2), (self.table1, self.slot1, self.entry1, hit1)):
+            case = (entry & 15) + (hit.view(np.int8) << 4)
+            new = entry + NEXT.take(case)
+            low = np.flatnonzero(case < 2)
+            new[low] = fresh[low]
+            table[slot] = new
+        for past, x in zip(self.past, (ids, (self.at2, hit2), (self.at1, hit1))):
+            past.append(x)
+        self.before, self.hash = self.hash, ids * 0x9E3B
         self.steps += 1
         if self.steps % REFRESH == 0:
             self.refresh()
@@ -119,26 +138,29 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     out = np.zeros((lanes, width + 3), np.int64)  # 32-bit words, each with the carries that reach it
     for now in columns:
         model.predict()
-        hit2 = model.guess2 == now
-        hit1 = (model.guess1 == now) & ~hit2
-        rest = ~(hit2 | hit1)
-        row = model.range_of[now]
-        at = model.lane_r + row
-        begin = np.where(hit2, 0, np.where(hit1, model.end2, model.end1 + model.flat_begin[at] * model.unit))
-        size = np.where(hit2, model.end2, np.where(hit1, model.end1 - model.end2, model.flat_size[at] * model.unit))
-        bits = np.where(rest, model.range_bits[row], 0).astype(_U)
+        hit2, hit1 = model.guess2 == now, model.guess1 == now
+        split = model.split.take(now)
+        part = model.part.take((split >> 16) + model.lane_r)
+        begin, size = model.end1 + (part >> 16) * model.unit, (part & 0xFFFF) * model.unit
+        bits, inner = split & 31, split >> 5 & 2047
+        for rows, first, last in ((np.flatnonzero(hit1), model.end2, model.end1), (np.flatnonzero(hit2), None, model.end2)):
+            start = first[rows] if first is not None else 0
+            begin[rows], size[rows], bits[rows], inner[rows] = start, last[rows] - start, 0, 0
         step = span >> _U(BITS)
-        span = step * size.astype(_U) >> bits
-        add = begin.astype(_U) * step + np.where(rest, now - model.firsts[row], 0).astype(_U) * span
+        span = step * size.view(_U) >> bits.view(_U)
+        add = begin.view(_U) * step + inner.view(_U) * span
         low = low + add
-        carry = np.flatnonzero(low < add)
-        out[carry, used[carry] - 1] += 1
+        carry = low < add
+        if carry.any():
+            carry = np.flatnonzero(carry)
+            out[carry, used[carry] - 1] += 1
         short = np.flatnonzero(span < _U(1 << 32))
-        out[short, used[short]] = (low[short] >> _U(32)).astype(np.int64)
+        gone = low[short]
+        out[short, used[short]] = (gone >> _U(32)).view(np.int64)
         used[short] += 1
-        low[short] <<= _U(32)
+        low[short] = gone << _U(32)
         span[short] <<= _U(32)
-        model.update(now)
+        model.update(now, hit2, hit1)
     for _ in range(2):
         out[model.lane, used] = (low >> _U(32)).astype(np.int64)
         low <<= _U(32)
@@ -193,25 +215,28 @@ def _decode_lanes(blocks: list[bytes], width: int) -> np.ndarray:
     for t in range(width):
         model.predict()
         step = span >> _U(BITS)
-        value = np.minimum(code // step, _U(65535)).astype(np.int64)
-        hit2, past = value < model.end2, value - model.end1
-        rest = past >= 0
-        row = model.find(np.clip(past // model.unit, 0, (1 << ORDER0_BITS) - 1))
-        place = model.lane_r + row
-        begin = np.where(hit2, 0, np.where(rest, model.end1 + model.flat_begin[place] * model.unit, model.end2))
-        size = np.where(hit2, model.end2, np.where(rest, model.flat_size[place] * model.unit, model.end1 - model.end2))
-        code -= begin.astype(_U) * step
-        bits = np.where(rest, model.range_bits[row], 0).astype(_U)
-        span = step * size.astype(_U) >> bits
-        inner = np.minimum(code // span, (_U(1) << bits) - _U(1))
+        value = np.minimum(code // step, _U(65535)).view(np.int64)
+        past = value - model.end1
+        row = model.find(np.minimum(np.maximum(past / model.unit, 0), (1 << ORDER0_BITS) - 1).astype(np.int64))  # exact: both are small
+        part = model.part.take(row + model.lane_r)
+        begin, size = model.end1 + (part >> 16) * model.unit, (part & 0xFFFF) * model.unit
+        bits = model.range_bits.take(row)
+        hits = np.flatnonzero(past < 0)
+        second = value[hits] < model.end2[hits]
+        start = np.where(second, 0, model.end2[hits])
+        begin[hits], size[hits], bits[hits] = start, np.where(second, model.end2[hits], model.end1[hits]) - start, 0
+        code = code - begin.view(_U) * step
+        span = step * size.view(_U) >> bits.view(_U)
+        inner = np.minimum(code // span, (_U(1) << bits.view(_U)) - _U(1))
         code -= inner * span
-        now = np.where(hit2, model.guess2, np.where(rest, model.firsts[row] + inner.astype(np.int64), model.guess1)).astype(np.int64)
+        now = model.firsts.take(row) + inner.view(np.int64)
+        now[hits] = np.where(second, model.guess2[hits], model.guess1[hits])
         short = np.flatnonzero(span < _U(1 << 32))
         code[short] = code[short] << _U(32) | flat[np.minimum(at[short], len(flat) - 1)]  # a damaged block may run on
         at[short] += 1
         span[short] <<= _U(32)
         out[t] = now
-        model.update(now)
+        model.update(now, model.guess2 == now, model.guess1 == now)
     return out.T
 
 
