@@ -1,7 +1,8 @@
 """Substring dedup by content-defined chunking.
 
 A gear hash rolls over the last WINDOW bytes; a chunk ends with a word at whose last byte the hash is in the lowest
-1/MEAN_WORDS of its values, so the same passage is cut alike wherever it stands, whatever comes before it. Chunks are
+1/MEAN_WORDS of its values, or after MAX_WORDS words, so the same passage is cut alike wherever it stands, whatever comes before
+it. White space counts only as what parts words. Chunks are
 compared by 64-bit digest over all documents: blocks of texts ask the owner of each digest range how many documents have
 a chunk and which comes first. Consecutive chunks that other documents have as well form a passage if they hold
 LEAST_WORDS words; a passage of over 50 repeated words loses a chunk at either end at most, so it is found, while chunks
@@ -23,30 +24,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .arrays import groups, mix, slices, span_hashes, text_bytes, words
+from .arrays import groups, list_hashes, mix, slices, span_hashes, text_bytes, words
 from .lm_score import _pack, _range_of, _tail, _unpack
 
-#: Bytes that the hash sees, words of a mean chunk, least words of a passage, bytes of text in a block, chunks a range stands for.
-WINDOW, MEAN_WORDS, LEAST_WORDS, BLOCK_BYTES, RANGE_CHUNKS = 16, 3, 20, 8 << 20, 1_000_000
+#: Bytes that the hash sees, words of a mean chunk and of the longest, least words of a passage, bytes of text in a block, chunks a range stands for.
+WINDOW, MEAN_WORDS, MAX_WORDS, LEAST_WORDS, BLOCK_BYTES, RANGE_CHUNKS = 16, 3, 16, 25, 8 << 20, 1_000_000
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
 _NULL = (1 << 63) - 1
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, mean_words: int = MEAN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends in bytes, words, text number) of the chunks."""
+def chunks(data: np.ndarray, offsets: np.ndarray, mean_words: int = MEAN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends in bytes, words, text number, digest) of the chunks. White space counts only as what parts words."""
     starts, ends, owner = words(data, offsets)
     if not len(starts):
-        return starts, ends, starts, owner
-    rolled, begin = np.zeros(len(ends), np.uint16), offsets[owner]
+        return starts, ends, starts, owner, np.zeros(0, np.uint64)
+    lengths = ends - starts
+    solid = np.zeros(len(data) + 1, np.int8)
+    solid[starts] += 1
+    solid[ends] -= 1
+    bare = data[np.cumsum(solid[:-1], dtype=np.int8) > 0]
+    stop = np.cumsum(lengths)
+    fresh = np.append(True, owner[1:] != owner[:-1])
+    begin = (stop - lengths)[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]  # where the word's text begins
+    rolled = np.zeros(len(ends), np.uint16)
     for back in range(WINDOW):
-        at = ends - 1 - back
-        rolled += np.where(at >= begin, GEAR[data[np.maximum(at, 0)]], np.uint16(0)) << np.uint16(back)
+        at = stop - 1 - back
+        rolled += np.where(at >= begin, GEAR[bare[np.maximum(at, 0)]], np.uint16(0)) << np.uint16(back)
     last = rolled < 65536 // mean_words
-    last[:-1] |= owner[1:] != owner[:-1]
+    last[:-1] |= fresh[1:]
     last[-1] = True
-    stop = np.flatnonzero(last)
-    start = np.concatenate([[0], stop[:-1] + 1])
-    return starts[start], ends[stop], stop - start + 1, owner[stop]
+    place = np.arange(len(last))
+    natural = np.maximum.accumulate(np.append(0, np.where(last, place + 1, 0)[:-1]))
+    last |= (place - natural + 1) % MAX_WORDS == 0  # text that repeats itself may have no boundary of its own
+    final = np.flatnonzero(last)
+    first = np.concatenate([[0], final[:-1] + 1])
+    return starts[first], ends[final], final - first + 1, owner[final], list_hashes(span_hashes(data, starts, ends), first, final + 1)
 
 
 def _blocks(docs: DataFrame, text_col: str, id_col: str, mean_words: int) -> DataFrame:
@@ -58,9 +70,9 @@ def _blocks(docs: DataFrame, text_col: str, id_col: str, mean_words: int) -> Dat
             got: list[list[np.ndarray]] = [[], [], [], [], []]
             for part in slices(iter([block]), "text"):
                 data, offsets = text_bytes(part.column("text"))
-                a, b, n, owner = chunks(data, offsets, mean_words)
+                a, b, n, owner, digest = chunks(data, offsets, mean_words)
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                for column, x in zip(got, (span_hashes(data, a, b), n, points[a] - points[offsets[owner]], points[b] - points[a], np.bincount(owner, minlength=part.num_rows))):
+                for column, x in zip(got, (digest, n, points[a] - points[offsets[owner]], points[b] - points[a], np.bincount(owner, minlength=part.num_rows))):
                     column.append(x)
             hashes, n, start, length, counts = map(np.concatenate, got)
             distinct, codes = groups(hashes)

@@ -21,9 +21,9 @@ def plain(rows, least, mean):
     own, where = {}, {}
     for d, t in rows:
         data, offsets = text_bytes(pa.array([t], pa.string()))
-        a, b, n, _ = cdc.chunks(data, offsets, mean)
+        a, b, n, _, _ = cdc.chunks(data, offsets, mean)
         raw = data.tobytes()
-        own.setdefault(d, []).append([(raw[i:j].decode(), len(raw[:i].decode()), len(raw[:j].decode()), int(k)) for i, j, k in zip(a, b, n)])
+        own.setdefault(d, []).append([(" ".join(raw[i:j].decode().split()), len(raw[:i].decode()), len(raw[:j].decode()), int(k)) for i, j, k in zip(a, b, n)])
         for c in own[d][-1]:
             where.setdefault(c[0], set()).add(d)
     out = set()
@@ -76,6 +76,14 @@ def test_passages_are_found_and_clean_documents_are_not(spark):
     assert found == holders
 
 
+def test_white_space_is_no_difference():
+    rng = random.Random(2)
+    t = " ".join(word(rng) for _ in range(200))
+    wrapped = t.replace(" ", "\n", 60).replace(" ", "  ", 60)
+    one, two = (cdc.chunks(*text_bytes(pa.array([x])))[4].tolist() for x in (t, wrapped))
+    assert one == two and len(set(one)) > 40
+
+
 def test_shifts_move_no_boundaries():
     rng = random.Random(3)
     base = " ".join(word(rng) for _ in range(300))
