@@ -134,11 +134,10 @@ def features(docs: DataFrame, runs: int, n: int, text_col: str, id_col: str) ->
 
 
 def _alike(posts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, alike): the mean chance that two nodes of a bucket agree on a minimum of their sketches."""
-    least = [F.expr(f"array_min(transform(sketch, x -> xxhash64(x, {i})))").alias(f"m{i}") for i in range(4)]
-    rows = posts.join(nodes.select("node", *least), "node").select("key", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"m{i}").alias("m")) for i in range(4)])).alias("x"))
-    held = rows.groupBy("key", "n", "x.i", "x.m").agg(F.count("*").alias("c"))
-    return held.groupBy("key").agg((F.sum(F.col("c") * F.col("c")) / F.max(4.0 * F.col("n") * F.col("n"))).alias("alike"))
+    """(key, alike): the chance that two nodes of a bucket agree on a minimum of their sketches, under the bucket's own hash."""
+    rows = posts.join(nodes.select("node", "sketch"), "node").select("key", "n", F.expr("array_min(transform(sketch, x -> xxhash64(x, key)))").alias("m"))
+    held = rows.groupBy("key", "n", "m").agg(F.count("*").alias("c"))
+    return held.groupBy("key").agg((F.sum(F.col("c") * F.col("c")) / F.max(1.0 * F.col("n") * F.col("n"))).alias("alike"))
 
 
 def leaves(nodes: DataFrame, limit: int) -> DataFrame:
