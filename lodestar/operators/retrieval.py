@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,7 +66,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> Data
                 continue
             flat = np.asarray(batch.column("vector").flatten(), np.float64).reshape(batch.num_rows, -1)
             size = np.linalg.norm(flat, axis=1)
-            ids = batch.column("id").to_numpy()
+            ids = np.empty(batch.num_rows, np.int64)  # places in id order break ties
+            ids[pc.sort_indices(batch.column("id")).to_numpy()] = np.arange(batch.num_rows)
             for a in range(0, len(names), QUERY_BLOCK):
                 score = np.round((flat @ matrix[a : a + QUERY_BLOCK].T) / np.where(size > 0, size, 1)[:, None], digits) + 0.0
                 order = np.lexsort((np.broadcast_to(ids[:, None], score.shape), -score), axis=0)[:k]
@@ -180,8 +182,7 @@ def mmr(hits: DataFrame, k: int, weight: float = LAMBDA) -> DataFrame:
     """TOP-5 for every query: (qid, id, score, pick) from hits (qid, id, score, vector); groups are the queries' candidate lists, bounded by their limit."""
 
     def select(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table["id"].to_numpy(), -table["score"].to_numpy()))
-        table = table.take(pa.array(order))
+        table = table.sort_by([("score", "descending"), ("id", "ascending")])
         picked = select_diverse(table["score"].to_pylist(), table["vector"].to_pylist(), k, weight)
         return table.take(pa.array(picked, pa.int64())).select(["qid", "id", "score"]).append_column("pick", pa.array(range(1, len(picked) + 1), pa.int32()))
 

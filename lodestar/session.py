@@ -16,8 +16,13 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application."""
+    """Make this package importable in Python workers, once per application.
+
+    Also has unions not claim their inputs' partitioning: with that, Spark 4.1 zips inputs that adaptive execution has
+    coalesced differently ("Can't zip RDDs with unequal numbers of partitions").
+    """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
