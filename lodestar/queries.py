@@ -473,3 +473,80 @@ def model_panel(t):
     installed = t("nation").filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("model_id"), (F.col("n_nationkey") * 100).cast("long").alias("size"), kind.alias("capabilities"))
     known = t("nation").filter("n_nationkey < 10").select(F.col("n_name").alias("model_id"), F.lit(7).cast("long").alias("size_hint"), F.lit("llm").alias("category"), (F.col("n_nationkey") % 4).cast("int").alias("power"))
     return ct.model_panel(known, installed).drop("kind_order")
+
+
+# ---- display and small conversions -------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([1, last, p - 2, p - 1, p, p + 1, p + 2], lambda x: x >= 1 AND x <= last))), ',') AS pages FROM (SELECT doc_id, (doc_id % 12 + 1)::INT AS p, (doc_id % 12 + doc_id % 5 + 1)::INT AS last FROM documents)")
+def visible_pages(t):
+    p = (F.col("doc_id") % 12 + 1).cast("int")
+    return t("documents").select("doc_id", F.array_join(fm.visible_pages(p, (p + F.col("doc_id") % 5).cast("int")), ",").alias("pages"))
+
+
+@query("""SELECT event_id, CASE WHEN a >= 31536000 THEN 'year' WHEN a >= 2592000 THEN 'month' WHEN a >= 86400 THEN 'day' WHEN a >= 3600 THEN 'hour' WHEN a >= 60 THEN 'minute' ELSE 'second' END AS unit,
+  floor(s::DOUBLE / CASE WHEN a >= 31536000 THEN 31536000 WHEN a >= 2592000 THEN 2592000 WHEN a >= 86400 THEN 86400 WHEN a >= 3600 THEN 3600 WHEN a >= 60 THEN 60 ELSE 1 END + 0.5)::BIGINT AS amount
+  FROM (SELECT event_id, abs(s) AS a, s FROM (SELECT event_id, (floor(epoch(ts)) * (event_id % 3 - 1) // 1000 * (event_id % 2 + 1))::BIGINT AS s FROM events))""")
+def relative_times(t):
+    seconds = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) * (F.col("event_id") % 3 - 1) / 1000).cast("long") * (F.col("event_id") % 2 + 1)
+    rows = t("events").select("event_id", fm.relative_time(F.timestamp_seconds(seconds), F.timestamp_seconds(F.lit(0))).alias("r"))
+    return rows.select("event_id", "r.unit", "r.amount")
+
+
+@query("SELECT doc_id, printf('%02d:%02d', i * 30 // 60, i * 30 % 60) AS at FROM (SELECT doc_id, doc_id % 150 AS i FROM documents)")
+def frame_times(t):
+    return t("documents").select("doc_id", fm.frame_time(F.col("doc_id") % 150, 30).alias("at"))
+
+
+@query("SELECT doc_id, CASE WHEN d = 0 THEN NULL ELSE round(n::DOUBLE / d, 1) END AS fps FROM (SELECT doc_id, n_chars AS n, doc_id % 7 AS d FROM documents)")
+def frame_rates(t):
+    return t("documents").select("doc_id", fm.frame_rate(F.concat_ws("/", "n_chars", F.col("doc_id") % 7)).alias("fps"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND n_chars > 1000 THEN 'indexing' WHEN doc_id % 3 = 0 THEN 'scanning' ELSE 'done' END AS status, CASE WHEN e = 'none' THEN 'done' WHEN e IN ('skipped', 'empty text') THEN 'skipped' ELSE 'failed' END AS index_status, CASE WHEN b = 0 THEN 0 ELSE floor(100.0::DOUBLE * a / b + 0.5)::BIGINT END AS percent FROM (SELECT *, ['none', 'skipped', 'empty text', 'timeout'][doc_id % 4 + 1] AS e, doc_id % 9 AS a, doc_id % 10 AS b FROM documents)")
+def status_columns(t):
+    error = F.element_at(F.array(*map(F.lit, ("none", "skipped", "empty text", "timeout"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    status = fm.source_status(F.when(F.col("doc_id") % 3 == 0, "scanning").otherwise("done"), F.when(F.col("n_chars") > 1000, 1).otherwise(0))
+    index = fm.index_status(F.when(error != "none", error), F.when(error == "none", 1).otherwise(0))
+    return t("documents").select("doc_id", status.alias("status"), index.alias("index_status"), fm.percent(F.col("doc_id") % 9, F.col("doc_id") % 10).alias("percent"))
+
+
+@query("SELECT query, max(conv_id * 100 + turn) AS ts FROM (SELECT left(text, 12) AS query, conv_id, turn FROM conversations WHERE role = 'user') GROUP BY 1 ORDER BY ts DESC, query LIMIT 6")
+def recent_queries(t):
+    rows = t("conversations").filter("role = 'user'").select(F.left("text", F.lit(12)).alias("query"), (F.col("conv_id") * 100 + F.col("turn")).alias("ts"))
+    return ct.recent_queries(rows)
+
+
+@query(f"""SELECT a.conv_id AS qid, a.chunk_id, g.rank AS ordinal FROM (SELECT DISTINCT conv_id, unnest([conv_id::VARCHAR || '-' || turn, 'x-' || turn]) AS chunk_id FROM conversations) a
+  JOIN (SELECT conv_id, conv_id::VARCHAR || '-' || turn AS chunk_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank FROM conversations) g ON a.conv_id = g.conv_id AND a.chunk_id = g.chunk_id WHERE g.rank <= 3""")
+def citations_resolved(t):
+    rows = t("conversations")
+    mark = F.concat(F.lit("["), "conv_id", F.lit("-"), "turn", F.lit("] and [x-"), "turn", F.lit("]"))
+    answers = rows.groupBy(F.col("conv_id").alias("qid")).agg(F.array_join(F.collect_list(mark), " ").alias("answer"))  # one conversation
+    given = rt.ranked(rows.select(F.col("conv_id").alias("qid"), F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), F.col("turn").alias("score")), 3, "score", "qid", order="chunk_id")
+    return prompts.cited(answers, given)
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '/a/' || event_id || '.txt' ELSE '/a/new' || event_id || '.md' END AS path FROM events WHERE event_id % 4 IN (0, 1) AND event_id % 5 <> 0")
+def change_events(t):
+    mode = F.col("event_id") % 4
+    kind = F.when(F.col("event_id") % 5 == 0, "opened").otherwise("modified")
+    source = F.when(mode == 2, F.concat(F.lit("/a/.#"), "event_id")).when(mode == 3, F.concat(F.lit("/a/"), "event_id", F.lit(".TMP"))).otherwise(F.concat(F.lit("/a/"), "event_id", F.lit(".txt")))
+    rows = t("events").select("event_id", kind.alias("event_type"), source.alias("src_path"), F.when(mode == 1, F.concat(F.lit("/a/new"), "event_id", F.lit(".md"))).alias("dest_path"), F.lit(False).alias("is_directory"))
+    return st.changes(rows).select("event_id", "path")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'token' ELSE 'done' END AS type, left(text, 5) AS payload FROM documents WHERE doc_id % 4 <> 3")
+def sse_events(t):
+    sent = t("documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "token").otherwise("done").alias("type"), F.left("text", F.lit(5)).alias("payload"))
+    body = F.when(F.col("doc_id") % 4 == 3, "data: {broken").otherwise(F.concat(F.lit(": note\ndata: "), F.to_json(F.struct("type", "payload")), F.lit("\n\n")))
+    return st.parse_sse(sent.select("doc_id", body.alias("body"))).select("doc_id", "event.type", "event.payload")
+
+
+@query("SELECT p_partkey, lower(regexp_extract(f, '(\\.[^.]*)$', 1)) AS extension, CASE p_partkey % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'document' WHEN 2 THEN 'image' WHEN 3 THEN 'video' ELSE 'other' END AS category FROM (SELECT p_partkey, p_name || ['.MD', '.pdf', '.PNG', '.mkv', '.zzz'][p_partkey % 5 + 1] AS f FROM part)")
+def file_categories(t):
+    from .sources import scan
+
+    ends = F.element_at(F.array(*map(F.lit, (".MD", ".pdf", ".PNG", ".mkv", ".zzz"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    ext = scan.extension(F.concat("p_name", ends))
+    return t("part").select("p_partkey", ext.alias("extension"), scan.category(ext, F.lit(False)).alias("category"))
