@@ -88,7 +88,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     # rows of hot groups have their answer: a key of their own spreads them over all tasks
     spread = F.when(F.col("hot_key").isNotNull(), F.xxhash64("id")).otherwise(F.col("key"))
     wanted = F.when(F.col("hot_key").isNotNull(), F.lit("")).otherwise(F.col("sha"))
-    rows = rows.withColumns({"look_key": spread, "look_sha": wanted}).join(cold, (F.col("look_key") == F.col("cold_key")) & (F.col("look_sha") == F.col("cold_sha")), "left")
+    rows = rows.withColumns({"look_key": spread, "look_sha": wanted}).join(cold.hint("merge"), (F.col("look_key") == F.col("cold_key")) & (F.col("look_sha") == F.col("cold_sha")), "left")
     keep = F.coalesce("hot_keep", "cold_keep", F.col("id").cast("long"))
     out = [F.col("id").alias("doc_id"), keep.alias("keep_id"), F.coalesce("hot_n", "cold_n", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("id").cast("long") == keep, F.lit(True)).alias("kept"), F.col("sha").alias("text_sha256")]
     return rows.select("row.*", F.struct(*out).alias("_dedup")) if keep_columns else rows.select(*out)
