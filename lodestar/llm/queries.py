@@ -50,7 +50,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The passages that repeat, by document; documents without one have no row."""
-    return substring_dedup.repeated_passages(_documents(spark, sf_dir))
+    return substring_dedup.whole_passages(_documents(spark, sf_dir))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 A gear hash rolls over the last WINDOW bytes; a chunk ends with a word at whose last byte the hash is in the lowest
 1/MEAN_WORDS of its values, or after MAX_WORDS words, so the same passage is cut alike wherever it stands, whatever comes before
-it. White space counts only as what parts words. Chunks are
-compared by 64-bit digest over all documents: blocks of texts ask the owner of each digest range how many documents have
-a chunk and which comes first. Consecutive chunks that other documents have as well form a passage if they hold
-LEAST_WORDS words; a passage of over 50 repeated words loses a chunk at either end at most, so it is found, while chunks
-that repeat by chance are shorter.
+it. White space counts only as what parts words. Windows of consecutive chunks, the shortest of LEAST_WORDS words from each
+chunk on and up to each chunk, are compared by 64-bit digest over all documents: blocks of texts ask the owner of each
+digest range how many documents have a window and which two come first. A passage is a chain of windows that one other
+document has, the least that has them; a passage of over 50 repeated words loses a chunk at either end at most, so it is
+found. A window's first document is the least that has all of it, whoever has its single chunks. Where one document has a
+part of a passage and another one the rest, each gets its own row and rows may overlap. In text that repeats itself (a word
+a hundred times) a row may be longer than the other document's copy, but every window of it is there.
 
 Blocks ask for distinct digests only, so a passage in every document costs one entry a block. Of a digest 56 bits
 travel beside its range's number. Defined results: null text is empty; repeats inside one doc_id only don't count; rows
@@ -61,31 +63,44 @@ def chunks(data: np.ndarray, offsets: np.ndarray, mean_words: int = MEAN_WORDS)
     return starts[first], ends[final], final - first + 1, owner[final], list_hashes(span_hashes(data, starts, ends), first, final + 1)
 
 
-def _blocks(docs: DataFrame, text_col: str, id_col: str, mean_words: int) -> DataFrame:
-    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.binary()), ("digests", pa.binary()), ("codes", pa.binary()), ("words", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("chunks", pa.int64())])
+def windows(n: np.ndarray, counts: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first chunk, chunk after the last) of each text's windows in order: the shortest of ``least_words`` words from each chunk on and up to each chunk. ``n`` words of each chunk, ``counts`` chunks of each text."""
+    until, place = np.append(0, np.cumsum(n)), np.arange(len(n))
+    after = np.cumsum(counts)
+    stop = np.searchsorted(until, until[:-1] + least_words)
+    start = np.searchsorted(until, until[1:] - least_words, "right") - 1
+    onward, back = stop <= np.repeat(after, counts), start >= np.repeat(after - counts, counts)
+    keys = np.unique(np.concatenate([place[onward] * (len(n) + 1) + stop[onward], start[back] * (len(n) + 1) + place[back] + 1]))
+    return keys // (len(n) + 1), keys % (len(n) + 1)
+
+
+def _blocks(docs: DataFrame, text_col: str, id_col: str, mean_words: int, window_words: int) -> DataFrame:
+    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.binary()), ("asked", pa.binary()), ("digests", pa.binary()), ("codes", pa.binary()), ("words", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("windows", pa.int64())])
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for block in slices(source, "text", BLOCK_BYTES):
-            got: list[list[np.ndarray]] = [[], [], [], [], []]
+            got: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for part in slices(iter([block]), "text"):
                 data, offsets = text_bytes(part.column("text"))
                 a, b, n, owner, digest = chunks(data, offsets, mean_words)
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                for column, x in zip(got, (digest, n, points[a] - points[offsets[owner]], points[b] - points[a], np.bincount(owner, minlength=part.num_rows))):
+                counts = np.bincount(owner, minlength=part.num_rows)
+                begin, stop = windows(n, counts, window_words)
+                for column, x in zip(got, (list_hashes(digest, begin, stop), n, points[a] - points[offsets[owner]], points[b] - points[a], counts, np.bincount(owner[begin], minlength=part.num_rows))):
                     column.append(x)
-            hashes, n, start, length, counts = map(np.concatenate, got)
+            hashes, n, start, length, counts, asked = map(np.concatenate, got)
             distinct, codes = groups(hashes)
-            row = [number, block.column("doc_id").fill_null(_NULL).to_pylist(), _pack(counts.astype(np.uint32)), _pack(np.diff(distinct, prepend=np.uint64(0))), *[_pack(x.astype(np.uint32)) for x in (codes, n, start, length)], len(hashes)]
+            row = [number, block.column("doc_id").fill_null(_NULL).to_pylist(), _pack(counts.astype(np.uint32)), _pack(asked.astype(np.uint32)), _pack(np.diff(distinct, prepend=np.uint64(0))), *[_pack(x.astype(np.uint32)) for x in (codes, n, start, length)], len(hashes)]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types)], schema=schema)
             number += 1
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(batches, "block long, doc_ids array<long>, counts binary, digests binary, codes binary, words binary, starts binary, lengths binary, chunks long")
+    return rows.mapInArrow(batches, "block long, doc_ids array<long>, counts binary, asked binary, digests binary, codes binary, words binary, starts binary, lengths binary, windows long")
 
 
 def _requests(bits: int):
-    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("first", pa.binary())])
+    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("first", pa.binary()), ("second", pa.binary())])
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -94,17 +109,18 @@ def _requests(bits: int):
                 if not len(codes):
                     continue
                 ids, rank = np.unique(np.array(row["doc_ids"], np.int64), return_inverse=True)
-                doc = np.repeat(rank, _unpack(row["counts"], np.uint32))
+                doc = np.repeat(rank, _unpack(row["asked"], np.uint32))
                 pairs = np.sort(codes * len(ids) + doc)
                 pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
                 code = pairs // len(ids)
                 begin = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
                 docs, first = np.bincount(code).astype(np.uint32), ids[pairs[begin] % len(ids)]
+                second = ids[pairs[np.minimum(begin + 1, len(pairs) - 1)] % len(ids)]
                 parts = _range_of(digests, bits)
                 edges = np.flatnonzero(np.diff(parts, prepend=-1, append=-1))
                 columns: list[list] = [[] for _ in schema]
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                    for column, value in zip(columns, (int(parts[a]), row["block"], _pack(np.diff(_tail(digests[a:b], bits, 1), prepend=np.uint64(0))), _pack(docs[a:b]), _pack(first[a:b]))):
+                    for column, value in zip(columns, (int(parts[a]), row["block"], _pack(np.diff(_tail(digests[a:b], bits, 1), prepend=np.uint64(0))), _pack(docs[a:b]), _pack(first[a:b]), _pack(second[a:b][docs[a:b] > 1]))):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
@@ -112,28 +128,32 @@ def _requests(bits: int):
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """All requests of a range: for each block the documents of its digests in its order, and of shared ones the first document."""
+    """All requests of a range: for each block the documents of its digests in its order, and of shared ones the first two documents."""
     rows = table.to_pylist()
     keys = [np.cumsum(_unpack(r["keys"], np.uint64)) for r in rows]
-    first = np.concatenate([_unpack(r["first"], np.int64) for r in rows])
+    docs = np.concatenate([_unpack(r["docs"], np.uint32) for r in rows])
+    ids = np.concatenate([_unpack(r[c], np.int64) for c in ("first", "second") for r in rows])
     distinct, place = groups(np.concatenate(keys) << np.uint64(8))
-    # a document whose rows are in several blocks counts once: equal firsts alone prove nothing, so such digests need two
-    docs = np.bincount(place, weights=np.concatenate([_unpack(r["docs"], np.uint32) for r in rows]), minlength=len(distinct)).astype(np.uint32)
-    least, most = np.full(len(distinct), _NULL), np.full(len(distinct), -(1 << 63))
-    np.minimum.at(least, place, first)
-    np.maximum.at(most, place, first)
-    alone = (least == most) & (np.bincount(place, weights=np.concatenate([_unpack(r["docs"], np.uint32) > 1 for r in rows]), minlength=len(distinct)) == 0)
-    docs[alone] = 1
-    told, edge, out = docs[place], 0, [[], [], [], []]
+    where = np.concatenate([place, place[docs > 1]])
+    # a document whose rows are in several blocks counts once: only a second document proves that a digest is shared
+    docs = np.bincount(place, weights=docs, minlength=len(distinct)).astype(np.uint32)
+    least, second, shared = np.full(len(distinct), _NULL), np.full(len(distinct), _NULL), np.zeros(len(distinct), bool)
+    np.minimum.at(least, where, ids)
+    later = ids > least[where]
+    np.minimum.at(second, where[later], ids[later])
+    shared[where[later]] = True
+    docs[~shared] = 1
+    told, edge, out = docs[place], 0, [[], [], [], [], []]
     for r, n in zip(rows, map(len, keys)):
-        own = slice(edge, edge + n)
-        for column, value in zip(out, (r["block"], r["part"], _pack(told[own]), _pack(least[place[own]][told[own] > 1]))):
+        own = place[edge : edge + n]
+        many = own[told[edge : edge + n] > 1]
+        for column, value in zip(out, (r["block"], r["part"], _pack(told[edge : edge + n]), _pack(least[many]), _pack(second[many]))):
             column.append(value)
         edge += n
-    return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "part", "docs", "first"])
+    return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "part", "docs", "first", "second"])
 
 
-def _passages(least_words: int):
+def _passages(least_words: int, window_words: int, whole: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("n_chunks", pa.int64()), ("n_docs", pa.int64()), ("first_doc_id", pa.int64()), ("first", pa.bool_())])
 
     def passages(blocks: pa.Table, answers: pa.Table) -> pa.Table:
@@ -144,29 +164,33 @@ def _passages(least_words: int):
             if not len(codes):
                 continue
             docs = np.concatenate([_unpack(r["docs"], np.uint32) for r in told])
-            first = np.full(len(docs), _NULL)
-            first[docs > 1] = np.concatenate([_unpack(r["first"], np.int64) for r in told])
-            docs, first = docs[codes].astype(np.int64), first[codes]
-            n, start, length = (_unpack(row[c], np.uint32).astype(np.int64) for c in ("words", "starts", "lengths"))
+            first, second = np.full(len(docs), _NULL), np.full(len(docs), _NULL)
+            for column, x in (("first", first), ("second", second)):
+                x[docs > 1] = np.concatenate([_unpack(r[column], np.int64) for r in told])
+            docs, first, second = docs[codes].astype(np.int64), first[codes], second[codes]
+            n, start, length, counts = (_unpack(row[c], np.uint32).astype(np.int64) for c in ("words", "starts", "lengths", "counts"))
+            a, b = windows(n, counts, window_words)
+            until = np.append(0, np.cumsum(n))
             ids = np.array(row["doc_ids"], np.int64)
-            doc = np.repeat(np.arange(len(ids)), _unpack(row["counts"], np.uint32))
+            doc = np.repeat(np.arange(len(ids)), counts)[a]
             shared = docs > 1
             follows = np.zeros(len(codes), bool)
             follows[1:] = shared[1:] & shared[:-1] & (doc[1:] == doc[:-1])
+            if whole:
+                other = np.where(first == ids[doc], second, first)
+                follows[1:] &= other[1:] == other[:-1]
             begin = np.flatnonzero(shared & ~follows)
             if not len(begin):
                 continue
             run = np.cumsum(shared & ~follows) - 1
-            inside = np.flatnonzero(shared)
-            total = np.bincount(run[inside], weights=n[inside])
-            count = np.bincount(run[inside])
-            last = begin + count - 1
+            last = begin + np.bincount(run[shared]) - 1
+            total = until[b[last]] - until[a[begin]]
             keep = np.flatnonzero(total >= least_words)
             lowest = np.minimum.reduceat(np.where(shared, first, _NULL), begin)
             most = np.maximum.reduceat(np.where(shared, docs, 0), begin)
             highest = np.maximum.reduceat(np.where(shared, first, -(1 << 63)), begin)
             own = ids[doc[begin]]
-            for column, x in zip(out, (own, start[begin], start[last] + length[last], total.astype(np.int64), count, most, lowest, (lowest == own) & (highest == own))):
+            for column, x in zip(out, (own, start[a[begin]], start[b[last] - 1] + length[b[last] - 1], total, b[last] - a[begin], most, lowest, (lowest == own) & (highest == own))):
                 column += x[keep].tolist()
         back = lambda x: [None if v == _NULL else v for v in x]
         out[0], out[6] = back(out[0]), back(out[6])
@@ -175,20 +199,50 @@ def _passages(least_words: int):
     return passages
 
 
-def repeated_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least_words: int = LEAST_WORDS, mean_words: int = MEAN_WORDS) -> DataFrame:
-    """One row per passage of a document that other documents have as well: doc_id, start, end (code points, end exclusive), n_words, n_chunks, n_docs (most documents with one of its chunks), first_doc_id (the least such doc_id) and first (whether this document is the first with all of it)."""
-    blocks = stage(_blocks(docs, text_col, id_col, mean_words), "chunk-blocks")
-    total = blocks.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("n")).first()["n"]
+def _found(docs: DataFrame, text_col: str, id_col: str, least_words: int, mean_words: int, window_words: int, whole: bool) -> DataFrame:
+    blocks = stage(_blocks(docs, text_col, id_col, mean_words, window_words), "chunk-blocks")
+    total = blocks.agg(F.coalesce(F.sum("windows"), F.lit(0)).alias("n")).first()["n"]
     bits = int(total // RANGE_CHUNKS).bit_length()
-    requests = blocks.select("block", "doc_ids", "counts", "digests", "codes").mapInArrow(_requests(bits), "part long, block long, keys binary, docs binary, first binary")
-    answers = requests.groupBy("part").applyInArrow(_answer, "block long, part long, docs binary, first binary")
+    requests = blocks.select("block", "doc_ids", "asked", "digests", "codes").mapInArrow(_requests(bits), "part long, block long, keys binary, docs binary, first binary, second binary")
+    answers = requests.groupBy("part").applyInArrow(_answer, "block long, part long, docs binary, first binary, second binary")
     payload = blocks.select("block", "doc_ids", "counts", "codes", "words", "starts", "lengths")
-    return payload.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_passages(least_words), "doc_id long, start long, end long, n_words long, n_chunks long, n_docs long, first_doc_id long, first boolean")
+    return payload.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_passages(least_words, window_words, whole), "doc_id long, start long, end long, n_words long, n_chunks long, n_docs long, first_doc_id long, first boolean")
+
+
+def repeated_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least_words: int = LEAST_WORDS, mean_words: int = MEAN_WORDS) -> DataFrame:
+    """One row per run of chunks each of which some other document has, not all of them the same one: candidates, of which ``whole_passages`` verifies what one document has. doc_id, start, end (code points, end exclusive), n_words, n_chunks, n_docs (most documents with one of its chunks), first_doc_id (the least such doc_id) and first (whether this document is the first with each of its chunks)."""
+    return _found(docs, text_col, id_col, least_words, mean_words, 1, False)
+
+
+def whole_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least_words: int = LEAST_WORDS, mean_words: int = MEAN_WORDS) -> DataFrame:
+    """One row per passage of a document that another document has as well: doc_id, start, end (code points, end exclusive), n_words, n_chunks, n_docs (most documents with one of its windows), first_doc_id (the least that has all of it) and first (whether that is this document)."""
+    return _found(docs, text_col, id_col, least_words, mean_words, least_words, True)
+
+
+def _cuts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document the spans in passages that it isn't the first to have, without what lies in one that it is."""
+    shape = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for batch in source:
+        gone = []
+        for spans in batch.column("spans").to_pylist():
+            spans.sort(key=lambda x: x["start"])
+            kept, cut = [x for x in spans if x["first"]], []
+            for x in spans:
+                if x["first"]:
+                    continue
+                at = max(x["start"], cut[-1]["end"] if cut else 0)
+                for k in [*kept, {"start": x["end"], "end": x["end"]}]:
+                    if at < (stop := min(k["start"], x["end"])):
+                        cut.append({"start": at, "end": stop})
+                    at = max(at, k["end"])
+            gone.append(cut)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(gone, shape)], ["doc_id", "_gone"])
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with every passage cut from the text of all documents but the first that has it; doc_id must be unique."""
-    gone = repeated_passages(docs, text_col, id_col, **options).filter("not first").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_gone"))  # bounded by the text
+    """``docs`` with every passage cut from the text of all documents but the first that has it, which keeps all of it; doc_id must be unique."""
+    spans = whole_passages(docs, text_col, id_col, **options).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "first")).alias("spans"))  # bounded by the text
+    gone = spans.mapInArrow(_cuts, "doc_id long, _gone array<struct<start: long, end: long>>").filter("size(_gone) > 0")
     text, edges = F.col(f"`{text_col}`"), F.concat(F.array(F.lit(0).cast("long")), F.flatten(F.transform("_gone", lambda s: F.array(s["start"], s["end"]))))
     pieces = F.transform(F.sequence(F.lit(0), F.size("_gone")), lambda i: F.substring(text, (F.element_at("_edges", (2 * i + 1).cast("int")) + 1).cast("int"), (F.coalesce(F.try_element_at("_edges", (2 * i + 2).cast("int")), F.length(text).cast("long")) - F.element_at("_edges", (2 * i + 1).cast("int"))).cast("int")))
     joined = docs.join(gone.withColumnRenamed("doc_id", "_id"), F.col(f"`{id_col}`") == F.col("_id"), "left").withColumn("_edges", edges)

@@ -112,3 +112,54 @@ def test_edges(spark):
     docs = spark.createDataFrame([(1, t), (None, t)], "doc_id long, text string")
     assert {(r.doc_id, r.first_doc_id) for r in cdc.repeated_passages(docs).collect()} == {(1, 1), (None, 1)}
     assert np.uint16(cdc.GEAR[0]) == cdc.GEAR[0]
+
+
+def common_words(rng):
+    """Documents of few, often repeated words, which hold every one-word chunk that the later ones have."""
+    few = ["de", "la", "of", "the", "a", "en", "und", "is", "to", "que", "in", "der"]
+    return few, [(i, " ".join(rng.choice(few) for _ in range(300))) for i in range(20)]
+
+
+def mixed(rng, few, n):
+    return " ".join(rng.choice(few) if rng.random() < 0.6 else word(rng) for _ in range(n))
+
+
+def held(spark, rows, tmp_path):
+    """op7's rows over ``rows``."""
+    from lodestar.llm import queries
+
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return queries.op7_substring_dedup(spark, str(tmp_path)).collect()
+
+
+def test_one_holder_keeps_a_passage_of_common_words(spark, tmp_path):
+    rng = random.Random(11)
+    few, rows = common_words(rng)
+    passages = [mixed(rng, few, 60) for _ in range(6)]
+    for n, p in enumerate(passages):
+        rows += [(100 + 10 * n + i, f"{mixed(rng, few, 40)} {p} {mixed(rng, few, 40)}") for i in range(3)]
+    found = held(spark, rows, tmp_path)
+    assert {r.doc_id: (r.first_doc_id, r.first) for r in found} == {100 + 10 * n + i: (100 + 10 * n, i == 0) for n in range(6) for i in range(3)}
+    left = {r.doc_id: r.text for r in cdc.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n in range(6):
+        assert left[100 + 10 * n] == dict(rows)[100 + 10 * n]
+        assert all(len(left[100 + 10 * n + i].split()) <= 140 - 25 for i in (1, 2))
+
+
+def test_windows_cover_what_is_shared(spark, tmp_path):
+    """Two earlier documents have halves that overlap in 30 words: each half is cut, what the document is first to have stays."""
+    rng = random.Random(12)
+    w = [word(rng) for _ in range(150)]
+    own = [" ".join(word(rng) for _ in range(60)) for _ in range(4)]
+    rows = [(1, " ".join(w[:90]) + " " + own[0]), (2, own[1] + " " + " ".join(w[60:])), (3, own[2] + " " + " ".join(w)), (4, own[3])]
+    left = {r.doc_id: r.text.split() for r in cdc.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left[1] == rows[0][1].split() and left[4] == own[3].split()
+    assert len(left[3]) < 60 + 40 and left[3][:60] == own[2].split()
+    assert set(w) <= {x for t in left.values() for x in t}
+    for n in range(2, 30):
+        counts = np.array([n, 0, 3])
+        size = np.array([rng.randint(1, 16) for _ in range(n + 3)])
+        a, b = cdc.windows(size, counts, 25)
+        plain = {(i, j) for lo, hi in ((0, n), (n, n + 3)) for i in range(lo, hi) for j in range(i + 1, hi + 1) if size[i:j].sum() >= 25 and (size[i : j - 1].sum() < 25 or size[i + 1 : j].sum() < 25)}
+        near = {(i, j) for i, j in plain if (i, j) == min(x for x in plain if x[0] == i) or (i, j) == max(x for x in plain if x[1] == j)}
+        assert list(zip(a.tolist(), b.tolist())) == sorted(near)
