@@ -163,3 +163,17 @@ def test_windows_cover_what_is_shared(spark, tmp_path):
         plain = {(i, j) for lo, hi in ((0, n), (n, n + 3)) for i in range(lo, hi) for j in range(i + 1, hi + 1) if size[i:j].sum() >= 25 and (size[i : j - 1].sum() < 25 or size[i + 1 : j].sum() < 25)}
         near = {(i, j) for i, j in plain if (i, j) == min(x for x in plain if x[0] == i) or (i, j) == max(x for x in plain if x[1] == j)}
         assert list(zip(a.tolist(), b.tolist())) == sorted(near)
+
+
+def test_chance_repeats_are_no_passages(spark, tmp_path):
+    """Few words, so nearly every chunk occurs in some other document; only 1000 and 1001 have 25 words in a row in common."""
+    rng = random.Random(13)
+    few, rows = common_words(rng)
+    rows += [(100 + i, mixed(rng, few, 200)) for i in range(40)] + [(200 + i, " ".join(rng.choice(few) for _ in range(200))) for i in range(100)]
+    passage = " ".join(rng.choice(few) for _ in range(80))
+    rows += [(1000 + i, f"{mixed(rng, few, 50)} {passage} {mixed(rng, few, 50)}") for i in range(2)]
+    rows.append((2000, ", ".join(["De"] * 120)))
+    found = held(spark, rows, tmp_path)
+    assert {r.doc_id for r in found} == {1000, 1001}
+    for r in found:  # as a whole in the other document
+        assert dict(rows)[r.doc_id][r.start : r.end] in dict(rows)[2001 - r.doc_id] and r.first == (r.doc_id == 1000)
