@@ -13,8 +13,9 @@ set sizes decide the rest. A bucket returns each node's number of links and its
 its output is as long as its input; alternating stars join the roots to classes.
 
 Defined results: texts of fewer words are one shingle, texts without words are one class without links; null text is
-empty; rows that repeat a doc_id are judged each by its own text; class_id is the least doc_id of the class; an empty
-table gives an empty result; other columns are not read.
+empty; rows that repeat a doc_id are judged each by its own text, and so are rows with a null doc_id; class_id is the least
+doc_id of the class and copy_id that of the equal sets, null only where no row has one; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage, task_count
@@ -116,21 +117,26 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, _U)]).astype(_U).view(np.int64)))
 
 
+def text_key(text_col: str) -> Column:
+    """A text's 64-bit hash, which tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
 def features(docs: DataFrame, runs: int, n: int, text_col: str, id_col: str) -> DataFrame:
-    """doc_id, node, size, the bucket keys of each level with their parents, and the sketch of each text."""
+    """doc_id, text_key, node, size, the bucket keys of each level with their parents, and the sketch of each text."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(source, "text", 1 << 20):
             sets = shingle_sets(*text_bytes(part.column("text")), n)
             trees = [path_tree(s, runs) for s in sets]
-            columns = [part.column("doc_id"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([s[:SKETCH] for s in sets])]
+            columns = [part.column("doc_id"), part.column("text_key"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([s[:SKETCH] for s in sets])]
             for level in range(DEPTH):
                 columns += [_lists([t[level][0] for t in trees]), _lists([t[level][1] for t in trees])]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["doc_id", "node", "size", "sketch", *[f"{x}{i}" for i in range(1, DEPTH + 1) for x in ("from", "to")]]
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(batches, ", ".join(["doc_id long", "node long", "size long", *[f"{x} array<long>" for x in names[3:]]]))
+    names = ["doc_id", "text_key", "node", "size", "sketch", *[f"{x}{i}" for i in range(1, DEPTH + 1) for x in ("from", "to")]]
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(f"`{text_col}`").alias("text"))
+    return rows.mapInArrow(batches, ", ".join(["doc_id long", "text_key long", "node long", "size long", *[f"{x} array<long>" for x in names[4:]]]))
 
 
 def _alike(posts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -303,8 +309,8 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(task_count(rows.sparkSession), *keys).sortWithinPartitions(*keys, "node")
 
 
-def similar_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links (different sets of shingles that it is linked to), copy_id (the least doc_id of its equal set), n_copies."""
+def _judged(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
+    """``similar_texts`` with each row's text_key and the root of its class."""
     spark = docs.sparkSession
     runs = runs_for(similarity, recall)
     found = stage(features(docs, runs, n, text_col, id_col), "features")
@@ -323,7 +329,8 @@ def similar_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     shape = "node long, bucket long, low int, high int, block int, leaves array<long>, size long, sketch array<long>"
     wanted = stage(_dealt(posts).mapInArrow(_wanted(similarity), shape), "wanted")
     ids = found.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(ids, "id", "left_semi")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    texts = rows.join(ids, "id", "left_semi").unionByName(rows.filter("id is null"))  # a join by null would be one task's
 
     def sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(source, "text", 1 << 20):
@@ -337,11 +344,17 @@ def similar_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     named = copies.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stage(named, "named")
     classes = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    answers = named.join(classes, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copy_id", "n_copies")
-    return found.select("doc_id", "node").join(answers, "node").select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
+    answers = named.join(classes, "root").select("node", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copy_id", "n_copies")
+    return found.select("doc_id", "text_key", "node").join(answers, "node").select("doc_id", "text_key", "root", "class_id", "n_links", "copy_id", "n_copies")
+
+
+def similar_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links (different sets of shingles that it is linked to), copy_id (the least doc_id of its equal set), n_copies. ``options``: n, similarity, recall, limit and block, the module's constants unless given."""
+    return _judged(docs, text_col, id_col, **options).drop("text_key", "root")
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each class, that of the least id (rows that tie on it stay together)."""
-    kept = similar_texts(docs, text_col, id_col, **options).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    """``docs`` with one document of each class, that of the least id, or one with a null id where the class has no other; of several texts of that id the one of the least text_key (rows of one id with the same text stay together)."""
+    least = _judged(docs, text_col, id_col, **options).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    kept = least.groupBy("root").agg(F.min(F.struct("text_key", "doc_id")).alias("k")).select(F.col("k.doc_id").alias("_kept"), F.col("k.text_key").alias("_key"))
+    return docs.join(kept, (text_key(text_col) == F.col("_key")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept")), "left_semi")

@@ -95,3 +95,16 @@ def test_recall_of_a_pair_at_the_threshold():
 
 def test_empty_table(spark):
     assert chosen_path.similar_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    base = [[f"{i}w{rng.randrange(10**6)}" for _ in range(100)] for i in range(5)]
+    text = lambda i, n=0: " ".join([*base[i][: 100 - n], *[f"x{i}y{n}z{k}" for k in range(n)]])  # noqa: E731  ``n`` words changed
+    rows = [(1, text(0)), (None, text(0, 2)), (None, text(1)), (None, text(1, 2)), (None, text(2)), (2, text(3)), (2, text(0, 3)), (2, text(4)), (3, text(4, 2)), (4, text(4, 3)), (5, "a b c"), (5, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.class_id, r.n_links, r.copy_id, r.n_copies) for r in chosen_path.similar_texts(docs, recall=0.99999999).collect()), key=str)
+    assert got == sorted([(1, 1, 2, 1, 1), (None, 1, 2, None, 1), (2, 1, 2, 2, 1), (None, None, 1, None, 1), (None, None, 1, None, 1), (None, None, 0, None, 1), (2, 2, 0, 2, 1), (2, 2, 2, 2, 1), (3, 2, 2, 3, 1), (4, 2, 2, 4, 1), (5, 5, 0, 5, 2), (5, 5, 0, 5, 2)], key=str)
+    kept = [(r.doc_id, r.text) for r in chosen_path.keep_one(docs, recall=0.99999999).collect()]
+    one = [x for x in kept if x[1] in (text(1), text(1, 2))]
+    assert len(one) == 1 and sorted(set(kept) - set(one), key=str) == sorted([(1, text(0)), (None, text(2)), (2, text(3)), (2, text(4)), (5, "a b c")], key=str) and len(kept) == 7
