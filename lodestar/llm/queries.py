@@ -62,9 +62,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that are kept, with their probabilities."""
+    """Every document with its probabilities, and whether it is kept."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.classify(_documents(spark, sf_dir), labels).filter("keep")
+    return quality.classify(_documents(spark, sf_dir), labels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

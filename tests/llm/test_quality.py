@@ -61,3 +61,15 @@ def test_edges(spark):
     assert quality.keep_good(docs.limit(0), labels).count() == 0
     one = spark.createDataFrame([(2, 0, 0)], "doc_id long, quality int, toxic int")
     assert quality.keep_good(docs, one).filter(F.col("doc_id") == 2).count() == 0
+
+
+def test_the_query_returns_every_document(spark, tmp_path):
+    from lodestar.llm import queries
+
+    rows, labels = corpus()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, host string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op10_quality_classifier(spark, str(tmp_path)).collect()}
+    assert got.keys() == {r[0] for r in rows}
+    toxic = [got[i] for i, _, t in labels if t]
+    assert sum(not r.keep for r in toxic) > 0.9 * len(toxic) and all(r.p_toxic is not None and r.p_bad is not None for r in toxic)
