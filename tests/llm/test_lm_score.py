@@ -83,3 +83,14 @@ def test_several_ranges(spark, monkeypatch):
     got = {r.doc_id: r.score for r in lm_score.score(docs).collect()}
     want = brute([(i, t, False) for i, t in enumerate(TEXTS)], 2)
     assert got == pytest.approx({d: w[5] for d, w in want.items()})
+
+
+def test_the_query_looks_back_two_words(spark, tmp_path):
+    """Which word follows depends on the word before the last one, and a model of pairs can't tell."""
+    from lodestar.llm import queries
+
+    rows = [(i, "alpha mid one" if i % 2 else "beta mid two") for i in range(100)] + [(1000 + i, "alpha mid one") for i in range(20)] + [(2000 + i, "alpha mid two") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r for r in queries.op1_lm_score(spark, str(tmp_path)).collect() if r.held_out]
+    right, wrong = ([r.score for r in got if 1000 * n <= r.doc_id < 1000 * (n + 1)] for n in (1, 2))
+    assert right and wrong and min(right) > max(wrong) + 0.15
