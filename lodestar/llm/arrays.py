@@ -18,6 +18,7 @@ LOWER[65:91] += 32
 BASE, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes hashed at once.
 WINDOW = 1 << 17
+_CODEC = "zstd"
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -116,3 +117,25 @@ def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.empty(n, np.int64)
     inverse[at] = np.cumsum(new) - 1
     return ordered[new], inverse
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of their first, second, ... bytes."""
+    raw = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_CODEC, asbytes=True) if raw else b""
+
+
+def unpack(x: bytes, dtype) -> np.ndarray:
+    if not x:
+        return np.zeros(0, dtype)
+    raw = np.frombuffer(pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec=_CODEC, asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def range_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def tail(keys: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """The bits after the range's: 56 of a word's, 40 of a longer n-gram's (one of a million in a range shares another's)."""
+    return keys << np.uint64(bits) >> np.uint64(8 if k == 1 else 24)

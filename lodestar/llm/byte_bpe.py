@@ -46,7 +46,7 @@ def _slot(key: np.ndarray) -> np.ndarray:
 
 def _transitions() -> np.ndarray:
     """[class, state] -> state."""
-    step = np.empty((16, 8), np.intp)
+    step = np.empty((16, 8), np.uint8)
     for c, to in ((LETTER, IN_L), (NUMBER, IN_N), (OTHER, IN_O), (BLANK, AFTER_BLANK), (SPACE, AFTER_SPACE), (AP1, END1), (AP2, END2), (PAD, FRESH)):
         step[c] = step[FIRST + c] = to
     for c in (AP1, AP2):
@@ -67,7 +67,10 @@ def _boundaries() -> np.ndarray:
     return begins
 
 
-STEP, BEGINS = _transitions(), _boundaries()
+#: Flat tables of class and state (and what follows); the state that a class leads to from states that wait for no ending.
+STEP, BEGINS = _transitions().ravel(), _boundaries().ravel()
+CONSTANT = np.ascontiguousarray(STEP.reshape(16, 8)[:, FRESH])
+CONSTANT[[AP1, AP2, FIRST + AP1, FIRST + AP2]] = END1  # not constant
 
 
 @lru_cache(1)
@@ -83,36 +86,53 @@ def code_point_classes() -> np.ndarray:
     return table
 
 
+def _compose(columns: np.ndarray) -> np.ndarray:
+    """The function of each column of classes: [column, state] -> state."""
+    whole = np.broadcast_to(np.arange(8, dtype=np.uint8), (columns.shape[1], 8))
+    for row in columns:
+        whole = STEP.take(row[:, None] + whole)
+    return whole
+
+
 def states_before(classes: np.ndarray) -> np.ndarray:
-    """The state before each character: an exclusive scan of the classes' functions, from FRESH."""
+    """The state before each character: an exclusive scan of the classes' functions, from FRESH.
+
+    But for states that wait for an ending, a class that opens none is a constant function: its characters need no scan.
+    Blocks in reach of an apostrophe that opens one are scanned from the state that the characters before them leave.
+    """
     n = len(classes)
     rows = -(-n // BLOCK)
     grid = np.full(rows * BLOCK, PAD, np.uint8)
     grid[:n] = classes
-    columns = grid.reshape(rows, BLOCK).T.astype(np.intp) * 8
-    flat = STEP.ravel()
-
-    def compose(columns: np.ndarray) -> np.ndarray:
-        whole = np.broadcast_to(np.arange(8), (columns.shape[1], 8))
-        for column in columns:
-            whole = flat[column[:, None] + whole]
-        return whole
-
-    whole = compose(columns[-4:])  # mostly a constant already, which nothing before can change
-    open_ = np.flatnonzero((whole != whole[:, :1]).any(1))
-    if len(open_):
-        whole[open_] = compose(columns[:, open_])
-        shift = 1
-        while shift < rows:  # inclusive scan: afterwards row i is the function of blocks 0..i
-            whole[shift:] = np.take_along_axis(whole[shift:], whole[:-shift], 1)
-            shift *= 2
-    now = np.zeros(rows, np.intp)
-    now[1:] = whole[:-1, FRESH]
-    out = np.empty((BLOCK, rows), np.uint8)
+    out = np.empty(rows * BLOCK, np.uint8)
+    out[0], out[1:] = FRESH, CONSTANT.take(grid[:-1])
+    opens = np.flatnonzero(CONSTANT.take(classes) == END1)
+    if not len(opens):
+        return out[:n]
+    reached = np.unique(np.concatenate([opens, np.minimum(opens + 3, n - 1)]) // BLOCK)
+    blocks = grid.reshape(rows, BLOCK)
+    tail = np.ascontiguousarray(blocks[np.maximum(reached - 1, 0), -4:].T) << np.uint8(3)
+    whole = _compose(tail)  # mostly a constant, which nothing before can change
+    whole[reached == 0] = FRESH
+    if (whole != whole[:, :1]).any():
+        reached, whole = np.arange(rows), _scan(blocks)
+    now = np.ascontiguousarray(whole[:, FRESH])
+    columns, got = np.ascontiguousarray(blocks[reached].T) << np.uint8(3), np.empty((BLOCK, len(reached)), np.uint8)
     for t, column in enumerate(columns):
-        out[t] = now
-        now = flat[column + now]
-    return out.T.ravel()[:n]
+        got[t] = now
+        now = STEP.take(column + now)
+    out.reshape(rows, BLOCK)[reached] = got.T
+    return out[:n]
+
+
+def _scan(blocks: np.ndarray) -> np.ndarray:
+    """The function of all that stands before each block."""
+    whole = _compose(np.ascontiguousarray(blocks.T) << np.uint8(3)).copy()
+    shift = 1
+    while shift < len(blocks):  # inclusive: afterwards row i is the function of blocks 0..i
+        whole[shift:] = np.take_along_axis(whole[shift:], whole[:-shift], 1)
+        shift *= 2
+    return np.concatenate([np.full((1, 8), FRESH, np.uint8), whole[:-1]])
 
 
 def piece_starts(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -131,7 +151,7 @@ def piece_starts(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     seen = np.append((classes[1:] != BLANK) & (classes[1:] != SPACE), False)
     seen[first[1:] - 1] = False
     classes[first] += FIRST
-    return BEGINS.ravel()[(classes.astype(np.intp) << 4) + (states_before(classes) << 1) + seen]
+    return BEGINS.take((classes << np.uint8(4)) + (states_before(classes) << np.uint8(1)) + seen)
 
 
 class Vocabulary:

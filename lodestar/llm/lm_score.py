@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .arrays import LOWER, groups, mix, slices, span_hashes, text_bytes, words
+from .arrays import LOWER, groups, mix, pack, range_of, slices, span_hashes, tail, text_bytes, unpack, words
 
 #: Highest n-gram length; bytes of text in a block; tokens a key range stands for.
 ORDER, BLOCK_BYTES, RANGE_TOKENS = 2, 9 << 20, 2_000_000
@@ -35,20 +35,6 @@ END, START = np.uint64(0x8F3A6B1C2D4E5F60), np.uint64(0x1B7C9D2E3F405162)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Powers of two of context counts.
 BINS = 48
-_codec = "zstd"
-
-
-def _pack(x: np.ndarray) -> bytes:
-    """Numbers as compressed planes of their first, second, ... bytes."""
-    raw = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_codec, asbytes=True) if raw else b""
-
-
-def _unpack(x: bytes, dtype) -> np.ndarray:
-    if not x:
-        return np.zeros(0, dtype)
-    raw = np.frombuffer(pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec=_codec, asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
 def tokenize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +62,7 @@ def _blocks(docs: DataFrame, doc_id: Column, text: Column, held: Column) -> Data
             place[often] = np.arange(len(often), dtype=np.uint32)
             kept = part.column("held").to_pylist()
             train = int(lengths[~np.array(kept, bool)].sum())
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([number, part.column("doc_id").to_pylist(), kept, _pack(lengths.astype(np.uint32)), _pack(distinct[often]), _pack(place[codes]), len(tokens), train], schema.types)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([number, part.column("doc_id").to_pylist(), kept, pack(lengths.astype(np.uint32)), pack(distinct[often]), pack(place[codes]), len(tokens), train], schema.types)], schema=schema)
             number += 1
 
     rows = docs.select(doc_id.cast("long").alias("doc_id"), text.alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
@@ -96,18 +82,9 @@ def _grams(lengths: np.ndarray, tokens: np.ndarray, order: int) -> list[np.ndarr
 
 
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    lengths = _unpack(row["lengths"], np.uint32).astype(np.int64)
-    codes = _unpack(row["codes"], np.uint32)
-    return lengths, codes, _unpack(row["words"], np.uint64), np.repeat(~np.array(row["held"], bool), lengths)
-
-
-def _range_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-
-
-def _tail(keys: np.ndarray, bits: int, k: int) -> np.ndarray:
-    """The bits after the range's: 56 of a word's, 40 of a longer n-gram's (one of a million in a range shares another's)."""
-    return keys << np.uint64(bits) >> np.uint64(8 if k == 1 else 24)
+    lengths = unpack(row["lengths"], np.uint32).astype(np.int64)
+    codes = unpack(row["codes"], np.uint32)
+    return lengths, codes, unpack(row["words"], np.uint64), np.repeat(~np.array(row["held"], bool), lengths)
 
 
 def _requests(order: int, bits: int):
@@ -122,11 +99,11 @@ def _requests(order: int, bits: int):
                     counts = np.bincount(place, weights=train, minlength=len(distinct)).astype(np.uint32)
                     if k == 1:  # the start is a context only
                         distinct, counts = _with_start(distinct, counts, int((~np.array(row["held"], bool)).sum()))
-                    parts = _range_of(distinct, bits)
+                    parts = range_of(distinct, bits)
                     edges = np.flatnonzero(np.diff(parts, prepend=-1, append=-1))
                     columns: list[list] = [[], [], [], [], []]
                     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                        for column, value in zip(columns, (int(parts[a]), row["block"], k, _pack(np.diff(_tail(distinct[a:b], bits, k), prepend=np.uint64(0))), _pack(counts[a:b]))):
+                        for column, value in zip(columns, (int(parts[a]), row["block"], k, pack(np.diff(tail(distinct[a:b], bits, k), prepend=np.uint64(0))), pack(counts[a:b]))):
                             column.append(value)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
@@ -139,7 +116,7 @@ def _with_start(distinct: np.ndarray, counts: np.ndarray, texts: int) -> tuple[n
 
 
 def _answers(bits: int):
-    start_part = int(_range_of(np.array([START]), bits)[0])
+    start_part = int(range_of(np.array([START]), bits)[0])
 
     def answer(table: pa.Table) -> pa.Table:
         """All requests of one key range: sums by key, and for each block the sums of its keys in its order."""
@@ -147,16 +124,16 @@ def _answers(bits: int):
         rows = table.to_pylist()
         for k in sorted({r["k"] for r in rows}):
             own = [r for r in rows if r["k"] == k]
-            keys = [np.cumsum(_unpack(r["keys"], np.uint64)) for r in own]
-            counts = np.concatenate([_unpack(r["counts"], np.uint32) for r in own])
+            keys = [np.cumsum(unpack(r["keys"], np.uint64)) for r in own]
+            counts = np.concatenate([unpack(r["counts"], np.uint32) for r in own])
             distinct, place = groups(np.concatenate(keys) << np.uint64(8 if k == 1 else 24))
             sums = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.uint64)
             seen = int((sums > 0).sum())
             if k == 1 and rows[0]["part"] == start_part:
-                seen -= int(sums[np.searchsorted(distinct, _tail(np.array([START]), bits, 1)[0] << np.uint64(8))] > 0)
+                seen -= int(sums[np.searchsorted(distinct, tail(np.array([START]), bits, 1)[0] << np.uint64(8))] > 0)
             told, edge = sums[place], 0
             for r, n in zip(own, map(len, keys)):
-                for column, value in zip(out, (r["block"], r["part"], k, _pack(told[edge : edge + n]), seen if k == 1 else 0)):
+                for column, value in zip(out, (r["block"], r["part"], k, pack(told[edge : edge + n]), seen if k == 1 else 0)):
                     column.append(value)
                 edge += n
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()))], names=["block", "part", "k", "sums", "seen"])
@@ -171,7 +148,7 @@ def _resolve(order: int):
         told = sorted(answers.to_pylist(), key=lambda r: (r["k"], r["part"]))
         for row in blocks.to_pylist():
             lengths, codes, table, train = _read(row)
-            sums = [np.concatenate([_unpack(r["sums"], np.uint64) for r in told if r["k"] == k]) for k in range(1, order + 1)]
+            sums = [np.concatenate([unpack(r["sums"], np.uint64) for r in told if r["k"] == k]) for k in range(1, order + 1)]
             single, every = np.zeros((order, BINS)), np.zeros((order, BINS))
             counts, start = _counts(lengths, table[codes], sums, order)
             for k in range(2, order + 1):
@@ -179,7 +156,7 @@ def _resolve(order: int):
                 slot = _bins(context)
                 every[k - 1] = np.bincount(slot, minlength=BINS)
                 single[k - 1] = np.bincount(slot[now == 1], minlength=BINS)
-            out.append(row | {"sums": [_pack(s) for s in sums], "single": single.ravel().tolist(), "every": every.ravel().tolist(), "ranges": [{"part": r["part"], "seen": r["seen"]} for r in told if r["k"] == 1]})
+            out.append(row | {"sums": [pack(s) for s in sums], "single": single.ravel().tolist(), "every": every.ravel().tolist(), "ranges": [{"part": r["part"], "seen": r["seen"]} for r in told if r["k"] == 1]})
         return pa.Table.from_pylist(out, schema=_resolved_arrow)
 
     return resolve
@@ -254,7 +231,7 @@ def _score(order: int, total: int, distinct: int, share: np.ndarray):
                 if not len(lengths):
                     continue
                 tokens = table[codes]
-                counts, start = _counts(lengths, tokens, [_unpack(s, np.uint64) for s in row["sums"]], order)
+                counts, start = _counts(lengths, tokens, [unpack(s, np.uint64) for s in row["sums"]], order)
                 edges = np.cumsum(lengths) - lengths
                 p = (counts[0] + 1) / room
                 base = np.log10(p)

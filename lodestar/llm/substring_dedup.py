@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .arrays import groups, list_hashes, mix, slices, span_hashes, text_bytes, words
-from .lm_score import _pack, _range_of, _tail, _unpack
+from .arrays import groups, list_hashes, mix, pack, range_of, slices, span_hashes, tail, text_bytes, unpack, words
 
 #: Bytes that the hash sees, words of a mean chunk and of the longest, least words of a passage, bytes of text in a block, chunks a range stands for.
 WINDOW, MEAN_WORDS, MAX_WORDS, LEAST_WORDS, BLOCK_BYTES, RANGE_CHUNKS = 16, 3, 16, 25, 8 << 20, 1_000_000
@@ -91,7 +90,7 @@ def _blocks(docs: DataFrame, text_col: str, id_col: str, mean_words: int, window
                     column.append(x)
             hashes, n, start, length, counts, asked = map(np.concatenate, got)
             distinct, codes = groups(hashes)
-            row = [number, block.column("doc_id").fill_null(_NULL).to_pylist(), _pack(counts.astype(np.uint32)), _pack(asked.astype(np.uint32)), _pack(np.diff(distinct, prepend=np.uint64(0))), *[_pack(x.astype(np.uint32)) for x in (codes, n, start, length)], len(hashes)]
+            row = [number, block.column("doc_id").fill_null(_NULL).to_pylist(), pack(counts.astype(np.uint32)), pack(asked.astype(np.uint32)), pack(np.diff(distinct, prepend=np.uint64(0))), *[pack(x.astype(np.uint32)) for x in (codes, n, start, length)], len(hashes)]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types)], schema=schema)
             number += 1
 
@@ -105,22 +104,22 @@ def _requests(bits: int):
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for row in batch.to_pylist():
-                digests, codes = np.cumsum(_unpack(row["digests"], np.uint64)), _unpack(row["codes"], np.uint32).astype(np.int64)
+                digests, codes = np.cumsum(unpack(row["digests"], np.uint64)), unpack(row["codes"], np.uint32).astype(np.int64)
                 if not len(codes):
                     continue
                 ids, rank = np.unique(np.array(row["doc_ids"], np.int64), return_inverse=True)
-                doc = np.repeat(rank, _unpack(row["asked"], np.uint32))
+                doc = np.repeat(rank, unpack(row["asked"], np.uint32))
                 pairs = np.sort(codes * len(ids) + doc)
                 pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
                 code = pairs // len(ids)
                 begin = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
                 docs, first = np.bincount(code).astype(np.uint32), ids[pairs[begin] % len(ids)]
                 second = ids[pairs[np.minimum(begin + 1, len(pairs) - 1)] % len(ids)]
-                parts = _range_of(digests, bits)
+                parts = range_of(digests, bits)
                 edges = np.flatnonzero(np.diff(parts, prepend=-1, append=-1))
                 columns: list[list] = [[] for _ in schema]
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                    for column, value in zip(columns, (int(parts[a]), row["block"], _pack(np.diff(_tail(digests[a:b], bits, 1), prepend=np.uint64(0))), _pack(docs[a:b]), _pack(first[a:b]), _pack(second[a:b][docs[a:b] > 1]))):
+                    for column, value in zip(columns, (int(parts[a]), row["block"], pack(np.diff(tail(digests[a:b], bits, 1), prepend=np.uint64(0))), pack(docs[a:b]), pack(first[a:b]), pack(second[a:b][docs[a:b] > 1]))):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
@@ -130,9 +129,9 @@ def _requests(bits: int):
 def _answer(table: pa.Table) -> pa.Table:
     """All requests of a range: for each block the documents of its digests in its order, and of shared ones the first two documents."""
     rows = table.to_pylist()
-    keys = [np.cumsum(_unpack(r["keys"], np.uint64)) for r in rows]
-    docs = np.concatenate([_unpack(r["docs"], np.uint32) for r in rows])
-    ids = np.concatenate([_unpack(r[c], np.int64) for c in ("first", "second") for r in rows])
+    keys = [np.cumsum(unpack(r["keys"], np.uint64)) for r in rows]
+    docs = np.concatenate([unpack(r["docs"], np.uint32) for r in rows])
+    ids = np.concatenate([unpack(r[c], np.int64) for c in ("first", "second") for r in rows])
     distinct, place = groups(np.concatenate(keys) << np.uint64(8))
     where = np.concatenate([place, place[docs > 1]])
     # a document whose rows are in several blocks counts once: only a second document proves that a digest is shared
@@ -147,7 +146,7 @@ def _answer(table: pa.Table) -> pa.Table:
     for r, n in zip(rows, map(len, keys)):
         own = place[edge : edge + n]
         many = own[told[edge : edge + n] > 1]
-        for column, value in zip(out, (r["block"], r["part"], _pack(told[edge : edge + n]), _pack(least[many]), _pack(second[many]))):
+        for column, value in zip(out, (r["block"], r["part"], pack(told[edge : edge + n]), pack(least[many]), pack(second[many]))):
             column.append(value)
         edge += n
     return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "part", "docs", "first", "second"])
@@ -160,15 +159,15 @@ def _passages(least_words: int, window_words: int, whole: bool):
         out: list[list] = [[] for _ in schema]
         told = sorted(answers.to_pylist(), key=lambda r: r["part"])
         for row in blocks.to_pylist():
-            codes = _unpack(row["codes"], np.uint32)
+            codes = unpack(row["codes"], np.uint32)
             if not len(codes):
                 continue
-            docs = np.concatenate([_unpack(r["docs"], np.uint32) for r in told])
+            docs = np.concatenate([unpack(r["docs"], np.uint32) for r in told])
             first, second = np.full(len(docs), _NULL), np.full(len(docs), _NULL)
             for column, x in (("first", first), ("second", second)):
-                x[docs > 1] = np.concatenate([_unpack(r[column], np.int64) for r in told])
+                x[docs > 1] = np.concatenate([unpack(r[column], np.int64) for r in told])
             docs, first, second = docs[codes].astype(np.int64), first[codes], second[codes]
-            n, start, length, counts = (_unpack(row[c], np.uint32).astype(np.int64) for c in ("words", "starts", "lengths", "counts"))
+            n, start, length, counts = (unpack(row[c], np.uint32).astype(np.int64) for c in ("words", "starts", "lengths", "counts"))
             a, b = windows(n, counts, window_words)
             until = np.append(0, np.cumsum(n))
             ids = np.array(row["doc_ids"], np.int64)

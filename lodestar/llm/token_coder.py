@@ -1,15 +1,15 @@
 """Token ids in blocks of an adaptive context-mixing range coder.
 
-A block holds up to BLOCK_IDS ids and is coded on its own from a fixed first state, with a CRC. For each id the model
-asks what followed the last two ids, and what followed the last one (hashed tables of an id and a confidence each), and
-mixes both with an order-0 distribution over ranges of ids: the share of the code space each prediction gets is the
-block's own running estimate of how often predictions of that order and confidence come true; the rest goes to order 0,
-which is refreshed from the block's counts. One range-coder step codes "order 2 was right", "order 1 was right" or the
-range of ids, a second the id within its range. Blocks are lanes of arrays: all blocks of a segment take each step
-together, when writing as when reading.
+For each id the model mixes three predictions. Order 2 is one id, what followed the last two ids in this block (a hashed
+table of an id and a confidence each): it gets the share of the code space that predictions of its confidence earned in the
+block so far. Order 1 is a distribution over the ids that follow the last one, with an escape; after an escape, order 0 is a
+distribution over all ids. A block of BLOCK_IDS ids is coded on its own and has a CRC: it begins from the first state of its
+segment, which is written with the segment (the counts that make orders 1 and 0, quantised), with an empty order-2 table and
+even shares; no block needs another one. Blocks are lanes of arrays: all blocks of a segment take each step together, when
+writing as when reading.
 
 A segment (a row of the output, Parquet on any file system) has the ids of some consecutive documents: their doc_ids
-and lengths and the blocks. Files are numbered and segments ordered so that documents ascend by doc_id.
+and lengths, the first state and the blocks. Files are numbered and segments ordered so that documents ascend by doc_id.
 
 Defined results: null text is empty, one end id long; repeated doc_ids each count, in order of their text; a null
 doc_id comes first; an empty table gives no segments; other columns are not read.
@@ -19,276 +19,349 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .arrays import slices, text_bytes
+from .arrays import pack, slices, text_bytes, unpack
 from .byte_bpe import vocabulary
 
-BLOCK_IDS, SEGMENT_BYTES = 2048, 12 << 20
-#: Slots of the order-2 and order-1 tables, bits of the code space, steps between refreshes of order 0.
-SLOTS2, SLOTS1, BITS, REFRESH = 1024, 1024, 16, 256
-#: Order 0: ids below FINE in ranges of 16, others of 1024; counts scaled to ORDER0.
-FINE, ORDER0_BITS = 1024, 11
-MAGIC = 0x4C535452
-#: Code space that both orders share: order 0 keeps one for each of its parts.
-LEFT = (1 << BITS) - 1 - (1 << ORDER0_BITS)
-_U = np.uint64
-
-
+BLOCK_IDS, SEGMENT_BYTES = 4096, 24 << 20
+#: Slots of a block's order-2 table, steps between updates of the shares, ids that have an order-1 distribution (and are in them).
+SLOTS, REFRESH, CONTEXTS = 1024, 256, 4096
+#: Cells of code space: of the shares, of an order-1 distribution at most, of order 0. Least count of a pair of ids in order 1.
+SHARE_BITS, PAIR_BITS, SINGLE_BITS, LEAST = 16, 12, 18, 2
+#: The coder's interval is below 1 << 52 (float division of such numbers is exact) and gives off 32 bits when it is below 1 << 20.
+LOW, OUT = 20, 32
+MAGIC = 0x4C535433
 #: What a confidence changes by: up to 15 by one if the prediction was right, else down by two (below two the id is replaced).
-NEXT = np.array([0, 0, *[-2] * 14, *[1] * 15, 0])
-
-
-@lru_cache(1)
-def ranges() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first id of each range, bits of each range, for each id its range << 16 | place in it << 5 | bits)."""
-    firsts = np.concatenate([np.arange(0, FINE, 16), np.arange(FINE, 1 << 16, 1024)])
-    bits = np.where(firsts < FINE, 4, 10)
-    of = np.repeat(np.arange(len(firsts)), 1 << bits)
-    return firsts, bits, of << 16 | (np.arange(1 << 16) - firsts[of]) << 5 | bits[of]
-
-
-class _Model:
-    """The predictions of all lanes, before each id and after it."""
+NEXT = np.array([0, 0, *[-2] * 14, *[1] * 15, 0], np.int32)
+#: Shares of 1 << SHARE_BITS that predictions have at first, by confidence.
+FIRST = np.array([1, *[(1 << SHARE_BITS) * (i + 2) // 20 for i in range(15)]], np.int64)
+
+
+def _quantised(counts: np.ndarray, owner: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Whole cells for each count, at least one, summing to ``cells`` of its owner (which has at most half as many entries)."""
+    entries, total = np.bincount(owner, minlength=len(cells)), np.bincount(owner, weights=counts, minlength=len(cells))
+    size = 1 + np.floor(counts * ((cells - entries) / np.maximum(1, total))[owner]).astype(np.int64)
+    left = cells - np.bincount(owner, weights=size, minlength=len(cells)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else owner
+    size[first] += left[owner[first]]  # what rounding left goes to the first
+    return size
+
+
+class FirstState:
+    """The distributions of orders 1 and 0 that all blocks of a segment begin with.
+
+    Ids have codes by falling frequency. A context is a code below CONTEXTS, or CONTEXTS for all rarer ones and a block's start.
+    An entry is a context's successor; the first entry of every context is its escape.
+    """
+
+    def __init__(self, ids: np.ndarray, single: np.ndarray, bits: np.ndarray, held: np.ndarray, successor: np.ndarray, size: np.ndarray) -> None:
+        self.ids, self.single, self.bits, self.held, self.successor, self.size = ids, single, bits, held, successor, size
+        first = np.cumsum(held) - held
+        ends = np.cumsum(size)
+        self.base = np.concatenate([[0], np.cumsum(np.int64(1) << bits)])[:-1]
+        self.start = ends - size - np.repeat(self.base, held)
+        self.first = first
+        #: Of every entry: its first cell << 32 | cells << 16 | successor + 1; of every context: its first cell among all << 5 | bits.
+        self.place = self.start << 32 | size << 16 | successor + 1
+        self.where = self.base << 5 | bits
+        self.codes = np.full(1 << 16, len(ids), np.int64)
+        self.codes[ids] = np.arange(len(ids))
+        self.single_start = np.cumsum(single) - single
+
+    @classmethod
+    def learn(cls, ids: np.ndarray, block: int) -> tuple[FirstState, np.ndarray, np.ndarray, np.ndarray]:
+        """The state that suits ``ids`` in blocks, and the code, context and entry of each id."""
+        count = np.bincount(ids)
+        by_rank = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]
+        state = cls(by_rank, np.ones(len(by_rank), np.int64), *[np.zeros(0, np.int64)] * 4)
+        code = state.codes[ids]
+        context = state.contexts(code, block)
+        known = np.minimum(code, CONTEXTS)
+        keys = np.sort((context * (CONTEXTS + 1) + known).astype(np.int32))
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        times, keys = np.diff(np.append(at, len(keys))), keys[at].astype(np.int64)
+        owner, successor = keys // (CONTEXTS + 1), keys % (CONTEXTS + 1)
+        n = np.bincount(owner, weights=times, minlength=CONTEXTS + 1).astype(np.int64)
+        bits = np.clip(np.frexp(n.astype(np.float64))[1] - 1, 2, PAIR_BITS)
+        keep = (successor < CONTEXTS) & (times >= np.maximum(LEAST, n[owner] >> PAIR_BITS))
+        more = np.bincount(owner[keep], minlength=CONTEXTS + 1)
+        bits = np.maximum(bits, np.frexp(more.astype(np.float64) + 1)[1] + 1)  # half of the cells at least are for counts
+        owner, successor, times = owner[keep], successor[keep], times[keep]
+        escaped = n - np.bincount(owner, weights=times, minlength=CONTEXTS + 1).astype(np.int64)
+        where = np.concatenate([np.arange(CONTEXTS + 1), owner])
+        order = np.argsort(where, kind="stable")  # the escape comes first
+        weight = np.concatenate([np.maximum(escaped, 0), times])[order]
+        size = _quantised(weight, where[order], np.int64(1) << bits)
+        held = np.bincount(where, minlength=CONTEXTS + 1)
+        found = cls(by_rank, state.single, bits, held, np.concatenate([np.full(CONTEXTS + 1, -1), successor])[order], size)
+        entry = found.entry(context, code)
+        rest = np.bincount(code[entry == found.first[context]], minlength=len(by_rank))
+        found.single = _quantised(rest, np.zeros(len(rest), np.int64), np.array([1 << SINGLE_BITS]))
+        found.single_start = np.cumsum(found.single) - found.single
+        return found, code, context, entry
+
+    def contexts(self, code: np.ndarray, block: int) -> np.ndarray:
+        out = np.empty_like(code)
+        out[1:] = code[:-1]
+        out[::block] = CONTEXTS
+        return np.minimum(out, CONTEXTS, out=out)
+
+    def entry(self, context: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The entry that codes ``code`` after ``context``; its escape if it has none."""
+        table = np.full((CONTEXTS + 1) * (CONTEXTS + 1), -1, np.int32)
+        owner = np.repeat(np.arange(CONTEXTS + 1), self.held)
+        known = self.successor >= 0
+        table[owner[known] * (CONTEXTS + 1) + self.successor[known]] = np.flatnonzero(known)
+        got = table.take(context * (CONTEXTS + 1) + np.minimum(code, CONTEXTS)).astype(np.int64)
+        return np.where(got < 0, self.first.take(context), got)
+
+    def to_bytes(self) -> bytes:
+        gaps = np.diff(self.successor, prepend=-1)
+        gaps[self.first] = 0
+        parts = [pack(x.astype(t)) for x, t in ((self.ids, np.uint16), (self.single, np.uint32), (self.bits, np.uint8), (self.held, np.uint16), (gaps, np.uint16), (self.size - 1, np.uint16))]
+        return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> FirstState:
+        parts, at = [], 0
+        for kind in (np.uint16, np.uint32, np.uint8, np.uint16, np.uint16, np.uint16):
+            n = int.from_bytes(raw[at : at + 4], "little")
+            parts.append(unpack(raw[at + 4 : at + 4 + n], kind).astype(np.int64))
+            at += 4 + n
+        ids, single, bits, held, gaps, size = parts
+        run, first = np.cumsum(gaps), np.cumsum(held) - held
+        return cls(ids, single, bits, held, run - np.repeat(run[first] + 1, held), size + 1)
+
+
+class Shares:
+    """The blocks' order-2 predictions, and the share of the code space each has."""
 
     def __init__(self, lanes: int) -> None:
-        self.lane = np.arange(lanes)
-        self.firsts, self.range_bits, self.split = ranges()
-        self.n_ranges = len(self.firsts)
-        self.table2, self.table1 = np.zeros(lanes * SLOTS2, np.int32), np.zeros(lanes * SLOTS1, np.int32)  # id << 4 | confidence
-        self.right = np.full((2, lanes * 16), 1 << 13)  # of 1 << 16: how often such predictions are right
-        self.counts = np.ones((lanes, self.n_ranges), np.int64)
-        self.lane2, self.lane1, self.lane16, self.lane_r = self.lane * SLOTS2, self.lane * SLOTS1, self.lane * 16, self.lane * self.n_ranges
-        self.hash, self.before, self.steps = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), 0
-        self.past: tuple[list, list, list] = ([], [], [])  # since the last refresh: rows of ids, of each order's (confidence, right)
-        self.refresh()
-
-    def refresh(self) -> None:
-        """Order 0 and the shares of the orders learn from the steps since the last time."""
-        if self.past[0]:
-            rows = self.split[np.stack(self.past[0])] >> 16
-            self.counts += 24 * np.bincount((rows + self.lane_r).ravel(), minlength=self.counts.size).reshape(self.counts.shape)
-            for right, seen in zip(self.right, self.past[1:]):
-                at, hit = (np.stack(x).ravel() for x in zip(*seen))
-                n = np.bincount(at, minlength=len(right))
-                k = np.bincount(at, weights=hit, minlength=len(right))
-                right[:] = (right * 8 + k * 65536) / (8 + n)  # a mean in which the past weighs as eight
-        ends = np.cumsum(self.counts, 1)
-        ends = (ends * ((1 << ORDER0_BITS) - self.n_ranges)) // ends[:, -1:] + np.arange(1, self.n_ranges + 1)  # every range keeps one
-        begins = np.zeros_like(ends)
-        begins[:, 1:] = ends[:, :-1]
-        self.sizes = (ends - begins).ravel()
-        self.part = (begins.ravel() << 16) + self.sizes
-        self.end_of2 = (self.right[0] * 15 >> 4) + 1  # at least a sixteenth is left
-        self.inverse, self.past = None, ([], [], [])
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The range of ids that ``value`` (below 1 << ORDER0_BITS) falls in."""
-        if self.inverse is None:
-            self.inverse = np.repeat(np.tile(np.arange(self.n_ranges, dtype=np.uint8), len(self.lane)), self.sizes)
-        return self.inverse.take((self.lane << ORDER0_BITS) + value).astype(np.int64)
-
-    def predict(self) -> None:
-        """Sets the predictions and the ends of their shares of the code space."""
-        self.slot2 = ((self.hash + (self.before << 5)) >> 7 & SLOTS2 - 1) + self.lane2
-        self.slot1 = (self.hash >> 4 & SLOTS1 - 1) + self.lane1
-        self.entry2, self.entry1 = self.table2.take(self.slot2), self.table1.take(self.slot1)
-        self.guess2, self.guess1 = self.entry2 >> 4, self.entry1 >> 4
-        self.at2, self.at1 = (self.entry2 & 15) + self.lane16, (self.entry1 & 15) + self.lane16
-        self.end2 = self.end_of2.take(self.at2)
-        add = ((LEFT - self.end2) * self.right[1].take(self.at1) >> BITS) + 1
-        add[self.guess1 == self.guess2] = 0
-        self.end1 = self.end2 + add
-        self.unit = 65536 - self.end1 >> ORDER0_BITS
-
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        fresh = ids << 4
-        for table, slot, entry, hit in ((self.table2, self.slot2, self.entry2, hit2), (self.table1, self.slot1, self.entry1, hit1)):
-            case = (entry & 15) + (hit.view(np.int8) << 4)
-            new = entry + NEXT.take(case)
-            low = np.flatnonzero(case < 2)
-            new[low] = fresh[low]
-            table[slot] = new
-        for past, x in zip(self.past, (ids, (self.at2, hit2), (self.at1, hit1))):
-            past.append(x)
-        self.before, self.hash = self.hash, ids * 0x9E3B
+        lane = np.arange(lanes)
+        self.lane_slots, self.lane_levels, self.lane_cases = lane * SLOTS, lane * 16, lane * 32
+        self.table = np.zeros(lanes * SLOTS, np.int32)  # code << 4 | confidence
+        self.share = np.tile(FIRST, lanes)
+        self.hash, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.past, self.steps = np.empty((REFRESH, lanes), np.int64), 0
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """(code predicted, share of 1 << SHARE_BITS)."""
+        self.slot = (self.hash >> 7 & SLOTS - 1) + self.lane_slots
+        self.held = self.table.take(self.slot)
+        self.level = self.held & 15
+        return self.held >> 4, self.share.take(self.level + self.lane_levels)
+
+    def learn(self, code: np.ndarray, hit: np.ndarray) -> None:
+        case = self.level + (hit.view(np.int8) << np.int8(4))
+        new = self.held + NEXT.take(case)
+        low = (case < 2).nonzero()[0]
+        new[low] = (code[low] << 4) + 1
+        self.table[self.slot] = new
+        np.add(case, self.lane_cases, out=self.past[self.steps])
+        self.hash = code * 0x9E3B1 + (self.last << 5)
+        self.last = code
         self.steps += 1
-        if self.steps % REFRESH == 0:
-            self.refresh()
+        if self.steps == REFRESH:  # a mean in which the past weighs as much as eight predictions
+            n = np.bincount(self.past.ravel(), minlength=len(self.share) * 2).reshape(-1, 2, 16)
+            right = (self.share.reshape(-1, 16) * 8 + (n[:, 1] << SHARE_BITS)) // (8 + n.sum(1))
+            self.share = np.clip(right, 1, 15 << SHARE_BITS - 4).ravel()
+            self.steps = 0
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Blocks of BLOCK_IDS ids (the last may have fewer)."""
+def _columns(x: np.ndarray, lanes: int, width: int) -> np.ndarray:
+    """The values of all lanes at each step; the last lane repeats its last one."""
+    full = np.empty(lanes * width, np.int64)
+    full[: len(x)], full[len(x) :] = x, x[-1]
+    return np.ascontiguousarray(full.reshape(lanes, width).T)
+
+
+def encode_blocks(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
+    """(the first state, blocks of BLOCK_IDS ids, of which the last may have fewer)."""
     if not len(ids):
-        return []
-    lanes = -(-len(ids) // BLOCK_IDS)
-    width = min(BLOCK_IDS, len(ids))
-    grid = np.zeros(lanes * width, np.int64)
-    grid[: len(ids)] = ids
-    columns = np.ascontiguousarray(grid.reshape(lanes, width).T)
-    model = _Model(lanes)
-    low, span, used = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U), np.zeros(lanes, np.int64)
-    out = np.zeros((lanes, width + 3), np.int64)  # 32-bit words, each with the carries that reach it
-    for now in columns:
-        model.predict()
-        hit2, hit1 = model.guess2 == now, model.guess1 == now
-        split = model.split.take(now)
-        part = model.part.take((split >> 16) + model.lane_r)
-        begin, size = model.end1 + (part >> 16) * model.unit, (part & 0xFFFF) * model.unit
-        bits, inner = split & 31, split >> 5 & 2047
-        for rows, first, last in ((np.flatnonzero(hit1), model.end2, model.end1), (np.flatnonzero(hit2), None, model.end2)):
-            start = first[rows] if first is not None else 0
-            begin[rows], size[rows], bits[rows], inner[rows] = start, last[rows] - start, 0, 0
-        step = span >> _U(BITS)
-        span = step * size.view(_U) >> bits.view(_U)
-        add = begin.view(_U) * step + inner.view(_U) * span
-        low = low + add
-        carry = low < add
-        if carry.any():
-            carry = np.flatnonzero(carry)
-            out[carry, used[carry] - 1] += 1
-        short = np.flatnonzero(span < _U(1 << 32))
-        gone = low[short]
-        out[short, used[short]] = (gone >> _U(32)).view(np.int64)
-        used[short] += 1
-        low[short] = gone << _U(32)
-        span[short] <<= _U(32)
-        model.update(now, hit2, hit1)
+        return b"", []
+    lanes, width = -(-len(ids) // BLOCK_IDS), min(BLOCK_IDS, len(ids))
+    state, code, context, entry = FirstState.learn(ids, BLOCK_IDS)
+    codes, entries = (_columns(x, lanes, width) for x in (code, entry))
+    place = state.place << 5 | np.repeat(state.bits, state.held)
+    model, lane = Shares(lanes), np.arange(lanes)
+    low, span, used = np.zeros(lanes, np.int64), np.full(lanes, 1 << LOW + OUT, np.int64), np.zeros(lanes, np.int64)
+    out = np.zeros((lanes, width + 4), np.int64)  # 32-bit words, each with the carries that reach it
+
+    def shift(rows: np.ndarray) -> None:
+        at, gone = used[rows], low[rows]
+        out[rows, at] = gone >> LOW
+        used[rows] = at + 1
+        low[rows] = (gone & (1 << LOW) - 1) << OUT
+        span[rows] <<= OUT
+
+    for now, entry in zip(codes, entries):
+        guess, share = model.predict()
+        edge = (span >> SHARE_BITS) * share
+        hit = guess == now
+        rows = hit.nonzero()[0]
+        kept_low, kept_span = low[rows], edge[rows]
+        found = place.take(entry)
+        unit = (span - edge) >> (found & 31)
+        low += edge
+        low += (found >> 37) * unit
+        span = (found >> 21 & 0xFFFF) * unit
+        low[rows], span[rows] = kept_low, kept_span
+        escape = found & 0xFFFF << 5 == 0
+        escape[rows] = False
+        rows = escape.nonzero()[0]
+        if len(rows):
+            shift(rows[span[rows] < 1 << LOW])
+            unit = span[rows] >> SINGLE_BITS
+            own = now[rows]
+            low[rows] += state.single_start[own] * unit
+            span[rows] = state.single[own] * unit
+        shift((span < 1 << LOW).nonzero()[0])
+        model.learn(now, hit)
     for _ in range(2):
-        out[model.lane, used] = (low >> _U(32)).astype(np.int64)
-        low <<= _U(32)
-        used += 1
+        shift(lane)
     for i in range(out.shape[1] - 1, 0, -1):
-        over = out[:, i] >> 32
+        over = out[:, i] >> OUT
         if over.any():
             out[:, i - 1] += over
-            out[:, i] &= 0xFFFFFFFF
-    words = out.astype("<u4")
-    blocks = []
+            out[:, i] &= (1 << OUT) - 1
+    words, raw, blocks = out.astype("<u4"), np.asarray(ids, "<u4"), []
     for i in range(lanes):
-        own = np.asarray(ids[i * width : (i + 1) * width], "<u4").tobytes()
-        payload = words[i, : used[i]].tobytes()
-        blocks.append(b"".join(x.to_bytes(4, "little") for x in (MAGIC, len(own) // 4, width, zlib.crc32(own))) + payload)
-    return blocks
+        own = raw[i * width : (i + 1) * width].tobytes()
+        blocks.append(b"".join(x.to_bytes(4, "little") for x in (MAGIC, len(own) // 4, width, zlib.crc32(own))) + words[i, : used[i]].tobytes())
+    return state.to_bytes(), blocks
 
 
-def decode_blocks(blocks: list[bytes]) -> np.ndarray:
-    """The ids of these blocks, one after another; raises ValueError for a damaged one."""
+def decode_blocks(first: bytes, blocks: list[bytes]) -> np.ndarray:
+    """The ids of these blocks of one segment, one after another; raises ValueError for a damaged one."""
     if not blocks:
         return np.zeros(0, np.int64)
     heads = np.array([np.frombuffer(b[:16], "<u4") for b in blocks], np.int64)
-    if (heads[:, 0] != MAGIC).any():
-        raise ValueError("not a block of token ids")
-    out = []
-    for width in np.unique(heads[:, 2]).tolist():  # blocks of a segment share their width
-        own = np.flatnonzero(heads[:, 2] == width)
-        out.append((own, _decode_lanes([blocks[i] for i in own], width)))
-    ids: list = [None] * len(blocks)
-    for own, rows in out:
-        for i, row in zip(own.tolist(), rows):
-            ids[i] = row[: heads[i, 1]]
-            if zlib.crc32(ids[i].astype("<u4").tobytes()) != heads[i, 3]:
-                raise ValueError("a block's checksum differs")
+    if (heads[:, 0] != MAGIC).any() or len(np.unique(heads[:, 2])) > 1:
+        raise ValueError("not blocks of token ids of one segment")
+    rows = _decode_lanes(FirstState.from_bytes(first), blocks, int(heads[0, 2]))
+    ids = []
+    for row, n, crc in zip(rows, heads[:, 1].tolist(), heads[:, 3].tolist()):
+        ids.append(row[:n])
+        if zlib.crc32(ids[-1].astype("<u4").tobytes()) != crc:
+            raise ValueError("a block's checksum differs")
     return np.concatenate(ids)
 
 
-def _decode_lanes(blocks: list[bytes], width: int) -> np.ndarray:
+def _decode_lanes(state: FirstState, blocks: list[bytes], width: int) -> np.ndarray:
     lanes = len(blocks)
-    model = _Model(lanes)
     most = max(len(b) for b in blocks) // 4
-    words = np.zeros((lanes, most + 2), _U)
+    words = np.zeros((lanes, most + 4), np.int64)
     for i, b in enumerate(blocks):
         payload = np.frombuffer(b, "<u4", offset=16)
         words[i, : len(payload)] = payload
-    flat, at = words.ravel(), model.lane * words.shape[1]
-    code = flat[at] << _U(32) | flat[at + 1]
+    flat, at = words.ravel(), np.arange(lanes) * words.shape[1]
+    inverse = np.repeat(np.arange(len(state.size), dtype=np.int32), state.size)  # the entry of every cell
+    place, where = state.place, state.where
+    singles = np.repeat(np.arange(len(state.single), dtype=np.int32), state.single)
+    single_start, single = state.single_start, state.single
+    code = flat[at] << LOW | flat[at + 1] >> OUT - LOW  # the first 52 bits
+    spare = (flat[at + 1] & (1 << OUT - LOW) - 1) << LOW  # of the word that is partly read: its other 12 bits, then 20 of the next
     at = at + 2
-    span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
+    span, model = np.full(lanes, 1 << LOW + OUT, np.int64), Shares(lanes)
     out = np.empty((width, lanes), np.int64)
+    context, last_cell = np.full(lanes, CONTEXTS), (1 << np.arange(32)) - 1
+
+    def shift(rows: np.ndarray) -> None:
+        here = np.minimum(at[rows], len(flat) - 1)  # a damaged block may run on
+        word = flat[here]
+        code[rows] = code[rows] << OUT | spare[rows] | word >> OUT - LOW
+        spare[rows] = (word & (1 << OUT - LOW) - 1) << LOW
+        at[rows] = here + 1
+        span[rows] <<= OUT
+
     for t in range(width):
-        model.predict()
-        step = span >> _U(BITS)
-        value = np.minimum(code // step, _U(65535)).view(np.int64)
-        past = value - model.end1
-        row = model.find(np.minimum(np.maximum(past / model.unit, 0), (1 << ORDER0_BITS) - 1).astype(np.int64))  # exact: both are small
-        part = model.part.take(row + model.lane_r)
-        begin, size = model.end1 + (part >> 16) * model.unit, (part & 0xFFFF) * model.unit
-        bits = model.range_bits.take(row)
-        hits = np.flatnonzero(past < 0)
-        second = value[hits] < model.end2[hits]
-        start = np.where(second, 0, model.end2[hits])
-        begin[hits], size[hits], bits[hits] = start, np.where(second, model.end2[hits], model.end1[hits]) - start, 0
-        code = code - begin.view(_U) * step
-        span = step * size.view(_U) >> bits.view(_U)
-        inner = np.minimum(code // span, (_U(1) << bits.view(_U)) - _U(1))
-        code -= inner * span
-        now = model.firsts.take(row) + inner.view(np.int64)
-        now[hits] = np.where(second, model.guess2[hits], model.guess1[hits])
-        short = np.flatnonzero(span < _U(1 << 32))
-        code[short] = code[short] << _U(32) | flat[np.minimum(at[short], len(flat) - 1)]  # a damaged block may run on
-        at[short] += 1
-        span[short] <<= _U(32)
+        guess, share = model.predict()
+        edge = (span >> SHARE_BITS) * share
+        hit = code < edge
+        rows = hit.nonzero()[0]
+        kept_code, kept_span = code[rows], edge[rows]
+        at_context = where.take(context)
+        bits = at_context & 31
+        unit = (span - edge) >> bits
+        code -= edge
+        cell = (code / unit).astype(np.int64)  # exact: both are below 1 << 53
+        np.minimum(cell, last_cell.take(bits), out=cell)
+        cell[rows] = 0
+        cell += at_context >> 5
+        found = place.take(inverse.take(cell))
+        code -= (found >> 32) * unit
+        span = (found >> 16 & 0xFFFF) * unit
+        now = (found & 0xFFFF) - 1
+        code[rows], span[rows], now[rows] = kept_code, kept_span, guess[rows]
+        rows = (now < 0).nonzero()[0]
+        if len(rows):
+            shift(rows[span[rows] < 1 << LOW])
+            unit = span[rows] >> SINGLE_BITS
+            own = singles[np.minimum((code[rows] / unit).astype(np.int64), (1 << SINGLE_BITS) - 1)]
+            code[rows] -= single_start[own] * unit
+            span[rows] = single[own] * unit
+            now[rows] = own
+        shift((span < 1 << LOW).nonzero()[0])
         out[t] = now
-        model.update(now, model.guess2 == now, model.guess1 == now)
-    return out.T
+        context = np.minimum(now, CONTEXTS)
+        model.learn(now, hit)
+    return state.ids.take(out).T
+
+
+_segment = [("file", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("first_state", pa.binary()), ("blocks", pa.list_(pa.binary()))]
 
 
 def write(docs: DataFrame, path: str, end_id: int = 2, text_col: str = "text", id_col: str = "doc_id", files: int | None = None) -> DataFrame:
-    """Segments (file, segment, doc_ids, lengths, blocks) of all documents in ascending doc_id order; write them as Parquet."""
+    """Segments (file, segment, before: the ids before it in its file, n_ids, doc_ids, lengths, first_state, blocks) of all documents in ascending doc_id order; write them as Parquet."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, file, segment = vocabulary(path), TaskContext.get().partitionId(), 0
+        words, file, segment, before = vocabulary(path), TaskContext.get().partitionId(), 0, 0
         for part in slices(source, "text", SEGMENT_BYTES):
             got = [words.encode_special(*text_bytes(x.column("text"))) for x in slices(iter([part]), "text")]
             counts = np.concatenate([c for _, c in got])
             ids = np.insert(np.concatenate([i for i, _ in got]), np.cumsum(counts), end_id)
-            row = [[file], [segment], [part.column("doc_id").to_pylist()], [(counts + 1).tolist()], [encode_blocks(ids)]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], ["file", "segment", "doc_ids", "lengths", "blocks"])
+            row = [file, segment, before, len(ids), part.column("doc_id").to_pylist(), (counts + 1).tolist(), *encode_blocks(ids)]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, _segment)], [n for n, _ in _segment])
             segment += 1
+            before += len(ids)
 
-    types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.repartitionByRange(files, "doc_id") if files else rows.repartitionByRange("doc_id")
-    return rows.sortWithinPartitions("doc_id", "text").mapInArrow(batches, "file int, segment int, doc_ids array<long>, lengths array<long>, blocks array<binary>")
+    return rows.sortWithinPartitions("doc_id", "text").mapInArrow(batches, "file int, segment int, before long, n_ids long, doc_ids array<long>, lengths array<long>, first_state binary, blocks array<binary>")
 
 
 def read(segments: DataFrame, with_ids: bool = False) -> DataFrame:
-    """One row per document: doc_id, file, segment, before (ids before it in its segment), n_tokens, ids_crc32 (and ids, if asked for)."""
+    """One row per document: doc_id, file, before (ids before it in its file), n_tokens, ids_crc32 (and ids, if asked for)."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for row in batch.to_pylist():
-                ids, lengths = decode_blocks(row["blocks"]), np.array(row["lengths"], np.int64)
+                ids, lengths = decode_blocks(row["first_state"], row["blocks"]), np.array(row["lengths"], np.int64)
                 edges = np.concatenate([[0], np.cumsum(lengths)])
                 if edges[-1] != len(ids):
                     raise ValueError("a segment's ids and lengths differ")
                 view = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-                same = lambda x, n=len(lengths): pa.array(np.full(n, x, np.int32))
-                columns = [pa.array(row["doc_ids"], pa.int64()), same(row["file"]), same(row["segment"]), pa.array(edges[:-1]), pa.array(lengths), pa.array(crc, pa.int64())]
+                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(np.full(len(lengths), row["file"], np.int32)), pa.array(row["before"] + edges[:-1]), pa.array(lengths), pa.array(crc, pa.int64())]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["doc_id", "file", "segment", "before", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
-    return segments.mapInArrow(batches, "doc_id long, file int, segment int, before long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    names = ["doc_id", "file", "before", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
+    return segments.mapInArrow(batches, "doc_id long, file int, before long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def round_trip(docs: DataFrame, path: str, **columns) -> DataFrame:
     """Writes the files, reads them back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     segments = stage(write(docs, path, **columns), "token-files")
-    size = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
-    sizes = segments.select("file", "segment", size.alias("n")).orderBy("file", "segment").collect()  # a row per 12 MB of text
-    starts, total = [], 0
-    for r in sizes:
-        starts.append((r["file"], r["segment"], total))
-        total += r["n"]
-    starts = docs.sparkSession.createDataFrame(starts, "file int, segment int, base long")
-    return read(segments).join(starts, ["file", "segment"]).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    files = segments.groupBy("file").agg(F.sum("n_ids").alias("n"))  # a row per task that wrote
+    base = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = files.select(F.col("file").alias("of_file"), base.alias("base"))
+    return read(segments).join(F.broadcast(bases), F.col("file") == F.col("of_file")).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
