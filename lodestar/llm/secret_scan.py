@@ -3,11 +3,13 @@
 The rules' regular expressions become one NFA over bytes; subset construction gives a DFA whose accepting
 states carry the set of rules that end there, Moore's refinement minimises it, and byte classes shrink it to
 a transition array. A slice of texts is cut into lanes at synchronising bytes (those that send every state to
-the start, so no match crosses them) and all lanes advance together, one byte a step, all rules at once.
-Lanes in which a rule accepted are then matched by the rule's own expression to give exact spans.
+the start, so no match crosses them), and where those are far apart after a fixed number of bytes, and all lanes
+advance together, one byte a step, all rules at once. A lane that was cut between synchronising bytes runs from the
+start first and again from the state in which its predecessor ended, if that is another one, until no state changes.
+Chains of lanes in which a rule accepted are then matched by the rule's own expression to give exact spans.
 
-Defined results: null text is empty; offsets are code points, end exclusive; an empty table gives an empty
-result; other columns are not read.
+Defined results: null text is empty; offsets are code points, end exclusive; rows that repeat are scanned each; a null
+doc_id stays null; an empty table gives an empty result; other columns are not read (``redact`` keeps them).
 """
 
 from __future__ import annotations
@@ -27,14 +29,15 @@ from pyspark.sql import functions as F
 from .arrays import slices, text_bytes
 
 #: The rules. ``scan`` is what the automaton accepts (a counted tail only where the start is common: counters
-#: multiply the states), ``match`` gives the spans, ``least`` the characters that ``group`` must have.
+#: multiply the states), ``match`` gives the spans, ``least`` the characters that ``group`` must have; ``rest`` is what a span
+#: goes on with after its match, wherever lanes end: of a private key all to its END line, or without one its lines of code.
 RULES = {
     "assign": {"scan": r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{12}", "match": r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "group": 2, "least": 12},
     "access": {"scan": r"AKIA[A-Z0-9]", "match": r"AKIA[A-Z0-9]+", "group": 0, "least": 18},
     "hex": {"scan": r"[0-9a-f]{16}", "match": r"[0-9a-f]+", "group": 0, "least": 16},
     "forge": {"scan": r"gh[pousr]_[A-Za-z0-9]", "match": r"gh[pousr]_[A-Za-z0-9]+", "group": 0, "least": 40},
     "chat": {"scan": r"xox[abprs]-[A-Za-z0-9-]", "match": r"xox[abprs]-[A-Za-z0-9-]+", "group": 0, "least": 15},
-    "pem": {"scan": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "match": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "group": 0, "least": 1},
+    "pem": {"scan": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "match": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "group": 0, "least": 1, "rest": r"(?s:(?:(?!-----BEGIN ).)*?)-----END [A-Z ]*PRIVATE KEY-----|(?:\s+[A-Za-z0-9+/=]{32,})*"},
 }
 BASE_KINDS = ("assign", "access", "hex")
 #: Bytes after which a lane ends at the next synchronising byte.
@@ -188,49 +191,77 @@ def compile_rules(rules: dict[str, str]) -> Automaton:
     return Automaton(kinds, classes, n_classes, (small * n_classes).ravel(), first * n_classes, int((out_masks == 0).sum()) * n_classes, out_masks, sync)
 
 
-def lanes(data: np.ndarray, offsets: np.ndarray, sync: np.ndarray, length: int = LANE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, text number): the texts cut at synchronising bytes about every ``length`` bytes."""
+def lanes(data: np.ndarray, offsets: np.ndarray, sync: np.ndarray, length: int = LANE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, text number, whether a lane goes on with the one before): the texts cut at synchronising bytes about every ``length`` bytes, and what is longer than four times that at any byte."""
     cuts = np.flatnonzero(sync[data])
     if len(cuts):
         at = np.searchsorted(cuts, np.arange(length, len(data), length))
         cuts = cuts[np.unique(at[at < len(cuts)])]
     edges = np.unique(np.concatenate([offsets, cuts]))
-    starts, ends = edges[:-1], edges[1:]
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+    starts, sizes = edges[:-1], np.diff(edges)
+    pieces = np.where(sizes > 4 * length, -(-sizes // length), 1)
+    place = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = np.repeat(starts, pieces) + place * length
+    ends = np.append(starts[1:], edges[-1])
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1, place > 0
 
 
-def run_lanes(dfa: Automaton, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The mask of rules that accept somewhere in each lane."""
+def run_lanes(dfa: Automaton, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(the mask of rules that accept somewhere in each lane, the state that it ends in), from the start or from ``begin``."""
     order = np.argsort(starts - ends, kind="stable")
     at, left = starts[order], (ends - starts)[order]
-    classes = dfa.classes[data]
-    state = np.full(len(at), dfa.start, np.int64)
+    classes = dfa.classes
+    state = np.full(len(at), dfa.start, np.int64) if begin is None else begin[order]
     masks = np.zeros(len(at), np.int64)
     alive = np.searchsorted(-left, -np.arange(int(left.max(initial=0))), "left")  # lanes longer than each step
     for t, k in enumerate(alive.tolist()):
-        now = dfa.step[state[:k] + classes[at[:k] + t]]
+        now = dfa.step.take(state[:k] + classes.take(data.take(at[:k] + t)))
         state[:k] = now
         hit = now >= dfa.accepting
         if hit.any():
             rows = np.flatnonzero(hit)
             masks[rows] |= dfa.masks[now[rows] // dfa.n_classes]
-    out = np.empty_like(masks)
-    out[order] = masks
-    return out
+    back = np.empty(len(at), np.int64)
+    back[order] = np.arange(len(at))
+    return masks[back], state[back]
+
+
+def scan_lanes(dfa: Automaton, data: np.ndarray, offsets: np.ndarray, length: int = LANE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, text number, mask of rules that accept) of the chains of lanes between synchronising bytes."""
+    starts, ends, owner, tied = lanes(data, offsets, dfa.sync, length)
+    masks, last = run_lanes(dfa, data, starts, ends)
+    if tied.any():
+        first = np.full(len(starts), dfa.start, np.int64)
+        while len(again := np.flatnonzero(tied[1:] & (last[:-1] != first[1:])) + 1):
+            first[again] = last[again - 1]
+            masks[again], last[again] = run_lanes(dfa, data, starts[again], ends[again], first[again])
+        head = np.flatnonzero(~tied)
+        masks, ends = np.bitwise_or.reduceat(masks, head), np.append(starts[head[1:]], ends[-1])
+        starts, owner = starts[head], owner[head]
+    return starts, ends, owner, masks
+
+
+def matchers_of(rules: dict[str, dict]) -> list[tuple]:
+    return [(re.compile(r["match"].encode("ascii")), r["group"], r["least"], re.compile(r["rest"].encode("ascii")) if "rest" in r else None) for r in rules.values()]
 
 
 def spans_of(dfa: Automaton, matchers: list, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(text number, start, end, kind number), positions in code points, by text and start."""
-    starts, ends, owner = lanes(data, offsets, dfa.sync)
-    masks = run_lanes(dfa, data, starts, ends)
+    starts, ends, owner, masks = scan_lanes(dfa, data, offsets)
     found = []
+    done = [0] * len(matchers)  # where the kind's last span that went on beyond its match ends
     for lane in np.flatnonzero(masks).tolist():
-        piece = data[starts[lane] : ends[lane]].tobytes()
-        for kind, (pattern, group, least) in enumerate(matchers):
+        piece, text = data[starts[lane] : ends[lane]].tobytes(), int(owner[lane])
+        for kind, (pattern, group, least, rest) in enumerate(matchers):
             if masks[lane] >> kind & 1:
                 for m in pattern.finditer(piece):
-                    if len(m[group]) >= least:
-                        found.append((int(owner[lane]), int(starts[lane]) + m.start(), int(starts[lane]) + m.end(), kind))
+                    begin, end = int(starts[lane]) + m.start(), int(starts[lane]) + m.end()
+                    if len(m[group]) < least or begin < done[kind]:
+                        continue
+                    if rest:
+                        end += rest.match(data[end : offsets[text + 1]].tobytes()).end()
+                        done[kind] = end
+                    found.append((text, begin, end, kind))
     found.sort()
     base, before, text = 0, 0, -1
     for number, start, end, kind in found:  # code points: bytes that don't continue one
@@ -247,7 +278,7 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules:
     dfa = compile_rules({k: r["scan"] for k, r in rules.items()})
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers = [(re.compile(r["match"].encode("ascii")), r["group"], r["least"]) for r in rules.values()]
+        matchers = matchers_of(rules)
         for part in slices(source, "text"):
             data, offsets = text_bytes(part.column("text"))
             spans: list[list[dict]] = [[] for _ in range(part.num_rows)]
@@ -266,7 +297,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", coun
     schema, rules = docs.schema, RULES
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers = [(re.compile(r["match"].encode("ascii")), r["group"], r["least"]) for r in rules.values()]
+        matchers = matchers_of(rules)
         for part in slices(source, text_col):
             where = part.schema.get_field_index(text_col)
             data, offsets = text_bytes(part.column(where))

@@ -31,7 +31,7 @@ TEXTS = [
 
 def spans(texts):
     dfa = scan.compile_rules({k: r["scan"] for k, r in scan.RULES.items()})
-    matchers = [(re.compile(r["match"].encode()), r["group"], r["least"]) for r in scan.RULES.values()]
+    matchers = scan.matchers_of(scan.RULES)
     out = [[] for _ in texts]
     for number, a, b, kind in scan.spans_of(dfa, matchers, *text_bytes(pa.array(texts, pa.string()))):
         out[number].append((dfa.kinds[kind], a, b))
@@ -40,7 +40,7 @@ def spans(texts):
 
 @pytest.mark.parametrize("lane", [1, 7, 1024])
 def test_base_spans_equal_regular_expressions(lane, monkeypatch):
-    monkeypatch.setattr(scan.lanes, "__defaults__", (lane,))
+    monkeypatch.setattr(scan.scan_lanes, "__defaults__", (lane,))
     rng = random.Random(lane)
     pieces = ["token", "TOKEN", "passwd", "password", "secret", "api_key", "apikey", "=", ":", " ", " ", '"', "'", "\n", "é", "AKIA", "A1B2", "ab12cd", "0123456789abcdef", "XYZ", "é", "-", "."]
     texts = TEXTS + ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
@@ -77,3 +77,38 @@ def test_operator_and_redaction(spark):
             assert r.text == TEXTS[d]
     assert clean[3].text == "[SECRET]\" é"
     assert scan.scan(docs.limit(0)).count() == 0
+
+
+def test_lanes_without_synchronising_bytes_equal_one_pass():
+    """Long runs of letters, in which every cut is a guess that is mended, also where the state at the cut matters."""
+    dfa = scan.compile_rules({k: r["scan"] for k, r in scan.RULES.items()})
+    rng = random.Random(5)
+    for length in (1, 3, 50):
+        text = "".join(rng.choice(["token=", "abcdefghijkl", "0123456789abcdef", "AKIAAKIA1", "q", "password:"]) for _ in range(300))
+        data, offsets = text_bytes(pa.array([text, "short", text[7:]], pa.string()))
+        cut = scan.scan_lanes(dfa, data, offsets, length)
+        whole = scan.scan_lanes(dfa, data, offsets, 1 << 30)
+        got = [(int(o), int(a), int(m)) for a, _, o, m in zip(*cut)]
+        want = [(int(o), int(m)) for _, _, o, m in zip(*whole)]
+        assert [(o, sum({1 << b for x in got if x[0] == o for b in range(8) if x[2] >> b & 1})) for o in range(3)] == want
+
+
+KEY = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join("MIIEpAIBAAKCAQEA" * 4 for _ in range(20)) + "\n-----END RSA PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize("lane", [1, 1024])
+def test_private_keys_end_with_their_last_line(lane, monkeypatch):
+    monkeypatch.setattr(scan.scan_lanes, "__defaults__", (lane,))
+    torn = KEY.rsplit("\n", 1)[0]
+    texts = [f"é {KEY} after {KEY} end", f"{torn}\n\nwords that stay here", f"-----BEGIN PRIVATE KEY----- then {KEY}", "-----BEGIN PRIVATE KEY-----"]
+    pem = [[(a, b) for k, a, b in found if k == "pem"] for found in spans(texts)]
+    n = len(KEY)
+    assert pem[0] == [(2, 2 + n), (9 + n, 9 + 2 * n)] and pem[1] == [(0, len(torn))] and pem[3] == [(0, 27)]
+    assert pem[2] == [(0, 27), (33, 33 + n)]
+
+
+def test_redaction_of_keys_null_ids_repeats_and_no_rows(spark):
+    docs = spark.createDataFrame([(None, KEY, 1), (1, f"a {KEY} b", 2), (1, f"a {KEY} b", 2), (None, None, 3)], "doc_id long, text string, _gone int")
+    assert sorted((str(r.doc_id), str(r.text), r._gone) for r in scan.redact(docs).collect()) == [("1", "a [SECRET] b", 2)] * 2 + [("None", "None", 3), ("None", "[SECRET]", 1)]
+    assert scan.redact(docs.limit(0)).count() == 0 and scan.redact(docs).columns == docs.columns
+    assert sorted(sum(x.kind == "pem" for x in r.spans) for r in scan.scan(docs).collect()) == [0, 1, 1, 1]
