@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from ..session import stage, task_count
 from .arrays import LOWER, MIX1, MIX2, mix, slices, span_hashes, text_bytes, words
 from .components import components
+from .names import fresh
 
 #: Words of a shingle, least Jaccard similarity, recall of a pair at it.
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -356,5 +357,6 @@ def similar_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each class, that of the least id, or one with a null id where the class has no other; of several texts of that id the one of the least text_key (rows of one id with the same text stay together)."""
     least = _judged(docs, text_col, id_col, **options).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = least.groupBy("root").agg(F.min(F.struct("text_key", "doc_id")).alias("k")).select(F.col("k.doc_id").alias("_kept"), F.col("k.text_key").alias("_key"))
-    return docs.join(kept, (text_key(text_col) == F.col("_key")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    kept_id, kept_key = fresh(docs, "_kept"), fresh(docs, "_key")
+    kept = least.groupBy("root").agg(F.min(F.struct("text_key", "doc_id")).alias("k")).select(F.col("k.doc_id").alias(kept_id), F.col("k.text_key").alias(kept_key))
+    return docs.join(kept, (text_key(text_col) == F.col(kept_key)) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(kept_id)), "left_semi")

@@ -10,7 +10,9 @@ shrinks to its parent. A document's log-odds are those of its text plus its path
 Sites that hold over 1/HOT_SHARE of all rows (at most HOT_SHARE) are joined by broadcast, the others by a shuffle.
 
 Defined results: null text is empty; null labels are not used; without labels of both kinds nothing is rejected for that
-kind; null host or path values are sites of their own; repeated rows count each; an empty table gives an empty result.
+kind; null host or path values are sites of their own; repeated rows count each, and rows with a null doc_id are one
+document to ``keep_good``; an empty table gives an empty result. The table `documents` has no URLs: its `source` stands for
+the host and its `lang` for the path, unless other columns are given. A document's own evidence is part of its site's sums.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .arrays import LOWER, groups, mix, slices, span_hashes, text_bytes
+from .names import fresh
 
 #: Labelled rows that the classifier is fitted on, words it may use for each label, the least documents a word is in.
 SAMPLE, WORDS, SUPPORT = 6000, 256, 3
@@ -231,5 +234,6 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without those that the classifier rejects (all rows of a rejected doc_id)."""
-    gone = classify(docs, labels, text_col=text_col, id_col=id_col, **options).filter("not keep").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = classify(docs, labels, text_col=text_col, id_col=id_col, **options).filter("not keep").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(name)), "left_anti")

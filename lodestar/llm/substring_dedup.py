@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .arrays import groups, list_hashes, mix, pack, range_of, slices, span_hashes, tail, text_bytes, unpack, words
+from .names import column, fresh
 
 #: Bytes that the hash sees, words of a mean chunk and of the longest, least words of a passage, bytes of text in a block, chunks a range stands for.
 WINDOW, MEAN_WORDS, MAX_WORDS, LEAST_WORDS, BLOCK_BYTES, RANGE_CHUNKS = 16, 3, 16, 25, 8 << 20, 1_000_000
@@ -239,10 +240,17 @@ def _cuts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with every passage cut from the text of all documents but the first that has it, which keeps all of it; doc_id must be unique."""
+    """``docs`` with every passage cut from the text of all documents but the first that has it, which keeps all of it. Rows whose doc_id is null or has several texts stay whole: no span says which text it is of."""
     spans = whole_passages(docs, text_col, id_col, **options).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "first")).alias("spans"))  # bounded by the text
-    gone = spans.mapInArrow(_cuts, "doc_id long, _gone array<struct<start: long, end: long>>").filter("size(_gone) > 0")
-    text, edges = F.col(f"`{text_col}`"), F.concat(F.array(F.lit(0).cast("long")), F.flatten(F.transform("_gone", lambda s: F.array(s["start"], s["end"]))))
-    pieces = F.transform(F.sequence(F.lit(0), F.size("_gone")), lambda i: F.substring(text, (F.element_at("_edges", (2 * i + 1).cast("int")) + 1).cast("int"), (F.coalesce(F.try_element_at("_edges", (2 * i + 2).cast("int")), F.length(text).cast("long")) - F.element_at("_edges", (2 * i + 1).cast("int"))).cast("int")))
-    joined = docs.join(gone.withColumnRenamed("doc_id", "_id"), F.col(f"`{id_col}`") == F.col("_id"), "left").withColumn("_edges", edges)
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), text).otherwise(F.concat_ws("", pieces))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = {n: fresh(docs, f"_{n}") for n in ("gone", "edges", "id")}
+    text, own = column(text_col), column(id_col).cast("long")
+    several = docs.groupBy(own.alias("doc_id")).agg((F.min(F.xxhash64(text)) != F.max(F.xxhash64(text))).alias("several")).filter("several").select("doc_id")
+    gone = spans.mapInArrow(_cuts, "doc_id long, _gone array<struct<start: long, end: long>>").filter("size(_gone) > 0 AND doc_id IS NOT NULL").join(several, "doc_id", "left_anti")
+    gone = gone.select(F.col("doc_id").alias(names["id"]), F.col("_gone").alias(names["gone"]))
+    cut, edges = F.col(names["gone"]), F.col(names["edges"])
+    starts_and_ends = F.concat(F.array(F.lit(0).cast("long")), F.flatten(F.transform(cut, lambda s: F.array(s["start"], s["end"]))))
+    edge = lambda i: F.element_at(edges, i.cast("int"))
+    until = lambda i: F.coalesce(F.try_element_at(edges, (2 * i + 2).cast("int")), F.length(text).cast("long"))
+    pieces = F.transform(F.sequence(F.lit(0), F.size(cut)), lambda i: F.substring(text, (edge(2 * i + 1) + 1).cast("int"), (until(i) - edge(2 * i + 1)).cast("int")))
+    joined = docs.join(gone, own == F.col(names["id"]), "left").withColumn(names["edges"], starts_and_ends)
+    return joined.select(*[F.when(cut.isNull(), text).otherwise(F.concat_ws("", pieces)).alias(c) if c == text_col else column(c) for c in docs.columns])

@@ -80,3 +80,28 @@ def test_run_ends_with_the_last_stage(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
     assert len(corpus_pipeline.STAGES) == 5 and secret_scan.BASE_KINDS[0] == "assign"
+
+
+CLASHES = ["_sha", "_dedup", "_kept", "_key", "_gone", "_id", "_edges", "row", "hot", "key", "keep_id", "class_id", "node", "spans", "host", "path"]
+
+
+def test_stages_keep_null_ids_repeated_rows_and_columns_named_like_helpers(spark, tmp_path):
+    text = lambda i: " ".join(f"w{(i * 37 + j * j) % 500}" for j in range(60))
+    rows = [(i, text(i)) for i in range(40)] + [(None, text(3)), (None, text(90)), (7, text(7)), (50, text(5)), (51, None), (52, ""), (53, "long " * 40_000)]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t or ""), *CLASHES) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stage(function(spark, docs, str(tmp_path)), name)
+        assert docs.columns[5:] == CLASHES and all(tuple(r)[5:] == tuple(CLASHES) for r in docs.collect())
+    left = sorted((str(r.doc_id), r.text or "") for r in docs.collect())
+    want = [(i, t) for i, t in rows[:40] if i != 5] + [(None, text(90)), (50, text(5)), (52, ""), (53, "long " * 40_000)]
+    assert left == sorted((str(d), t) for d, t in want)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.select("doc_id").distinct().count() == len(want)
+
+
+def test_every_stage_takes_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, function in corpus_pipeline.STAGES:
+        assert function(spark, docs, str(tmp_path)).count() == 0

@@ -73,3 +73,57 @@ def test_the_query_returns_every_document(spark, tmp_path):
     assert got.keys() == {r[0] for r in rows}
     toxic = [got[i] for i, _, t in labels if t]
     assert sum(not r.keep for r in toxic) > 0.9 * len(toxic) and all(r.p_toxic is not None and r.p_bad is not None for r in toxic)
+
+
+def test_sites_and_documents_against_plain_computation(spark):
+    """host and path rates and p_bad of every document, recomputed from the texts' evidence alone."""
+    rows, labels = corpus(700, 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, host string").repartition(3)
+    known = spark.createDataFrame([x for x in labels if x[0] < 400], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify(docs, known).collect()}
+    members = {}
+    for r in got.values():
+        members.setdefault(r.host, {}).setdefault(r.path, []).append(r.p_text)
+        assert r.p_text == pytest.approx(1 - (1 - r.p_poor) * (1 - r.p_toxic))
+    hosts = {h: [p for ps in paths.values() for p in ps] for h, paths in members.items()}
+    every = [p for ps in hosts.values() for p in ps]
+    n, s = len(every), sum(every)
+    m = (s + 0.5) / (n + 1)
+
+    def strength(between):
+        return max(m * (1 - m) / between - 1, 1.0) if between > 1e-9 else None
+
+    squares = lambda groups: sum(sum(g) ** 2 / len(g) for g in groups)
+    paths = [ps for by in members.values() for ps in by.values()]
+    host_k = strength((squares(hosts.values()) - s * s / n - (len(hosts) - 1) * m * (1 - m)) / max(1, n - sum(len(g) ** 2 for g in hosts.values()) / n))
+    inner = sum(sum(len(g) ** 2 for g in by.values()) / len(hosts[h]) for h, by in members.items())
+    path_k = strength((squares(paths) - squares(hosts.values()) - (len(paths) - len(hosts)) * m * (1 - m)) / max(1, n - inner))
+    shrink = lambda g, k, parent: parent if k is None else (sum(g) + k * parent) / (len(g) + k)
+    odds = lambda p: np.log(max(p, 1e-9) / max(1 - p, 1e-9))
+    for r in got.values():
+        rate = shrink(members[r.host][r.path], path_k, shrink(hosts[r.host], host_k, m))
+        bad = 1 / (1 + np.exp(-(odds(r.p_text) + odds(rate) - odds(m))))
+        assert r.path_rate == pytest.approx(rate) and r.p_bad == pytest.approx(bad, abs=1e-9) and r.keep == (r.p_bad < 0.5)
+
+
+def test_the_fit_is_a_maximum():
+    """The weights' posterior has no slope left, and presence of the words is what raises the odds."""
+    rng = np.random.default_rng(2)
+    shape = rng.normal(size=(400, len(quality.SHAPE)))
+    bad = rng.random(400) < 1 / (1 + np.exp(-(shape[:, 0] * 2 - 1)))
+    words = [np.unique(np.append(rng.integers(0, 50, 20), 999 if b and rng.random() < 0.6 else 998)).astype(np.uint64) for b in bad]
+    model = quality.fit(shape, words, bad)
+    assert 999 in model.words.tolist() and 998 not in model.words.tolist()
+    owner = np.repeat(np.arange(400), [len(w) for w in words])
+    odds = model.log_odds(shape, np.concatenate(words), owner)
+    x = np.column_stack([np.ones(400), np.clip((shape - model.mean) / model.scale, -8, 8)] + [[w in set(ws.tolist()) for ws in words] for w in model.words.tolist()])
+    assert odds == pytest.approx(x @ model.weights)
+    prior = np.concatenate([[1e-4], np.full(shape.shape[1], 0.3), np.full(len(model.words), 0.01)])
+    assert np.abs(x.T @ (bad - 1 / (1 + np.exp(-odds))) - prior * model.weights).max() < 1e-2
+
+
+def test_columns_named_like_helpers(spark):
+    docs = spark.createDataFrame([(1, "fine words here", "en", "a", "x", 2), (2, "", "en", "a", "y", 3)], "doc_id long, text string, lang string, source string, _gone string, keep int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))
