@@ -307,16 +307,16 @@ class Vocabulary:
             self.where = np.concatenate([self.where, len(self.ids) + np.cumsum(counts) - counts])[order]
             self.count, self.known = np.concatenate([self.count, counts])[order], known[order]
             self.ids = np.concatenate([self.ids, ids])
-        at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
+            at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
         where, count, pool = (self.where[at], self.count[at], self.ids) if len(self.known) else (np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), self.ids)
-        where, count = where[place], count[place]
+        where, count = where.take(place), count.take(place)
         for i in long_.tolist():
             ids = np.array(self.merge_long(data[begins[i] : ends[i]].tobytes()), np.int32)
             where[i], count[i] = len(pool), len(ids)
             pool = np.concatenate([pool, ids])
-        ids = pool[_spread(where, count)]
-        owner = np.searchsorted(offsets, begins, "right") - 1
-        return ids, np.bincount(owner, weights=count, minlength=texts).astype(np.int64)
+        until = np.concatenate([[0], np.cumsum(count)])
+        ids = pool.take(np.repeat(where - until[:-1], count) + np.arange(until[-1]))
+        return ids, np.diff(until[np.searchsorted(begins, offsets)])
 
     def encode_special(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Like ``encode``, but the vocabulary's special tokens standing in a text become their ids."""

@@ -32,9 +32,11 @@ from .byte_bpe import vocabulary
 
 BLOCK_IDS, SEGMENT_BYTES = 4096, 24 << 20
 #: Slots of a block's order-2 table, steps between updates of the shares, ids that have an order-1 distribution (and are in them).
-SLOTS, REFRESH, CONTEXTS = 1024, 256, 4096
+SLOTS, REFRESH, CONTEXTS = 512, 256, 4096
 #: Cells of code space: of the shares, of an order-1 distribution at most, of order 0. Least count of a pair of ids in order 1.
 SHARE_BITS, PAIR_BITS, SINGLE_BITS, LEAST = 16, 12, 18, 2
+#: Bits of a place in a segment.
+PLACE_BITS = 32
 #: The coder's interval is below 1 << 52 (float division of such numbers is exact) and gives off 32 bits when it is below 1 << 20.
 LOW, OUT = 20, 32
 MAGIC = 0x4C535433
@@ -76,15 +78,17 @@ class FirstState:
         self.single_start = np.cumsum(single) - single
 
     @classmethod
-    def learn(cls, ids: np.ndarray, block: int) -> tuple[FirstState, np.ndarray, np.ndarray, np.ndarray]:
-        """The state that suits ``ids`` in blocks, and the code, context and entry of each id."""
+    def learn(cls, ids: np.ndarray, block: int) -> tuple[FirstState, np.ndarray, np.ndarray]:
+        """The state that suits ``ids`` in blocks, and the code and entry of each id."""
         count = np.bincount(ids)
         by_rank = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]
         state = cls(by_rank, np.ones(len(by_rank), np.int64), *[np.zeros(0, np.int64)] * 4)
-        code = state.codes[ids]
+        code = state.codes.take(ids)
         context = state.contexts(code, block)
-        known = np.minimum(code, CONTEXTS)
-        keys = np.sort((context * (CONTEXTS + 1) + known).astype(np.int32))
+        packed = (context * (CONTEXTS + 1) + np.minimum(code, CONTEXTS)) << PLACE_BITS
+        packed |= np.arange(len(ids))
+        packed.sort()
+        keys = (packed >> PLACE_BITS).astype(np.int32)
         at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         times, keys = np.diff(np.append(at, len(keys))), keys[at].astype(np.int64)
         owner, successor = keys // (CONTEXTS + 1), keys % (CONTEXTS + 1)
@@ -93,19 +97,24 @@ class FirstState:
         keep = (successor < CONTEXTS) & (times >= np.maximum(LEAST, n[owner] >> PAIR_BITS))
         more = np.bincount(owner[keep], minlength=CONTEXTS + 1)
         bits = np.maximum(bits, np.frexp(more.astype(np.float64) + 1)[1] + 1)  # half of the cells at least are for counts
+        owner_of, kept, every = owner, keep, times
         owner, successor, times = owner[keep], successor[keep], times[keep]
         escaped = n - np.bincount(owner, weights=times, minlength=CONTEXTS + 1).astype(np.int64)
         where = np.concatenate([np.arange(CONTEXTS + 1), owner])
         order = np.argsort(where, kind="stable")  # the escape comes first
-        weight = np.concatenate([np.maximum(escaped, 0), times])[order]
-        size = _quantised(weight, where[order], np.int64(1) << bits)
-        held = np.bincount(where, minlength=CONTEXTS + 1)
-        found = cls(by_rank, state.single, bits, held, np.concatenate([np.full(CONTEXTS + 1, -1), successor])[order], size)
-        entry = found.entry(context, code)
-        rest = np.bincount(code[entry == found.first[context]], minlength=len(by_rank))
+        size = _quantised(np.concatenate([np.maximum(escaped, 0), times])[order], where[order], np.int64(1) << bits)
+        found = cls(by_rank, state.single, bits, np.bincount(where, minlength=CONTEXTS + 1), np.concatenate([np.full(CONTEXTS + 1, -1), successor])[order], size)
+        entry_of = found.first[owner_of]  # of every pair its entry, which is its context's escape if it has none
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        entry_of[kept] = back[CONTEXTS + 1 :]
+        entry = np.empty(len(ids), np.int32)
+        packed &= (1 << PLACE_BITS) - 1
+        entry[packed] = np.repeat(entry_of.astype(np.int32), every)
+        rest = np.bincount(code[found.successor.take(entry) < 0], minlength=len(by_rank))
         found.single = _quantised(rest, np.zeros(len(rest), np.int64), np.array([1 << SINGLE_BITS]))
         found.single_start = np.cumsum(found.single) - found.single
-        return found, code, context, entry
+        return found, code, entry
 
     def contexts(self, code: np.ndarray, block: int) -> np.ndarray:
         out = np.empty_like(code)
@@ -113,15 +122,6 @@ class FirstState:
         out[::block] = CONTEXTS
         return np.minimum(out, CONTEXTS, out=out)
 
-    def entry(self, context: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """The entry that codes ``code`` after ``context``; its escape if it has none."""
-        table = np.full((CONTEXTS + 1) * (CONTEXTS + 1), -1, np.int32)
-        owner = np.repeat(np.arange(CONTEXTS + 1), self.held)
-        known = self.successor >= 0
-        table[owner[known] * (CONTEXTS + 1) + self.successor[known]] = np.flatnonzero(known)
-        got = table.take(context * (CONTEXTS + 1) + np.minimum(code, CONTEXTS)).astype(np.int64)
-        return np.where(got < 0, self.first.take(context), got)
-
     def to_bytes(self) -> bytes:
         gaps = np.diff(self.successor, prepend=-1)
         gaps[self.first] = 0
@@ -177,7 +177,7 @@ class Shares:
 
 def _columns(x: np.ndarray, lanes: int, width: int) -> np.ndarray:
     """The values of all lanes at each step; the last lane repeats its last one."""
-    full = np.empty(lanes * width, np.int64)
+    full = np.empty(lanes * width, x.dtype)
     full[: len(x)], full[len(x) :] = x, x[-1]
     return np.ascontiguousarray(full.reshape(lanes, width).T)
 
@@ -187,7 +187,7 @@ def encode_blocks(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
     if not len(ids):
         return b"", []
     lanes, width = -(-len(ids) // BLOCK_IDS), min(BLOCK_IDS, len(ids))
-    state, code, context, entry = FirstState.learn(ids, BLOCK_IDS)
+    state, code, entry = FirstState.learn(ids, BLOCK_IDS)
     codes, entries = (_columns(x, lanes, width) for x in (code, entry))
     place = state.place << 5 | np.repeat(state.bits, state.held)
     model, lane = Shares(lanes), np.arange(lanes)
