@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,18 +20,41 @@ DIMENSIONS = 256
 
 
 def hashed_encoder(dimensions: int = DIMENSIONS) -> Encoder:
-    """Counts of hashed tokens, of unit length; texts without tokens have no vector."""
+    """How many of a text's tokens fall into each bucket of their MD5; texts without tokens have no vector."""
 
     def encode(rows: DataFrame) -> DataFrame:
         def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in source:
-                out = []
-                for tokens in batch.column("tokens").to_pylist():
-                    v = np.bincount([zlib.crc32(t.encode()) % dimensions for t in tokens or []], minlength=dimensions).astype(np.float32)
-                    out.append((v / np.linalg.norm(v)).tolist() if tokens else None)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.float32()))], ["id", "vector"])
+                buckets = batch.column("buckets")
+                lists, n = np.asarray(buckets.flatten(), np.int64), batch.num_rows
+                owner = np.repeat(np.arange(n), np.asarray(pc.fill_null(pc.list_value_length(buckets), 0)))
+                counts = np.bincount(owner * dimensions + lists, minlength=n * dimensions).astype(np.float32)
+                full = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dimensions, pa.int32()), pa.array(counts))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pc.if_else(pa.array(np.bincount(owner, minlength=n) > 0), full, pa.nulls(n, full.type))], ["id", "vector"])
 
-        return rows.select("id", tx.tokens(F.col("text")).alias("tokens")).mapInArrow(batches, f"id {rows.schema['id'].dataType.simpleString()}, vector array<float>")
+        bucket = lambda t: F.conv(F.left(F.md5(t), F.lit(7)), 16, 10).cast("int") % dimensions
+        return rows.select("id", F.transform(tx.tokens(F.col("text")), bucket).alias("buckets")).mapInArrow(batches, f"id {rows.schema['id'].dataType.simpleString()}, vector array<float>")
+
+    return encode
+
+
+def with_recovery(encoder: Encoder, least: int = 40) -> Encoder:
+    """AGG-19, 2.11.11: texts that ``encoder`` leaves without a vector (null, or with a value that isn't finite) are encoded by their
+    halves, cut at ``split_point``, whose mean stands for them; if a half fails too, the text has no vector."""
+
+    def usable(rows: DataFrame) -> DataFrame:
+        whole = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+        return rows.withColumn("vector", F.when(whole, F.col("vector")))
+
+    def encode(rows: DataFrame) -> DataFrame:
+        first = usable(encoder(rows))
+        lost = rows.join(first.filter("vector IS NULL").select("id"), "id", "left_semi").filter(F.length("text") > 1)
+        at = split_point(F.col("text"), least)
+        halves = lost.select("id", F.explode(F.array(F.struct(F.lit(0).alias("half"), F.left("text", at).alias("text")), F.struct(F.lit(1).alias("half"), F.substr("text", at + 1).alias("text")))).alias("h"))
+        again = usable(encoder(halves.select(F.struct("id", "h.half").alias("id"), "h.text")))
+        side = lambda n: F.first(F.when(F.col("id.half") == n, F.col("vector")), ignorenulls=True)  # noqa: E731  two rows of each id
+        mended = again.groupBy(F.col("id.id").alias("id")).agg(mean_of_halves(side(0), side(1)).alias("mended"))
+        return first.join(mended, "id", "left").select("id", F.coalesce("vector", "mended").alias("vector"))
 
     return encode
 
@@ -57,3 +81,43 @@ def overlap_scorer(query: Column, passage: Column) -> Column:
 def extractive_answer(context: Column, question: Column) -> Column:
     """UDF-5's default: the first passage line."""
     return F.element_at(F.split(context, "\n"), 1)
+
+
+def expanded(questions: DataFrame, generate: Column | None = None, n: int = 3) -> DataFrame:
+    """UDF-6: (qid, variant, question): the question as variant 0, then up to ``n`` usable lines of what ``generate`` (a column of text over question) wrote; a failed or missing generation (null) leaves the question alone."""
+    lines = F.split(F.coalesce(generate if generate is not None else F.lit(None).cast("string"), F.lit("")), "\n")
+    every = F.concat(F.array("question"), tx.query_variants(F.col("question"), lines, n))
+    return questions.select("qid", F.posexplode(every).alias("variant", "question"))
+
+
+class Lazy:
+    """UDF-10: a model that a worker loads at its first use, once. A failed load disables it for the worker's life: calls then give None."""
+
+    status: dict[str, str] = {}
+
+    def __init__(self, name: str, load: Callable[[], Callable]) -> None:
+        self.name, self.load = name, load
+
+    def __call__(self, *args):
+        held = _LOADED.get(self.name)
+        if held is None and self.status.get(self.name) != "disabled":
+            try:
+                held = _LOADED[self.name] = self.load()
+                self.status[self.name] = "ready"
+            except Exception:  # noqa: BLE001  what can't be loaded is left out, not fatal
+                self.status[self.name] = "disabled"
+        return None if held is None else held(*args)
+
+
+_LOADED: dict[str, Callable] = {}
+
+
+def batched_scorer(model: Lazy) -> Scorer:
+    """UDF-4: a scorer that calls ``model(list of queries, list of passages) -> list of scores`` once a batch; all null where the model is disabled, so that ``rerank`` keeps the order."""
+
+    @F.pandas_udf("double")
+    def score(query: pd.Series, passage: pd.Series) -> pd.Series:
+        got = model(query.tolist(), passage.tolist())
+        return pd.Series([None] * len(query) if got is None else got, dtype="float64")
+
+    return lambda query, text: score(query, tx.passage(text))

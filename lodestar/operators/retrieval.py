@@ -1,8 +1,8 @@
 """Retrieval: exact kNN, BM25, fusion, reranking cuts and diversification. All operators take many queries at once.
 
-Vectors are compared in blocks: the stated queries (a bounded matrix) go to the tasks, each task multiplies its batch of
-vectors with them and keeps the best ``k`` of each query, and only those are shuffled for the last ranking. BM25 joins
-query terms with postings on the term; frequencies are aggregated before any shuffle. Every ranking has a total order.
+Vectors are compared in blocks: a block of the stated queries meets a block of vectors as two matrices, the best ``k`` of each
+query are kept, and only those are shuffled for the last ranking. BM25 joins query terms with postings on the term; frequencies
+are aggregated before any shuffle. Every ranking has a total order.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from ..functions import text as tx
 RRF_APP, RRF_STORE = 60, 1
 BM25_K1, BM25_B = 1.2, 0.75
 MARGIN, LAMBDA, OVERFETCH = 1.2, 0.7, 2
-#: Queries that go to the tasks at once.
+#: Vectors of a block.
 QUERY_BLOCK = 4096
 
 
@@ -48,35 +48,49 @@ def ranked(rows: DataFrame, k: int | None, by: Column | str, *keys: str, order:
     return (out.filter(F.col(name) <= k) if k else out).withColumn(name, F.col(name).cast("long"))
 
 
+def _packed(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows of (ids, matrix): up to ``size`` vectors each as one block of doubles of unit length; null vectors are left out."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            batch = batch.filter(batch.column("vector").is_valid())
+            for a in range(0, batch.num_rows, size):
+                part = batch.slice(a, size)
+                matrix = np.asarray(part.column("vector").flatten(), np.float64).reshape(part.num_rows, -1)
+                norms = np.linalg.norm(matrix, axis=1)
+                matrix /= np.where(norms > 0, norms, 1)[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(key).to_pylist()], pa.list_(part.column(key).type)), pa.array([matrix.tobytes()], pa.binary())], ["ids", "matrix"])
+
+    return rows.select(key, "vector").mapInArrow(batches, f"ids array<{kind}>, matrix binary")
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """JOIN-5, TOP-1: (qid, id, score, rank): the ``k`` nearest by cosine of each query; null vectors have no neighbours.
 
-    ``vectors`` has id and vector, ``queries`` qid and vector. Queries are taken in blocks of QUERY_BLOCK, each against all rows.
+    ``vectors`` has id and vector, ``queries`` (the stated query set) qid and vector. Both are packed into blocks of at most
+    QUERY_BLOCK rows; every pair of a query block and a vector block is one product of matrices in a task, of which only the
+    ``k`` best of each query go on. Nothing is collected.
     """
-    wanted = queries.select("qid", "vector").dropna().toArrow().sort_by("qid")
-    names = wanted["qid"].to_pylist()
-    matrix = np.array(wanted["vector"].to_pylist(), np.float64).reshape(len(names), -1)
-    norms = np.linalg.norm(matrix, axis=1) if len(names) else np.zeros(0)
-    matrix = matrix / np.where(norms > 0, norms, 1)[:, None]
+    blocks = _packed(vectors, "id", QUERY_BLOCK)
+    wanted = _packed(queries, "qid", QUERY_BLOCK).select(F.col("ids").alias("qids"), F.col("matrix").alias("queries"))
+    id_type, qid_type = blocks.schema["ids"].dataType.elementType, wanted.schema["qids"].dataType.elementType
 
     def nearest(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            batch = batch.filter(batch.column("vector").is_valid())
-            if not batch.num_rows or not names:
-                continue
-            flat = np.asarray(batch.column("vector").flatten(), np.float64).reshape(batch.num_rows, -1)
-            size = np.linalg.norm(flat, axis=1)
-            ids = np.empty(batch.num_rows, np.int64)  # places in id order break ties
-            ids[pc.sort_indices(batch.column("id")).to_numpy()] = np.arange(batch.num_rows)
-            for a in range(0, len(names), QUERY_BLOCK):
-                score = np.round((flat @ matrix[a : a + QUERY_BLOCK].T) / np.where(size > 0, size, 1)[:, None], digits) + 0.0
-                order = np.lexsort((np.broadcast_to(ids[:, None], score.shape), -score), axis=0)[:k]
+            for i in range(batch.num_rows):
+                ids, qids = batch.column("ids")[i].values, batch.column("qids")[i].values
+                have = np.frombuffer(batch.column("matrix")[i].as_buffer(), np.float64).reshape(len(ids), -1)
+                want = np.frombuffer(batch.column("queries")[i].as_buffer(), np.float64).reshape(len(qids), -1)
+                place = np.empty(len(ids), np.int64)  # places in id order break ties
+                place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+                score = np.round(have @ want.T, digits) + 0.0
+                order = np.lexsort((np.broadcast_to(place[:, None], score.shape), -score), axis=0)[:k]
                 q = np.broadcast_to(np.arange(score.shape[1]), order.shape).ravel()
                 rows = order.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array([names[a + i] for i in q.tolist()], wanted.schema.field("qid").type), batch.column("id").take(pa.array(rows)), pa.array(score[rows, q])], ["qid", "id", "score"])
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), ids.take(pa.array(rows)), pa.array(score[rows, q])], ["qid", "id", "score"])
 
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
-    best = vectors.select("id", "vector").mapInArrow(nearest, f"qid {kind(queries, 'qid')}, id {kind(vectors, 'id')}, score double")
+    best = blocks.crossJoin(wanted).mapInArrow(nearest, f"qid {qid_type.simpleString()}, id {id_type.simpleString()}, score double")
     return ranked(best, k, "score", "qid")
 
 
@@ -140,10 +154,13 @@ def margin_cut(hits: DataFrame, margin: float | None = MARGIN) -> DataFrame:
 
 
 def rerank(hits: DataFrame, scorer: Column, margin: float | None = MARGIN, digits: int = 6) -> DataFrame:
-    """TOP-4: scores replaced by ``scorer``, the cut, ranks anew; a query with one hit stays as it is."""
-    n = F.count("*").over(Window.partitionBy("qid"))
-    scored = hits.withColumn("_n", n).withColumn("score", F.when(F.col("_n") > 1, F.round(scorer, digits)).otherwise(F.col("score"))).drop("_n")
-    return ranked(margin_cut(scored, margin).drop("rank"), None, "score", "qid")
+    """TOP-4: scores replaced by ``scorer``, the cut, ranks anew. A query with one hit stays as it is, and one for which the
+    scorer failed (a null among its scores) keeps the scores and the order it had, without a cut."""
+    window = Window.partitionBy("qid")
+    scored = hits.withColumn("_new", F.round(scorer, digits)).withColumn("_usable", (F.count("*").over(window) > 1) & (F.count("_new").over(window) == F.count("*").over(window)))
+    scored = scored.withColumn("score", F.when(F.col("_usable"), F.col("_new")).otherwise(F.col("score"))).withColumn("_best", F.max("score").over(window))
+    held = scored if margin is None else scored.filter(~F.col("_usable") | (F.col("score") >= F.col("_best") - margin))
+    return ranked(held.drop("rank", "_new", "_usable", "_best"), None, "score", "qid")
 
 
 def min_max(hits: DataFrame, score: str = "score") -> DataFrame:

@@ -12,7 +12,7 @@ from .functions import formats as fm
 from .functions import routing
 from .functions import text as tx
 from .operators import catalog as ct
-from .operators import chunking, prompts
+from .operators import chunking, encoders, prompts
 from .operators import evaluate as ev
 from .operators import retrieval as rt
 from .session import ship
@@ -132,6 +132,7 @@ def catalog_delete(t):
 
 @query("SELECT file_id, count(e) FILTER (WHERE e) AS indexed_chunks, CASE WHEN count(e) FILTER (WHERE e) > 0 THEN 'done' ELSE 'failed' END AS index_status FROM (SELECT label AS file_id, vec_id % 3 = 0 AND label <> 4 AS e FROM embeddings) GROUP BY 1")
 def replace_by_file(t):
+    """The status half; ``replaced_chunks`` has the other."""
     rows = t("embeddings").select(F.col("label").alias("file_id"), F.when((F.col("vec_id") % 3 == 0) & (F.col("label") != 4), F.col("embedding")).alias("dense"))
     return ct.replace_by_file(rows.limit(0), rows)[1]
 
@@ -153,13 +154,13 @@ def _vectors(t):
     return t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
-def _query_vectors(t, n=20):
-    """The stated query set: the first ``n`` vectors."""
-    return t("embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+def _query_vectors(t):
+    """The stated query set: every vector whose id is divisible by 50."""
+    return t("embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
 
 
 _COS = "round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) + 0.0"
-_KNN = f"SELECT q.vec_id AS qid, e.vec_id AS id, e.label, {_COS} AS score FROM embeddings q, embeddings e WHERE q.vec_id < 20"
+_KNN = f"SELECT q.vec_id AS qid, e.vec_id AS id, e.label, {_COS} AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0"
 _RANK = "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM"
 
 
@@ -178,7 +179,7 @@ def knn_filtered(t):
 
 
 _TOKENS = "regexp_extract_all(lower({}), '[a-z0-9à-öø-ÿ]+')"
-_BM25 = f"""WITH d AS (SELECT doc_id, {_TOKENS.format('text')} AS toks FROM documents), q AS (SELECT DISTINCT item_id AS qid, unnest({_TOKENS.format('text')}) AS term FROM benchmark WHERE item_id < 10),
+_BM25 = f"""WITH d AS (SELECT doc_id, {_TOKENS.format('text')} AS toks FROM documents), q AS (SELECT DISTINCT item_id AS qid, unnest({_TOKENS.format('text')}) AS term FROM benchmark),
   size AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d),
   tf AS (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
   df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
@@ -186,7 +187,8 @@ _BM25 = f"""WITH d AS (SELECT doc_id, {_TOKENS.format('text')} AS toks FROM docu
 
 
 def _questions(t):
-    return t("benchmark").filter("item_id < 10").select(F.col("item_id").alias("qid"), "text")
+    """All texts of the benchmark are queries."""
+    return t("benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
 @query(_top(_BM25, 10))
@@ -200,30 +202,36 @@ def document_frequency(t):
 
 
 _DENSE20 = f"SELECT qid, id, 'a' AS ranking, rank FROM ({_top(_KNN, 20)})"
-_ODD = f"SELECT qid, id, 'b' AS ranking, rank FROM ({_top(_KNN + ' AND e.vec_id % 2 = 1', 20)})"
+_OTHER = f"SELECT qid, id, 'b' AS ranking, rank FROM ({_top(_KNN + ' AND e.label IN (1, 3, 5)', 20)})"
 
 
 def _two_rankings(t):
-    odd = rt.knn(_vectors(t).filter("id % 2 = 1"), _query_vectors(t), 20)
-    return rt.knn(_vectors(t), _query_vectors(t), 20).select("qid", F.lit("a").alias("ranking"), "id", "rank").unionByName(odd.select("qid", F.lit("b").alias("ranking"), "id", "rank"))
+    """One over all vectors, one filtered by payload."""
+    other = rt.knn(ct.equality(_vectors(t), label=[1, 3, 5]), _query_vectors(t), 20)
+    return rt.knn(_vectors(t), _query_vectors(t), 20).select("qid", F.lit("a").alias("ranking"), "id", "rank").unionByName(other.select("qid", F.lit("b").alias("ranking"), "id", "rank"))
 
 
-@query(f"SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM ({_DENSE20} UNION ALL {_ODD}) GROUP BY 1, 2")
+@query(f"SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM ({_DENSE20} UNION ALL {_OTHER}) GROUP BY 1, 2")
 def rrf_fusion(t):
     return rt.rrf(_two_rankings(t))
 
 
-_BY_SIZE = "SELECT q.item_id AS qid, d.doc_id AS id, d.n_chars::DOUBLE AS score FROM (SELECT item_id FROM benchmark WHERE item_id < 10) q, documents d WHERE d.doc_id % 10 = q.item_id"
+_HASHED = f"""SELECT {{id}}, bucket, count(*)::DOUBLE AS v FROM (SELECT {{id}}, ('0x' || left(md5(unnest({_TOKENS.format('text')})), 7))::BIGINT % 256 AS bucket FROM {{table}}) GROUP BY ALL"""
+_DENSE = f"""SELECT qid, id, round(coalesce(dot, 0) / (sqrt(qq) * sqrt(dd)), 6) + 0.0 AS score FROM (SELECT item_id AS qid, sum(v * v) AS qq FROM ({_HASHED.format(id='item_id', table='benchmark')}) GROUP BY 1)
+  CROSS JOIN (SELECT doc_id AS id, sum(v * v) AS dd FROM ({_HASHED.format(id='doc_id', table='documents')}) GROUP BY 1)
+  LEFT JOIN (SELECT item_id AS qid, doc_id AS id, sum(a.v * b.v) AS dot FROM ({_HASHED.format(id='item_id', table='benchmark')}) a JOIN ({_HASHED.format(id='doc_id', table='documents')}) b USING (bucket) GROUP BY ALL) USING (qid, id)"""
 
 
 def _hybrid_sql(k: int) -> str:
-    return f"SELECT qid, id, round(sum(1.0::DOUBLE / (1 + rank)), 9) AS score FROM (SELECT qid, id, rank FROM ({_top(_BM25, max(2 * k, 20))}) UNION ALL SELECT qid, id, rank FROM ({_top(_BY_SIZE, max(4 * k, 20))})) GROUP BY 1, 2"
+    return f"SELECT qid, id, round(sum(1.0::DOUBLE / (1 + rank)), 9) AS score FROM (SELECT qid, id, rank FROM ({_top(_BM25, max(2 * k, 20))}) UNION ALL SELECT qid, id, rank FROM ({_top(_DENSE, max(4 * k, 20))})) GROUP BY 1, 2"
 
 
 def _hybrid(t, k):
-    """BM25 beside a ranking by size within a tenth of the documents, which stands in for the dense one (documents have no vectors)."""
-    other = t("documents").select((F.col("doc_id") % 10).alias("qid"), F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"))
-    return rt.hybrid(rt.ranked(other, rt.dense_limit(k), "score", "qid"), rt.bm25(t("documents"), _questions(t), rt.sparse_limit(k)), k)
+    """BM25 beside cosine of hashed token counts, both over all documents."""
+    encode = encoders.hashed_encoder()
+    vectors = encode(t("documents").select(F.col("doc_id").alias("id"), "text"))
+    questions = encode(_questions(t).withColumnRenamed("qid", "id")).withColumnRenamed("id", "qid")
+    return rt.hybrid(rt.knn(vectors, questions, rt.dense_limit(k)), rt.bm25(t("documents"), _questions(t), rt.sparse_limit(k)), k)
 
 
 @query(_top(_hybrid_sql(10), 10))
@@ -237,14 +245,15 @@ def hybrid_search_files(t):
     return _hybrid(t, 5).join(docs, "id").select("rank", "qid", "id", "score", "lang", "source", tx.snippet(F.col("text")).alias("snippet"))
 
 
-_VARIANTS = f"SELECT q.vec_id // 3 AS qid, q.vec_id % 3 AS variant, e.vec_id AS id, {_COS} AS score FROM embeddings q, embeddings e WHERE q.vec_id < 30"
+_VARIANTS = f"SELECT q.vec_id // 150 AS qid, q.vec_id // 50 % 3 AS variant, e.vec_id AS id, {_COS} AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0"
 _MULTI = f"SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, variant ORDER BY score DESC, id) AS rank FROM ({_VARIANTS})) WHERE rank <= 10 GROUP BY 1, 2"
 
 
 @query(_top(_MULTI, 5))
 def multi_query(t):
-    each = rt.knn(_vectors(t), _query_vectors(t, 30), 5 * rt.OVERFETCH)
-    rankings = each.select(F.floor(F.col("qid") / 3).alias("qid"), (F.col("qid") % 3).alias("ranking"), "id", "rank")
+    """Each question is three vectors of the query set."""
+    each = rt.knn(_vectors(t), _query_vectors(t), 5 * rt.OVERFETCH)
+    rankings = each.select(F.floor(F.col("qid") / 150).alias("qid"), (F.floor(F.col("qid") / 50) % 3).alias("ranking"), "id", "rank")
     return rt.ranked(rt.rrf(rankings), 5, "score", "qid")
 
 
@@ -258,7 +267,12 @@ def score_minmax(t):
     return rt.min_max(rt.knn(_vectors(t), _query_vectors(t), 20)).select("qid", "id", F.round("relevance", 6).alias("relevance"))
 
 
-@query()
+@query(f"""WITH RECURSIVE c AS (SELECT qid, id, score, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END, 12) AS rel FROM (SELECT *, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM ({_top(_KNN, 20)}))),
+  near AS (SELECT a.qid, a.id, b.id AS other, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS cos FROM c a JOIN c b ON a.qid = b.qid JOIN embeddings x ON x.vec_id = a.id JOIN embeddings y ON y.vec_id = b.id),
+  p(qid, picked, pick) AS (SELECT qid, [arg_max(id, (rel, -id))], 1 FROM c GROUP BY qid
+    UNION ALL SELECT qid, list_append(picked, arg_max(id, (round(0.7 * rel - 0.3 * worst, 12), score, -id))), pick + 1 FROM (
+      SELECT p.qid, p.picked, p.pick, c.id, c.rel, c.score, (SELECT max(cos) FROM near n WHERE n.qid = c.qid AND n.id = c.id AND list_contains(p.picked, n.other)) AS worst FROM p JOIN c ON p.qid = c.qid AND NOT list_contains(p.picked, c.id)) WHERE pick < 5 GROUP BY qid, picked, pick)
+  SELECT q.qid, q.id, c.score, q.pick::INT AS pick FROM (SELECT qid, unnest(picked) AS id, generate_subscripts(picked, 1) AS pick FROM p WHERE pick = 5) q JOIN c USING (qid, id)""")
 def mmr_select(t):
     hits = rt.knn(_vectors(t), _query_vectors(t), 20)
     return rt.mmr(hits.join(_vectors(t), "id").select("qid", "id", "score", "vector"), 5)
@@ -353,14 +367,14 @@ def durations(t):
 
 # ---- evaluation --------------------------------------------------------------------------------------------------
 
-_EVAL = f"""WITH r AS (SELECT qid, list(id ORDER BY rank) AS got FROM ({_top(_KNN, 10)}) GROUP BY qid), truth AS (SELECT q.vec_id AS qid, list(e.vec_id) AS want FROM embeddings q JOIN embeddings e ON q.label = e.label AND e.vec_id % 50 = q.vec_id % 5 WHERE q.vec_id < 20 GROUP BY 1),
+_EVAL = f"""WITH r AS (SELECT qid, list(id ORDER BY rank) AS got FROM ({_top(_KNN, 10)}) GROUP BY qid), truth AS (SELECT q.vec_id AS qid, list(e.vec_id) AS want FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 50 = 0 GROUP BY 1),
   x AS (SELECT r.qid, got, coalesce(want, []) AS want FROM r LEFT JOIN truth USING (qid))"""
 
 
 def _evaluated(t):
     got = rt.knn(_vectors(t), _query_vectors(t), 10).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("got"))  # ten of each query
-    q = t("embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("qid"), "label")
-    want = q.join(t("embeddings").select("vec_id", "label"), "label").filter("vec_id % 50 = qid % 5").groupBy("qid").agg(F.collect_list("vec_id").alias("want"))
+    q = t("embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label")
+    want = q.join(t("embeddings").select("vec_id", "label"), "label").groupBy("qid").agg(F.collect_list("vec_id").alias("want"))
     return got.join(want, "qid", "left").withColumn("want", F.coalesce("want", F.array().cast("array<bigint>")))
 
 
@@ -450,9 +464,9 @@ def progress_decoded(t):
 # ---- prompts and control -----------------------------------------------------------------------------------------
 
 
-@query(f"""SELECT h.qid, string_agg('[' || rank || '] (chunk_id=' || id || ', archivo=' || source || ') ' || left(text, 80), chr(10) ORDER BY rank) AS context FROM ({_top(_BM25, 5)}) h JOIN documents d ON d.doc_id = h.id GROUP BY 1""")
+@query(f"""SELECT h.qid, string_agg('[' || rank || '] (chunk_id=' || id || ', archivo=' || source || ') ' || text, chr(10) ORDER BY rank) AS context FROM ({_top(_BM25, 5)}) h JOIN documents d ON d.doc_id = h.id GROUP BY 1""")
 def prompt_build(t):
-    docs = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_name"), F.left("text", F.lit(80)).alias("text"))
+    docs = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_name"), "text")
     hits = rt.bm25(t("documents"), _questions(t), 5).join(docs, "id").select("qid", "rank", F.col("id").alias("chunk_id"), "file_name", "text")
     return prompts.context_lines(hits)
 
@@ -511,9 +525,9 @@ def status_columns(t):
     return t("documents").select("doc_id", status.alias("status"), index.alias("index_status"), fm.percent(F.col("doc_id") % 9, F.col("doc_id") % 10).alias("percent"))
 
 
-@query("SELECT query, max(conv_id * 100 + turn) AS ts FROM (SELECT left(text, 12) AS query, conv_id, turn FROM conversations WHERE role = 'user') GROUP BY 1 ORDER BY ts DESC, query LIMIT 6")
+@query("SELECT query, max(conv_id * 100 + turn) AS ts FROM (SELECT text AS query, conv_id, turn FROM conversations WHERE role = 'user') GROUP BY 1 ORDER BY ts DESC, query LIMIT 6")
 def recent_queries(t):
-    rows = t("conversations").filter("role = 'user'").select(F.left("text", F.lit(12)).alias("query"), (F.col("conv_id") * 100 + F.col("turn")).alias("ts"))
+    rows = t("conversations").filter("role = 'user'").select(F.col("text").alias("query"), (F.col("conv_id") * 100 + F.col("turn")).alias("ts"))
     return ct.recent_queries(rows)
 
 
@@ -536,9 +550,9 @@ def change_events(t):
     return st.changes(rows).select("event_id", "path")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'token' ELSE 'done' END AS type, left(text, 5) AS payload FROM documents WHERE doc_id % 4 <> 3")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'token' ELSE 'done' END AS type, text AS payload FROM documents WHERE doc_id % 4 <> 3")
 def sse_events(t):
-    sent = t("documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "token").otherwise("done").alias("type"), F.left("text", F.lit(5)).alias("payload"))
+    sent = t("documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "token").otherwise("done").alias("type"), F.col("text").alias("payload"))
     body = F.when(F.col("doc_id") % 4 == 3, "data: {broken").otherwise(F.concat(F.lit(": note\ndata: "), F.to_json(F.struct("type", "payload")), F.lit("\n\n")))
     return st.parse_sse(sent.select("doc_id", body.alias("body"))).select("doc_id", "event.type", "event.payload")
 
