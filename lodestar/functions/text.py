@@ -171,3 +171,39 @@ def model_name_valid(value: Column) -> Column:
 def cited_ids(answer: Column) -> Column:
     """JOIN-11: ids in square brackets, in order of first appearance."""
     return F.array_distinct(F.regexp_extract_all(answer, F.lit(r"\[([^\[\]]+)\]"), F.lit(1)))
+
+
+#: Fixed value: the URL namespace of version 5 UUIDs.
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def chunk_id(file_id: Column, number: Column) -> Column:
+    """PRJ-17."""
+    return F.concat_ws("::", file_id, number)
+
+
+def point_id(name: Column) -> Column:
+    """PRJ-17: the version 5 UUID of a name in the URL namespace, by built-in functions."""
+    h = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(name, "UTF-8")))
+    at = lambda start, length: F.substring(h, start, length)
+    variant = F.translate(at(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat_ws("-", at(1, 8), at(9, 4), F.concat(F.lit("5"), at(14, 3)), F.concat(variant, at(18, 3)), at(21, 12))
+
+
+def image_text(caption: Column, ocr: Column) -> Column:
+    """SRC-23: what is kept of an image: its caption and the text in it, those that aren't blank."""
+    part = lambda label, x: F.when(F.trim(F.coalesce(x, F.lit(""))) != "", F.concat(F.lit(label), F.trim(x)))
+    return F.concat_ws("\n\n", part("Descripcion: ", caption), part("Texto en la imagen: ", ocr))
+
+
+def transcript(segments: Column) -> Column:
+    """SRC-22: the segments of a recording, without blank ones, joined by spaces; empty for none."""
+    return F.array_join(F.filter(F.transform(F.coalesce(segments, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""), " ")
+
+
+def video_text(segments: Column, captions: Column, interval: int, most: int) -> Column:
+    """SRC-24: the transcript, then one line for each captioned frame (at most ``most``) with its time."""
+    from .formats import frame_time
+
+    lines = F.transform(F.slice(captions, 1, most), lambda c, i: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit("["), frame_time(i, interval), F.lit("] "), c)))
+    return F.concat_ws("\n\n", F.nullif(transcript(segments), F.lit("")), F.nullif(F.array_join(lines, "\n"), F.lit("")))

@@ -163,7 +163,12 @@ def remove_source(source_id: str, sources: DataFrame, files: DataFrame, chunks:
 
 
 def add_source(sources: DataFrame, source: DataFrame) -> DataFrame:
-    """SNK-8: ``source`` (one row) is appended; its path must be new."""
+    """SNK-8: ``source`` (one row) is appended; its path must be a folder of a file system that Spark reads, and new."""
+    spark, path = source.sparkSession, source.first()["path"]
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(folder) or not system.getFileStatus(folder).isDirectory():
+        raise FileNotFoundError(f"no such folder: {path}")
     if source.join(sources, "path", "left_semi").head(1):
         raise ValueError("a source with this path exists")
     return sources.unionByName(source, allowMissingColumns=True)
@@ -209,3 +214,38 @@ def capability_kind(capabilities: Column) -> Column:
 def recent_queries(log: DataFrame, n: int = 6) -> DataFrame:
     """TOP-14: distinct queries, the latest first."""
     return log.groupBy("query").agg(F.max("ts").alias("ts")).orderBy(F.desc("ts"), "query").limit(n)
+
+
+def newest_first(sources: DataFrame, at: str = "created_at", key: str = "source_id") -> DataFrame:
+    """SRC-26: all sources, the latest first."""
+    return sources.orderBy(F.desc(at), F.asc(key))
+
+
+def point_count(chunks: DataFrame, **wanted) -> DataFrame:
+    """SRC-27: an exact count of the points that fulfil the conditions."""
+    return equality(chunks, **wanted).agg(F.count("*").alias("points"))
+
+
+def payload_rows(points: DataFrame) -> DataFrame:
+    """PRJ-10: (id, payload struct) as rows; what a payload lacks gets its default."""
+    held = {f.name for f in points.schema["payload"].dataType.fields}
+    part = lambda name, kind: F.col(f"payload.{name}").cast(kind) if name in held else F.lit(None).cast(kind)
+    columns = [part(n, "string").alias(n) for n in ("chunk_id", "file_id", "source_id", "file_name")]
+    columns += [F.coalesce(part("text", "string"), F.lit("")).alias("text"), part("page", "int").alias("page"), F.coalesce(part("category", "string"), F.lit("other")).alias("category")]
+    columns += [F.coalesce(part(n, "int"), F.lit(0)).alias(n) for n in ("chunk_idx", "offset_start", "offset_end")]
+    return points.select("id", *columns)
+
+
+def with_label(files: DataFrame, sources: DataFrame) -> DataFrame:
+    """JOIN-12: files with their source's name; files whose source is gone stay, without one."""
+    return files.join(sources.select("source_id", F.col("name").alias("source_label")), "source_id", "left")
+
+
+def ensure_table(spark, name: str, columns: str, required: tuple[str, ...] = ("dense",), by: str = "source_id") -> bool:
+    """SNK-1: whether the table was made. One that has the ``required`` columns stays as it is; any other is dropped and made anew, partitioned."""
+    if spark.catalog.tableExists(name):
+        if set(required) <= set(spark.table(name).columns):
+            return False
+        spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY ({by})")
+    return True

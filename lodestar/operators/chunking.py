@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Sizes in tokens, characters of a token, separators from the coarsest to the finest.
 SIZE, OVERLAP, TOKEN_CHARS = 512, 64, 4
@@ -72,6 +73,12 @@ def page_at(page_map: Column, offset: Column) -> Column:
     return F.coalesce(F.try_element_at(before, F.lit(-1))["page"], F.try_element_at(page_map, F.lit(1))["page"])
 
 
+def page_offsets(pages: DataFrame, key: str, page: str = "page", text: str = "text") -> DataFrame:
+    """WIN-5: pages (one row each) with the offset at which each begins in its document; nothing stands between pages."""
+    before = Window.partitionBy(key).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
+    return pages.withColumn("start", F.coalesce(F.sum(F.length(text)).over(before), F.lit(0)))
+
+
 def chunks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = SIZE, overlap: int = OVERLAP, pages_col: str | None = None) -> DataFrame:
     """One row per chunk: doc_id, chunk_id, chunk_idx, text, page, offset_start, offset_end. Null texts have none.
 

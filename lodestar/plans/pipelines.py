@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from ..functions.formats import index_status
 from ..operators import catalog as ct
 from ..operators import chunking, encoders, evaluate, prompts
 from ..operators import retrieval as rt
+from ..session import stage
 from ..sources import extract, scan
 
 
@@ -83,11 +85,22 @@ def retrieve_multi(variants: DataFrame, chunks: DataFrame, k: int, options: Opti
 
 
 def search(queries: DataFrame, chunks: DataFrame, files: DataFrame, page: int = 1, limit: int = 15, category: str | None = None, source_id: str | None = None, options: Options = Options()) -> DataFrame:
-    """PIPE-6: best chunk of each file among 20 chunks, a page of files (qid, question); see ``list_files`` for blank and ``name_search`` for plain queries."""
+    """PIPE-6's retrieval: best chunk of each file among 20 chunks, a page of files (qid, question)."""
     hits = retrieve(queries, chunks, 20, options, source_id, [category] if category else None, use_mmr=False)
     return rt.group_hits(hits.select("qid", "file_id", "score", "rank", "text"), files, page, limit)
 
 
+def search_files(question: str, chunks: DataFrame | None, files: DataFrame, page: int = 1, limit: int = 15, category: str | None = None, source_id: str | None = None, options: Options = Options()) -> DataFrame:
+    """PIPE-6 for one query: a blank one lists the files; without chunks, or where retrieval can't be planned, names and paths are matched instead."""
+    if question.strip() and chunks is not None:
+        try:
+            asked = files.sparkSession.createDataFrame([(0, question)], "qid long, question string")
+            return search(asked, chunks, files, page, limit, category, source_id, options)
+        except (AnalysisException, ValueError):  # an encoder or scorer that doesn't fit
+            pass
+    return list_files(files, page, limit, category, source_id, question)
+
+
 def list_files(files: DataFrame, page: int = 1, limit: int = 15, category: str | None = None, source_id: str | None = None, query: str = "") -> DataFrame:
     """PIPE-6 without retrieval: a blank query lists, another matches names and paths; by name."""
     rows = ct.with_source(ct.equality(files, category=category), source_id)
@@ -95,8 +108,13 @@ def list_files(files: DataFrame, page: int = 1, limit: int = 15, category: str |
     return ct.page(rows, page, limit, F.asc("name"), F.asc("file_id"))
 
 
-def ask(questions: DataFrame, chunks: DataFrame, k: int = 5, options: Options = Options(), variants: DataFrame | None = None, source_id: str | None = None, categories: list[str] | None = None, answer: Column | None = None, full_context: bool = False) -> tuple[DataFrame, DataFrame]:
-    """PIPE-7: (citations, answers): answers have qid, question, prompt, has_hits, answer; without hits a fixed one."""
+def ask(questions: DataFrame, chunks: DataFrame, k: int = 5, options: Options = Options(), variants: DataFrame | None = None, source_id: str | None = None, categories: list[str] | None = None, answer: Column | None = None, full_context: bool = False, expander: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """PIPE-7: (citations, answers): answers have qid, question, prompt, has_hits, answer; without hits a fixed one.
+
+    ``expander`` (text over question, a variant a line) makes the variants, unless they are given.
+    """
+    if variants is None and expander is not None:
+        variants = encoders.expanded(questions, expander)
     hits = retrieve_multi(variants, chunks, k, options, source_id, categories) if variants is not None else retrieve(questions, chunks, k, options, source_id, categories)
     made = prompts.prompts(questions, hits)
     text = encoders.extractive_answer(F.regexp_extract("prompt", r"(?s)Passages:\n(.*)\n\nQuestion:", 1), F.col("question")) if answer is None else answer
@@ -112,11 +130,13 @@ def prepare(files: DataFrame, root: str, options: Options = Options(), registry:
     texts = extract.extract(wanted.select("path", "extension", "content"), registry)
     rows = wanted.drop("content").join(texts, "path").withColumn("context", tx.path_context(F.col("path"), F.lit(root)))
     rows = rows.withColumn("error", F.when(F.col("error") == "unsupported", "skipped").otherwise(F.col("error")))
+    rows = stage(rows, "extracted")  # every file is read and extracted once
     usable = chunking.rescue(rows.filter(F.col("error").isNull()))
     cut = chunking.chunks(usable, id_col="path", pages_col="page_map").withColumnRenamed("doc_id", "path")
     cut = cut.join(usable.select("path", "context", "category", "extension", F.col("name").alias("file_name")), "path")
     passages = cut.select(F.col("chunk_id").alias("id"), tx.embed_text(F.col("context"), F.col("text")).alias("text"))
     made = cut.join(options.encoder(passages).select(F.col("id").alias("chunk_id"), F.col("vector").alias("dense")), "chunk_id", "left").withColumn("file_id", F.col("path"))
+    made = stage(made, "chunks")  # and encoded once
     counts = made.groupBy("path").agg(F.count("dense").alias("indexed_chunks"), F.count("*").alias("n_chunks"))
     status = rows.select("path", "extractor", "error").join(counts, "path", "left").na.fill(0, ["indexed_chunks", "n_chunks"])
     lost = (F.col("n_chunks") > 0) & (F.col("indexed_chunks") == 0)
@@ -124,6 +144,13 @@ def prepare(files: DataFrame, root: str, options: Options = Options(), registry:
     return made.filter(F.col("dense").isNotNull()), status
 
 
+def index_file(files: DataFrame, path: str, chunks: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+    """PIPE-5: (chunks with those of this file replaced, its status) of one scanned file, without path context."""
+    made, status = prepare(files.filter(F.col("path") == path), "", options)
+    made = made.withColumn("context", F.lit(""))
+    return ct.delete_where(chunks, F.col("file_id") == path).unionByName(made, allowMissingColumns=True), status
+
+
 def ingest(spark, root: str, source_id: str, catalog: DataFrame | None = None, chunks: DataFrame | None = None, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
     """PIPE-1, PIPE-2: (files, chunks) of a source after a scan; with a catalog only what the incremental diff finds is read again."""
     listing = scan.scan(spark, root, content=True)
