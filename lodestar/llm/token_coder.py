@@ -35,8 +35,6 @@ BLOCK_IDS, SEGMENT_BYTES = 4096, 24 << 20
 SLOTS, REFRESH, CONTEXTS = 512, 256, 4096
 #: Cells of code space: of the shares, of an order-1 distribution at most, of order 0. Least count of a pair of ids in order 1.
 SHARE_BITS, PAIR_BITS, SINGLE_BITS, LEAST = 16, 12, 18, 2
-#: Bits of a place in a segment.
-PLACE_BITS = 32
 #: The coder's interval is below 1 << 52 (float division of such numbers is exact) and gives off 32 bits when it is below 1 << 20.
 LOW, OUT = 20, 32
 MAGIC = 0x4C535433
@@ -73,7 +71,7 @@ class FirstState:
         #: Of every entry: its first cell << 32 | cells << 16 | successor + 1; of every context: its first cell among all << 5 | bits.
         self.place = self.start << 32 | size << 16 | successor + 1
         self.where = self.base << 5 | bits
-        self.codes = np.full(1 << 16, len(ids), np.int64)
+        self.codes = np.full(1 << 16, len(ids), np.int32)
         self.codes[ids] = np.arange(len(ids))
         self.single_start = np.cumsum(single) - single
 
@@ -84,44 +82,37 @@ class FirstState:
         by_rank = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]
         state = cls(by_rank, np.ones(len(by_rank), np.int64), *[np.zeros(0, np.int64)] * 4)
         code = state.codes.take(ids)
-        context = state.contexts(code, block)
-        packed = (context * (CONTEXTS + 1) + np.minimum(code, CONTEXTS)) << PLACE_BITS
-        packed |= np.arange(len(ids))
-        packed.sort()
-        keys = (packed >> PLACE_BITS).astype(np.int32)
+        known = np.minimum(code, CONTEXTS)
+        pair = np.empty_like(known)  # context and successor as one number
+        np.multiply(known[:-1], CONTEXTS + 1, out=pair[1:])
+        pair[::block] = CONTEXTS * (CONTEXTS + 1)
+        pair += known
+        keys = np.sort(pair)
         at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         times, keys = np.diff(np.append(at, len(keys))), keys[at].astype(np.int64)
         owner, successor = keys // (CONTEXTS + 1), keys % (CONTEXTS + 1)
         n = np.bincount(owner, weights=times, minlength=CONTEXTS + 1).astype(np.int64)
         bits = np.clip(np.frexp(n.astype(np.float64))[1] - 1, 2, PAIR_BITS)
-        keep = (successor < CONTEXTS) & (times >= np.maximum(LEAST, n[owner] >> PAIR_BITS))
-        more = np.bincount(owner[keep], minlength=CONTEXTS + 1)
+        kept = (successor < CONTEXTS) & (times >= np.maximum(LEAST, n[owner] >> PAIR_BITS))
+        more = np.bincount(owner[kept], minlength=CONTEXTS + 1)
         bits = np.maximum(bits, np.frexp(more.astype(np.float64) + 1)[1] + 1)  # half of the cells at least are for counts
-        owner_of, kept, every = owner, keep, times
-        owner, successor, times = owner[keep], successor[keep], times[keep]
-        escaped = n - np.bincount(owner, weights=times, minlength=CONTEXTS + 1).astype(np.int64)
-        where = np.concatenate([np.arange(CONTEXTS + 1), owner])
+        escaped = n - np.bincount(owner[kept], weights=times[kept], minlength=CONTEXTS + 1).astype(np.int64)
+        where = np.concatenate([np.arange(CONTEXTS + 1), owner[kept]])
         order = np.argsort(where, kind="stable")  # the escape comes first
-        size = _quantised(np.concatenate([np.maximum(escaped, 0), times])[order], where[order], np.int64(1) << bits)
-        found = cls(by_rank, state.single, bits, np.bincount(where, minlength=CONTEXTS + 1), np.concatenate([np.full(CONTEXTS + 1, -1), successor])[order], size)
-        entry_of = found.first[owner_of]  # of every pair its entry, which is its context's escape if it has none
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        entry_of[kept] = back[CONTEXTS + 1 :]
-        entry = np.empty(len(ids), np.int32)
-        packed &= (1 << PLACE_BITS) - 1
-        entry[packed] = np.repeat(entry_of.astype(np.int32), every)
+        size = _quantised(np.concatenate([np.maximum(escaped, 0), times[kept]])[order], where[order], np.int64(1) << bits)
+        found = cls(by_rank, state.single, bits, np.bincount(where, minlength=CONTEXTS + 1), np.concatenate([np.full(CONTEXTS + 1, -1), successor[kept]])[order], size)
+        entry_of = found.first[owner]  # of every pair its entry, which is its context's escape if it has none
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        entry_of[kept] = place[CONTEXTS + 1 :]
+        table = np.zeros((CONTEXTS + 1) * (CONTEXTS + 1), np.int32)
+        table[keys] = entry_of
+        entry = table.take(pair)
         rest = np.bincount(code[found.successor.take(entry) < 0], minlength=len(by_rank))
         found.single = _quantised(rest, np.zeros(len(rest), np.int64), np.array([1 << SINGLE_BITS]))
         found.single_start = np.cumsum(found.single) - found.single
         return found, code, entry
 
-    def contexts(self, code: np.ndarray, block: int) -> np.ndarray:
-        out = np.empty_like(code)
-        out[1:] = code[:-1]
-        out[::block] = CONTEXTS
-        return np.minimum(out, CONTEXTS, out=out)
-
     def to_bytes(self) -> bytes:
         gaps = np.diff(self.successor, prepend=-1)
         gaps[self.first] = 0
@@ -165,7 +156,7 @@ class Shares:
         new[low] = (code[low] << 4) + 1
         self.table[self.slot] = new
         np.add(case, self.lane_cases, out=self.past[self.steps])
-        self.hash = code * 0x9E3B1 + (self.last << 5)
+        self.hash = code * np.int64(0x9E3B1) + (self.last << np.int64(5))
         self.last = code
         self.steps += 1
         if self.steps == REFRESH:  # a mean in which the past weighs as much as eight predictions
