@@ -43,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             base = found.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             base = tempfile.mkdtemp(prefix="lodestar-shared-")
             atexit.register(shutil.rmtree, base, True)
@@ -62,6 +64,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``stage``, in buckets by ``key`` (as many as there are shuffle partitions): grouping by it, or with another such table, needs no shuffle.
+
+    The table's files are below the shared folder; its name stays in the session's catalog.
+    """
+    table = f"lodestar_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(task_count(df.sparkSession), key).option("path", staging_path(df.sparkSession, name)).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def clear_staging(spark: SparkSession) -> None:
     """Delete every staged table of this shared folder; call it when no result that reads them is in use."""
     jvm = spark.sparkContext._jvm
