@@ -136,6 +136,6 @@ def range_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
-def tail(keys: np.ndarray, bits: int, k: int) -> np.ndarray:
-    """The bits after the range's: 56 of a word's, 40 of a longer n-gram's (one of a million in a range shares another's)."""
-    return keys << np.uint64(bits) >> np.uint64(8 if k == 1 else 24)
+def tail(keys: np.ndarray, bits: int, dropped: int = 8) -> np.ndarray:
+    """The bits after the range's ``bits``, but for the last ``dropped`` of the rest."""
+    return keys << np.uint64(bits) >> np.uint64(dropped)

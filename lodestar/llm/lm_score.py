@@ -6,19 +6,22 @@ leave-one-out chance of a new continuation. A seen hw is an arc of weight log10
 failure arc of weight log10 l to the shorter context, down to p_1 = (c + 1) / (N + V + 1).
 
 The model is as large as the corpus, so no task ever holds it. Texts become blocks (a dictionary of word hashes
-and codes) on the shared folder; a block asks for its distinct n-grams only, in packed key ranges; the owner of a
-range sums all training counts and answers each block; the block then holds the part of the automaton that its
-texts can reach, and one left-to-right traversal of all its texts in step carries each text's state and
-accumulates its log-probability. Nothing is pruned, capped or sampled.
-
-Words are 64-bit hashes, of which 56 travel beside their range's number, of longer n-grams 40. Defined results: null text is empty and has
-only the end token; rows with a null doc_id are training rows; an empty table gives an empty result; repeated
-rows count each; other columns are not read.
+and codes) in buckets on the shared folder; a block asks for its distinct n-grams only, in packed key ranges; the owner of
+a range sums all training counts and answers each block with what others add to its own; the answers meet the block's bucket
+without another shuffle of the blocks. The block then holds the part of the automaton that its texts can reach, and one
+left-to-right traversal of all its texts in step carries each text's state and accumulates its log-probability. Nothing is
+pruned, capped or sampled.
+
+Words are 64-bit hashes, of which 56 travel beside their range's number, of longer n-grams 48. Defined results: null text is
+empty and has only the end token; rows with a null doc_id are training rows; rows that repeat a doc_id are scored and count
+each; no two n-grams tie, since weights are exact functions of counts; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import stage_buckets
 from .arrays import LOWER, groups, mix, pack, range_of, slices, span_hashes, tail, text_bytes, unpack, words
 
 #: Highest n-gram length; bytes of text in a block; tokens a key range stands for.
-ORDER, BLOCK_BYTES, RANGE_TOKENS = 2, 9 << 20, 2_000_000
+ORDER, BLOCK_BYTES, RANGE_TOKENS = 3, 9 << 20, 2_000_000
 END, START = np.uint64(0x8F3A6B1C2D4E5F60), np.uint64(0x1B7C9D2E3F405162)
 STEP = np.uint64(0xD6E8FEB86659FD93)
-#: Powers of two of context counts.
-BINS = 48
+#: Powers of two of context counts; bits of a key that stay at home, of a word and of a longer n-gram.
+BINS, WORD_DROPPED, GRAM_DROPPED = 48, 8, 16
 
 
 def tokenize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +90,10 @@ def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return lengths, codes, unpack(row["words"], np.uint64), np.repeat(~np.array(row["held"], bool), lengths)
 
 
+def _dropped(k: int) -> int:
+    return WORD_DROPPED if k == 1 else GRAM_DROPPED
+
+
 def _requests(order: int, bits: int):
     schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("k", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
@@ -103,7 +110,7 @@ def _requests(order: int, bits: int):
                     edges = np.flatnonzero(np.diff(parts, prepend=-1, append=-1))
                     columns: list[list] = [[], [], [], [], []]
                     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                        for column, value in zip(columns, (int(parts[a]), row["block"], k, pack(np.diff(tail(distinct[a:b], bits, k), prepend=np.uint64(0))), pack(counts[a:b]))):
+                        for column, value in zip(columns, (int(parts[a]), row["block"], k, pack(np.diff(tail(distinct[a:b], bits, _dropped(k)), prepend=np.uint64(0))), pack(counts[a:b]))):
                             column.append(value)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
@@ -119,103 +126,176 @@ def _answers(bits: int):
     start_part = int(range_of(np.array([START]), bits)[0])
 
     def answer(table: pa.Table) -> pa.Table:
-        """All requests of one key range: sums by key, and for each block the sums of its keys in its order."""
+        """All requests of one key range: sums by key, and for each block what other blocks add to its keys' counts, in its order."""
         out: list[list] = [[], [], [], [], []]
         rows = table.to_pylist()
         for k in sorted({r["k"] for r in rows}):
             own = [r for r in rows if r["k"] == k]
             keys = [np.cumsum(unpack(r["keys"], np.uint64)) for r in own]
             counts = np.concatenate([unpack(r["counts"], np.uint32) for r in own])
-            distinct, place = groups(np.concatenate(keys) << np.uint64(8 if k == 1 else 24))
+            distinct, place = groups(np.concatenate(keys) << np.uint64(_dropped(k)))
             sums = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.uint64)
             seen = int((sums > 0).sum())
             if k == 1 and rows[0]["part"] == start_part:
-                seen -= int(sums[np.searchsorted(distinct, tail(np.array([START]), bits, 1)[0] << np.uint64(8))] > 0)
-            told, edge = sums[place], 0
+                seen -= int(sums[np.searchsorted(distinct, tail(np.array([START]), bits)[0] << np.uint64(WORD_DROPPED))] > 0)
+            told, edge = sums[place] - counts, 0
             for r, n in zip(own, map(len, keys)):
                 for column, value in zip(out, (r["block"], r["part"], k, pack(told[edge : edge + n]), seen if k == 1 else 0)):
                     column.append(value)
                 edge += n
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()))], names=["block", "part", "k", "sums", "seen"])
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()))], names=["block", "part", "k", "others", "seen"])
 
     return answer
 
 
+@dataclass
+class Counted:
+    """A block's n-grams: for each length the place of the one ending at each token among the distinct, and their corpus counts."""
+
+    lengths: np.ndarray
+    train: np.ndarray
+    places: list[np.ndarray]
+    counts: list[np.ndarray]
+    start: int
+
+    def at_tokens(self, k: int) -> np.ndarray:
+        return self.counts[k - 1][self.places[k - 1]]
+
+
+def _counted(row: dict, told: list[bytes], order: int) -> Counted:
+    """``told`` has what other blocks add to the counts of the block's distinct n-grams, in the order in which it asked (the start among the words)."""
+    lengths, codes, table, train = _read(row)
+    found = Counted(lengths, train, [], [], 0)
+    for k, (keys, others) in enumerate(zip(_grams(lengths, table[codes], order), told), 1):
+        distinct, place = groups(keys)
+        counts, others = np.bincount(place, weights=train, minlength=len(distinct)).astype(np.int64), unpack(others, np.uint64).astype(np.int64)
+        if k == 1:
+            at = int(np.searchsorted(distinct, START))
+            found.start = int(others[at]) + int((~np.array(row["held"], bool)).sum())
+            others = np.delete(others, at)
+        found.places.append(place)
+        found.counts.append(counts + others)
+    return found
+
+
 def _resolve(order: int):
     def resolve(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        """A block with the corpus counts of its distinct n-grams, and what it adds to the shares of new continuations."""
+        """What other blocks add to a block's distinct n-grams, and what the block adds to the shares of new continuations."""
         out = []
         told = sorted(answers.to_pylist(), key=lambda r: (r["k"], r["part"]))
         for row in blocks.to_pylist():
-            lengths, codes, table, train = _read(row)
-            sums = [np.concatenate([unpack(r["sums"], np.uint64) for r in told if r["k"] == k]) for k in range(1, order + 1)]
+            others = [pack(np.concatenate([unpack(r["others"], np.uint64) for r in told if r["k"] == k])) for k in range(1, order + 1)]
+            found = _counted(row, others, order)
             single, every = np.zeros((order, BINS)), np.zeros((order, BINS))
-            counts, start = _counts(lengths, table[codes], sums, order)
             for k in range(2, order + 1):
-                now, context = counts[k - 1][train], _context_counts(lengths, counts[k - 2], start, k)[train]
+                now, context = found.at_tokens(k)[found.train], _before(found.lengths, found.at_tokens(k - 1), found.start)[found.train]
                 slot = _bins(context)
                 every[k - 1] = np.bincount(slot, minlength=BINS)
                 single[k - 1] = np.bincount(slot[now == 1], minlength=BINS)
-            out.append(row | {"sums": [pack(s) for s in sums], "single": single.ravel().tolist(), "every": every.ravel().tolist(), "ranges": [{"part": r["part"], "seen": r["seen"]} for r in told if r["k"] == 1]})
+            out.append({"block": row["block"], "others": others, "single": single.ravel().tolist(), "every": every.ravel().tolist(), "ranges": [{"part": r["part"], "seen": r["seen"]} for r in told if r["k"] == 1]})
         return pa.Table.from_pylist(out, schema=_resolved_arrow)
 
     return resolve
 
 
-_resolved_arrow = pa.schema([("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("words", pa.binary()), ("codes", pa.binary()), ("train", pa.int64()), ("sums", pa.list_(pa.binary())), ("single", pa.list_(pa.float64())), ("every", pa.list_(pa.float64())), ("ranges", pa.list_(pa.struct([("part", pa.int64()), ("seen", pa.int64())])))])
-_resolved = "doc_ids array<long>, held array<boolean>, lengths binary, words binary, codes binary, train long, sums array<binary>, single array<double>, every array<double>, ranges array<struct<part: long, seen: long>>"
+_resolved_arrow = pa.schema([("block", pa.int64()), ("others", pa.list_(pa.binary())), ("single", pa.list_(pa.float64())), ("every", pa.list_(pa.float64())), ("ranges", pa.list_(pa.struct([("part", pa.int64()), ("seen", pa.int64())])))])
+_resolved = "block long, others array<binary>, single array<double>, every array<double>, ranges array<struct<part: long, seen: long>>"
 
 
 def _bins(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1].clip(0, BINS - 1)
 
 
-def _counts(lengths: np.ndarray, tokens: np.ndarray, sums: list[np.ndarray], order: int) -> tuple[list[np.ndarray], int]:
-    """(corpus counts of the n-gram ending at each token, by length; the count of the start)."""
-    counts, start = [], 0
-    for k, keys in enumerate(_grams(lengths, tokens, order), 1):
-        distinct, place = groups(keys)
-        known = sums[k - 1].astype(np.int64)
-        if k == 1:
-            at = int(np.searchsorted(distinct, START))
-            start, known = int(known[at]), np.delete(known, at)
-        counts.append(known[place])
-    return counts, start
-
-
-def _context_counts(lengths: np.ndarray, shorter: np.ndarray, start: int, k: int) -> np.ndarray:
-    """How often the k - 1 tokens before each token occur in training texts; a text's first token follows its start."""
-    out = np.empty(len(shorter), np.int64)
-    out[1:] = shorter[:-1]
+def _before(lengths: np.ndarray, values: np.ndarray, start: int) -> np.ndarray:
+    """The value of the token before each; of a text's first token that of the start."""
+    out = np.empty(len(values), np.int64)
+    out[1:] = values[:-1]
     out[np.cumsum(lengths) - lengths] = start
     return out
 
 
-def _traverse(lengths: np.ndarray, seen: list[np.ndarray], arcs: list[np.ndarray], fails: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each text: all texts advance together, each from the state its last token left it in.
+@dataclass
+class Automaton:
+    """States are 0 (no context) and contexts of up to order - 1 tokens; ``level`` has their length.
+
+    Arc a leads from source[a] to target[a] with weight[a]; a failure arc from every state s but 0 to fail[s] with fail_weight[s].
+    lookup[k, i] is the arc of the (k + 1)-gram that ends at token i, -1 if the corpus doesn't have it: an index by place instead
+    of a table by (state, word), which a traversal checks against the arc's source.
+    """
 
-    seen[k][i]: whether the state reached by k tokens before token i has an arc for it, of weight arcs[k][i];
-    fails[k][i]: the weight of that state's failure arc.
+    source: np.ndarray
+    target: np.ndarray
+    weight: np.ndarray
+    fail: np.ndarray
+    fail_weight: np.ndarray
+    level: np.ndarray
+    lookup: np.ndarray
+    start: int
+
+
+def _automaton(found: Counted, order: int, room: float, share: np.ndarray) -> Automaton:
+    """The part of the corpus's automaton that a block's texts can reach."""
+    n, first = len(found.places[0]), np.cumsum(found.lengths) - found.lengths
+    sizes = [len(c) for c in found.counts[: order - 1]]
+    base = 1 + np.concatenate([[0], np.cumsum([s + 1 for s in sizes])]).astype(np.int64)  # the start is the last state of its level
+    n_states = int(base[-1])
+    ends = [found.places[k] + base[k] for k in range(order - 1)]  # the state of the context that ends at each token
+    starts = [int(base[k + 1]) - 1 for k in range(order - 1)]
+    fail, level, fail_weight = np.zeros(n_states, np.int64), np.zeros(n_states, np.int8), np.zeros(n_states)
+    for k in range(order - 1):
+        own = slice(int(base[k]), int(base[k + 1]))
+        level[own] = k + 1
+        if k:
+            fail[ends[k]] = ends[k - 1]
+            fail[starts[k]] = starts[k - 1]
+        held = np.append(found.counts[k], found.start)
+        fail_weight[own] = np.log10(np.where(held > 0, share[k + 1][_bins(held)], 1.0))
+    lookup, sources, targets, weights, made = np.full((order, n), -1, np.int32), [], [], [], 0
+    p = None
+    for k in range(order):
+        counts, place = found.counts[k], found.places[k]
+        sample = np.zeros(len(counts), np.int64)
+        sample[place] = np.arange(n)
+        if k:
+            source = _before(found.lengths, ends[k - 1], starts[k - 1])[sample]
+            context = np.append(found.counts[k - 1], found.start)[source - base[k - 1]]
+            left = 10.0 ** fail_weight[source]
+            p = left * p[found.places[k - 1][sample]] + (1 - left) * counts / np.maximum(context, 1)
+        else:
+            source, p = np.zeros(len(counts), np.int64), (counts + 1) / room
+        seen = np.flatnonzero(counts > 0) if k else np.arange(len(counts))
+        arc = np.full(len(counts), -1, np.int32)
+        arc[seen] = made + np.arange(len(seen))
+        lookup[k] = arc[place]
+        sources.append(source[seen])
+        targets.append(ends[min(k, order - 2)][sample[seen]] if order > 1 else np.zeros(len(seen), np.int64))
+        weights.append(np.log10(p[seen]))
+        made += len(seen)
+    return Automaton(*[np.concatenate(x) for x in (sources, targets, weights)], fail, fail_weight, level, lookup, starts[-1] if starts else 0)
+
+
+def _traverse(lengths: np.ndarray, a: Automaton) -> np.ndarray:
+    """log10 probability of each text: all texts advance together, each from the state that its last token left it in.
+
+    Where a state has no arc for the token, its failure arc is taken, and then that state's; state 0 has one for every token.
     """
     score, order = np.zeros(len(lengths)), np.argsort(-lengths, kind="stable")
     first, left = (np.cumsum(lengths) - lengths)[order], lengths[order]
     alive = np.searchsorted(-left, -np.arange(int(left.max(initial=0))), "left")
-    total = np.zeros(len(lengths))
-    state = np.full(len(lengths), len(arcs) - 1)  # the start is a state of the highest order
-    top = len(arcs) - 1
-    for t, n in enumerate(alive.tolist()):
-        at, now = first[:n] + t, state[:n]
-        step, open_ = np.zeros(n), np.ones(n, bool)
-        reached = np.zeros(n, np.int64)
-        for k in range(top, 0, -1):
-            here = open_ & (now >= k)
-            arc = here & seen[k][at]
-            step += np.where(arc, arcs[k][at], np.where(here, fails[k][at], 0.0))
-            reached[arc] = k
-            open_ &= ~arc
-        step += np.where(open_, arcs[0][at], 0.0)
-        total[:n] += step
-        np.minimum(reached + 1, top, out=state[:n])
+    total, state = np.zeros(len(lengths)), np.full(len(lengths), a.start)
+    flat, n = a.lookup.ravel(), a.lookup.shape[1]
+    for t, k in enumerate(alive.tolist()):
+        rows, at, now = np.arange(k), first[:k] + t, state[:k].copy()
+        while len(rows):
+            arc = flat.take(a.level.take(now) * np.int64(n) + at)
+            has = (arc >= 0) & (a.source.take(arc) == now)
+            taken = arc[has]
+            total[rows[has]] += a.weight.take(taken)
+            state[rows[has]] = a.target.take(taken)
+            has = ~has
+            rows, at, now = rows[has], at[has], now[has]
+            total[rows] += a.fail_weight.take(now)
+            now = a.fail.take(now)
     score[order] = total
     return score
 
@@ -224,30 +304,22 @@ def _score(order: int, total: int, distinct: int, share: np.ndarray):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     room = float(total + distinct + 1)
 
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            for row in batch.to_pylist():
-                lengths, codes, table, _ = _read(row)
-                if not len(lengths):
-                    continue
-                tokens = table[codes]
-                counts, start = _counts(lengths, tokens, [unpack(s, np.uint64) for s in row["sums"]], order)
-                edges = np.cumsum(lengths) - lengths
-                p = (counts[0] + 1) / room
-                base = np.log10(p)
-                arcs, seen, fails = [base], [np.ones(len(tokens), bool)], [np.zeros(0)]
-                for k in range(2, order + 1):
-                    context = _context_counts(lengths, counts[k - 2], start, k)
-                    left = np.where(context > 0, share[k - 1][_bins(context)], 1.0)
-                    p = left * p + (1 - left) * counts[k - 1] / np.maximum(context, 1)
-                    seen.append(counts[k - 1] > 0)
-                    arcs.append(np.log10(p))
-                    fails.append(np.log10(left))
-                score = _traverse(lengths, seen, arcs, fails)
-                sums = lambda x: np.add.reduceat(x, edges)  # noqa: E731  every text has its end token
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"]), pa.array(lengths), pa.array(sums((counts[0] > 0).astype(np.int64))), pa.array(np.full(len(lengths), total)), pa.array(sums(base)), pa.array(score)], schema=schema)
+    def scores(blocks: pa.Table, resolved: pa.Table) -> pa.Table:
+        """The automaton that a block's texts can reach, and its traversal."""
+        told, out = {r["block"]: r["others"] for r in resolved.select(["block", "others"]).to_pylist()}, []
+        for row in blocks.to_pylist():
+            found = _counted(row, told[row["block"]], order)
+            lengths = found.lengths
+            if not len(lengths):
+                continue
+            edges, words_seen = np.cumsum(lengths) - lengths, found.at_tokens(1)
+            score = _traverse(lengths, _automaton(found, order, room, share))
+            base = np.log10((words_seen + 1) / room)
+            sums = lambda x: np.add.reduceat(x, edges)  # noqa: E731  every text has its end token
+            out.append(pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"]), pa.array(lengths), pa.array(sums((words_seen > 0).astype(np.int64))), pa.array(np.full(len(lengths), total)), pa.array(sums(base)), pa.array(score)], schema=schema))
+        return pa.Table.from_batches(out, schema)
 
-    return batches
+    return scores
 
 
 def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", held: Column | None = None, order: int = ORDER) -> DataFrame:
@@ -255,14 +327,16 @@ def score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", held:
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigram) and score, log10 probabilities.
     """
-    blocks = stage(_blocks(docs, F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.lit(False) if held is None else held), "lm-blocks")
+    blocks = stage_buckets(_blocks(docs, F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.lit(False) if held is None else held), "lm-blocks", "block")
     sizes = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("train"), F.lit(0)).alias("train")).first()
     bits = max(0, (int(sizes["tokens"]) * order // RANGE_TOKENS).bit_length())
     requests = blocks.select("block", "held", "lengths", "words", "codes").mapInArrow(_requests(order, bits), "part long, block long, k int, keys binary, counts binary")
-    answers = requests.groupBy("part").applyInArrow(_answers(bits), "block long, part long, k int, sums binary, seen long")
-    resolved = stage(blocks.drop("tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_resolve(order), _resolved), "lm-resolved")
+    answers = requests.groupBy("part").applyInArrow(_answers(bits), "block long, part long, k int, others binary, seen long")
+    payload = blocks.select("block", "doc_ids", "held", "lengths", "words", "codes").groupBy("block")
+    resolved = stage_buckets(payload.cogroup(answers.groupBy("block")).applyInArrow(_resolve(order), _resolved), "lm-resolved", "block")
     new = {(r["what"], r["pos"]): r["n"] for what in ("single", "every") for r in resolved.select(F.lit(what).alias("what"), F.posexplode(what).alias("pos", "n")).groupBy("what", "pos").agg(F.sum("n").alias("n")).collect()}  # order * BINS numbers
     single, every = (np.array([new.get((what, i), 0.0) for i in range(order * BINS)]).reshape(order, BINS) for what in ("single", "every"))
     share = (single + 1) / (every + 2)  # never 0 or 1: a new continuation is always possible
     distinct = resolved.select(F.explode("ranges").alias("r")).select("r.part", "r.seen").distinct().agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("n")).first()["n"]
-    return resolved.select("doc_ids", "held", "lengths", "words", "codes", "sums").mapInArrow(_score(order, int(sizes["train"]), int(distinct), share), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = _score(order, int(sizes["train"]), int(distinct), share)
+    return payload.cogroup(resolved.select("block", "others").groupBy("block")).applyInArrow(scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -120,7 +120,7 @@ def _requests(bits: int):
                 edges = np.flatnonzero(np.diff(parts, prepend=-1, append=-1))
                 columns: list[list] = [[] for _ in schema]
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                    for column, value in zip(columns, (int(parts[a]), row["block"], pack(np.diff(tail(digests[a:b], bits, 1), prepend=np.uint64(0))), pack(docs[a:b]), pack(first[a:b]), pack(second[a:b][docs[a:b] > 1]))):
+                    for column, value in zip(columns, (int(parts[a]), row["block"], pack(np.diff(tail(digests[a:b], bits), prepend=np.uint64(0))), pack(docs[a:b]), pack(first[a:b]), pack(second[a:b][docs[a:b] > 1]))):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
