@@ -15,7 +15,11 @@ its output is as long as its input; alternating stars join the roots to classes.
 Defined results: texts of fewer words are one shingle, texts without words are one class without links; null text is
 empty; rows that repeat a doc_id are judged each by its own text, and so are rows with a null doc_id; class_id is the least
 doc_id of the class and copy_id that of the equal sets, null only where no row has one; an empty table gives an empty
-result; other columns are not read.
+result; very long texts are whole sets like others; other columns are not read, whatever their names.
+
+Every join by a key that many rows may share (a bucket, a node with many copies, the root of a large class) broadcasts the few
+frequent keys. Counting the links among the n different texts of one group compares all of them, n / block * n / block products of
+matrices spread over as many groups; only counts and roots leave a group.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from ..session import stage, task_count
 from .arrays import LOWER, MIX1, MIX2, mix, slices, span_hashes, text_bytes, words
 from .components import components
+from .hot_keys import join_spread
 from .names import fresh
 
 #: Words of a shingle, least Jaccard similarity, recall of a pair at it.
@@ -144,7 +149,7 @@ def _alike(posts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, alike): the chance that two nodes of a bucket agree on a minimum of their sketches, under the bucket's own hash."""
     rows = posts.join(nodes.select("node", "sketch"), "node").select("key", "n", F.expr("array_min(transform(sketch, x -> xxhash64(x, key)))").alias("m"))
     held = rows.groupBy("key", "n", "m").agg(F.count("*").alias("c"))
-    return held.groupBy("key").agg((F.sum(F.col("c") * F.col("c")) / F.max(1.0 * F.col("n") * F.col("n"))).alias("alike"))
+    return held.groupBy("key").agg((F.sum(F.col("c") * F.col("c")) / F.max(1.0 * F.col("n") * F.col("n"))).alias("alike"), F.max("n").alias("n"))
 
 
 def leaves(nodes: DataFrame, limit: int) -> DataFrame:
@@ -160,13 +165,14 @@ def leaves(nodes: DataFrame, limit: int) -> DataFrame:
         else:
             tree = nodes.select("node", F.arrays_zip(F.col(f"from{level}").alias("up"), F.col(f"to{level}").alias("key")).alias("tree")).join(reached, "node")
             posts = tree.select("node", F.explode(F.expr("transform(filter(tree, x -> array_contains(ups, x.up)), x -> x.key)")).alias("key"))
-        sizes = posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        posts = stage(posts.join(sizes, "key").select("node", "key", "n"), f"posts{level}")
+        posts = stage(posts, f"paths{level}")
+        sizes, total = posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), posts.count()
+        posts = stage(join_spread(posts, sizes, "key", "n", total, F.xxhash64("node")), f"posts{level}")
         large = posts.filter(F.col("n") > limit)
         if level == DEPTH or large.isEmpty():
             return (posts if found is None else found.unionByName(posts)).select("node", F.col("key").alias("bucket"), "n")
-        alike = _alike(large, nodes).filter(F.col("alike") >= ALIKE).select("key")
-        large = stage(large.join(alike.withColumn("stuck", F.lit(True)), "key", "left").select("node", "key", "n", F.coalesce("stuck", F.lit(False)).alias("stuck")), f"large{level}")
+        alike = _alike(large, nodes).select("key", F.col("n").alias("m"), (F.col("alike") >= ALIKE).alias("stuck"))
+        large = stage(join_spread(large, alike, "key", "m", total, F.xxhash64("node")).drop("m"), f"large{level}")
         own = posts.filter(F.col("n") <= limit).unionByName(large.filter("stuck").drop("stuck"))
         found = own if found is None else found.unionByName(own)
         reached = large.filter("not stuck").groupBy("node").agg(F.collect_set("key").alias("ups"))  # at most a tree's keys
@@ -344,9 +350,10 @@ def _judged(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n:
     roots = components(judged.select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = copies.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stage(named, "named")
-    classes = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    answers = named.join(classes, "root").select("node", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copy_id", "n_copies")
-    return found.select("doc_id", "text_key", "node").join(answers, "node").select("doc_id", "text_key", "root", "class_id", "n_links", "copy_id", "n_copies")
+    classes = named.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.count("*").alias("n_nodes"))
+    answers = join_spread(named, classes, "root", "n_nodes", named.count(), F.xxhash64("node")).select("node", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copy_id", "n_copies")
+    rows = join_spread(found.select("doc_id", "text_key", "node"), answers, "node", "n_copies", found.count(), F.xxhash64("doc_id", "text_key"))
+    return rows.select("doc_id", "text_key", "root", "class_id", "n_links", "copy_id", "n_copies")
 
 
 def similar_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:

@@ -108,3 +108,39 @@ def test_null_and_repeated_ids(spark):
     kept = [(r.doc_id, r.text) for r in chosen_path.keep_one(docs, recall=0.99999999).collect()]
     one = [x for x in kept if x[1] in (text(1), text(1, 2))]
     assert len(one) == 1 and sorted(set(kept) - set(one), key=str) == sorted([(1, text(0)), (None, text(2)), (2, text(3)), (2, text(4)), (5, "a b c")], key=str) and len(kept) == 7
+
+
+def test_recall_of_the_registered_settings(spark):
+    """Thousands of true links near the threshold, at the parameters of the query."""
+    rng = random.Random(21)
+    rows = []
+    for g in range(160):
+        base = [f"{g}w{rng.randrange(10**6)}" for _ in range(110)]
+        for c in range(8):
+            own = list(base)
+            own[rng.randrange(len(own))] = f"x{c}"
+            rows.append((len(rows), " ".join(own)))
+    want = 0
+    for g in range(160):
+        sets = [shingles(t) for _, t in rows[8 * g : 8 * g + 8]]
+        want += sum(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[i + 1 :])
+    got = chosen_path.similar_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    found = sum(r.n_links for r in got) / 2
+    assert want > 3000 and 0.99 * want <= found <= want
+    assert all(r.class_id // 8 == r.doc_id // 8 for r in got) and sum(r.class_id % 8 == 0 for r in got) > 0.99 * len(got)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(2)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(40_000)]
+    near = list(long)
+    near[7] = "other"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, "word " * 50_000), (4, "word " * 50_001), (5, "x" * 300_000)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in chosen_path.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (3, 0), 5: (5, 0)}
+
+
+def test_columns_named_like_helpers(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", 1), (2, "a b c d e f", "y", 2), (3, "z", "z", 3)], "doc_id long, text string, _kept string, _key int")
+    kept = chosen_path.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, "a b c d e f", "x", 1), (3, "z", "z", 3)]
