@@ -38,8 +38,10 @@ SHARE_BITS, PAIR_BITS, SINGLE_BITS, LEAST = 16, 12, 18, 2
 #: The coder's interval is below 1 << 52 (float division of such numbers is exact) and gives off 32 bits when it is below 1 << 20.
 LOW, OUT = 20, 32
 MAGIC = 0x4C535433
-#: What a confidence changes by: up to 15 by one if the prediction was right, else down by two (below two the id is replaced).
-NEXT = np.array([0, 0, *[-2] * 14, *[1] * 15, 0], np.int32)
+#: What a confidence changes by: after a wrong prediction, after a right one.
+STEP = np.array([0, 0, *[-2] * 14, *[1] * 15, 0], np.int32)
+#: Multiplier of the last code in an order-2 context's hash.
+HASH = np.int32(0x9E3B1)
 #: Shares of 1 << SHARE_BITS that predictions have at first, by confidence.
 FIRST = np.array([1, *[(1 << SHARE_BITS) * (i + 2) // 20 for i in range(15)]], np.int64)
 
@@ -139,28 +141,26 @@ class Shares:
         self.lane_slots, self.lane_levels, self.lane_cases = lane * SLOTS, lane * 16, lane * 32
         self.table = np.zeros(lanes * SLOTS, np.int32)  # code << 4 | confidence
         self.share = np.tile(FIRST, lanes)
-        self.hash, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.past, self.steps = np.empty((REFRESH, lanes), np.int64), 0
+        self.hash, self.last = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.past, self.steps = np.empty((REFRESH, lanes), np.uint8), 0
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """(code predicted, share of 1 << SHARE_BITS)."""
         self.slot = (self.hash >> 7 & SLOTS - 1) + self.lane_slots
-        self.held = self.table.take(self.slot)
+        self.held = self.table[self.slot]
         self.level = self.held & 15
-        return self.held >> 4, self.share.take(self.level + self.lane_levels)
+        return self.held >> 4, self.share[self.level + self.lane_levels]
 
     def learn(self, code: np.ndarray, hit: np.ndarray) -> None:
-        case = self.level + (hit.view(np.int8) << np.int8(4))
-        new = self.held + NEXT.take(case)
-        low = (case < 2).nonzero()[0]
-        new[low] = (code[low] << 4) + 1
-        self.table[self.slot] = new
-        np.add(case, self.lane_cases, out=self.past[self.steps])
-        self.hash = code * np.int64(0x9E3B1) + (self.last << np.int64(5))
+        """A confidence grows by one up to 15 if the prediction was right, else falls by two; below two the code (32 bits) is replaced."""
+        case = self.level + (hit.astype(np.int32) << 4)
+        self.table[self.slot] = np.where(case < 2, code << 4 | 1, self.held + STEP[case])
+        self.past[self.steps] = case
+        self.hash = code * HASH + (self.last << 5)
         self.last = code
         self.steps += 1
         if self.steps == REFRESH:  # a mean in which the past weighs as much as eight predictions
-            n = np.bincount(self.past.ravel(), minlength=len(self.share) * 2).reshape(-1, 2, 16)
+            n = np.bincount((self.past + self.lane_cases).ravel(), minlength=len(self.share) * 2).reshape(-1, 2, 16)
             right = (self.share.reshape(-1, 16) * 8 + (n[:, 1] << SHARE_BITS)) // (8 + n.sum(1))
             self.share = np.clip(right, 1, 15 << SHARE_BITS - 4).ravel()
             self.steps = 0
@@ -198,7 +198,7 @@ def encode_blocks(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
         hit = guess == now
         rows = hit.nonzero()[0]
         kept_low, kept_span = low[rows], edge[rows]
-        found = place.take(entry)
+        found = place[entry]
         unit = (span - edge) >> (found & 31)
         low += edge
         low += (found >> 37) * unit
@@ -278,15 +278,15 @@ def _decode_lanes(state: FirstState, blocks: list[bytes], width: int) -> np.ndar
         hit = code < edge
         rows = hit.nonzero()[0]
         kept_code, kept_span = code[rows], edge[rows]
-        at_context = where.take(context)
+        at_context = where[context]
         bits = at_context & 31
         unit = (span - edge) >> bits
         code -= edge
         cell = (code / unit).astype(np.int64)  # exact: both are below 1 << 53
-        np.minimum(cell, last_cell.take(bits), out=cell)
+        np.minimum(cell, last_cell[bits], out=cell)
         cell[rows] = 0
         cell += at_context >> 5
-        found = place.take(inverse.take(cell))
+        found = place[inverse[cell]]
         code -= (found >> 32) * unit
         span = (found >> 16 & 0xFFFF) * unit
         now = (found & 0xFFFF) - 1
@@ -302,7 +302,7 @@ def _decode_lanes(state: FirstState, blocks: list[bytes], width: int) -> np.ndar
         shift((span < 1 << LOW).nonzero()[0])
         out[t] = now
         context = np.minimum(now, CONTEXTS)
-        model.learn(now, hit)
+        model.learn(now.astype(np.int32), hit)
     return state.ids.take(out).T
 
 
