@@ -1,8 +1,8 @@
 """SRC-6..25, UDF-1: text of files by format, with the standard library only.
 
-An extractor takes the file's bytes and returns (text, [(page, start)], name). Formats that need models or libraries that
-aren't here (PDF, images, audio, video) are seams: register an extractor for their extensions. A failure is a row's
-error, never the task's.
+An extractor takes the file's bytes and returns (text, [(page, start)], name). Formats that need models (images, audio, video,
+PDF pages without a text layer) are seams: ``media_extractor`` makes one of models, or register an extractor for their
+extensions. A failure is a row's error, never the task's.
 """
 
 from __future__ import annotations
@@ -10,7 +10,9 @@ from __future__ import annotations
 import io
 import re
 import struct
+import wave
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -345,6 +347,118 @@ def join_pages(pages: list[str]) -> tuple[str, list[tuple[int, int]]]:
     return "".join(pages), starts
 
 
+_TOKENS = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/<>\[\]()%]*|[-+.\d]+|[A-Za-z'\"*]+", re.S)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(raw: bytes) -> bytes:
+    """The bytes of a literal or hexadecimal string."""
+    if raw[:1] == b"<":
+        digits = re.sub(rb"\s", b"", raw[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode("ascii"))
+    unescape = lambda m: b"" if m[1] in (b"\n", b"\r\n") else bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], m[1])
+    return re.sub(rb"\\([0-7]{1,3}|\r\n|.)", unescape, raw[1:-1], flags=re.S)
+
+
+def _pdf_objects(content: bytes) -> dict[int, tuple[bytes, bytes]]:
+    """(dictionary text, decoded stream) by object number, those in object streams included."""
+    found: dict[int, tuple[bytes, bytes]] = {}
+    for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", content, re.S):
+        head, _, rest = m[2].partition(b"stream")
+        body = rest.lstrip(b"\r\n").rpartition(b"endstream")[0] if rest else b""
+        if b"FlateDecode" in head:
+            try:
+                body = zlib.decompressobj().decompress(body)
+            except zlib.error:
+                body = b""
+        found[int(m[1])] = (head, body)
+    for head, body in list(found.values()):
+        if b"/ObjStm" in head and (first := re.search(rb"/First\s+(\d+)", head)):
+            numbers = [int(x) for x in body[: int(first[1])].split()]
+            edges = [*[int(first[1]) + at for at in numbers[1::2]], len(body)]
+            for number, a, b in zip(numbers[::2], edges, edges[1:]):
+                found.setdefault(number, (body[a:b], b""))
+    return found
+
+
+def _pdf_font(objects: dict[int, tuple[bytes, bytes]], number: int) -> tuple[dict[int, str], int]:
+    """(characters by code, bytes of a code) of a font, by its ToUnicode map; without one, Latin-1 of single bytes."""
+    ref = re.search(rb"/ToUnicode\s+(\d+)", objects.get(number, (b"", b""))[0])
+    if not ref:
+        return {}, 1
+    cmap, table = objects.get(int(ref[1]), (b"", b""))[1], {}
+    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+    for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+        table |= {int(a, 16): text(b) for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block)}
+    for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+        for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            table |= {int(a, 16) + i: text(c[:-4]) + chr(int(c[-4:], 16) + i) for i in range(min(int(b, 16) - int(a, 16), 65535) + 1)}
+    wide = re.search(rb"begincodespacerange\s*<([0-9A-Fa-f]+)>", cmap)
+    return table, len(wide[1]) // 2 if wide else 1
+
+
+def _pdf_page(stream: bytes, fonts: dict[bytes, tuple[dict[int, str], int]]) -> str:
+    """The text that a page's content shows; a move to another line starts one."""
+    out, stack, font = [], [], ({}, 1)
+
+    def show(raw: bytes) -> None:
+        table, width = font
+        data = _pdf_string(raw)
+        out.append("".join(table.get(int.from_bytes(data[i : i + width], "big"), "") for i in range(0, len(data), width)) if table else data.decode("latin-1"))
+
+    for token in _TOKENS.findall(stream):
+        if not re.match(rb"[A-Za-z'\"*]", token):
+            stack.append(token)
+            continue
+        if token in (b"Td", b"TD", b"T*", b"'", b'"', b"Tm") and out and out[-1] != "\n":
+            moved = stack[-1:] not in ([b"0"], [b"0.0"]) if token in (b"Td", b"TD") else True
+            out += ["\n"] if moved else [" "]
+        if token == b"Tf" and len(stack) > 1:
+            font = fonts.get(stack[-2], ({}, 1))
+        elif token in (b"Tj", b"'", b'"') and stack:
+            show(stack[-1])
+        elif token == b"TJ":
+            begin = len(stack) - 1 - stack[::-1].index(b"[") if b"[" in stack else 0
+            for item in stack[begin:]:
+                if item[:1] in b"(<":
+                    show(item)
+                elif re.fullmatch(rb"-\d+(\.\d+)?", item) and float(item) < -200:
+                    out.append(" ")  # a gap as wide as a space
+        stack = []
+    return "".join(out).strip("\n")
+
+
+@extractor("pdf", "pdf")
+def pdf(content: bytes) -> tuple[str, list[tuple[int, int]]]:
+    """SRC-8: the text layer of every page (uncompressed or Flate streams), pages end to end, with where each begins. Encrypted files fail; pages that are pictures have no text."""
+    if b"/Encrypt" in content:
+        raise ValueError("encrypted")
+    objects = _pdf_objects(content)
+    refs = lambda key, head: [int(x) for m in re.findall(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", head) for x in re.findall(rb"(\d+)\s+\d+\s+R", m)]
+
+    def pages(number: int, seen: frozenset) -> Iterator[int]:
+        head = objects.get(number, (b"", b""))[0]
+        if re.search(rb"/Type\s*/Pages\b", head):
+            for kid in refs(b"Kids", head):
+                if kid not in seen:
+                    yield from pages(kid, seen | {kid})
+        elif re.search(rb"/Type\s*/Page\b", head):
+            yield number
+
+    roots = [n for n, (head, _) in objects.items() if re.search(rb"/Type\s*/Pages\b", head) and not re.search(rb"/Parent\b", head)]
+    texts = []
+    for number in [p for r in roots for p in pages(r, frozenset([r]))]:
+        head = objects[number][0]
+        held = head
+        for ref in refs(b"Resources", head) + refs(b"Parent", head):
+            held += objects.get(ref, (b"", b""))[0]
+        for ref in refs(b"Font", held):
+            held += objects.get(ref, (b"", b""))[0]
+        fonts = {b"/" + name: _pdf_font(objects, int(ref)) for name, ref in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", held) if b"/Font" in objects.get(int(ref), (b"", b""))[0]}
+        texts.append(_pdf_page(b"\n".join(objects.get(c, (b"", b""))[1] for c in refs(b"Contents", head)), fonts))
+    return join_pages(texts)
+
+
 def run_one(content: bytes | None, ext: str | None, texty: bool, registry: dict[str, Extractor]) -> tuple[str | None, list | None, str | None, str | None]:
     """SRC-6: by extension, else as text if it looks like it: (text, page_map, extractor, error)."""
     use = registry.get((ext or "").lower()) or (registry[".txt"] if texty else None)
@@ -408,3 +522,87 @@ def image_size(content: bytes) -> tuple[int, int] | None:
                 return width, height
             at += 2 + length
     return None
+
+
+def media_extractor(kind: str, transcribe: Callable[[bytes], list[str]] | None = None, caption: Callable[[bytes], str] | None = None, read: Callable[[bytes], str] | None = None, frames: Callable[[bytes], list[bytes]] | None = None, interval: int = 30, most: int = 20) -> Extractor:
+    """SRC-10, SRC-22..24, UDF-7..9: an extractor of a kind (audio, image, video, pdf-ocr) from models, each of which may be missing or fail (its part is then left out)."""
+
+    def attempt(model, *args, default):
+        try:
+            return model(*args) or default if model else default
+        except Exception:  # noqa: BLE001  a part that fails is left out
+            return default
+
+    def run(content: bytes) -> Extracted:
+        if kind == "pdf-ocr":
+            text, pages = join_pages([attempt(read, page, default="") for page in attempt(frames, content, default=[])])
+            return text, pages, kind
+        spoken = " ".join(x.strip() for x in attempt(transcribe, content, default=[]) if x.strip())
+        if kind == "audio":
+            return spoken, [], kind
+        if kind == "image":
+            parts = [("Descripcion: ", attempt(caption, content, default="").strip()), ("Texto en la imagen: ", attempt(read, content, default="").strip())]
+            return "\n\n".join(label + x for label, x in parts if x), [], kind
+        seen = [(i * interval, attempt(caption, frame, default="")) for i, frame in enumerate(attempt(frames, content, default=[])[:most])]
+        lines = "\n".join(f"[{at // 60:02d}:{at % 60:02d}] {x}" for at, x in seen if x)
+        return "\n\n".join(x for x in (spoken, lines) if x), [], kind
+
+    return run
+
+
+def pdf_words(content: bytes) -> tuple[int, int]:
+    text = pdf(content)[0]
+    return len(text.split()), len(text)
+
+
+def read_metadata(content: bytes | None, ext: str, category: str) -> dict:
+    """SRC-25: what a file's bytes say of it; nothing where they can't be read."""
+    try:
+        if ext == ".pdf":
+            words, chars = pdf_words(content)
+            return {"wordCount": words, "charCount": chars}
+        if ext == ".docx":
+            text = EXTRACTORS[ext](content)[0]
+            return {"wordCount": len(text.split()), "charCount": len(text)}
+        if ext in (".pptx", ".odt", ".odp"):
+            return {"wordCount": zip_words(content)}
+        if category == "text":
+            text = plain(content)
+            return {"wordCount": len(text.split()), "charCount": len(text)}
+        if category == "image" and (size := image_size(content)):
+            return {"width": size[0], "height": abs(size[1])} | ({"ppi": ppi} if (ppi := image_ppi(content)) else {})
+        if ext == ".wav":
+            with wave.open(io.BytesIO(content)) as w:
+                return {"duration": round(w.getnframes() / w.getframerate()), "bitrate": round(w.getframerate() * w.getsampwidth() * 8 * w.getnchannels() / 1000)}
+    except Exception:  # noqa: BLE001  unreadable files have no metadata
+        pass
+    return {}
+
+
+def image_ppi(content: bytes) -> float | None:
+    """SRC-25: dots an inch of a PNG with physical dimensions, or a JPEG with a JFIF density."""
+    at = content.find(b"pHYs")
+    if content[:4] == b"\x89PNG" and at > 0 and content[at + 12] == 1:
+        return round(struct.unpack_from(">I", content, at + 4)[0] * 0.0254, 1)
+    at = content.find(b"JFIF\0")
+    if content[:2] == b"\xff\xd8" and 0 < at < 64 and content[at + 7] == 1:
+        return float(struct.unpack_from(">H", content, at + 8)[0])
+    return None
+
+
+METADATA = "struct<wordCount: int, charCount: int, width: int, height: int, ppi: double, duration: int, bitrate: int, fps: double>"
+
+
+def metadata(files: DataFrame, key: str = "path") -> DataFrame:
+    """SRC-25: (key, metadata) of files (key, extension, category, content): one Arrow pass, a file at a time in memory."""
+    names = [x.split(":")[0].strip() for x in METADATA[7:-1].split(",")]
+    kinds = [pa.float64() if n in ("ppi", "fps") else pa.int32() for n in names]
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            found = [read_metadata(batch.column("content")[i].as_py(), batch.column("extension")[i].as_py(), batch.column("category")[i].as_py()) for i in range(batch.num_rows)]
+            struct_ = pa.StructArray.from_arrays([pa.array([x.get(n) for x in found], k) for n, k in zip(names, kinds)], names)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), struct_], ["key", "metadata"])
+
+    rows = files.select(F.col(key).alias("key"), "extension", "category", "content")
+    return rows.mapInArrow(batches, f"key {files.schema[key].dataType.simpleString()}, metadata {METADATA}").withColumnRenamed("key", key)
