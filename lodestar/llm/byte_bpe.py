@@ -7,8 +7,8 @@ Pieces are hashed, each distinct one is looked up in a bounded cache, and the un
 one pair a piece and step. Offsets of every token into the text's bytes are kept, and decoding gathers the
 tokens' bytes.
 
-Defined results: null text is empty and has no ids; an empty table gives an empty result; repeated rows give a
-row each; other columns are not read. The vocabulary's path is a parameter and must be readable by executors.
+Defined results: null text is empty and has no ids; an empty table gives an empty result; repeated rows and rows
+without a doc_id give a row each; other columns are not read. The vocabulary's path is a parameter and must be readable by executors.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ bounds are quantiles of doc_id; the first document of a range is sent to the ran
 to the last), so one shuffle brings every document beside its successor.
 
 Defined results: null text is empty (its fingerprint has only empty bins and is like itself); rows with equal doc_id are
-ordered by text; a null doc_id comes last; a single row follows itself; an empty table gives an empty result.
+ordered by text; a null doc_id comes last; a single row follows itself; very long texts are whole, in time linear in their length; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from ..session import task_count
 from .arrays import BASE, MIX1, mix
 
-#: Code points of a k-mer, bins (a power of two), k-mers selected in each.
-K, BINS, ROW = 5, 64, 2
+#: Code points of a k-mer, bins (a power of two), k-mers selected in each, rows of a range at most (unless ids tie).
+K, BINS, ROW, RANGE_ROWS = 5, 64, 2, 20_000
 _U = np.uint64
 _SPREAD = _U(0xD6E8FEB86659FD93)
 _K_POWERS = [_U(pow(int(BASE), i, 1 << 64)) for i in range(64)]
@@ -116,7 +117,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 def beside_successor(docs: DataFrame, ranges: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Rows (doc_id, text, range, guest), sorted so that within a range each row is followed by its successor; guests are the first rows of the next range."""
-    ranges = ranges or task_count(docs.sparkSession)
+    ranges = ranges or max(task_count(docs.sparkSession), -(-docs.count() // RANGE_ROWS))
     lowest = -(1 << 63)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(lowest))

@@ -6,8 +6,9 @@ bitset of the free spaces that occur: the best fit for a piece is the lowest set
 none fits, a new bin opens; if all are in use the fullest closes first. Every packer takes a share of the pieces in
 hashed order and keeps its own open bins, so their number grows with the data and each needs constant memory.
 
-Defined results: null text is empty, one end id long; repeated rows are packed each; an empty table gives an empty
-result; other columns are not read.
+Defined results: null text is empty, one end id long; rows that repeat, or that have no doc_id, are packed each; ties (pieces of
+one length, bins of one free space) go to the bin that came to that space last; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations

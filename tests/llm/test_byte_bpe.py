@@ -58,3 +58,23 @@ def test_operator(spark):
         assert [raw[a:b] for a, b in zip(r.offsets, [*r.offsets[1:], len(raw)])] == [library.decode_single_token_bytes(i) for i in ids]
         assert (rows[r.doc_id].n_tokens, rows[r.doc_id].ids_sha256, rows[r.doc_id].decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest())
     assert byte_bpe.round_trip(docs.limit(0), RANKS).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (7, "a b"), (7, "a b"), (7, None)], "doc_id long, text string")
+    rows = byte_bpe.round_trip(docs, RANKS).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in rows) == [("7", 0), ("7", 2), ("7", 2), ("None", 2)]
+
+
+def test_states_equal_a_plain_scan():
+    """Also where endings follow each other over the blocks' borders."""
+    rng = np.random.default_rng(4)
+    for p in ([0.4, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1], [0.05, 0, 0, 0, 0, 0.45, 0.5], [0.97, 0, 0, 0.02, 0, 0.01, 0]):
+        classes = rng.choice(7, 1000, p=p).astype(np.uint8)
+        classes[rng.random(1000) < 0.02] += byte_bpe.FIRST
+        classes[0] = byte_bpe.FIRST + classes[0] % byte_bpe.FIRST
+        state, want = byte_bpe.FRESH, []
+        for c in classes.tolist():
+            want.append(state)
+            state = int(byte_bpe.STEP[c * 8 + state])
+        assert byte_bpe.states_before(classes).tolist() == want

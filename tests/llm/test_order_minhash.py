@@ -76,3 +76,11 @@ def test_repeated_single_and_no_rows(spark):
     assert omh.edited_likeness(docs.limit(1)).first().near_next == 1.0
     assert omh.edited_likeness(docs.limit(0)).count() == 0
     assert omh.fingerprints(docs).count() == 4
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    long = "".join(random.Random(3).choice("abcdefgh ") for _ in range(400_000))
+    docs = spark.createDataFrame([(1, long, 1, True, 2), (2, long[:-100_000] + "z" * 100_000, 1, True, 2), (3, None, 1, True, 2)], "doc_id long, text string, range int, guest boolean, n_chars int")
+    got = {r.doc_id: r for r in omh.edited_likeness(docs, ranges=2).collect()}
+    assert got[1].n_chars == 400_000 and got[2].near_next > 0.5 and got[3].near_next == 0.0
+    assert got[2].fingerprint == omh.to_text(omh.fingerprint(long[:-100_000] + "z" * 100_000))

@@ -66,3 +66,11 @@ def packer_order(bins, open_):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "c"), (4, "same text"), (4, "same text"), (5, None)], "doc_id long, text string")
+    rows = packing.pack_documents(docs, PATH).collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["4", "4", "5", "None", "None"] and len({r.sequence_id for r in rows}) == 1
+    at = sorted((r.offset, r.length) for r in rows)
+    assert [a for a, _ in at] == [sum(n for _, n in at[:i]) for i in range(5)]

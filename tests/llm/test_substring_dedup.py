@@ -177,3 +177,18 @@ def test_chance_repeats_are_no_passages(spark, tmp_path):
     assert {r.doc_id for r in found} == {1000, 1001}
     for r in found:  # as a whole in the other document
         assert dict(rows)[r.doc_id][r.start : r.end] in dict(rows)[2001 - r.doc_id] and r.first == (r.doc_id == 1000)
+
+
+def test_rows_of_one_id_with_several_texts_stay_whole(spark):
+    """No span says which of them it is of; null ids neither. Columns named like helpers are kept."""
+    rng = random.Random(15)
+    passage = " ".join(word(rng) for _ in range(80))
+    rest = [" ".join(word(rng) for _ in range(60)) for _ in range(5)]
+    rows = [(1, f"{rest[0]} {passage}"), (2, f"{rest[1]} {passage}"), (3, f"{rest[2]} {passage}"), (3, f"{passage} {rest[3]}"), (None, f"{rest[4]} {passage}"), (2, f"{rest[1]} {passage}")]
+    docs = spark.createDataFrame([(d, t, "g", 1, "e") for d, t in rows], "doc_id long, text string, _gone string, _id int, _edges string")
+    left = cdc.without_repeats(docs)
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    assert left.columns == docs.columns and all((r._gone, r._id, r._edges) == ("g", 1, "e") for r in left.collect())
+    cut = [t for d, t in got if d == 2]
+    assert len(cut) == 2 and cut[0] == cut[1] and cut[0].startswith(rest[1]) and len(cut[0].split()) < 75
+    assert sorted(t for d, t in got if d != 2) == sorted(t for d, t in rows if d != 2)
