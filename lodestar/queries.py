@@ -15,7 +15,7 @@ from .operators import catalog as ct
 from .operators import chunking, encoders, prompts
 from .operators import evaluate as ev
 from .operators import retrieval as rt
-from .session import ship
+from .session import ship, spread
 from .streaming import events as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,6 +186,11 @@ _BM25 = f"""WITH d AS (SELECT doc_id, {_TOKENS.format('text')} AS toks FROM docu
   SELECT qid, doc_id AS id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), size GROUP BY 1, 2"""
 
 
+def _texts(t):
+    """The documents, for what works on whole texts."""
+    return spread(t("documents"))
+
+
 def _questions(t):
     """All texts of the benchmark are queries."""
     return t("benchmark").select(F.col("item_id").alias("qid"), "text")
@@ -193,12 +198,12 @@ def _questions(t):
 
 @query(_top(_BM25, 10))
 def bm25_topk(t):
-    return rt.bm25(t("documents"), _questions(t), 10)
+    return rt.bm25(_texts(t), _questions(t), 10)
 
 
 @query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def document_frequency(t):
-    return rt.postings(t("documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return rt.postings(_texts(t)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 _DENSE20 = f"SELECT qid, id, 'a' AS ranking, rank FROM ({_top(_KNN, 20)})"
@@ -229,9 +234,9 @@ def _hybrid_sql(k: int) -> str:
 def _hybrid(t, k):
     """BM25 beside cosine of hashed token counts, both over all documents."""
     encode = encoders.hashed_encoder()
-    vectors = encode(t("documents").select(F.col("doc_id").alias("id"), "text"))
+    vectors = encode(_texts(t).select(F.col("doc_id").alias("id"), "text"))
     questions = encode(_questions(t).withColumnRenamed("qid", "id")).withColumnRenamed("id", "qid")
-    return rt.hybrid(rt.knn(vectors, questions, rt.dense_limit(k)), rt.bm25(t("documents"), _questions(t), rt.sparse_limit(k)), k)
+    return rt.hybrid(rt.knn(vectors, questions, rt.dense_limit(k)), rt.bm25(_texts(t), _questions(t), rt.sparse_limit(k)), k)
 
 
 @query(_top(_hybrid_sql(10), 10))
@@ -289,7 +294,7 @@ def best_chunk_per_file(t):
     SELECT h.qid, d.source, h.score, h.rank, d.text, row_number() OVER (PARTITION BY h.qid, d.source ORDER BY h.score DESC, h.rank) AS r FROM (""" + _top(_BM25, 20) + """) h JOIN documents d ON d.doc_id = h.id) WHERE r = 1)
   JOIN (SELECT source AS s, count(*) AS n_files FROM documents GROUP BY 1) ON s = source WHERE place BETWEEN 4 AND 6""")
 def search_grouped_page(t):
-    hits = rt.bm25(t("documents"), _questions(t), 20).join(t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_id"), "text"), "id")
+    hits = rt.bm25(_texts(t), _questions(t), 20).join(t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_id"), "text"), "id")
     return rt.group_hits(hits, t("documents").groupBy(F.col("source").alias("file_id")).agg(F.count("*").alias("n_files")), 2, 3)
 
 
@@ -308,7 +313,7 @@ def chunk_fixed(t):
 
 @query()
 def chunk_recursive(t):
-    return chunking.chunks(t("documents"))
+    return chunking.chunks(_texts(t))
 
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INT AS words, length(text)::INT AS chars FROM documents")
@@ -467,7 +472,7 @@ def progress_decoded(t):
 @query(f"""SELECT h.qid, string_agg('[' || rank || '] (chunk_id=' || id || ', archivo=' || source || ') ' || text, chr(10) ORDER BY rank) AS context FROM ({_top(_BM25, 5)}) h JOIN documents d ON d.doc_id = h.id GROUP BY 1""")
 def prompt_build(t):
     docs = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_name"), "text")
-    hits = rt.bm25(t("documents"), _questions(t), 5).join(docs, "id").select("qid", "rank", F.col("id").alias("chunk_id"), "file_name", "text")
+    hits = rt.bm25(_texts(t), _questions(t), 5).join(docs, "id").select("qid", "rank", F.col("id").alias("chunk_id"), "file_name", "text")
     return prompts.context_lines(hits)
 
 

@@ -11,7 +11,7 @@ from .operators import chunking, encoders
 from .operators import evaluate as ev
 from .operators import retrieval as rt
 from .plans import pipelines
-from .queries import _BM25, _KNN, _TOKENS, _hybrid_sql, _query_vectors, _questions, _top, _vectors, query
+from .queries import _KNN, _TOKENS, _hybrid_sql, _query_vectors, _texts, _top, _vectors, query
 from .session import staging_path
 from .sources import extract, scan
 from .streaming import events as st
@@ -282,8 +282,8 @@ def sse_bodies(t):
 
 def _chunks(t):
     """Every document is one chunk."""
-    dense = encoders.hashed_encoder()(t("documents").select(F.col("doc_id").alias("id"), "text")).select(F.col("id").alias("chunk_id"), F.col("vector").alias("dense"))
-    rows = t("documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file_id"), F.col("source").alias("source_id"), F.col("lang").alias("category"), F.concat("source", F.lit(".txt")).alias("file_name"), F.lit(None).cast("int").alias("page"), "text", F.lit("").alias("context"))
+    dense = encoders.hashed_encoder()(_texts(t).select(F.col("doc_id").alias("id"), "text")).select(F.col("id").alias("chunk_id"), F.col("vector").alias("dense"))
+    rows = _texts(t).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file_id"), F.col("source").alias("source_id"), F.col("lang").alias("category"), F.concat("source", F.lit(".txt")).alias("file_name"), F.lit(None).cast("int").alias("page"), "text", F.lit("").alias("context"))
     return rows.join(dense, "chunk_id")
 
 
