@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, spread
 from . import byte_bpe, chosen_path, exact_dedup, lm_score, order_minhash, packing, quality, secret_scan, substring_dedup, token_coder
 
 
@@ -20,7 +20,7 @@ def tokenizer(name: str) -> str:
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(_documents(spark, sf_dir))
+    return exact_dedup.exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
