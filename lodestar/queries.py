@@ -341,7 +341,16 @@ def html_text(t):
     return html_texts(t("pages"), "page_id", "html")
 
 
-@query()
+_BORDERS = "x"
+for _a in (r"[_\-\s]+|->| ", r"([a-z])([A-Z])|->|\1 \2", r"([A-Z])([A-Z][a-z])|->|\1 \2", r"([^0-9])([0-9])|->|\1 \2", r"([0-9])([^0-9])|->|\1 \2"):
+    _BORDERS = "regexp_replace({}, '{}', '{}', 'g')".format(_BORDERS, *_a.split("|->|"))
+
+
+@query(rf"""SELECT page_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS context FROM (
+  SELECT page_id, flatten(list_transform(each, lambda x: list_filter(string_split(lower({_BORDERS}), ' '), lambda y: y <> ''))) AS w FROM (
+    SELECT page_id, list_append(CASE WHEN inside THEN parts[1:len(parts) - 1] ELSE parts[1:len(parts) - 1][-3:] END, regexp_replace(coalesce(parts[-1], ''), '(.)\.[^.]*$', '\1')) AS each FROM (
+      SELECT page_id, inside, list_filter(string_split(CASE WHEN inside THEN substr(path, length(root) + 2) ELSE path END, '/'), lambda x: x <> '') AS parts FROM (
+        SELECT page_id, path, regexp_extract(path, '^(/[^/]*)', 1) AS root, starts_with(path, regexp_extract(path, '^(/[^/]*)', 1) || '/') AS inside FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '/') AS path FROM pages)))))""")
 def path_tokens(t):
     url = F.regexp_replace("url", "^[a-z]+://", "/")
     return t("pages").select("page_id", tx.path_context(url, F.regexp_extract(url, "^(/[^/]*)", 1)).alias("context"))
@@ -476,7 +485,17 @@ def prompt_build(t):
     return prompts.context_lines(hits)
 
 
-@query()
+_COMPONENTS = ", ".join(f"('{n}', {c}, {str(o).lower()}, {s}, {g}, {i})" for i, (n, c, o, s, g) in enumerate(prompts.COMPONENTS))
+
+
+@query(f"""WITH RECURSIVE comp(name, cost, own, search, ingest, place) AS (VALUES {_COMPONENTS}),
+  req AS (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'search' ELSE 'ingest' END AS priority, ['auto', 'gpu', 'cpu'][n_nationkey % 3 + 1] AS vision, (n_nationkey * 512)::INT AS vram_mib, CASE WHEN n_nationkey > 0 THEN n_nationkey * 512 - greatest(floor(n_nationkey * 512 * 0.1)::INT, 512) ELSE 0 END::INT AS budget_mib FROM nation),
+  w AS (SELECT req.*, comp.*, CASE WHEN name = 'vision' THEN vision ELSE 'auto' END AS want FROM req, comp),
+  o AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY want <> 'gpu', CASE WHEN want = 'gpu' THEN place WHEN priority = 'ingest' THEN ingest ELSE search END) AS i FROM w),
+  f AS (SELECT n_nationkey, 0::BIGINT AS i, budget_mib AS room, ''::VARCHAR AS name, 0 AS cost, false AS own, false AS fits, false AS gpu FROM req UNION ALL
+    SELECT o.n_nationkey, o.i, (room - CASE WHEN o.cost <= room AND want <> 'cpu' AND vram_mib > 0 THEN o.cost ELSE 0 END)::INT, o.name, o.cost, o.own, o.cost <= room AND want <> 'cpu' AND vram_mib > 0, (o.cost <= room AND want <> 'cpu' OR want = 'gpu') AND vram_mib > 0 FROM f JOIN o ON o.n_nationkey = f.n_nationkey AND o.i = f.i + 1)
+  SELECT req.n_nationkey, priority, vram_mib, budget_mib, '{{' || string_agg('"' || name || '":"' || CASE WHEN gpu THEN 'cuda' ELSE 'cpu' END || '"', ',' ORDER BY i) || '}}' AS devices, coalesce(sum(cost) FILTER (WHERE gpu AND own AND fits), 0)::BIGINT AS gpu_used_mib,
+    coalesce(sum(cost) FILTER (WHERE gpu AND own), 0)::BIGINT * 1048576 AS overhead_bytes, coalesce(list(name ORDER BY i) FILTER (WHERE gpu AND NOT fits), []) AS overflow, count(*) FILTER (WHERE gpu AND NOT fits) = 0 AS feasible FROM f JOIN req USING (n_nationkey) WHERE i > 0 GROUP BY ALL""")
 def device_plan(t):
     forced = F.create_map(F.lit("vision"), F.when(F.col("n_nationkey") % 3 == 1, "gpu").when(F.col("n_nationkey") % 3 == 2, "cpu").otherwise("auto"))
     plans = prompts.device_plan(t("nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, "search").otherwise("ingest").alias("priority"), forced.alias("overrides"), (F.col("n_nationkey") * 512).cast("int").alias("vram_mib")))
