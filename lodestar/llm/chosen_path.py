@@ -165,13 +165,13 @@ def leaves(nodes: DataFrame, limit: int) -> DataFrame:
         else:
             tree = nodes.select("node", F.arrays_zip(F.col(f"from{level}").alias("up"), F.col(f"to{level}").alias("key")).alias("tree")).join(reached, "node")
             posts = tree.select("node", F.explode(F.expr("transform(filter(tree, x -> array_contains(ups, x.up)), x -> x.key)")).alias("key"))
-        posts = stage(posts, f"paths{level}")
-        sizes, total = posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), posts.count()
+        sizes = stage(posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), f"sizes{level}")
+        total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
         posts = stage(join_spread(posts, sizes, "key", "n", total, F.xxhash64("node")), f"posts{level}")
         large = posts.filter(F.col("n") > limit)
         if level == DEPTH or large.isEmpty():
             return (posts if found is None else found.unionByName(posts)).select("node", F.col("key").alias("bucket"), "n")
-        alike = _alike(large, nodes).select("key", F.col("n").alias("m"), (F.col("alike") >= ALIKE).alias("stuck"))
+        alike = stage(_alike(large, nodes).select("key", F.col("n").alias("m"), (F.col("alike") >= ALIKE).alias("stuck")), f"alike{level}")
         large = stage(join_spread(large, alike, "key", "m", total, F.xxhash64("node")).drop("m"), f"large{level}")
         own = posts.filter(F.col("n") <= limit).unionByName(large.filter("stuck").drop("stuck"))
         found = own if found is None else found.unionByName(own)
@@ -321,7 +321,7 @@ def _judged(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n:
     spark = docs.sparkSession
     runs = runs_for(similarity, recall)
     found = stage(features(docs, runs, n, text_col, id_col), "features")
-    copies = found.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"))
+    copies = stage(found.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies")), "copies")
     nodes = found.filter("size > 0").dropDuplicates(["node"])
     leaf = stage(leaves(nodes, limit), "leaves")
     lists = leaf.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("leaves"), F.collect_set(F.struct("bucket", "n")).alias("at"))  # at most a tree's keys
@@ -335,7 +335,7 @@ def _judged(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n:
     # both blocks of a pair, and each block by itself, meet in one group
     shape = "node long, bucket long, low int, high int, block int, leaves array<long>, size long, sketch array<long>"
     wanted = stage(_dealt(posts).mapInArrow(_wanted(similarity), shape), "wanted")
-    ids = found.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
+    ids = copies.join(wanted.select("node").distinct(), "node", "left_semi").select(F.col("copy_id").alias("id")).distinct()
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     texts = rows.join(ids, "id", "left_semi").unionByName(rows.filter("id is null"))  # a join by null would be one task's
 
@@ -351,7 +351,8 @@ def _judged(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n:
     named = copies.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stage(named, "named")
     classes = named.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.count("*").alias("n_nodes"))
-    answers = join_spread(named, classes, "root", "n_nodes", named.count(), F.xxhash64("node")).select("node", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copy_id", "n_copies")
+    answers = join_spread(named, stage(classes, "classes"), "root", "n_nodes", named.count(), F.xxhash64("node"))
+    answers = stage(answers.select("node", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copy_id", "n_copies"), "answers")
     rows = join_spread(found.select("doc_id", "text_key", "node"), answers, "node", "n_copies", found.count(), F.xxhash64("doc_id", "text_key"))
     return rows.select("doc_id", "text_key", "root", "class_id", "n_links", "copy_id", "n_copies")
 
