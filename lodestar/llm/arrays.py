@@ -16,6 +16,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Fixed odd multipliers of the hashes.
 BASE, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Masks of the first n bytes of eight, little-endian.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Bytes hashed at once.
 WINDOW = 1 << 17
 _CODEC = "zstd"
@@ -78,6 +80,29 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(raw + (ends - starts).astype(np.uint64) * MIX1)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
+    """64-bit hashes of the lengths and the first ``most`` bytes of data[starts[i]:ends[i]], eight bytes at a time; for many short spans."""
+    padded = np.zeros(len(data) + most + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + most, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    left = ends - starts
+    out, rows, at = left.astype(np.uint64) * MIX1, None, starts
+    for _ in range(0, most, 8):
+        word = eight[at] & _FIRST_BYTES[np.minimum(left, 8)]
+        now = (word ^ (out if rows is None else out[rows])) * BASE
+        now ^= now >> np.uint64(32)
+        if rows is None:
+            out, rows = now, np.flatnonzero(left > 8)
+            at, left = at[rows] + 8, left[rows] - 8
+        else:
+            out[rows] = now
+            more = left > 8
+            rows, at, left = rows[more], at[more] + 8, left[more] - 8
+        if not len(rows):
+            break
+    return mix(out)
+
+
 def list_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the lists values[starts[i]:ends[i]] of 64-bit numbers."""
     up, down = powers(len(values) + 1)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import groups, slices, span_hashes, text_bytes
+from .arrays import groups, slices, text_bytes, word_hashes
 
 # classes of code points; AP1/AP2 are apostrophes before a one or two letter ending; FIRST is added to a text's first
 LETTER, NUMBER, OTHER, BLANK, SPACE, AP1, AP2, PAD, FIRST = range(9)
@@ -288,8 +288,7 @@ class Vocabulary:
         lead = np.flatnonzero((data & 0xC0) != 0x80)
         begins = lead[piece_starts(points, np.diff(np.searchsorted(lead, offsets)))]
         ends = np.append(begins[1:], len(data))
-        hashes = span_hashes(data, begins, ends)
-        distinct, place = groups(hashes)
+        distinct, place = groups(word_hashes(data, begins, ends, LONG_PIECE + 8))
         sample = np.empty(len(distinct), np.int64)
         sample[place] = np.arange(len(place))
         long_ = np.flatnonzero(ends - begins > LONG_PIECE)

@@ -40,6 +40,8 @@ LOW, OUT = 20, 32
 MAGIC = 0x4C535433
 #: What a confidence changes by: after a wrong prediction, after a right one.
 STEP = np.array([0, 0, *[-2] * 14, *[1] * 15, 0], np.int32)
+#: Steps from one that the shares learn from to the next.
+EVERY = 4
 #: Multiplier of the last code in an order-2 context's hash.
 HASH = np.int32(0x9E3B1)
 #: Shares of 1 << SHARE_BITS that predictions have at first, by confidence.
@@ -142,7 +144,7 @@ class Shares:
         self.table = np.zeros(lanes * SLOTS, np.int32)  # code << 4 | confidence
         self.share = np.tile(FIRST, lanes)
         self.hash, self.last = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        self.past, self.steps = np.empty((REFRESH, lanes), np.uint8), 0
+        self.past, self.steps = np.empty((REFRESH // EVERY, lanes), np.uint8), 0
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """(code predicted, share of 1 << SHARE_BITS)."""
@@ -155,11 +157,12 @@ class Shares:
         """A confidence grows by one up to 15 if the prediction was right, else falls by two; below two the code (32 bits) is replaced."""
         case = self.level + (hit.astype(np.int32) << 4)
         self.table[self.slot] = np.where(case < 2, code << 4 | 1, self.held + STEP[case])
-        self.past[self.steps] = case
+        if self.steps % EVERY == 0:
+            self.past[self.steps // EVERY] = case
         self.hash = code * HASH + (self.last << 5)
         self.last = code
         self.steps += 1
-        if self.steps == REFRESH:  # a mean in which the past weighs as much as eight predictions
+        if self.steps == REFRESH:  # a mean in which the past weighs as much as eight predictions; every EVERY-th step counts
             n = np.bincount((self.past + self.lane_cases).ravel(), minlength=len(self.share) * 2).reshape(-1, 2, 16)
             right = (self.share.reshape(-1, 16) * 8 + (n[:, 1] << SHARE_BITS)) // (8 + n.sum(1))
             self.share = np.clip(right, 1, 15 << SHARE_BITS - 4).ravel()
