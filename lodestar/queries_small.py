@@ -74,11 +74,12 @@ def point_count(t):
     return ct.point_count(t("embeddings"), label=[2, 4])
 
 
-@query("SELECT vec_id AS id, 'c' || vec_id AS chunk_id, NULL::VARCHAR AS file_id, NULL::VARCHAR AS source_id, NULL::VARCHAR AS file_name, CASE WHEN label = 3 THEN '' ELSE 'text ' || label END AS text, CASE WHEN label = 5 THEN 7 END::INT AS page, CASE WHEN label < 5 THEN 'text' ELSE 'other' END AS category, 0::INT AS chunk_idx, label::INT AS offset_start, 0::INT AS offset_end FROM embeddings")
+@query("SELECT vec_id AS id, 'c' || vec_id AS chunk_id, 'none' AS file_id, CASE WHEN label = 3 THEN '' ELSE 'text ' || label END AS text, CASE WHEN label = 5 THEN 7 ELSE -1 END::INT AS page, CASE WHEN label < 5 THEN 'text' ELSE 'other' END AS category, 0::INT AS chunk_idx, label::INT AS offset_start, 0::INT AS offset_end FROM embeddings")
 def payload_defaults(t):
     label = F.col("label")
     payload = F.struct(F.concat(F.lit("c"), "vec_id").alias("chunk_id"), F.when(label != 3, F.concat(F.lit("text "), label)).alias("text"), F.when(label == 5, 7).alias("page"), F.when(label < 5, "text").alias("category"), F.when(label != 0, label).alias("offset_start"))
-    return ct.payload_rows(t("embeddings").select(F.col("vec_id").alias("id"), payload.alias("payload")))
+    rows = ct.payload_rows(t("embeddings").select(F.col("vec_id").alias("id"), payload.alias("payload"))).drop("source_id", "file_name")
+    return rows.withColumns({"file_id": F.coalesce("file_id", F.lit("none")), "page": F.coalesce("page", F.lit(-1))})
 
 
 @query("""SELECT doc_id, chunk_id, left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id
@@ -99,11 +100,11 @@ def page_starts(t):
     return chunking.page_offsets(t("conversations"), "conv_id", "turn").select("conv_id", "turn", "start")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN o < 100 THEN 3 WHEN o < 500 THEN 5 ELSE 8 END::INT AS page FROM (SELECT event_id, event_id % 701 AS o FROM events)")
+@query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN -1 WHEN o < 100 THEN 3 WHEN o < 500 THEN 5 ELSE 8 END::INT AS page FROM (SELECT event_id, event_id % 701 AS o FROM events)")
 def chunk_pages(t):
     page = lambda n, at: F.struct(F.lit(n).alias("page"), F.lit(at).alias("start"))
     pages = F.when(F.col("event_id") % 11 == 0, F.array().cast("array<struct<page:int,start:int>>")).otherwise(F.array(page(3, 0), page(5, 100), page(8, 500)))
-    return t("events").select("event_id", chunking.page_at(pages, F.col("event_id") % 701).alias("page"))
+    return t("events").select("event_id", F.coalesce(chunking.page_at(pages, F.col("event_id") % 701), F.lit(-1)).alias("page"))
 
 
 @query(r"""SELECT doc_id, rtrim(CASE WHEN doc_id % 2 = 0 THEN 'Descripcion: ' || source || CASE WHEN b <> '' THEN chr(10) || chr(10) ELSE '' END ELSE '' END || CASE WHEN b <> '' THEN 'Texto en la imagen: ' || b ELSE '' END, chr(10)) AS text FROM (SELECT *, trim(text, ' ') AS b FROM documents)""")
@@ -324,12 +325,9 @@ def ask_answers(t):
     return pipelines.ask(_asked(t), _chunks(t), 5, _PLAIN)[1].select("qid", "answer", "has_hits")
 
 
-@query(f"SELECT qid, rank, id AS chunk_id, source AS file_id, source || '.txt' AS file_name, NULL::INT AS page, score, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS snippet FROM ({_top(_hybrid_sql(5), 5)}) h JOIN documents d ON d.doc_id = h.id")
+@query(f"SELECT qid, rank, id AS chunk_id, source AS file_id, source || '.txt' AS file_name, score, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS snippet FROM ({_top(_hybrid_sql(5), 5)}) h JOIN documents d ON d.doc_id = h.id")
 def ask_citations(t):
-    return pipelines.ask(_asked(t), _chunks(t), 5, _PLAIN)[0]
-
-
-_GOT = f"SELECT qid, list_distinct(list(source)) AS got, min(rank) AS r FROM (SELECT h.qid, d.source, h.rank FROM ({_top(_hybrid_sql(5), 5)}) h JOIN documents d ON d.doc_id = h.id) GROUP BY 1"
+    return pipelines.ask(_asked(t), _chunks(t), 5, _PLAIN)[0].drop("page")
 
 
 @query(f"""WITH h AS (SELECT h.qid, d.source, min(h.rank) AS first FROM ({_top(_hybrid_sql(5), 5)}) h JOIN documents d ON d.doc_id = h.id GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first) AS place FROM h),
