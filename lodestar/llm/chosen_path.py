@@ -337,7 +337,7 @@ def _judged(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n:
     wanted = stage(_dealt(posts).mapInArrow(_wanted(similarity), shape), "wanted")
     ids = copies.join(wanted.select("node").distinct(), "node", "left_semi").select(F.col("copy_id").alias("id")).distinct()
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    texts = rows.join(ids, "id", "left_semi").unionByName(rows.filter("id is null"))  # a join by null would be one task's
+    texts = rows.join(ids.hint("merge"), "id", "left_semi").unionByName(rows.filter("id is null"))  # a join by null would be one task's
 
     def sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(source, "text", 1 << 20):
