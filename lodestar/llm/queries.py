@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, spread
-from . import byte_bpe, chosen_path, exact_dedup, lm_score, order_minhash, packing, quality, secret_scan, substring_dedup, token_coder
+from . import byte_bpe, chosen_path, exact_dedup, lm_score, order_minhash, packing, periodic_runs, quality, secret_scan, substring_dedup, token_coder
 
 
 def tokenizer(name: str) -> str:
@@ -67,8 +67,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_documents(spark, sf_dir), labels)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    edited = periodic_runs.made_periodic(F.col("doc_id"), F.col("text"))
+    return periodic_runs.digest(periodic_runs.periodic_runs(docs.select("doc_id", edited.alias("text"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_order_minhash, op4_best_fit_packing, op5_exact_dedup, op6_byte_bpe, op7_substring_dedup, op8_ngram_jaccard_join, op9_token_files, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_order_minhash, op4_best_fit_packing, op5_exact_dedup, op6_byte_bpe, op7_substring_dedup, op8_ngram_jaccard_join, op9_token_files, op10_quality_classifier, op11_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
