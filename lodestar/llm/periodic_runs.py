@@ -56,13 +56,9 @@ def stretches(mismatch: int, places: int, least: int) -> list[tuple[int, int]]:
     return [(int(a), int(b - a) + least - 1) for a, b in zip(edges[::2], edges[1::2])]
 
 
-def _lags(ids: np.ndarray, octave: int, ends: np.ndarray) -> np.ndarray:
-    """The lags from ``octave`` to twice that, at which a block recurs. ``ends``: where the farthest run that begins at or before a word ends."""
-    n, block = len(ids), octave // 2
-    names, have = mix(ids.astype(np.uint64)), 1
-    while have < block:  # names of ``have`` words become names of twice as many
-        names = mix(names[:-have] * np.uint64(3) + names[have:])
-        have *= 2
+def _lags(names: np.ndarray, n: int, octave: int, ends: np.ndarray) -> np.ndarray:
+    """The lags from ``octave`` to twice that, at which a block recurs. ``names``: hashes of the octave / 2 words from each word on; ``ends``: where the farthest run that begins at or before a word ends."""
+    block = octave // 2
     starts = np.arange(0, len(names) - octave, block)
     window = np.lib.stride_tricks.sliding_window_view(np.append(names, np.zeros(octave, np.uint64)), octave)[starts + octave]
     lags = np.arange(octave, 2 * octave)
@@ -91,13 +87,15 @@ def find_runs(ids: np.ndarray, dense: int = DENSE_LAGS) -> list[tuple[int, int,
 
     for q in range(1, min(dense, n // LEAST_PERIODS + 1)):
         attempt(q)
-    octave = dense
+    names, have, octave = mix(ids.astype(np.uint64)), 1, dense
     while octave <= n // LEAST_PERIODS:
+        while 2 * have < octave:  # names of ``have`` words become names of twice as many
+            names, have = mix(names[:-have] * np.uint64(3) + names[have:]), 2 * have
         ends = np.zeros(n, np.int64)
         for (start, length), q in found.items():
             if q <= octave // 2:
                 ends[start] = max(ends[start], start + length)
-        for q in _lags(ids, octave, np.maximum.accumulate(ends)).tolist():
+        for q in _lags(names, n, octave, np.maximum.accumulate(ends)).tolist():
             attempt(q)
         octave *= 2
     return sorted((start, length, q) for (start, length), q in found.items())
