@@ -141,7 +141,9 @@ def made_periodic(doc_id: Column, text: Column) -> Column:
         p = 1 + F.floor((n - a) / (3 + g % 8))
         return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " ")
 
-    return F.when((h % 10 == 0) & (F.size(words) > 0), edited(words)).otherwise(text)
+    chosen = F.when(h % 10 == 0, words)
+    once = F.get(F.transform(F.array(chosen), edited), F.lit(0))  # the words as a lambda's variable are made once, not again for each word
+    return F.when(F.size(chosen) > 0, once).otherwise(text)
 
 
 def digest(found: DataFrame) -> DataFrame:
