@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, spread
-from . import byte_bpe, chosen_path, exact_dedup, lm_score, merkle, order_minhash, packing, periodic_runs, quality, secret_scan, substring_dedup, token_coder
+from . import byte_bpe, chosen_path, exact_dedup, lm_score, merkle, order_minhash, packing, periodic_runs, quality, secret_scan, substring_dedup, suffix_dedup, token_coder
 
 
 def tokenizer(name: str) -> str:
@@ -79,8 +79,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(merkle.manifest(merkle.leaves(_documents(spark, sf_dir), {"n_chars": tampered})))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.repeated_bytes(_documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_order_minhash, op4_best_fit_packing, op5_exact_dedup, op6_byte_bpe, op7_substring_dedup, op8_ngram_jaccard_join, op9_token_files, op10_quality_classifier, op11_periodic_runs, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_order_minhash, op4_best_fit_packing, op5_exact_dedup, op6_byte_bpe, op7_substring_dedup, op8_ngram_jaccard_join, op9_token_files, op10_quality_classifier, op11_periodic_runs, op12_merkle_manifest, op13_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
