@@ -16,7 +16,8 @@ of PIECE, so memory is bounded. Only what can matter is moved:
 4. A bucket of more than MOST_CONTEXTS distinct contexts would not be bounded in one task: its windows are counted one by one by
    64-bit hash, all of them.
 
-The spans found go to their texts by the texts' hash. Texts are staged in buckets by that hash once; they aren't moved again.
+Facts of buckets, contexts and hot windows come back to them in merge joins against one row a key, the other side of which
+adaptive execution splits where a key has too many rows. The spans found go to their texts by the texts' hash. Texts are staged in buckets by that hash once; they aren't moved again.
 Identity of whole contexts and hot windows is by 64-bit hash (beside the 64 bits of their bucket).
 
 Defined results: null text is empty; texts shorter than ``length`` stay whole; rows that repeat, whatever their doc_id, even a
@@ -35,7 +36,6 @@ from pyspark.sql import functions as F
 
 from ..session import stage, stage_buckets, task_count
 from .arrays import BASE, MIX1, MIX2, mix, powers, slices, text_bytes
-from .hot_keys import join_spread
 from .names import column
 
 #: Bytes of a string that may not start twice; bytes of a gram; windows of a context; bytes of a text that are worked on at once.
@@ -346,21 +346,18 @@ def repeated_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     rows = docs.select(F.xxhash64(column(id_col), text).alias("row"), column(id_col).alias("doc_id"), text.alias("text"))
     texts = stage_buckets(rows.repartition(task_count(docs.sparkSession), "row"), "texts", "row")
     found = texts.select("row", "text").mapInArrow(_contexts(length), "row long, start long, windows int, bucket long, digest long, twice boolean")
-    total = lambda facts, n: facts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first()["n"]
-    own = F.xxhash64("row", "start")
 
     several = found.groupBy("bucket").agg(F.count("*").alias("n"), (F.min("digest") == F.max("digest")).alias("alike"), F.max("twice").alias("twice"))
-    several = stage(several.filter("n > 1 OR twice").select("bucket", "n", (F.col("alike") & (F.col("n") > 1)).alias("alike")), "buckets")
-    met = stage(join_spread(found.drop("twice"), several, "bucket", "n", total(several, "n"), own).drop("n"), "contexts")
+    several = stage(several.filter("n > 1 OR twice").select("bucket", (F.col("alike") & (F.col("n") > 1)).alias("alike")), "buckets")
+    met = stage(found.drop("twice").join(several.hint("merge"), "bucket"), "contexts")
     whole = lambda rows: rows.select("row", "start", (F.col("start") + F.col("windows") + length - 1).alias("end"))
 
     mixed = met.filter("NOT alike").withColumn("context", F.xxhash64("bucket", "digest"))
     distinct = stage(mixed.groupBy("context").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "windows", "bucket")).alias("one")).select("context", "n", "one.*"), "distinct-contexts")
-    again = distinct.filter("n > 1").select("context", "n")
-    copies = join_spread(mixed, again, "context", "n", total(distinct, "n"), own)
+    copies = mixed.join(distinct.filter("n > 1").select("context").hint("merge"), "context")
 
     sizes = distinct.groupBy("bucket").agg(F.count("*").alias("held"))
-    asked = join_spread(distinct, sizes, "bucket", "held", total(distinct, F.lit(1)), own)
+    asked = distinct.join(sizes.hint("merge"), "bucket")
     asked = asked.groupBy("row").agg(F.collect_list(F.struct("bucket", "start", (F.col("start") + F.col("windows") + length - 1).alias("end"), (F.col("n") > 1).alias("shared"), (F.col("held") > most_contexts).alias("hot"))).alias("asked"))  # of one text
     cut = texts.select("row", "text").join(asked.hint("merge"), "row").mapInArrow(_cut_contexts, "bucket long, row long, start long, shared boolean, hot boolean, text binary")
     cut = stage(cut, "context-bytes")
@@ -368,8 +365,8 @@ def repeated_bytes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     spans = "row long, start long, end long"
     cold = cut.filter("NOT hot").drop("hot").repartition(task_count(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_spans(length, block), spans)
     windows = cut.filter("hot").drop("hot").mapInArrow(_window_hashes(length), "window long, row long, start long, shared boolean")
-    often = stage(windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1"), "hot-windows")
-    hot = join_spread(windows.filter("NOT shared"), often, "window", "n", total(often, "n"), own).select("row", "start", (F.col("start") + length).alias("end"))
+    often = stage(windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window"), "hot-windows")
+    hot = windows.filter("NOT shared").join(often.hint("merge"), "window").select("row", "start", (F.col("start") + length).alias("end"))
 
     every = whole(met.filter("alike")).unionByName(whole(copies)).unionByName(cold).unionByName(hot)
     every = every.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("found"))  # of one text
