@@ -15,7 +15,9 @@ from .operators import catalog as ct
 from .operators import chunking, encoders, prompts
 from .operators import evaluate as ev
 from .operators import retrieval as rt
-from .session import ship, spread
+from .operators.cells import CellIndex
+from .operators.inverted import InvertedIndex
+from .session import ship, signature, spread
 from .streaming import events as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,6 +152,25 @@ def stats_summary(t):
 # ---- retrieval ---------------------------------------------------------------------------------------------------
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def _kept(table: DataFrame, name: str, build: Callable[[], object]):
+    """An index of ``table``, built once in an application for as long as the table's files stay the same."""
+    key = (table.sparkSession.sparkContext.applicationId, name, signature(table))
+    if key not in _KEPT:
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
+def _text_index(t) -> InvertedIndex:
+    return _kept(t("documents"), "texts", lambda: InvertedIndex.build(_texts(t)))
+
+
+def _vector_index(t) -> CellIndex:
+    return _kept(t("embeddings"), "vectors", lambda: CellIndex.build(_vectors(t)))
+
+
 def _vectors(t):
     return t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
@@ -170,7 +191,7 @@ def _top(inner: str, k: int, columns: str = "qid, id, score, rank") -> str:
 
 @query(_top(_KNN, 10))
 def knn_cosine(t):
-    return rt.knn(_vectors(t), _query_vectors(t), 10)
+    return _vector_index(t).top(_query_vectors(t), 10)
 
 
 @query(_top(_KNN + " AND e.label IN (1, 3, 5)", 10))
@@ -198,12 +219,12 @@ def _questions(t):
 
 @query(_top(_BM25, 10))
 def bm25_topk(t):
-    return rt.bm25(_texts(t), _questions(t), 10)
+    return _text_index(t).top(_questions(t), 10)
 
 
 @query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def document_frequency(t):
-    return rt.postings(_texts(t)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return _text_index(t).terms()
 
 
 _DENSE20 = f"SELECT qid, id, 'a' AS ranking, rank FROM ({_top(_KNN, 20)})"
@@ -213,7 +234,7 @@ _OTHER = f"SELECT qid, id, 'b' AS ranking, rank FROM ({_top(_KNN + ' AND e.label
 def _two_rankings(t):
     """One over all vectors, one filtered by payload."""
     other = rt.knn(ct.equality(_vectors(t), label=[1, 3, 5]), _query_vectors(t), 20)
-    return rt.knn(_vectors(t), _query_vectors(t), 20).select("qid", F.lit("a").alias("ranking"), "id", "rank").unionByName(other.select("qid", F.lit("b").alias("ranking"), "id", "rank"))
+    return _vector_index(t).top(_query_vectors(t), 20).select("qid", F.lit("a").alias("ranking"), "id", "rank").unionByName(other.select("qid", F.lit("b").alias("ranking"), "id", "rank"))
 
 
 @query(f"SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM ({_DENSE20} UNION ALL {_OTHER}) GROUP BY 1, 2")
@@ -232,11 +253,11 @@ def _hybrid_sql(k: int) -> str:
 
 
 def _hybrid(t, k):
-    """BM25 beside cosine of hashed token counts, both over all documents."""
+    """BM25 beside cosine of hashed token counts, both over all documents and from indexes."""
     encode = encoders.hashed_encoder()
-    vectors = encode(_texts(t).select(F.col("doc_id").alias("id"), "text"))
+    cells = _kept(t("documents"), "hashed", lambda: CellIndex.build(encode(_texts(t).select(F.col("doc_id").alias("id"), "text"))))
     questions = encode(_questions(t).withColumnRenamed("qid", "id")).withColumnRenamed("id", "qid")
-    return rt.hybrid(rt.knn(vectors, questions, rt.dense_limit(k)), rt.bm25(_texts(t), _questions(t), rt.sparse_limit(k)), k)
+    return rt.hybrid(cells.top(questions, rt.dense_limit(k)), _text_index(t).top(_questions(t), rt.sparse_limit(k)), k)
 
 
 @query(_top(_hybrid_sql(10), 10))
@@ -257,19 +278,19 @@ _MULTI = f"SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FRO
 @query(_top(_MULTI, 5))
 def multi_query(t):
     """Each question is three vectors of the query set."""
-    each = rt.knn(_vectors(t), _query_vectors(t), 5 * rt.OVERFETCH)
+    each = _vector_index(t).top(_query_vectors(t), 5 * rt.OVERFETCH)
     rankings = each.select(F.floor(F.col("qid") / 150).alias("qid"), (F.floor(F.col("qid") / 50) % 3).alias("ranking"), "id", "rank")
     return rt.ranked(rt.rrf(rankings), 5, "score", "qid")
 
 
 @query(f"SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(score * 3, 6) AS score, max(round(score * 3, 6)) OVER (PARTITION BY qid) AS best FROM ({_top(_KNN, 20)})) WHERE score >= best - 1.2")
 def rerank_margin(t):
-    return rt.rerank(rt.knn(_vectors(t), _query_vectors(t), 20), F.col("score") * 3)
+    return rt.rerank(_vector_index(t).top(_query_vectors(t), 20), F.col("score") * 3)
 
 
 @query(f"SELECT qid, id, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END, 6) AS relevance FROM (SELECT *, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM ({_top(_KNN, 20)}))")
 def score_minmax(t):
-    return rt.min_max(rt.knn(_vectors(t), _query_vectors(t), 20)).select("qid", "id", F.round("relevance", 6).alias("relevance"))
+    return rt.min_max(_vector_index(t).top(_query_vectors(t), 20)).select("qid", "id", F.round("relevance", 6).alias("relevance"))
 
 
 @query(f"""WITH RECURSIVE c AS (SELECT qid, id, score, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END, 12) AS rel FROM (SELECT *, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM ({_top(_KNN, 20)}))),
@@ -279,7 +300,7 @@ def score_minmax(t):
       SELECT p.qid, p.picked, p.pick, c.id, c.rel, c.score, (SELECT max(cos) FROM near n WHERE n.qid = c.qid AND n.id = c.id AND list_contains(p.picked, n.other)) AS worst FROM p JOIN c ON p.qid = c.qid AND NOT list_contains(p.picked, c.id)) WHERE pick < 5 GROUP BY qid, picked, pick)
   SELECT q.qid, q.id, c.score, q.pick::INT AS pick FROM (SELECT qid, unnest(picked) AS id, generate_subscripts(picked, 1) AS pick FROM p WHERE pick = 5) q JOIN c USING (qid, id)""")
 def mmr_select(t):
-    hits = rt.knn(_vectors(t), _query_vectors(t), 20)
+    hits = _vector_index(t).top(_query_vectors(t), 20)
     return rt.mmr(hits.join(_vectors(t), "id").select("qid", "id", "score", "vector"), 5)
 
 
@@ -294,7 +315,7 @@ def best_chunk_per_file(t):
     SELECT h.qid, d.source, h.score, h.rank, d.text, row_number() OVER (PARTITION BY h.qid, d.source ORDER BY h.score DESC, h.rank) AS r FROM (""" + _top(_BM25, 20) + """) h JOIN documents d ON d.doc_id = h.id) WHERE r = 1)
   JOIN (SELECT source AS s, count(*) AS n_files FROM documents GROUP BY 1) ON s = source WHERE place BETWEEN 4 AND 6""")
 def search_grouped_page(t):
-    hits = rt.bm25(_texts(t), _questions(t), 20).join(t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_id"), "text"), "id")
+    hits = _text_index(t).top(_questions(t), 20).join(t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_id"), "text"), "id")
     return rt.group_hits(hits, t("documents").groupBy(F.col("source").alias("file_id")).agg(F.count("*").alias("n_files")), 2, 3)
 
 
@@ -386,7 +407,7 @@ _EVAL = f"""WITH r AS (SELECT qid, list(id ORDER BY rank) AS got FROM ({_top(_KN
 
 
 def _evaluated(t):
-    got = rt.knn(_vectors(t), _query_vectors(t), 10).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("got"))  # ten of each query
+    got = _vector_index(t).top(_query_vectors(t), 10).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("got"))  # ten of each query
     q = t("embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label")
     want = q.join(t("embeddings").select("vec_id", "label"), "label").groupBy("qid").agg(F.collect_list("vec_id").alias("want"))
     return got.join(want, "qid", "left").withColumn("want", F.coalesce("want", F.array().cast("array<bigint>")))
@@ -481,7 +502,7 @@ def progress_decoded(t):
 @query(f"""SELECT h.qid, string_agg('[' || rank || '] (chunk_id=' || id || ', archivo=' || source || ') ' || text, chr(10) ORDER BY rank) AS context FROM ({_top(_BM25, 5)}) h JOIN documents d ON d.doc_id = h.id GROUP BY 1""")
 def prompt_build(t):
     docs = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_name"), "text")
-    hits = rt.bm25(_texts(t), _questions(t), 5).join(docs, "id").select("qid", "rank", F.col("id").alias("chunk_id"), "file_name", "text")
+    hits = _text_index(t).top(_questions(t), 5).join(docs, "id").select("qid", "rank", F.col("id").alias("chunk_id"), "file_name", "text")
     return prompts.context_lines(hits)
 
 

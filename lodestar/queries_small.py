@@ -11,7 +11,7 @@ from .operators import chunking, encoders
 from .operators import evaluate as ev
 from .operators import retrieval as rt
 from .plans import pipelines
-from .queries import _KNN, _TOKENS, _hybrid_sql, _query_vectors, _texts, _top, _vectors, query
+from .queries import _KNN, _TOKENS, _hybrid_sql, _query_vectors, _texts, _top, _vector_index, _vectors, query
 from .session import staging_path
 from .sources import extract, scan
 from .streaming import events as st
@@ -357,7 +357,7 @@ def searched_files(t):
 
 @query(f"SELECT q.vec_id AS qid, count(DISTINCT label) AS n_files FROM (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id % 50 = 0) q JOIN ({_top(_KNN, 10, 'qid, label')}) h ON h.qid = q.vec_id GROUP BY 1")
 def distinct_files(t):
-    hits = rt.knn(_vectors(t), _query_vectors(t), 10).join(_vectors(t).select("id", "label"), "id")
+    hits = _vector_index(t).top(_query_vectors(t), 10).join(_vectors(t).select("id", "label"), "id")
     return hits.select("qid", "label").distinct().groupBy("qid").agg(F.count("*").alias("n_files"))
 
 
