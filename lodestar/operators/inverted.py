@@ -30,16 +30,16 @@ from ..session import stage, staging_path
 from .retrieval import BM25_B, BM25_K1, ranked
 
 #: Documents of a range; queries scored together; ranges of each query that are scored first; terms that are pushed into the scan.
-RANGE_DOCS, QUERY_BLOCK, FIRST_RANGES, PUSHED_TERMS = 1024, 256, 2, 1000
+RANGE_DOCS, QUERY_BLOCK, FIRST_RANGES, PUSHED_TERMS = 4096, 256, 2, 1000
 _EPSILON = 1e-5  # scores are rounded
 
 
 def term_counts(text: Column) -> Column:
-    """Distinct terms of a text with how often they occur: array of (term, tf), by sorting its tokens once."""
+    """Distinct terms of a text with how often they occur and how many tokens it has: array of (term, tf, length), by sorting its tokens once."""
 
     def runs(tokens: Column) -> Column:
         begin = F.filter(F.transform(tokens, lambda t, i: F.when((i == 0) | (t != F.get(tokens, i - 1)), i)), lambda i: i.isNotNull())
-        pair = lambda begin: F.transform(begin, lambda a, j: F.struct(F.get(tokens, a).alias("term"), (F.coalesce(F.get(begin, j + 1), F.size(tokens)) - a).cast("int").alias("tf")))
+        pair = lambda begin: F.transform(begin, lambda a, j: F.struct(F.get(tokens, a).alias("term"), (F.coalesce(F.get(begin, j + 1), F.size(tokens)) - a).cast("int").alias("tf"), F.size(tokens).cast("long").alias("length")))
         return F.get(F.transform(F.array(begin), pair), F.lit(0))
 
     tokens = F.sort_array(F.coalesce(tx.tokens(text), F.array().cast("array<string>")))
@@ -60,9 +60,9 @@ class InvertedIndex:
         spark, path = docs.sparkSession, path or staging_path(docs.sparkSession, "inverted-index")
         n = docs.count()
         ranges = max(1, -(-n // range_docs))
-        rows = docs.select(F.col(doc_id).alias("id"), F.when(F.col(doc_id).isNotNull(), term_counts(F.col(text))).alias("terms"))
-        rows = rows.withColumn("length", F.coalesce(F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + t["tf"]), F.lit(0).cast("long")))
-        each = rows.select("id", "length", F.explode("terms").alias("t")).select("t.term", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int").alias("range"), F.struct("id", "t.tf", "length").alias("p"))
+        # outer: else the terms would be made a second time, for a filter that Spark infers from the generator
+        each = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.explode_outer(term_counts(F.col(text))).alias("t")).filter("t IS NOT NULL")
+        each = each.select("t.term", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int").alias("range"), F.struct("id", "t.tf", "t.length").alias("p"))
         blocks = each.groupBy("term", "range").agg(F.collect_list("p").alias("p"), F.max("p.tf").alias("most_tf"), F.min("p.length").alias("least_length"))  # a range's documents at most
         blocks.select("term", "range", "most_tf", "least_length", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths")).sortWithinPartitions("term", "range").write.parquet(f"{path}/postings")
         counts = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum(F.size("ids")).alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda n, x: n + x)).alias("tf"))
@@ -90,8 +90,9 @@ class InvertedIndex:
 
     def _held(self, weights: DataFrame) -> DataFrame:
         """The postings of the queries' terms: few terms are pushed into the scan, more are joined."""
-        few = [r["term"] for r in weights.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-        return self.postings().filter(F.col("term").isin(few)) if len(few) <= PUSHED_TERMS else self.postings().join(weights.select("term").distinct(), "term", "left_semi")
+        terms = weights.select("term").distinct()
+        few = [r["term"] for r in terms.limit(PUSHED_TERMS + 1).collect()]
+        return self.postings().filter(F.col("term").isin(few)) if len(few) <= PUSHED_TERMS else self.postings().join(terms, "term", "left_semi")
 
     def bounds(self, weights: DataFrame, held: DataFrame) -> DataFrame:
         """(qid, range, bound): what a document of the range can score at most."""

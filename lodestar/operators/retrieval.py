@@ -57,9 +57,8 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """AGG-17: (term, id, tf, dl): term counts of each document with its length in tokens."""
     from .inverted import term_counts
 
-    rows = docs.select(F.col(doc_id).alias("id"), term_counts(F.col(text)).alias("terms"))
-    rows = rows.select("id", F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + t["tf"]).alias("dl"), F.explode("terms").alias("t"))
-    return rows.select("t.term", "id", "dl", F.col("t.tf").cast("long").alias("tf"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.explode_outer(term_counts(F.col(text))).alias("t")).filter("t IS NOT NULL")
+    return rows.select("t.term", "id", F.col("t.length").alias("dl"), F.col("t.tf").cast("long").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text", saturated: bool = False, digits: int = 6) -> DataFrame:
