@@ -144,29 +144,27 @@ def held_back(text: str, tag: str) -> int:
     return next((n for n in range(min(len(text), len(tag) - 1), 0, -1) if tag.startswith(text[-n:])), 0)
 
 
+def channel_step(held: str, inside: bool, token: str) -> tuple[list[tuple[str, str]], str, bool]:
+    """STR-5, one token: the (kind, text) pieces that it settles, and the text held back and the channel after it."""
+    out, held = [], held + token
+    while True:
+        tag, kind = (CLOSE, "thinking") if inside else (OPEN, "token")
+        at = held.find(tag)
+        cut = at if at >= 0 else len(held) - held_back(held, tag)
+        if cut:
+            out.append((kind, held[:cut]))
+        if at < 0:
+            return out, held[cut:], inside
+        held, inside = held[at + len(tag) :], not inside
+
+
 def split_channels(tokens: list[str]) -> list[tuple[str, str]]:
     """STR-5: (kind, text) pieces of a token stream, "thinking" inside of tags and "token" outside; tags may straddle tokens."""
     out, held, inside = [], "", False
-
-    def emit(text: str) -> None:
-        if text:
-            out.append(("thinking" if inside else "token", text))
-
     for token in tokens:
-        held += token
-        while True:
-            tag = CLOSE if inside else OPEN
-            at = held.find(tag)
-            if at >= 0:
-                emit(held[:at])
-                held, inside = held[at + len(tag) :], not inside
-                continue
-            keep = held_back(held, tag)
-            emit(held[: len(held) - keep])
-            held = held[len(held) - keep :]
-            break
-    emit(held)
-    return out
+        pieces, held, inside = channel_step(held, inside, token)
+        out += pieces
+    return out + ([("thinking" if inside else "token", held)] if held else [])
 
 
 def token_channels(tokens: DataFrame, key: str = "answer_id", seq: str = "seq", token: str = "token") -> DataFrame:
