@@ -31,17 +31,28 @@ class IngestControl:
     def running(self, source_id: str) -> bool:
         return source_id in self.open
 
-    def pause(self, source_id: str) -> None:
-        self.open[source_id].clear()
+    def pause(self, source_id: str) -> bool:
+        """False, and nothing happens, if the source isn't being ingested; so for the others."""
+        with self.lock:
+            if live := source_id in self.open:
+                self.open[source_id].clear()
+        return live
 
-    def resume(self, source_id: str) -> None:
-        self.open[source_id].set()
+    def resume(self, source_id: str) -> bool:
+        with self.lock:
+            if live := source_id in self.open:
+                self.open[source_id].set()
+        return live
 
-    def cancel(self, source_id: str) -> None:
+    def cancel(self, source_id: str) -> bool:
         """Spark's jobs of the source end now, and no further group begins."""
-        self.cancelled.add(source_id)
-        self.spark.interruptTag(self._tag(source_id))
-        self.open[source_id].set()
+        with self.lock:
+            if live := source_id in self.open:
+                self.cancelled.add(source_id)
+                self.open[source_id].set()
+        if live:
+            self.spark.interruptTag(self._tag(source_id))
+        return live
 
     def run(self, source_id: str, items: Iterable, action: Callable[[list], None], group: int = GROUP) -> str:
         """Runs ``action`` on groups of ``items``: "done" or "cancelled". A second run of a live source is refused."""

@@ -7,9 +7,12 @@ import os
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 # The extensions of each category.
 CATEGORIES = {
     "text": "txt md markdown html htm css js mjs cjs ts tsx jsx json jsonl xml yaml yml toml ini cfg conf env sh bat ps1 sql csv tsv log py java go rs c cpp h hpp cs php rb swift kt r m tex rst".split(),
@@ -65,17 +68,94 @@ def visible(path: Column) -> Column:
     return ~(F.exists(folders, lambda p: hidden(p) | p.isin(*IGNORED_DIRS)) | hidden(name) | F.lower(name).isin(*IGNORED_FILES))
 
 
+def visible_entry(name: str, folder: bool) -> bool:
+    """PRJ-6 of one name."""
+    return name[0] not in ".$" and (name not in IGNORED_DIRS if folder else name.lower() not in IGNORED_FILES)
+
+
+def _entries(folder: str) -> Iterator[tuple[str, os.stat_result, bool]]:
+    """(path, stat, whether a folder) of what is visible in one folder, by name; what can't be read is left out, links to folders aren't followed."""
+    try:
+        found = sorted(os.scandir(folder), key=lambda e: e.name)
+    except OSError:
+        return
+    for entry in found:
+        try:
+            inner = entry.is_dir(follow_symlinks=False)
+            if visible_entry(entry.name, inner) and (inner or entry.is_file()):
+                yield entry.path, entry.stat(), inner
+        except OSError:
+            continue
+
+
+def walk_all(root: str) -> Iterator[tuple[str, os.stat_result, bool]]:
+    """(path, stat, whether a folder) of everything visible below ``root``; hidden folders aren't entered."""
+    for path, stat, folder in _entries(root):
+        yield path, stat, folder
+        if folder:
+            yield from walk_all(path)
+
+
 def walk(root: str) -> Iterator[tuple[str, float, float, int]]:
-    """SRC-1 on the driver's own file system: (path, created, modified, size) of visible files; what can't be read is left out."""
-    for folder, folders, names in os.walk(root, onerror=lambda _: None):
-        folders[:] = sorted(d for d in folders if d[0] not in ".$" and d not in IGNORED_DIRS)
-        for name in sorted(names):
-            if name[0] not in ".$" and name.lower() not in IGNORED_FILES:
-                try:
-                    s = os.stat(os.path.join(folder, name))
-                except OSError:
-                    continue
-                yield os.path.join(folder, name), s.st_ctime, s.st_mtime, s.st_size
+    """SRC-1 on the driver's own file system: (path, created, modified, size) of visible files."""
+    for path, s, folder in walk_all(root):
+        if not folder:
+            yield path, s.st_ctime, s.st_mtime, s.st_size
+
+
+_LISTED = pa.schema([("path", pa.string()), ("folder", pa.bool_()), ("size", pa.int64()), ("created_at", pa.timestamp("us", "UTC")), ("modified_at", pa.timestamp("us", "UTC")), ("head", pa.binary())])
+
+
+def _list_folders(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = {f".{e}" for own in CATEGORIES.values() for e in own}
+    for batch in source:
+        for folder in batch.column("path").to_pylist():
+            rows = []
+            for path, s, inner in _entries(folder):
+                head = None
+                if not inner and os.path.splitext(path)[1].lower() not in known:
+                    try:
+                        with open(path, "rb") as f:
+                            head = f.read(SNIFF_BYTES)
+                    except OSError:
+                        continue
+                rows.append((path, inner, s.st_size, int(s.st_ctime * 1e6), int(s.st_mtime * 1e6), head))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _LISTED.types)], schema=_LISTED)
+
+
+def _read_files(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in source:
+        for i in range(batch.num_rows):  # one file at a time
+            try:
+                with open(batch.column("path")[i].as_py(), "rb") as f:
+                    content = f.read()
+            except OSError:
+                content = None
+            yield batch.slice(i, 1).append_column("content", pa.array([content], pa.binary()))
+
+
+def scan_tree(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
+    """SRC-1, SRC-2 of a folder that all executors mount, listed by them: path, name, extension, category, mime_type, size, created_at, modified_at (and content).
+
+    A level of folders is listed at a time, dealt over tasks; hidden and ignored folders are never entered. Of files whose
+    extension says nothing, the first SNIFF_BYTES are read; whole files only for ``content``, and only those that can be indexed
+    (null for others and for what can't be read). Files that go away meanwhile are left out.
+    """
+    level, found = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string"), None
+    while True:
+        rows = stage(level.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_list_folders, "path string, folder boolean, size long, created_at timestamp, modified_at timestamp, head binary"), "listed-folders")
+        found = rows if found is None else found.unionByName(rows)
+        level = rows.filter("folder").select("path")
+        if level.isEmpty():
+            break
+    texty, ext = looks_like_text(F.col("head")), extension(F.col("path"))
+    files = found.filter("NOT folder").select("path", F.element_at(F.split("path", "/"), -1).alias("name"), ext.alias("extension"), category(ext, texty).alias("category"), mime_type(ext, texty).alias("mime_type"), "size", "created_at", "modified_at")
+    if not content:
+        return files
+    wanted = files.filter("category <> 'other'").repartition(spark.sparkContext.defaultParallelism)
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema.fields)
+    return wanted.mapInArrow(_read_files, ddl + ", content binary").unionByName(files.filter("category = 'other'").withColumn("content", F.lit(None).cast("binary")))
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
