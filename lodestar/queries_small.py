@@ -22,6 +22,15 @@ def _pick(items, by):
     return F.element_at(F.array(*[F.lit(x) for x in items]), (by % len(items) + 1).cast("int"))
 
 
+def _shown(column):
+    """A value as text, null as NULL."""
+    return F.coalesce(F.col(column).cast("string"), F.lit("NULL"))
+
+
+#: Whether bytes b look like text: none is NUL, under 5 % of the first 8 KB are control bytes.
+_TEXTY = """octet_length(b) > 0 AND NOT list_contains({0}, '00') AND len(list_filter({0}, lambda x: x <= '08' OR x BETWEEN '0E' AND '1F' OR x = '7F')) < 0.05 * len({0})""".format("regexp_extract_all(left(hex(b), 16384), '..')")
+
+
 # ---- sources -------------------------------------------------------------------------------------------------------
 
 
@@ -31,14 +40,13 @@ def visible_paths(t):
     return t("part").select("p_partkey", scan.visible(path).alias("visible"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN false WHEN 1 THEN length(text) > 0 WHEN 2 THEN false ELSE length(text) > 0 AND least(length(text), 8192) >= 200 END AS texty FROM documents WHERE regexp_matches(text, '^[ -~]+$') OR text = ''""")
+@query(f"""SELECT doc_id, {_TEXTY} AS texty FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ''::BLOB WHEN 1 THEN encode(text) WHEN 2 THEN unhex('00') || encode(text) ELSE unhex('010101010101010101') || encode(text) END AS b FROM documents)""")
 def text_sniffed(t):
     """Empty, plain, with a NUL, with nine control bytes."""
-    rows = t("documents").filter(F.col("text").rlike("^[ -~]+$") | (F.col("text") == ""))
-    mode = F.col("doc_id") % 4
-    body = F.when(mode == 0, "").when(mode == 1, F.col("text")).when(mode == 2, F.concat(F.lit("\x00"), "text")).otherwise(F.when(F.length("text") < 200, F.concat(F.lit("\x01" * 400), "text")).otherwise(F.concat(F.lit("\x01" * 9), "text")))
-    texty = scan.looks_like_text(F.encode(body, "UTF-8"))
-    return rows.select("doc_id", F.when((mode == 3) & (F.length("text") == 0), F.lit(False)).otherwise(texty).alias("texty"))
+    mode, body = F.col("doc_id") % 4, F.encode("text", "UTF-8")
+    put = lambda hexed: F.concat(F.unhex(F.lit(hexed)), body)
+    content = F.when(mode == 0, F.lit("").cast("binary")).when(mode == 1, body).when(mode == 2, put("00")).otherwise(put("01" * 9))
+    return t("documents").select("doc_id", scan.looks_like_text(content).alias("texty"))
 
 
 @query("SELECT p_partkey, p_partkey % 5 <> 4 OR p_partkey % 2 = 0 AS indexable, CASE p_partkey % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'document' WHEN 2 THEN 'image' WHEN 3 THEN 'video' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'text' ELSE 'other' END END AS category FROM part")
@@ -55,12 +63,10 @@ def category_gate(t):
     return marked.select("doc_id", F.coalesce("plain", F.lit(False)).alias("plain"), F.coalesce("with_media", F.lit(False)).alias("with_media"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 < 2 OR length(text) > 0 THEN 'text' END AS extractor, CASE WHEN doc_id % 3 < 2 OR length(text) > 0 THEN text END AS text, CASE WHEN doc_id % 3 = 2 AND length(text) = 0 THEN 'unsupported' END AS error FROM documents
-  WHERE NOT regexp_matches(text, '[\\x00-\\x08\\x0e-\\x1f\\x7f]')""")
+@query(f"""SELECT doc_id, CASE WHEN read THEN 'text' END AS extractor, CASE WHEN read THEN text END AS text, CASE WHEN NOT read THEN 'unsupported' END AS error FROM (SELECT doc_id, text, doc_id % 3 < 2 OR {_TEXTY} AS read FROM (SELECT *, encode(text) AS b FROM documents))""")
 def extracted_texts(t):
     """By extension, and as text by its looks."""
-    rows = t("documents").filter(~F.col("text").rlike("[\\x00-\\x08\\x0e-\\x1f\\x7f]"))
-    files = rows.select("doc_id", _pick([".txt", ".MD", ".zzz"], F.col("doc_id")).alias("extension"), F.encode("text", "UTF-8").alias("content"))
+    files = t("documents").select("doc_id", _pick([".txt", ".MD", ".zzz"], F.col("doc_id")).alias("extension"), F.encode("text", "UTF-8").alias("content"))
     return extract.extract(files, key="doc_id").select("doc_id", "extractor", "text", "error")
 
 
@@ -74,12 +80,12 @@ def point_count(t):
     return ct.point_count(t("embeddings"), label=[2, 4])
 
 
-@query("SELECT vec_id AS id, 'c' || vec_id AS chunk_id, 'none' AS file_id, CASE WHEN label = 3 THEN '' ELSE 'text ' || label END AS text, CASE WHEN label = 5 THEN 7 ELSE -1 END::INT AS page, CASE WHEN label < 5 THEN 'text' ELSE 'other' END AS category, 0::INT AS chunk_idx, label::INT AS offset_start, 0::INT AS offset_end FROM embeddings")
+@query("SELECT vec_id AS id, 'c' || vec_id AS chunk_id, 'NULL' AS file_id, 'NULL' AS source_id, 'NULL' AS file_name, CASE WHEN label = 3 THEN '' ELSE 'text ' || label END AS text, CASE WHEN label = 5 THEN '7' ELSE 'NULL' END AS page, CASE WHEN label < 5 THEN 'text' ELSE 'other' END AS category, 0::INT AS chunk_idx, label::INT AS offset_start, 0::INT AS offset_end FROM embeddings")
 def payload_defaults(t):
     label = F.col("label")
     payload = F.struct(F.concat(F.lit("c"), "vec_id").alias("chunk_id"), F.when(label != 3, F.concat(F.lit("text "), label)).alias("text"), F.when(label == 5, 7).alias("page"), F.when(label < 5, "text").alias("category"), F.when(label != 0, label).alias("offset_start"))
-    rows = ct.payload_rows(t("embeddings").select(F.col("vec_id").alias("id"), payload.alias("payload"))).drop("source_id", "file_name")
-    return rows.withColumns({"file_id": F.coalesce("file_id", F.lit("none")), "page": F.coalesce("page", F.lit(-1))})
+    rows = ct.payload_rows(t("embeddings").select(F.col("vec_id").alias("id"), payload.alias("payload")))
+    return rows.withColumns({c: _shown(c) for c in ("file_id", "source_id", "file_name", "page")})
 
 
 @query("""SELECT doc_id, chunk_id, left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id
@@ -100,11 +106,11 @@ def page_starts(t):
     return chunking.page_offsets(t("conversations"), "conv_id", "turn").select("conv_id", "turn", "start")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN -1 WHEN o < 100 THEN 3 WHEN o < 500 THEN 5 ELSE 8 END::INT AS page FROM (SELECT event_id, event_id % 701 AS o FROM events)")
+@query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'NULL' WHEN o < 100 THEN '3' WHEN o < 500 THEN '5' ELSE '8' END AS page FROM (SELECT event_id, event_id % 701 AS o FROM events)")
 def chunk_pages(t):
     page = lambda n, at: F.struct(F.lit(n).alias("page"), F.lit(at).alias("start"))
     pages = F.when(F.col("event_id") % 11 == 0, F.array().cast("array<struct<page:int,start:int>>")).otherwise(F.array(page(3, 0), page(5, 100), page(8, 500)))
-    return t("events").select("event_id", F.coalesce(chunking.page_at(pages, F.col("event_id") % 701), F.lit(-1)).alias("page"))
+    return t("events").select("event_id", chunking.page_at(pages, F.col("event_id") % 701).alias("page")).withColumn("page", _shown("page"))
 
 
 @query(r"""SELECT doc_id, rtrim(CASE WHEN doc_id % 2 = 0 THEN 'Descripcion: ' || source || CASE WHEN b <> '' THEN chr(10) || chr(10) ELSE '' END ELSE '' END || CASE WHEN b <> '' THEN 'Texto en la imagen: ' || b ELSE '' END, chr(10)) AS text FROM (SELECT *, trim(text, ' ') AS b FROM documents)""")
@@ -157,12 +163,11 @@ def object_ids(t):
     return t("documents").select("doc_id", tx.object_id_valid(value).alias("valid"))
 
 
-@query("SELECT p_partkey, replace(p_name, ' ', '-') || CASE WHEN p_partkey % 2 = 0 THEN ':7b' ELSE '' END AS name, p_partkey % 3 <> 0 AS valid FROM part WHERE regexp_matches(p_name, '^[A-Za-z0-9][A-Za-z0-9 ]*$')")
+@query("SELECT p_partkey, replace(p_name, ' ', '-') || CASE WHEN p_partkey % 2 = 0 THEN ':7b' ELSE '' END AS name, p_partkey % 3 <> 0 AS valid FROM part")
 def model_names(t):
     bare = F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))
     name = F.concat(F.lit(" "), bare, F.when(F.col("p_partkey") % 2 == 0, ":7b").otherwise(":latest"))
-    rows = t("part").filter(F.col("p_name").rlike("^[A-Za-z0-9][A-Za-z0-9 ]*$"))
-    return rows.select("p_partkey", tx.model_name(name).alias("name"), tx.model_name_valid(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("-"), bare)).otherwise(bare)).alias("valid"))
+    return t("part").select("p_partkey", tx.model_name(name).alias("name"), tx.model_name_valid(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("-"), bare)).otherwise(bare)).alias("valid"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '' ELSE strftime(ts, '%-d %b %Y, %-H:%M') END AS at FROM events")
@@ -204,9 +209,9 @@ def expanded_queries(t):
     return encoders.expanded(questions, written, 3).select("qid", F.col("variant").cast("long").alias("variant"), "question")
 
 
-@query("SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS words FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '')[:200] AS w FROM documents)")
+@query("SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS words FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents)")
 def distinct_in_order(t):
-    words = F.slice(F.filter(F.split("text", " "), lambda x: x != ""), 1, 200)
+    words = F.filter(F.split("text", " "), lambda x: x != "")
     return t("documents").select("doc_id", F.array_distinct(words).alias("words"))
 
 
@@ -325,9 +330,9 @@ def ask_answers(t):
     return pipelines.ask(_asked(t), _chunks(t), 5, _PLAIN)[1].select("qid", "answer", "has_hits")
 
 
-@query(f"SELECT qid, rank, id AS chunk_id, source AS file_id, source || '.txt' AS file_name, score, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS snippet FROM ({_top(_hybrid_sql(5), 5)}) h JOIN documents d ON d.doc_id = h.id")
+@query(f"SELECT qid, rank, id AS chunk_id, source AS file_id, source || '.txt' AS file_name, 'NULL' AS page, score, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS snippet FROM ({_top(_hybrid_sql(5), 5)}) h JOIN documents d ON d.doc_id = h.id")
 def ask_citations(t):
-    return pipelines.ask(_asked(t), _chunks(t), 5, _PLAIN)[0].drop("page")
+    return pipelines.ask(_asked(t), _chunks(t), 5, _PLAIN)[0].withColumn("page", _shown("page"))
 
 
 @query(f"""WITH h AS (SELECT h.qid, d.source, min(h.rank) AS first FROM ({_top(_hybrid_sql(5), 5)}) h JOIN documents d ON d.doc_id = h.id GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first) AS place FROM h),
@@ -346,13 +351,12 @@ def listed_files(t):
     return pipelines.search_files("  ", None, files, page=2, category=first).select("file_id", "name")
 
 
-@query(f"""SELECT place, source AS file_id, round(score, 4) AS relevance_score, total FROM (SELECT *, row_number() OVER (ORDER BY score DESC, rank) AS place, count(*) OVER () AS total FROM (
-  SELECT d.source, h.score, h.rank, row_number() OVER (PARTITION BY d.source ORDER BY h.score DESC, h.rank) AS r FROM ({_top(_hybrid_sql(20), 20)}) h JOIN documents d ON d.doc_id = h.id WHERE h.qid = (SELECT min(item_id) FROM benchmark)) WHERE r = 1) WHERE place <= 15""")
+@query(f"""SELECT qid, place, source AS file_id, round(score, 4) AS relevance_score, total FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS place, count(*) OVER (PARTITION BY qid) AS total FROM (
+  SELECT h.qid, d.source, h.score, h.rank, row_number() OVER (PARTITION BY h.qid, d.source ORDER BY h.score DESC, h.rank) AS r FROM ({_top(_hybrid_sql(20), 20)}) h JOIN documents d ON d.doc_id = h.id) WHERE r = 1) WHERE place <= 15""")
 def searched_files(t):
-    """One query through the search's dispatch: the best chunk of each file, a page of files."""
-    question = t("benchmark").orderBy("item_id").first()["text"]
+    """Every question through the search: the best chunk of each file, a page of files."""
     files = t("documents").select(F.col("source").alias("file_id")).distinct()
-    return pipelines.search_files(question, _chunks(t), files, options=_PLAIN).select("place", "file_id", "relevance_score", "total")
+    return pipelines.search(_asked(t), _chunks(t), files, options=_PLAIN).select("qid", "place", "file_id", "relevance_score", "total")
 
 
 @query(f"SELECT q.vec_id AS qid, count(DISTINCT label) AS n_files FROM (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id % 50 = 0) q JOIN ({_top(_KNN, 10, 'qid, label')}) h ON h.qid = q.vec_id GROUP BY 1")
