@@ -17,13 +17,34 @@ from ..functions.formats import index_status
 from ..operators import catalog as ct
 from ..operators import chunking, encoders, evaluate, prompts
 from ..operators import retrieval as rt
+from ..operators.cells import CellIndex
+from ..operators.inverted import InvertedIndex
 from ..session import stage
 from ..sources import extract, scan
 
 
+@dataclass(frozen=True)
+class Indexes:
+    """Kept indexes of one set of chunks: their dense vectors, and their texts under their contexts."""
+
+    dense: CellIndex
+    sparse: InvertedIndex
+
+
+def index_chunks(chunks: DataFrame, path: str | None = None) -> Indexes:
+    """Indexes of all of ``chunks``, below ``path`` (by default the checkpoint folder), to be given to searches of the same chunks."""
+    dense = CellIndex.build(chunks.select(F.col("chunk_id").alias("id"), F.col("dense").alias("vector")), path and f"{path}/dense")
+    return Indexes(dense, InvertedIndex.build(_passages(chunks), "chunk_id", path=path and f"{path}/sparse"))
+
+
+def _passages(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk_id", tx.embed_text(F.col("context"), F.col("text")).alias("text"))
+
+
 @dataclass(frozen=True)
 class Options:
-    """Settings of the reference's runtime; ``merged`` applies only those that are given."""
+    """Settings of a search; ``merged`` applies only those that are given. ``indexes`` serve searches without filters; others, and
+    those without, build indexes of the chunks that they search."""
 
     encoder: encoders.Encoder = encoders.hashed_encoder()
     scorer: encoders.Scorer | None = encoders.overlap_scorer
@@ -32,6 +53,7 @@ class Options:
     weight: float = rt.LAMBDA
     overfetch: int = rt.OVERFETCH
     multimedia: bool = False
+    indexes: Indexes | None = None
 
     def merged(self, **given) -> Options:
         return Options(**(self.__dict__ | {k: v for k, v in given.items() if v is not None}))
@@ -51,9 +73,11 @@ def hybrid_hits(questions: DataFrame, chunks: DataFrame, k: int, options: Option
     held = _filtered(chunks, source_id, categories)
     texts = questions.select(F.col("qid").alias("id"), F.col("question").alias("text"))
     vectors = options.encoder(texts).withColumnRenamed("id", "qid")
-    dense = rt.knn(held.select(F.col("chunk_id").alias("id"), F.col("dense").alias("vector")), vectors, rt.dense_limit(k))
-    passages = held.select("chunk_id", tx.embed_text(F.col("context"), F.col("text")).alias("text"))
-    sparse = rt.bm25(passages, questions.select("qid", F.col("question").alias("text")), rt.sparse_limit(k), "chunk_id")
+    asked = questions.select("qid", F.col("question").alias("text"))
+    indexes = options.indexes if source_id is None and not categories else None
+    if indexes is None:
+        indexes = index_chunks(held)
+    dense, sparse = indexes.dense.top(vectors, rt.dense_limit(k)), indexes.sparse.top(asked, rt.sparse_limit(k))
     return rt.hybrid(dense, sparse, k)
 
 

@@ -252,12 +252,15 @@ def _hybrid_sql(k: int) -> str:
     return f"SELECT qid, id, round(sum(1.0::DOUBLE / (1 + rank)), 9) AS score FROM (SELECT qid, id, rank FROM ({_top(_BM25, max(2 * k, 20))}) UNION ALL SELECT qid, id, rank FROM ({_top(_DENSE, max(4 * k, 20))})) GROUP BY 1, 2"
 
 
+def _hashed_index(t) -> CellIndex:
+    encode = encoders.hashed_encoder()
+    return _kept(t("documents"), "hashed", lambda: CellIndex.build(encode(_texts(t).select(F.col("doc_id").alias("id"), "text"))))
+
+
 def _hybrid(t, k):
     """BM25 beside cosine of hashed token counts, both over all documents and from indexes."""
-    encode = encoders.hashed_encoder()
-    cells = _kept(t("documents"), "hashed", lambda: CellIndex.build(encode(_texts(t).select(F.col("doc_id").alias("id"), "text"))))
-    questions = encode(_questions(t).withColumnRenamed("qid", "id")).withColumnRenamed("id", "qid")
-    return rt.hybrid(cells.top(questions, rt.dense_limit(k)), _text_index(t).top(_questions(t), rt.sparse_limit(k)), k)
+    questions = encoders.hashed_encoder()(_questions(t).withColumnRenamed("qid", "id")).withColumnRenamed("id", "qid")
+    return rt.hybrid(_hashed_index(t).top(questions, rt.dense_limit(k)), _text_index(t).top(_questions(t), rt.sparse_limit(k)), k)
 
 
 @query(_top(_hybrid_sql(10), 10))

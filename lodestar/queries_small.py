@@ -11,7 +11,7 @@ from .operators import chunking, encoders
 from .operators import evaluate as ev
 from .operators import retrieval as rt
 from .plans import pipelines
-from .queries import _KNN, _TOKENS, _hybrid_sql, _query_vectors, _texts, _top, _vector_index, _vectors, query
+from .queries import _HASHED, _KNN, _TOKENS, _hashed_index, _hybrid_sql, _query_vectors, _text_index, _texts, _top, _vector_index, _vectors, query
 from .session import staging_path
 from .sources import extract, scan
 from .streaming import events as st
@@ -297,13 +297,19 @@ def _asked(t):
     return t("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
-_PLAIN = pipelines.Options(scorer=None, use_mmr=False)
+def _options(t, **given):
+    """Options with the kept indexes of the chunks, which are whole documents."""
+    return pipelines.Options(indexes=pipelines.Indexes(_hashed_index(t), _text_index(t)), **given)
+
+
+def _plain(t):
+    return _options(t, scorer=None, use_mmr=False)
 
 
 @query(f"SELECT qid, id AS chunk_id, score, rank FROM ({_top(_hybrid_sql(5), 5)})")
 def retrieve_plain(t):
     """No reranker, no diversity: the hybrid ranking's final slice."""
-    return pipelines.retrieve(_asked(t), _chunks(t), 5, _PLAIN).select("qid", "chunk_id", "score", "rank")
+    return pipelines.retrieve(_asked(t), _chunks(t), 5, _plain(t)).select("qid", "chunk_id", "score", "rank")
 
 
 _SHARE = f"""SELECT h.qid, h.id, round(len(list_intersect(list_distinct({_TOKENS.format('b.text')}), list_distinct({_TOKENS.format('left(d.text, 2000)')})))::DOUBLE / len(list_distinct({_TOKENS.format('b.text')})), 6) AS score
@@ -313,26 +319,48 @@ _SHARE = f"""SELECT h.qid, h.id, round(len(list_intersect(list_distinct({_TOKENS
 @query(f"SELECT qid, id AS chunk_id, score, rank FROM ({_top(f'SELECT * FROM ({_SHARE}) QUALIFY score >= max(score) OVER (PARTITION BY qid) - 0.2', 5)})")
 def retrieve_reranked(t):
     """Twice as many fetched, scored by shared tokens, cut by a margin, the best five."""
-    options = pipelines.Options(use_mmr=False, margin=0.2)
-    return pipelines.retrieve(_asked(t), _chunks(t), 5, options).select("qid", "chunk_id", "score", "rank")
+    return pipelines.retrieve(_asked(t), _chunks(t), 5, _options(t, use_mmr=False, margin=0.2)).select("qid", "chunk_id", "score", "rank")
 
 
 @query(f"""SELECT qid, id AS chunk_id, score, rank FROM ({_top(f"SELECT qid, id, CASE WHEN n = 1 THEN own ELSE round(fused, 9) END AS score FROM (SELECT h.qid, id, sum(1.0::DOUBLE / (60 + rank)) AS fused, max(score) AS own, 1 AS n FROM ({_top(_hybrid_sql(10), 10)}) h GROUP BY 1, 2)", 5)})""")
 def retrieve_multi_single(t):
     """Without variants the question's own ranking decides, scores as they were."""
     variants = encoders.expanded(_asked(t))
-    return pipelines.retrieve_multi(variants, _chunks(t), 5, _PLAIN).select("qid", "chunk_id", "score", "rank")
+    return pipelines.retrieve_multi(variants, _chunks(t), 5, _plain(t)).select("qid", "chunk_id", "score", "rank")
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT qid, id, score, n, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END, 12) AS rel FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS n, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi
+    FROM (SELECT * FROM ({_SHARE}) QUALIFY score >= max(score) OVER (PARTITION BY qid) - 0.2))),
+  vec AS (SELECT doc_id AS id, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS v FROM ({_HASHED.format(id='doc_id', table='documents')}) WHERE doc_id IN (SELECT id FROM c)),
+  near AS (SELECT a.qid, a.id, b.id AS other, coalesce(sum(x.v * y.v), 0) AS cos FROM c a JOIN c b ON a.qid = b.qid JOIN vec x ON x.id = a.id JOIN vec y ON y.id = b.id AND y.bucket = x.bucket GROUP BY ALL),
+  p(qid, picked, pick) AS (SELECT qid, [arg_max(id, (rel, -id))], 1 FROM c WHERE n > 5 GROUP BY qid
+    UNION ALL SELECT qid, list_append(picked, arg_max(id, (round(0.7 * rel - 0.3 * worst, 12), score, -id))), pick + 1 FROM (
+      SELECT p.qid, p.picked, p.pick, c.id, c.rel, c.score, (SELECT coalesce(max(cos), 0) FROM near n WHERE n.qid = c.qid AND n.id = c.id AND list_contains(p.picked, n.other)) AS worst FROM p JOIN c ON p.qid = c.qid AND NOT list_contains(p.picked, c.id)) WHERE pick < 5 GROUP BY qid, picked, pick)
+  SELECT q.qid, q.id AS chunk_id, c.score, q.rank::BIGINT AS rank FROM (SELECT qid, unnest(picked) AS id, generate_subscripts(picked, 1) AS rank FROM p WHERE pick = 5 UNION ALL SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) FROM c WHERE n <= 5) q JOIN c USING (qid, id)""")
+def retrieve_diverse(t):
+    """Reranker, margin and diversity together: of twice as many, five that differ."""
+    return pipelines.retrieve(_asked(t), _chunks(t), 5, _options(t, margin=0.2)).select("qid", "chunk_id", "score", "rank")
+
+
+@query(f"""WITH h AS (SELECT qid, id, score, rank FROM ({_top(_hybrid_sql(10), 10)})), r AS (SELECT qid, 0 AS variant, id, score, rank FROM h UNION ALL SELECT qid - 1, 1, id, score, rank FROM h WHERE qid - 1 IN (SELECT item_id FROM benchmark)),
+  f AS (SELECT qid, id, CASE WHEN n = 1 THEN max(score) ELSE round(sum(1.0::DOUBLE / (60 + rank)), 9) END AS score FROM r JOIN (SELECT qid, count(DISTINCT variant) AS n FROM r GROUP BY 1) USING (qid) GROUP BY qid, id, n)
+  SELECT qid, id AS chunk_id, score, rank FROM ({_top('SELECT * FROM f', 5)})""")
+def retrieve_multi(t):
+    """Each question and, as its variant, the next one: two rankings, fused, the best five."""
+    own = _asked(t)
+    variants = own.select("qid", F.lit(0).alias("variant"), "question").unionByName(own.select((F.col("qid") - 1).alias("qid"), F.lit(1).alias("variant"), "question").join(own.select("qid"), "qid", "left_semi"))
+    return pipelines.retrieve_multi(variants, _chunks(t), 5, _plain(t)).select("qid", "chunk_id", "score", "rank")
 
 
 @query(f"""SELECT qid, CASE WHEN c IS NULL THEN 'The indexed documents do not hold enough information to answer.' ELSE split_part(c, chr(10), 1) END AS answer, c IS NOT NULL AS has_hits
   FROM (SELECT item_id AS qid, '[1] (chunk_id=' || id || ', archivo=' || source || '.txt) ' || d.text AS c FROM benchmark LEFT JOIN ({_top(_hybrid_sql(5), 1)}) h ON h.qid = item_id LEFT JOIN documents d ON d.doc_id = h.id)""")
 def ask_answers(t):
-    return pipelines.ask(_asked(t), _chunks(t), 5, _PLAIN)[1].select("qid", "answer", "has_hits")
+    return pipelines.ask(_asked(t), _chunks(t), 5, _plain(t))[1].select("qid", "answer", "has_hits")
 
 
 @query(f"SELECT qid, rank, id AS chunk_id, source AS file_id, source || '.txt' AS file_name, 'NULL' AS page, score, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS snippet FROM ({_top(_hybrid_sql(5), 5)}) h JOIN documents d ON d.doc_id = h.id")
 def ask_citations(t):
-    return pipelines.ask(_asked(t), _chunks(t), 5, _PLAIN)[0].withColumn("page", _shown("page"))
+    return pipelines.ask(_asked(t), _chunks(t), 5, _plain(t))[0].withColumn("page", _shown("page"))
 
 
 @query(f"""WITH h AS (SELECT h.qid, d.source, min(h.rank) AS first FROM ({_top(_hybrid_sql(5), 5)}) h JOIN documents d ON d.doc_id = h.id GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first) AS place FROM h),
@@ -340,7 +368,7 @@ def ask_citations(t):
   SELECT count(*) AS n_queries, round(avg(recall), 6) AS mean_recall, round(avg(rr), 6) AS mrr, quantile_cont(latency, 0.5) AS p50, quantile_cont(latency, 0.95) AS p95, quantile_cont(latency, 0.99) AS p99 FROM x""")
 def scored_pipeline(t):
     dataset = _asked(t).withColumns({"relevant_ids": F.array(F.lit("src1"), F.lit("src2"), F.lit("src3")), "latency": F.col("qid").cast("double")})
-    return pipelines.score_pipeline(dataset, _chunks(t), 5, _PLAIN).withColumns({"mean_recall": F.round("mean_recall", 6), "mrr": F.round("mrr", 6)})
+    return pipelines.score_pipeline(dataset, _chunks(t), 5, _plain(t)).withColumns({"mean_recall": F.round("mean_recall", 6), "mrr": F.round("mrr", 6)})
 
 
 @query("SELECT p_partkey AS file_id, p_name AS name FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) ORDER BY p_name, p_partkey LIMIT 15 OFFSET 15")
@@ -356,7 +384,7 @@ def listed_files(t):
 def searched_files(t):
     """Every question through the search: the best chunk of each file, a page of files."""
     files = t("documents").select(F.col("source").alias("file_id")).distinct()
-    return pipelines.search(_asked(t), _chunks(t), files, options=_PLAIN).select("qid", "place", "file_id", "relevance_score", "total")
+    return pipelines.search(_asked(t), _chunks(t), files, options=_plain(t)).select("qid", "place", "file_id", "relevance_score", "total")
 
 
 @query(f"SELECT q.vec_id AS qid, count(DISTINCT label) AS n_files FROM (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id % 50 = 0) q JOIN ({_top(_KNN, 10, 'qid, label')}) h ON h.qid = q.vec_id GROUP BY 1")
