@@ -52,20 +52,20 @@ def pivots(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
 class CellIndex:
     """An index that ``build`` has written at ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, cells: list[tuple] | None = None) -> None:
+        """``cells``: what the folder's ``cells`` holds, if that is known: (cell, near, far, n, centre) of cells with vectors."""
         self.spark, self.path = spark, path
-        rows = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()  # MOST_CELLS at most
-        self.centre = np.array([r["centre"] for r in rows], np.float64)
-        self.far = np.array([r["far"] for r in rows], np.float64)
-        self.near = np.array([r["near"] for r in rows], np.float64)
-        self.count = np.array([r["n"] for r in rows], np.int64)
+        rows = sorted(cells if cells is not None else map(tuple, spark.read.parquet(f"{path}/cells").select("cell", "near", "far", "n", "centre").collect()))  # MOST_CELLS at most
+        self.number, self.near, self.far, self.count = (np.array([r[i] for r in rows], t) for i, t in enumerate((np.int32, np.float64, np.float64, np.int64)))
+        self.centre = np.array([r[4] for r in rows], np.float64)
 
     @classmethod
     def build(cls, vectors: DataFrame, path: str | None = None, cells: int | None = None, block: int = BLOCK) -> CellIndex:
         """Index all of ``vectors`` (id, vector); null vectors are left out. ``cells``: by default the square root of the number of rows."""
         spark, path = vectors.sparkSession, path or staging_path(vectors.sparkSession, "cell-index")
         vectors = vectors.select("id", "vector").filter(F.col("vector").isNotNull())
-        cells = min(MOST_CELLS, cells or int(vectors.count() ** 0.5) or 1)
+        total = vectors.count()
+        cells = min(MOST_CELLS, cells or int(total**0.5) or 1)
         sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE * cells).select("vector").toArrow()["vector"].combine_chunks()  # bounded
         centre = pivots(_unit(sample), cells) if len(sample) else np.zeros((0, 1))
         kind = vectors.schema["id"].dataType.simpleString()
@@ -102,21 +102,20 @@ class CellIndex:
             if held:
                 yield from rings(pa.Table.from_batches(held))
 
-        rows = stage(vectors.mapInArrow(dealt, f"id {kind}, cell int, away double, vector array<double>"), "dealt-vectors")
-        order = ["cell", "away", "id"]  # a large cell takes several ranges
-        rows.repartitionByRange(task_count(spark), *order).sortWithinPartitions(*order).mapInArrow(packed, f"cell int, near double, far double, ids array<{kind}>, matrix binary").write.parquet(f"{path}/rings")
-        held = spark.read.parquet(f"{path}/rings").groupBy("cell").agg(F.min("near").alias("near"), F.max("far").alias("far"), F.sum(F.size("ids")).alias("n"))
-        places = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centre)], "cell int, centre array<double>")
-        held.join(places, "cell").coalesce(1).write.parquet(f"{path}/cells")
-        return cls(spark, path)
+        rows = vectors.mapInArrow(dealt, f"id {kind}, cell int, away double, vector array<double>")
+        rows = rows.repartition(task_count(spark), "cell", F.pmod(F.xxhash64("id"), F.lit(1 + total // (16 * block))))  # a large cell takes several tasks
+        rows.sortWithinPartitions("cell", "away", "id").mapInArrow(packed, f"cell int, near double, far double, ids array<{kind}>, matrix binary").write.parquet(f"{path}/rings")
+        held = spark.read.parquet(f"{path}/rings").groupBy("cell").agg(F.min("near").alias("near"), F.max("far").alias("far"), F.sum(F.size("ids")).alias("n")).collect()  # MOST_CELLS at most
+        found = [(*r, centre[r["cell"]].tolist()) for r in held]
+        spark.createDataFrame(found, "cell int, near double, far double, n long, centre array<double>").coalesce(1).write.parquet(f"{path}/cells")
+        return cls(spark, path, found)
 
     def rings(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/rings")
 
     def _asked(self, queries: DataFrame, first: int, k: int) -> DataFrame:
         """(qid, vector, cell, away, bound, begun) of each query and each cell that holds vectors: bound is the highest possible score there, and ``begun`` cells are the nearest ones, ``first`` of them and as many as hold ``k`` vectors."""
-        centre, near, far, count = self.centre, self.near, self.far, self.count
-        numbers = np.array([r["cell"] for r in self.spark.read.parquet(f"{self.path}/cells").select("cell").orderBy("cell").collect()], np.int32)
+        centre, near, far, count, numbers = self.centre, self.near, self.far, self.count, self.number
 
         def told(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in source if len(count) else ():
@@ -175,7 +174,7 @@ class CellIndex:
         begun = asked.filter("begun").select("qid", "cell", "away", F.lit(-2.0).alias("least"))
         found = stage(ranked(self._compared(begun, queries, k, digits), k, "score", "qid"), "first-neighbours")
         threshold = found.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(-2.0)).alias("least"))
-        rest = stage(asked.filter("NOT begun").join(threshold, "qid").filter(F.col("bound") >= F.col("least") - _EPSILON).select("qid", "cell", "away", "least"), "other-cells")
+        rest = asked.filter("NOT begun").join(threshold, "qid").filter(F.col("bound") >= F.col("least") - _EPSILON).select("qid", "cell", "away", "least")
         return ranked(found.drop("rank").unionByName(self._compared(rest, queries, k, digits)), k, "score", "qid")
 
 

@@ -29,8 +29,8 @@ from ..functions import text as tx
 from ..session import stage, staging_path
 from .retrieval import BM25_B, BM25_K1, ranked
 
-#: Documents of a range; queries scored together; ranges of each query that are scored first; terms that are pushed into the scan.
-RANGE_DOCS, QUERY_BLOCK, FIRST_RANGES, PUSHED_TERMS = 4096, 256, 2, 1000
+#: Documents of a range; terms of the queries that are scored together; ranges of each query that are scored first; terms that are pushed into the scan.
+RANGE_DOCS, BLOCK_TERMS, FIRST_RANGES, PUSHED_TERMS = 4096, 4096, 2, 1000
 _EPSILON = 1e-5  # scores are rounded
 
 
@@ -88,10 +88,12 @@ class InvertedIndex:
         idf = F.log(1 + (self.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
         return terms.join(self.terms().select("term", "df"), "term").select("qid", "term", (own * idf).alias("weight"))
 
-    def _held(self, weights: DataFrame) -> DataFrame:
-        """The postings of the queries' terms: few terms are pushed into the scan, more are joined."""
+    def _held(self, weights: DataFrame, rows: int) -> DataFrame:
+        """The postings of the queries' terms (``rows`` in all): few are pushed into the scan, more are joined."""
         terms = weights.select("term").distinct()
-        few = [r["term"] for r in terms.limit(PUSHED_TERMS + 1).collect()]
+        if rows > 4 * PUSHED_TERMS:
+            return self.postings().join(terms, "term", "left_semi")
+        few = [r["term"] for r in terms.collect()]
         return self.postings().filter(F.col("term").isin(few)) if len(few) <= PUSHED_TERMS else self.postings().join(terms, "term", "left_semi")
 
     def bounds(self, weights: DataFrame, held: DataFrame) -> DataFrame:
@@ -109,8 +111,8 @@ class InvertedIndex:
     def top(self, queries: DataFrame, k: int, saturated: bool = False, digits: int = 6, first: int = FIRST_RANGES) -> DataFrame:
         """(qid, id, score, rank) of the ``k`` best documents of each query (qid, text)."""
         weights = stage(self.weights(queries, saturated), "query-terms")
-        blocks = -(-weights.select("qid").distinct().count() // QUERY_BLOCK)
-        held = self._held(weights)
+        rows = weights.count()
+        blocks, held = -(-rows // BLOCK_TERMS), self._held(weights, rows)
         bounds = stage(self.bounds(weights, held), "bounds")
         begun = ranked(bounds, first, "bound", "qid", order="range", name="place").select("qid", "range")
         found = stage(ranked(self._scored(begun, weights, held, blocks, k, digits), k, "score", "qid"), "first-scores")

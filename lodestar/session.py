@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import shutil
 import tempfile
@@ -11,7 +12,6 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -93,6 +93,11 @@ def task_count(spark: SparkSession) -> int:
 
 
 def signature(scan: DataFrame) -> str:
-    """A text that changes when the files of ``scan`` do: their paths, sizes and times."""
-    files = scan.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    return files.agg(F.coalesce(F.sum(F.xxhash64("*").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("s")).first()["s"]
+    """A text that changes when the files of ``scan`` do: a hash of their paths, sizes and times, from listings of their folders."""
+    jvm, conf = scan.sparkSession.sparkContext._jvm, scan.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    files = scan.inputFiles()
+    seen = []
+    for folder in sorted({f.rpartition("/")[0] for f in files}):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        seen += [f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in path.getFileSystem(conf).listStatus(path)]
+    return hashlib.sha256("\n".join([*sorted(files), *sorted(seen)]).encode()).hexdigest()

@@ -42,7 +42,7 @@ def some_docs(rng, n):
 @pytest.mark.parametrize("range_docs, saturated, pushed", [(1000, False, 1000), (8, True, 1000), (3, False, 0)])
 def test_bm25_equals_scoring_all(spark, range_docs, saturated, pushed, monkeypatch):
     monkeypatch.setattr(inverted, "PUSHED_TERMS", pushed)
-    monkeypatch.setattr(inverted, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(inverted, "BLOCK_TERMS", 5)
     rng = random.Random(range_docs)
     docs, queries = some_docs(rng, 150), [("a", "w1 W2 w2 nothing"), ("b", "the é"), ("c", ""), ("d", None), ("e", "zzz"), *[(f"q{i}", f"w{rng.randrange(60)} w{rng.randrange(60)} a1") for i in range(8)]]
     index = inverted.InvertedIndex.build(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), range_docs=range_docs)
@@ -80,7 +80,7 @@ def test_searching_reads_no_document_and_an_index_can_be_opened_again(spark, tmp
     assert [r.id for r in found.orderBy("rank").collect()] == [3, 10, 17]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "documents" not in plan and "CartesianProduct" not in plan
-    held = index._held(spark.createDataFrame([(1, "word3", 1.0)], "qid long, term string, weight double"))
+    held = index._held(spark.createDataFrame([(1, "word3", 1.0)], "qid long, term string, weight double"), 1)
     assert "term,word3" in held._jdf.queryExecution().executedPlan().toString()  # pushed into the scan
 
 
