@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import media
+
 Extracted = tuple[str, list[tuple[int, int]], str]
 Extractor = Callable[[bytes], Extracted]
 EXTRACTORS: dict[str, Extractor] = {}
@@ -574,6 +576,8 @@ def read_metadata(content: bytes | None, ext: str, category: str) -> dict:
         if ext == ".wav":
             with wave.open(io.BytesIO(content)) as w:
                 return {"duration": round(w.getnframes() / w.getframerate()), "bitrate": round(w.getframerate() * w.getsampwidth() * 8 * w.getnchannels() / 1000)}
+        if category in ("audio", "video"):
+            return media.probe(content, category)
     except Exception:  # noqa: BLE001  unreadable files have no metadata
         pass
     return {}
