@@ -1,11 +1,13 @@
 """Retrieval: exact kNN, BM25, fusion, reranking cuts and diversification. All operators take many queries at once.
 
-Nearest neighbours come from a cell index (``cells``), BM25 from an inverted index (``inverted``); both prune by bounds and are
-exact. Every ranking has a total order.
+``knn`` and ``bm25`` make one search of what they are given, in one lazy plan; ``cells`` and ``inverted`` keep indexes that many
+searches share and that prune by bounds. Both ways are exact and give the same rows. Every ranking has a total order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,8 @@ from ..functions import text as tx
 RRF_APP, RRF_STORE = 60, 1
 BM25_K1, BM25_B = 1.2, 0.75
 MARGIN, LAMBDA, OVERFETCH = 1.2, 0.7, 2
+#: Vectors of a block.
+QUERY_BLOCK = 4096
 
 
 def dense_limit(k: int) -> int:
@@ -42,15 +46,47 @@ def ranked(rows: DataFrame, k: int | None, by: Column | str, *keys: str, order:
     return (out.filter(F.col(name) <= k) if k else out).withColumn(name, F.col(name).cast("long"))
 
 
+def _packed(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows of (ids, matrix): up to ``size`` vectors each as one block of doubles of unit length; null vectors are left out."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            batch = batch.filter(batch.column("vector").is_valid())
+            for a in range(0, batch.num_rows, size):
+                part = batch.slice(a, size)
+                matrix = np.asarray(part.column("vector").flatten(), np.float64).reshape(part.num_rows, -1)
+                norms = np.linalg.norm(matrix, axis=1)
+                matrix = matrix / np.where(norms > 0, norms, 1)[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(key).to_pylist()], pa.list_(part.column(key).type)), pa.array([matrix.tobytes()], pa.binary())], ["ids", "matrix"])
+
+    return rows.select(key, "vector").mapInArrow(batches, f"ids array<{kind}>, matrix binary")
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """JOIN-5, TOP-1: (qid, id, score, rank): the ``k`` nearest by cosine of each query; null vectors have no neighbours.
 
-    ``vectors`` has id and vector, ``queries`` (the stated query set) qid and vector. A cell index is built for this call; to
-    search the same vectors again, keep ``cells.CellIndex``.
+    ``vectors`` has id and vector, ``queries`` (the stated query set) qid and vector. Both are packed into blocks of at most
+    QUERY_BLOCK rows; every pair of a query block and a vector block is one product of matrices in a task, of which only the
+    ``k`` best of each query go on. Nothing is collected. For one search of some vectors; ``cells.CellIndex`` serves many.
     """
-    from .cells import CellIndex
+    blocks = _packed(vectors, "id", QUERY_BLOCK)
+    wanted = _packed(queries, "qid", QUERY_BLOCK).select(F.col("ids").alias("qids"), F.col("matrix").alias("queries"))
+    id_type, qid_type = blocks.schema["ids"].dataType.elementType, wanted.schema["qids"].dataType.elementType
 
-    return CellIndex.build(vectors).top(queries, k, digits)
+    def nearest(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for i in range(batch.num_rows):
+                ids, qids = batch.column("ids")[i].values, batch.column("qids")[i].values
+                have = np.frombuffer(batch.column("matrix")[i].as_buffer(), np.float64).reshape(len(ids), -1)
+                want = np.frombuffer(batch.column("queries")[i].as_buffer(), np.float64).reshape(len(qids), -1)
+                score = np.round(have @ want.T, digits) + 0.0
+                least = np.partition(score, -k, axis=0)[-k] if len(ids) > k else np.full(score.shape[1], -np.inf)
+                rows, q = np.nonzero(score >= least)  # ties stay, the last ranking decides
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), ids.take(pa.array(rows)), pa.array(score[rows, q])], ["qid", "id", "score"])
+
+    best = blocks.crossJoin(wanted).mapInArrow(nearest, f"qid {qid_type.simpleString()}, id {id_type.simpleString()}, score double")
+    return ranked(best, k, "score", "qid")
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -61,15 +97,27 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return rows.select("t.term", "id", F.col("t.length").alias("dl"), F.col("t.tf").cast("long").alias("tf"))
 
 
+def corpus_size(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row: n documents, mean length avgdl."""
+    return docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size(tx.tokens(F.col(text))), F.lit(0))).alias("avgdl"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text", saturated: bool = False, digits: int = 6) -> DataFrame:
     """JOIN-6, AGG-16, TOP-2: (qid, id, score, rank) of the ``k`` best documents of each query (qid, text).
 
-    Terms of the query are distinct and weigh 1, or their saturated frequency if ``saturated``. An inverted index is built for this
-    call; to search the same documents again, keep ``inverted.InvertedIndex``.
+    Terms of the query are distinct and weigh 1, or their saturated frequency if ``saturated``. Terms are counted within each
+    document, and only the queries' terms are shuffled. For one search of some documents; ``inverted.InvertedIndex`` serves many.
     """
-    from .inverted import InvertedIndex
-
-    return InvertedIndex.build(docs, doc_id, text).top(queries, k, saturated, digits)
+    terms = queries.select("qid", F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    weight = F.col("qtf") * (BM25_K1 + 1) / (F.col("qtf") + BM25_K1) if saturated else F.lit(1.0)
+    held = postings(docs, doc_id, text).join(terms.select("term").distinct(), "term", "left_semi")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    size = F.broadcast(corpus_size(docs, text))  # one row
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    saturation = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
+    hits = held.join(df, "term").join(terms, "term").crossJoin(size)
+    score = hits.groupBy("qid", "id").agg(F.round(F.sum(weight * idf * saturation), digits).alias("score"))
+    return ranked(score, k, "score", "qid")
 
 
 def rrf(rankings: DataFrame, constant: int = RRF_APP, digits: int = 9) -> DataFrame:

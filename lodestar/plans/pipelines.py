@@ -43,8 +43,8 @@ def _passages(chunks: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Options:
-    """Settings of a search; ``merged`` applies only those that are given. ``indexes`` serve searches without filters; others, and
-    those without, build indexes of the chunks that they search."""
+    """Settings of a search; ``merged`` applies only those that are given. ``indexes`` serve searches without filters; the
+    others compare all chunks that pass."""
 
     encoder: encoders.Encoder = encoders.hashed_encoder()
     scorer: encoders.Scorer | None = encoders.overlap_scorer
@@ -75,9 +75,10 @@ def hybrid_hits(questions: DataFrame, chunks: DataFrame, k: int, options: Option
     vectors = options.encoder(texts).withColumnRenamed("id", "qid")
     asked = questions.select("qid", F.col("question").alias("text"))
     indexes = options.indexes if source_id is None and not categories else None
-    if indexes is None:
-        indexes = index_chunks(held)
-    dense, sparse = indexes.dense.top(vectors, rt.dense_limit(k)), indexes.sparse.top(asked, rt.sparse_limit(k))
+    if indexes is not None:
+        return rt.hybrid(indexes.dense.top(vectors, rt.dense_limit(k)), indexes.sparse.top(asked, rt.sparse_limit(k)), k)
+    dense = rt.knn(held.select(F.col("chunk_id").alias("id"), F.col("dense").alias("vector")), vectors, rt.dense_limit(k))
+    sparse = rt.bm25(_passages(held), asked, rt.sparse_limit(k), "chunk_id")
     return rt.hybrid(dense, sparse, k)
 
 

@@ -87,8 +87,9 @@ def test_searching_reads_no_document_and_an_index_can_be_opened_again(spark, tmp
 def test_bm25_of_no_documents_and_of_text_ids(spark):
     none = spark.createDataFrame([], "doc_id string, text string")
     queries = spark.createDataFrame([(1, "a")], "qid long, text string")
-    assert rt.bm25(none, queries, 3).collect() == []
+    assert rt.bm25(none, queries, 3).collect() == inverted.InvertedIndex.build(none).top(queries, 3).collect() == []
     docs = spark.createDataFrame([("y", "a b"), ("x", "a b"), ("z", "c")], "doc_id string, text string")
+    assert rt.bm25(docs, queries, 3).collect() == inverted.InvertedIndex.build(docs).top(queries, 3).collect()
     assert [(r.id, r["rank"]) for r in rt.bm25(docs, queries, 3).orderBy("rank").collect()] == [("x", 1), ("y", 2)]
 
 
@@ -149,7 +150,8 @@ def test_a_cell_that_holds_most_vectors_is_several_rings(spark):
 
 def test_knn_of_no_vectors(spark):
     none = spark.createDataFrame([], "id string, vector array<float>")
-    assert rt.knn(none, spark.createDataFrame([(1, [1.0])], "qid long, vector array<float>"), 3).collect() == []
+    queries = spark.createDataFrame([(1, [1.0])], "qid long, vector array<float>")
+    assert rt.knn(none, queries, 3).collect() == cells.CellIndex.build(none).top(queries, 3).collect() == []
 
 
 def test_indexes_are_built_anew_when_files_change(spark, tmp_path):
