@@ -30,7 +30,7 @@ from ..session import stage, staging_path
 from .retrieval import BM25_B, BM25_K1, ranked
 
 #: Documents of a range; terms of the queries that are scored together; ranges of each query that are scored first; terms that are pushed into the scan.
-RANGE_DOCS, BLOCK_TERMS, FIRST_RANGES, PUSHED_TERMS = 4096, 4096, 2, 1000
+RANGE_DOCS, BLOCK_TERMS, FIRST_RANGES, PUSHED_TERMS = 4096, 4096, 4, 1000
 _EPSILON = 1e-5  # scores are rounded
 
 
@@ -113,6 +113,9 @@ class InvertedIndex:
         weights = stage(self.weights(queries, saturated), "query-terms")
         rows = weights.count()
         blocks, held = -(-rows // BLOCK_TERMS), self._held(weights, rows)
+        if self.ranges <= first:  # every range would be among the first
+            pairs = weights.select("qid").distinct().withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(self.ranges - 1))))
+            return ranked(self._scored(pairs, weights, held, blocks, k, digits), k, "score", "qid")
         bounds = stage(self.bounds(weights, held), "bounds")
         begun = ranked(bounds, first, "bound", "qid", order="range", name="place").select("qid", "range")
         found = stage(ranked(self._scored(begun, weights, held, blocks, k, digits), k, "score", "qid"), "first-scores")

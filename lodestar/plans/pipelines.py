@@ -32,7 +32,7 @@ class Indexes:
 
 
 def index_chunks(chunks: DataFrame, path: str | None = None) -> Indexes:
-    """Indexes of all of ``chunks``, below ``path`` (by default the checkpoint folder), to be given to searches of the same chunks."""
+    """Indexes of all of ``chunks``, a table that is read several times, below ``path`` (by default the checkpoint folder), to be given to searches of the same chunks."""
     dense = CellIndex.build(chunks.select(F.col("chunk_id").alias("id"), F.col("dense").alias("vector")), path and f"{path}/dense")
     return Indexes(dense, InvertedIndex.build(_passages(chunks), "chunk_id", path=path and f"{path}/sparse"))
 

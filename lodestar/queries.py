@@ -17,7 +17,7 @@ from .operators import evaluate as ev
 from .operators import retrieval as rt
 from .operators.cells import CellIndex
 from .operators.inverted import InvertedIndex
-from .session import ship, signature, spread
+from .session import ship, signature, spread, stage
 from .streaming import events as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,7 +254,7 @@ def _hybrid_sql(k: int) -> str:
 
 def _hashed_index(t) -> CellIndex:
     encode = encoders.hashed_encoder()
-    return _kept(t("documents"), "hashed", lambda: CellIndex.build(encode(_texts(t).select(F.col("doc_id").alias("id"), "text"))))
+    return _kept(t("documents"), "hashed", lambda: CellIndex.build(stage(encode(_texts(t).select(F.col("doc_id").alias("id"), "text")), "hashed-vectors")))
 
 
 def _hybrid(t, k):
