@@ -1,18 +1,18 @@
 """Token ids in blocks of an adaptive context-mixing range coder.
 
-For each id the model mixes three predictions. Order 2 is one id, what followed the last two ids in this block (a hashed
-table of an id and a confidence each): it gets the share of the code space that predictions of its confidence earned in the
-block so far. Order 1 is a distribution over the ids that follow the last one, with an escape; after an escape, order 0 is a
+For each id the model mixes three predictions. Order 2 is one id: what followed the last two ids in this block (a hashed
+table of an id and a confidence each), or, until the block has come to trust that, what follows them most in the segment. It
+gets the share of the code space that predictions of its kind and confidence earned in the block so far. Order 1 is a distribution over the ids that follow the last one, with an escape; after an escape, order 0 is a
 distribution over all ids. A block of BLOCK_IDS ids is coded on its own and has a CRC: it begins from the first state of its
-segment, which is written with the segment (the counts that make orders 1 and 0, quantised), with an empty order-2 table and
-even shares; no block needs another one. Blocks are lanes of arrays: all blocks of a segment take each step together, when
-writing as when reading.
+segment, which is written with the segment (the counts that make orders 1 and 0, quantised, and the segment's order-2
+predictions), with an empty order-2 table of its own and the first shares; no block needs another one. Blocks are lanes of
+arrays: all blocks of a segment take each step together, when writing as when reading; a shorter block stops at its own end.
 
 A segment (a row of the output, Parquet on any file system) has the ids of some consecutive documents: their doc_ids
 and lengths, the first state and the blocks. Files are numbered and segments ordered so that documents ascend by doc_id.
 
 Defined results: null text is empty, one end id long; repeated doc_ids each count, in order of their text; a null
-doc_id comes first; an empty table gives no segments; other columns are not read.
+doc_id comes first; an empty table gives no segments; other columns are not read. Ids are below 65,536; others raise ValueError.
 """
 
 from __future__ import annotations
@@ -32,7 +32,10 @@ from .byte_bpe import vocabulary
 
 BLOCK_IDS, SEGMENT_BYTES = 4096, 24 << 20
 #: Slots of a block's order-2 table, steps between updates of the shares, ids that have an order-1 distribution (and are in them).
-SLOTS, REFRESH, CONTEXTS = 512, 256, 4096
+SLOTS, REFRESH, CONTEXTS = 1024, 64, 4096
+#: The segment's order-2 predictions: slots (bits), least share in sixteenths and least count of those kept, confidence from which
+#: a block's own prediction goes before the segment's.
+SEGMENT_BITS, SURE, SEEN, TRUST = 16, 8, 8, 4
 #: Cells of code space: of the shares, of an order-1 distribution at most, of order 0. Least count of a pair of ids in order 1.
 SHARE_BITS, PAIR_BITS, SINGLE_BITS, LEAST = 16, 12, 18, 2
 #: The coder's interval is below 1 << 52 (float division of such numbers is exact) and gives off 32 bits when it is below 1 << 20.
@@ -40,12 +43,12 @@ LOW, OUT = 20, 32
 MAGIC = 0x4C535433
 #: What a confidence changes by: after a wrong prediction, after a right one.
 STEP = np.array([0, 0, *[-2] * 14, *[1] * 15, 0], np.int32)
-#: Steps from one that the shares learn from to the next.
-EVERY = 4
 #: Multiplier of the last code in an order-2 context's hash.
 HASH = np.int32(0x9E3B1)
 #: Shares of 1 << SHARE_BITS that predictions have at first, by confidence.
-FIRST = np.array([1, *[(1 << SHARE_BITS) * (i + 2) // 20 for i in range(15)]], np.int64)
+FIRST = np.array([1, *[(1 << SHARE_BITS) * (i + 2) // 20 for i in range(15)], *[(1 << SHARE_BITS) * (2 * i + 1) // 32 for i in range(16)]], np.int64)
+#: Ids are kept in 16 bits.
+MOST_IDS = 1 << 16
 
 
 def _quantised(counts: np.ndarray, owner: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -65,7 +68,7 @@ class FirstState:
     An entry is a context's successor; the first entry of every context is its escape.
     """
 
-    def __init__(self, ids: np.ndarray, single: np.ndarray, bits: np.ndarray, held: np.ndarray, successor: np.ndarray, size: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, single: np.ndarray, bits: np.ndarray, held: np.ndarray, successor: np.ndarray, size: np.ndarray, follows: np.ndarray | None = None) -> None:
         self.ids, self.single, self.bits, self.held, self.successor, self.size = ids, single, bits, held, successor, size
         first = np.cumsum(held) - held
         ends = np.cumsum(size)
@@ -75,7 +78,8 @@ class FirstState:
         #: Of every entry: its first cell << 32 | cells << 16 | successor + 1; of every context: its first cell among all << 5 | bits.
         self.place = self.start << 32 | size << 16 | successor + 1
         self.where = self.base << 5 | bits
-        self.codes = np.full(1 << 16, len(ids), np.int32)
+        self.follows = np.zeros(1 << SEGMENT_BITS, np.int32) if follows is None else follows  # code << 4 | sixteenths, by slot
+        self.codes = np.full(MOST_IDS, len(ids), np.int32)
         self.codes[ids] = np.arange(len(ids))
         self.single_start = np.cumsum(single) - single
 
@@ -83,6 +87,8 @@ class FirstState:
     def learn(cls, ids: np.ndarray, block: int) -> tuple[FirstState, np.ndarray, np.ndarray]:
         """The state that suits ``ids`` in blocks, and the code and entry of each id."""
         count = np.bincount(ids)
+        if len(count) > MOST_IDS:
+            raise ValueError(f"ids from {MOST_IDS} on have no place in the format")
         by_rank = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]
         state = cls(by_rank, np.ones(len(by_rank), np.int64), *[np.zeros(0, np.int64)] * 4)
         code = state.codes.take(ids)
@@ -115,62 +121,100 @@ class FirstState:
         rest = np.bincount(code[found.successor.take(entry) < 0], minlength=len(by_rank))
         found.single = _quantised(rest, np.zeros(len(rest), np.int64), np.array([1 << SINGLE_BITS]))
         found.single_start = np.cumsum(found.single) - found.single
+        found.follows = _follows(code, block)
         return found, code, entry
 
     def to_bytes(self) -> bytes:
         gaps = np.diff(self.successor, prepend=-1)
         gaps[self.first] = 0
         parts = [pack(x.astype(t)) for x, t in ((self.ids, np.uint16), (self.single, np.uint32), (self.bits, np.uint8), (self.held, np.uint16), (gaps, np.uint16), (self.size - 1, np.uint16))]
+        slots = np.flatnonzero(self.follows)
+        parts += [pack(x.astype(t)) for x, t in ((np.diff(slots, prepend=0), np.uint16), (self.follows[slots] >> 4, np.uint16), (self.follows[slots] & 15, np.uint8))]
         return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> FirstState:
         parts, at = [], 0
-        for kind in (np.uint16, np.uint32, np.uint8, np.uint16, np.uint16, np.uint16):
+        for kind in (np.uint16, np.uint32, np.uint8, np.uint16, np.uint16, np.uint16, np.uint16, np.uint16, np.uint8):
             n = int.from_bytes(raw[at : at + 4], "little")
             parts.append(unpack(raw[at + 4 : at + 4 + n], kind).astype(np.int64))
             at += 4 + n
-        ids, single, bits, held, gaps, size = parts
+        ids, single, bits, held, gaps, size, slots, codes, sure = parts
+        follows = np.zeros(1 << SEGMENT_BITS, np.int32)
+        follows[np.cumsum(slots)] = codes << 4 | sure
         run, first = np.cumsum(gaps), np.cumsum(held) - held
-        return cls(ids, single, bits, held, run - np.repeat(run[first] + 1, held), size + 1)
+        return cls(ids, single, bits, held, run - np.repeat(run[first] + 1, held), size + 1, follows)
+
+
+def _follows(code: np.ndarray, block: int) -> np.ndarray:
+    """Of every slot of the contexts of order 2 the code that follows most and its share in sixteenths; 0 where that is too small or too rare."""
+    mixed = np.zeros(len(code), np.int32)  # as ``Shares.learn`` hashes them
+    np.multiply(code[:-1], HASH, out=mixed[1:])
+    earlier = code[:-2] << 5
+    earlier[block - 1 :: block] = 0  # the second id of a block
+    mixed[2:] += earlier
+    mixed[::block] = 0
+    keys = np.sort((mixed >> 7 & (1 << SEGMENT_BITS) - 1).astype(np.uint32) << 16 | code.astype(np.uint32))
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    times, keys = np.diff(np.append(at, len(keys))).astype(np.int64), keys[at].astype(np.int64)
+    slot = keys >> 16
+    first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+    most = np.maximum.reduceat(times << 16 | keys & 0xFFFF, first)
+    best, total = most >> 16, np.add.reduceat(times, first)
+    sure = np.minimum(best * 16 // total, 15)
+    kept = (sure >= SURE) & (best >= SEEN)
+    found = np.zeros(1 << SEGMENT_BITS, np.int32)
+    found[slot[first][kept]] = (most[kept] & 0xFFFF) << 4 | sure[kept]
+    return found
 
 
 class Shares:
     """The blocks' order-2 predictions, and the share of the code space each has."""
 
-    def __init__(self, lanes: int) -> None:
+    def __init__(self, lanes: int, follows: np.ndarray) -> None:
         lane = np.arange(lanes)
-        self.lane_slots, self.lane_levels, self.lane_cases = lane * SLOTS, lane * 16, lane * 32
+        self.lane_slots, self.lane_levels, self.lane_cases = lane * SLOTS, lane * 32, lane * 64
+        self.follows = follows
         self.table = np.zeros(lanes * SLOTS, np.int32)  # code << 4 | confidence
         self.share = np.tile(FIRST, lanes)
         self.hash, self.last = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        self.past, self.steps = np.empty((REFRESH // EVERY, lanes), np.uint8), 0
+        self.past, self.steps = np.empty((REFRESH, lanes), np.uint8), 0
+
+    def keep(self, lanes: int) -> None:
+        """Goes on with the first ``lanes`` lanes only."""
+        for name in ("lane_slots", "lane_levels", "lane_cases", "hash", "last"):
+            setattr(self, name, getattr(self, name)[:lanes])
+        self.table, self.share, self.past = self.table[: lanes * SLOTS], self.share[: lanes * 32], self.past[:, :lanes]
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """(code predicted, share of 1 << SHARE_BITS)."""
-        self.slot = (self.hash >> 7 & SLOTS - 1) + self.lane_slots
+        mixed = self.hash >> 7
+        self.slot = (mixed & SLOTS - 1) + self.lane_slots
         self.held = self.table[self.slot]
-        self.level = self.held & 15
-        return self.held >> 4, self.share[self.level + self.lane_levels]
+        self.own = self.held & 15
+        known = self.follows[mixed & (1 << SEGMENT_BITS) - 1]
+        use = (self.own < TRUST) & (known > 0)
+        guess = np.where(use, known, self.held)
+        self.level = (guess & 15) + (use << 4)
+        return guess >> 4, self.share[self.level + self.lane_levels]
 
     def learn(self, code: np.ndarray, hit: np.ndarray) -> None:
-        """A confidence grows by one up to 15 if the prediction was right, else falls by two; below two the code (32 bits) is replaced."""
-        case = self.level + (hit.astype(np.int32) << 4)
+        """The confidence of the block's own prediction grows by one up to 15 if it was right, else falls by two; below two the code (32 bits) is replaced."""
+        self.past[self.steps] = self.level + (hit.astype(np.int32) << 5)
+        case = self.own + ((self.held >> 4 == code) & (self.own > 0)).astype(np.int32) * 16
         self.table[self.slot] = np.where(case < 2, code << 4 | 1, self.held + STEP[case])
-        if self.steps % EVERY == 0:
-            self.past[self.steps // EVERY] = case
         self.hash = code * HASH + (self.last << 5)
         self.last = code
         self.steps += 1
-        if self.steps == REFRESH:  # a mean in which the past weighs as much as eight predictions; every EVERY-th step counts
-            n = np.bincount((self.past + self.lane_cases).ravel(), minlength=len(self.share) * 2).reshape(-1, 2, 16)
-            right = (self.share.reshape(-1, 16) * 8 + (n[:, 1] << SHARE_BITS)) // (8 + n.sum(1))
+        if self.steps == REFRESH:  # a mean in which the past weighs as much as eight predictions
+            n = np.bincount((self.past + self.lane_cases).ravel(), minlength=len(self.share) * 2).reshape(-1, 2, 32)
+            right = (self.share.reshape(-1, 32) * 8 + (n[:, 1] << SHARE_BITS)) // (8 + n.sum(1))
             self.share = np.clip(right, 1, 15 << SHARE_BITS - 4).ravel()
             self.steps = 0
 
 
 def _columns(x: np.ndarray, lanes: int, width: int) -> np.ndarray:
-    """The values of all lanes at each step; the last lane repeats its last one."""
+    """The values of all lanes at each step; what is beyond the last lane's end isn't coded."""
     full = np.empty(lanes * width, x.dtype)
     full[: len(x)], full[len(x) :] = x, x[-1]
     return np.ascontiguousarray(full.reshape(lanes, width).T)
@@ -184,8 +228,9 @@ def encode_blocks(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
     state, code, entry = FirstState.learn(ids, BLOCK_IDS)
     codes, entries = (_columns(x, lanes, width) for x in (code, entry))
     place = state.place << 5 | np.repeat(state.bits, state.held)
-    model, lane = Shares(lanes), np.arange(lanes)
+    model, tail = Shares(lanes, state.follows), len(ids) - (lanes - 1) * width
     low, span, used = np.zeros(lanes, np.int64), np.full(lanes, 1 << LOW + OUT, np.int64), np.zeros(lanes, np.int64)
+    words_of = used  # of all lanes, while ``used`` narrows
     out = np.zeros((lanes, width + 4), np.int64)  # 32-bit words, each with the carries that reach it
 
     def shift(rows: np.ndarray) -> None:
@@ -195,7 +240,16 @@ def encode_blocks(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
         low[rows] = (gone & (1 << LOW) - 1) << OUT
         span[rows] <<= OUT
 
-    for now, entry in zip(codes, entries):
+    def finish(rows: np.ndarray) -> None:
+        for _ in range(2):
+            shift(rows)
+
+    for t, (now, entry) in enumerate(zip(codes, entries)):
+        if t == tail:  # the last block ends here
+            finish(np.array([lanes - 1]))
+            low, span, used = low[:-1], span[:-1], used[:-1]
+            model.keep(lanes - 1)
+        now, entry = now[: len(low)], entry[: len(low)]
         guess, share = model.predict()
         edge = (span >> SHARE_BITS) * share
         hit = guess == now
@@ -218,8 +272,7 @@ def encode_blocks(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
             span[rows] = state.single[own] * unit
         shift((span < 1 << LOW).nonzero()[0])
         model.learn(now, hit)
-    for _ in range(2):
-        shift(lane)
+    finish(np.arange(len(low)))
     for i in range(out.shape[1] - 1, 0, -1):
         over = out[:, i] >> OUT
         if over.any():
@@ -228,7 +281,7 @@ def encode_blocks(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
     words, raw, blocks = out.astype("<u4"), np.asarray(ids, "<u4"), []
     for i in range(lanes):
         own = raw[i * width : (i + 1) * width].tobytes()
-        blocks.append(b"".join(x.to_bytes(4, "little") for x in (MAGIC, len(own) // 4, width, zlib.crc32(own))) + words[i, : used[i]].tobytes())
+        blocks.append(b"".join(x.to_bytes(4, "little") for x in (MAGIC, len(own) // 4, width, zlib.crc32(own))) + words[i, : words_of[i]].tobytes())
     return state.to_bytes(), blocks
 
 
@@ -239,7 +292,11 @@ def decode_blocks(first: bytes, blocks: list[bytes]) -> np.ndarray:
     heads = np.array([np.frombuffer(b[:16], "<u4") for b in blocks], np.int64)
     if (heads[:, 0] != MAGIC).any() or len(np.unique(heads[:, 2])) > 1:
         raise ValueError("not blocks of token ids of one segment")
-    rows = _decode_lanes(FirstState.from_bytes(first), blocks, int(heads[0, 2]))
+    if (heads[:, 1] > heads[0, 2]).any():
+        raise ValueError("a block's head is damaged")
+    by_length = np.argsort(-heads[:, 1], kind="stable")
+    rows = np.empty((len(blocks), int(heads[:, 1].max())), np.int64)
+    rows[by_length] = _decode_lanes(FirstState.from_bytes(first), [blocks[i] for i in by_length], heads[by_length, 1])
     ids = []
     for row, n, crc in zip(rows, heads[:, 1].tolist(), heads[:, 3].tolist()):
         ids.append(row[:n])
@@ -248,8 +305,9 @@ def decode_blocks(first: bytes, blocks: list[bytes]) -> np.ndarray:
     return np.concatenate(ids)
 
 
-def _decode_lanes(state: FirstState, blocks: list[bytes], width: int) -> np.ndarray:
-    lanes = len(blocks)
+def _decode_lanes(state: FirstState, blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
+    """The ids of blocks in order of falling length, each as many places long as the longest."""
+    lanes, width = len(blocks), int(lengths[0])
     most = max(len(b) for b in blocks) // 4
     words = np.zeros((lanes, most + 4), np.int64)
     for i, b in enumerate(blocks):
@@ -263,8 +321,8 @@ def _decode_lanes(state: FirstState, blocks: list[bytes], width: int) -> np.ndar
     code = flat[at] << LOW | flat[at + 1] >> OUT - LOW  # the first 52 bits
     spare = (flat[at + 1] & (1 << OUT - LOW) - 1) << LOW  # of the word that is partly read: its other 12 bits, then 20 of the next
     at = at + 2
-    span, model = np.full(lanes, 1 << LOW + OUT, np.int64), Shares(lanes)
-    out = np.empty((width, lanes), np.int64)
+    span, model = np.full(lanes, 1 << LOW + OUT, np.int64), Shares(lanes, state.follows)
+    out = np.zeros((width, lanes), np.int64)
     context, last_cell = np.full(lanes, CONTEXTS), (1 << np.arange(32)) - 1
 
     def shift(rows: np.ndarray) -> None:
@@ -276,6 +334,10 @@ def _decode_lanes(state: FirstState, blocks: list[bytes], width: int) -> np.ndar
         span[rows] <<= OUT
 
     for t in range(width):
+        if lengths[lanes - 1] <= t:  # the lanes that have an id here
+            lanes = int(np.searchsorted(-lengths, -t))
+            code, spare, at, span, context = (x[:lanes] for x in (code, spare, at, span, context))
+            model.keep(lanes)
         guess, share = model.predict()
         edge = (span >> SHARE_BITS) * share
         hit = code < edge
@@ -303,7 +365,7 @@ def _decode_lanes(state: FirstState, blocks: list[bytes], width: int) -> np.ndar
             span[rows] = single[own] * unit
             now[rows] = own
         shift((span < 1 << LOW).nonzero()[0])
-        out[t] = now
+        out[t, :lanes] = now
         context = np.minimum(now, CONTEXTS)
         model.learn(now.astype(np.int32), hit)
     return state.ids.take(out).T

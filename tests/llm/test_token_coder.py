@@ -48,6 +48,37 @@ def test_gain_on_real_text():
     assert bits < 6.5 < -(p * np.log2(p)).sum() - 1 and bits < 0.7 * 8 * sum(len(zlib.compress(x, 9)) for x in raw) / len(ids)
 
 
+def test_partial_last_blocks_of_real_text(monkeypatch):
+    """A block ends where its ids do, with order 2 and without, in any order of the blocks."""
+    data, offsets = text_bytes(pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"])
+    ids = vocabulary(PATH).encode_special(data, offsets)[0]
+    monkeypatch.setattr(token_coder, "BLOCK_IDS", 512)
+    for share in (None, 1):
+        if share:
+            monkeypatch.setattr(token_coder, "FIRST", np.full(32, 1))
+        for n in [*range(1, 40), *range(513, 9000, 397), 100_003]:
+            first, blocks = token_coder.encode_blocks(ids[n : 2 * n])
+            assert (token_coder.decode_blocks(first, blocks) == ids[n : 2 * n]).all()
+            back = token_coder.decode_blocks(first, blocks[::-1])
+            assert (back[: len(ids[n : 2 * n]) - 512 * (len(blocks) - 1)] == ids[n : 2 * n][512 * (len(blocks) - 1) :]).all()
+
+
+def test_order_two_gains_on_real_text(monkeypatch):
+    """Without order 2 a segment of real text costs more."""
+    data, offsets = text_bytes(pq.read_table("/root/testdata/sf0.1/documents.parquet")["text"][:3000].combine_chunks())
+    ids = vocabulary(PATH).encode_special(data, offsets)[0]
+    size = lambda: sum(map(len, token_coder.encode_blocks(ids)[1]))
+    used = size()
+    predict = token_coder.Shares.predict
+    monkeypatch.setattr(token_coder.Shares, "predict", lambda self: (predict(self)[0] * 0 - 1, np.ones(len(self.hash), np.int64)))
+    assert size() > 1.01 * used
+
+
+def test_ids_beyond_the_format():
+    with pytest.raises(ValueError):
+        token_coder.encode_blocks(np.array([1, 65_536]))
+
+
 def test_order_two_adapts_within_a_block():
     """Ids that the first state holds to be even, but that follow a rule from the last two, cost less the longer it holds."""
     rng = np.random.default_rng(3)
