@@ -6,7 +6,7 @@ rankings. Every group that meets in a Python worker is one question's candidate
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -44,7 +44,7 @@ def _passages(chunks: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Options:
     """Settings of a search; ``merged`` applies only those that are given. ``indexes`` serve searches without filters; the
-    others compare all chunks that pass."""
+    others compare all chunks that pass. ``timeouts`` bound the reading of a file by category (None: unbounded, in the task itself)."""
 
     encoder: encoders.Encoder = encoders.hashed_encoder()
     scorer: encoders.Scorer | None = encoders.overlap_scorer
@@ -54,6 +54,7 @@ class Options:
     overfetch: int = rt.OVERFETCH
     multimedia: bool = False
     indexes: Indexes | None = None
+    timeouts: dict[str, float] | None = field(default_factory=lambda: dict(extract.TIMEOUTS))
 
     def merged(self, **given) -> Options:
         return Options(**(self.__dict__ | {k: v for k, v in given.items() if v is not None}))
@@ -152,7 +153,7 @@ def prepare(files: DataFrame, root: str, options: Options = Options(), registry:
     A blank text leaves one chunk with the file's name; its note says so, and the file counts as done.
     """
     wanted = ct.indexable(files, options.multimedia)
-    texts = extract.extract(wanted.select("path", "extension", "content"), registry)
+    texts = extract.extract(wanted.select("path", "extension", "category", "content"), registry, timeouts=options.timeouts)
     rows = wanted.drop("content").join(texts, "path").withColumn("context", tx.path_context(F.col("path"), F.lit(root)))
     rows = rows.withColumn("error", F.when(F.col("error") == "unsupported", "skipped").otherwise(F.col("error")))
     rows = stage(rows, "extracted")  # every file is read and extracted once

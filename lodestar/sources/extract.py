@@ -7,6 +7,7 @@ extensions. A failure is a row's error, never the task's.
 
 from __future__ import annotations
 
+import contextlib
 import io
 import re
 import struct
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import media
+from . import deadline, media, workbooks
 
 Extracted = tuple[str, list[tuple[int, int]], str]
 Extractor = Callable[[bytes], Extracted]
 EXTRACTORS: dict[str, Extractor] = {}
+#: SCL-31's fixed values: seconds that reading a file may take, by category; "" for all others.
+TIMEOUTS = {"audio": 600.0, "image": 900.0, "video": 1800.0, "": 45.0}
 RESULT = "text string, page_map array<struct<page: int, start: int>>, extractor string, error string"
 
 
@@ -98,11 +101,11 @@ def odt(content: bytes) -> str:
 
 
 def _sheets(sheets: Iterator[tuple[str, list[list[str]]]]) -> str:
-    """Each sheet's name in brackets over its rows, cells parted by tabs, blank rows left out, a blank line between sheets."""
+    """Each sheet's name in brackets over its rows, cells parted by tabs, blank rows and sheets without others left out, a blank line between sheets."""
     out = []
     for name, rows in sheets:
         lines = [line for line in ("\t".join(r).rstrip() for r in rows) if line]
-        out.append("\n".join([f"[{name}]", *lines]))
+        out += ["\n".join([f"[{name}]", *lines])] if lines else []
     return "\n\n".join(out)
 
 
@@ -322,6 +325,13 @@ def doc(content: bytes) -> str:
     return re.sub(r"[\x00-\x08\x0e-\x1f]", "", text).strip()
 
 
+@extractor("xlsx", "xls")
+def xls(content: bytes) -> str:
+    """SRC-18: like ``xlsx``, of a BIFF8 workbook."""
+    streams = ole_streams(content)
+    return _sheets(workbooks.sheets(streams["Workbook"]))
+
+
 @extractor("ppt", "ppt")
 def ppt(content: bytes) -> str:
     """SRC-14: text atoms of a PowerPoint file, UTF-16 (0x0FA0) or Latin-1 (0x0FA8)."""
@@ -473,20 +483,44 @@ def run_one(content: bytes | None, ext: str | None, texty: bool, registry: dict[
         return None, None, None, f"{type(e).__name__}: {e}"[:300]
 
 
-def extract(files: DataFrame, registry: dict[str, Extractor] | None = None, key: str = "path") -> DataFrame:
-    """UDF-1: (key, text, page_map, extractor, error) of files (key, extension, content): one Arrow pass, a file at a time in memory."""
+def extract(files: DataFrame, registry: dict[str, Extractor] | None = None, key: str = "path", timeouts: dict[str, float] | None = None, seen: Callable[[], None] | None = None) -> DataFrame:
+    """UDF-1: (key, text, page_map, extractor, error) of files (key, extension, content): one Arrow pass, a file at a time in memory.
+
+    With ``timeouts`` (seconds by category, "" for others; ``files`` then have a category) every task extracts in a child process:
+    a file that takes longer is the error "timeout", and the task goes on with a new child (see ``deadline``). ``seen`` is called
+    on the worker after each file.
+    """
     from .scan import looks_like_text
 
     registry = registry or EXTRACTORS
     kind = pa.list_(pa.struct([("page", pa.int32()), ("start", pa.int32())]))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            for i in range(batch.num_rows):
-                text, pages, name, error = run_one(batch.column("content")[i].as_py(), batch.column("extension")[i].as_py(), batch.column("texty")[i].as_py(), registry)
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, 1), pa.array([text], pa.string()), pa.array([pages], kind), pa.array([name], pa.string()), pa.array([error], pa.string())], ["key", "text", "page_map", "extractor", "error"])
-
-    rows = files.select(F.col(key).alias("key"), "extension", "content", looks_like_text(F.col("content")).alias("texty"))
+        with contextlib.ExitStack() as held:
+            child = held.enter_context(deadline.Child(lambda *file: run_one(*file, registry))) if timeouts is not None else None
+            for batch in source:
+                yield from rows_of(batch, child)
+
+    def one(file: tuple, category: str | None, child: deadline.Child | None) -> tuple:
+        if child is None:
+            return run_one(*file, registry)
+        try:
+            return child(*file, seconds=timeouts.get(category or "", timeouts.get("", TIMEOUTS[""])))
+        except TimeoutError:
+            return None, None, None, "timeout"
+        except deadline.Died as e:
+            return None, None, None, f"Died: {e}"
+
+    def rows_of(batch: pa.RecordBatch, child: deadline.Child | None) -> Iterator[pa.RecordBatch]:
+        for i in range(batch.num_rows):
+            file = tuple(batch.column(c)[i].as_py() for c in ("content", "extension", "texty"))
+            text, pages, name, error = one(file, batch.column("category")[i].as_py(), child)
+            if seen:
+                seen()
+            yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, 1), pa.array([text], pa.string()), pa.array([pages], kind), pa.array([name], pa.string()), pa.array([error], pa.string())], ["key", "text", "page_map", "extractor", "error"])
+
+    category = F.col("category") if timeouts is not None else F.lit("")
+    rows = files.select(F.col(key).alias("key"), "extension", "content", category.alias("category"), looks_like_text(F.col("content")).alias("texty"))
     return rows.mapInArrow(batches, f"key {files.schema[key].dataType.simpleString()}, {RESULT}").withColumnRenamed("key", key)
 
 
