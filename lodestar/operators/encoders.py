@@ -91,24 +91,55 @@ def expanded(questions: DataFrame, generate: Column | None = None, n: int = 3) -
 
 
 class Lazy:
-    """UDF-10: a model that a worker loads at its first use, once. A failed load disables it for the worker's life: calls then give None."""
+    """UDF-10: a model that a worker loads at its first use, once. A failed load disables it for the worker's life, as do ``strikes``
+    failed calls one after another (UDF-8): calls then give None, as a failed call does.
+
+    ``tell`` (see ``plans.progress.ModelRegistry``) has the driver hear of loading, ready, disabled and every failure. Without
+    ``strikes`` a failed call raises.
+    """
 
     status: dict[str, str] = {}
 
-    def __init__(self, name: str, load: Callable[[], Callable]) -> None:
-        self.name, self.load = name, load
+    def __init__(self, name: str, load: Callable[[], Callable], tell: Callable[..., None] | None = None, strikes: int | None = None) -> None:
+        self.name, self.load, self.tell, self.strikes = name, load, tell, strikes
 
-    def __call__(self, *args):
-        held = _LOADED.get(self.name)
-        if held is None and self.status.get(self.name) != "disabled":
-            try:
-                held = _LOADED[self.name] = self.load()
-                self.status[self.name] = "ready"
-            except Exception:  # noqa: BLE001  what can't be loaded is left out, not fatal
-                self.status[self.name] = "disabled"
-        return None if held is None else held(*args)
+    def _set(self, status: str, failures: int = 0, message: str | None = None) -> None:
+        self.status[self.name] = status
+        if self.tell:
+            self.tell(self.name, status, failures, message)
 
+    def _model(self) -> Callable | None:
+        if self.status.get(self.name) == "disabled":
+            return None
+        if self.name not in _LOADED:
+            self._set("loading")
+            try:
+                _LOADED[self.name] = self.load()
+                self._set("ready")
+            except Exception as e:  # noqa: BLE001  what can't be loaded is left out, not fatal
+                self._set("disabled", 1, f"{type(e).__name__}: {e}"[:300])
+                return None
+        return _LOADED[self.name]
 
+    def __call__(self, *args):
+        model = self._model()
+        if model is None:
+            return None
+        try:
+            got = model(*args)
+        except Exception as e:
+            if self.strikes is None:
+                raise
+            _STRIKES[self.name] = _STRIKES.get(self.name, 0) + 1
+            self._set("disabled" if _STRIKES[self.name] >= self.strikes else "ready", 1, f"{type(e).__name__}: {e}"[:300])
+            return None
+        _STRIKES[self.name] = 0
+        return got
+
+
+#: Fixed value: failed captions in a row that disable the captioner.
+STRIKES = 5
+_STRIKES: dict[str, int] = {}
 _LOADED: dict[str, Callable] = {}
 
 

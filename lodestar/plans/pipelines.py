@@ -6,8 +6,11 @@ rankings. Every group that meets in a Python worker is one question's candidate
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +24,7 @@ from ..operators.cells import CellIndex
 from ..operators.inverted import InvertedIndex
 from ..session import stage
 from ..sources import extract, scan
+from .progress import Event, Progress
 
 
 @dataclass(frozen=True)
@@ -147,22 +151,56 @@ def ask(questions: DataFrame, chunks: DataFrame, k: int = 5, options: Options =
     return prompts.citations(hits, full_context), made.withColumn("answer", F.when(F.col("has_hits"), tx.strip_think(text)).otherwise(prompts.NO_HITS))
 
 
-def prepare(files: DataFrame, root: str, options: Options = Options(), registry: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def _phase(progress: Progress | None, kind: str, items: DataFrame):
+    """The phase of one call an item; without progress, nothing to call."""
+    return progress.phase(kind, items.count()) if progress else nullcontext()
+
+
+def _counted(rows: DataFrame, seen: Callable[[], None]) -> DataFrame:
+    """The same rows; ``seen`` is called on the workers for each."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for _ in range(batch.num_rows):
+                seen()
+            yield batch
+
+    return rows.mapInArrow(batches, rows.schema)
+
+
+def _extracted(wanted: DataFrame, root: str, options: Options, registry: dict | None, seen: Callable[[], None] | None) -> DataFrame:
+    texts = extract.extract(wanted.select("path", "extension", "category", "content"), registry, timeouts=options.timeouts, seen=seen)
+    rows = wanted.drop("content").join(texts, "path").withColumn("context", tx.path_context(F.col("path"), F.lit(root)))
+    rows = rows.withColumn("error", F.when(F.col("error") == "unsupported", "skipped").otherwise(F.col("error")))
+    return stage(rows, "extracted")  # every file is read and extracted once
+
+
+def _encoded(cut: DataFrame, options: Options, seen: Callable[[], None] | None) -> DataFrame:
+    passages = cut.select(F.col("chunk_id").alias("id"), tx.embed_text(F.col("context"), F.col("text")).alias("text"))
+    vectors = options.encoder(passages)
+    vectors = _counted(vectors, seen) if seen else vectors
+    made = cut.join(vectors.select(F.col("id").alias("chunk_id"), F.col("vector").alias("dense")), "chunk_id", "left").withColumn("file_id", F.col("path"))
+    return stage(made, "chunks")  # and encoded once
+
+
+def prepare(files: DataFrame, root: str, options: Options = Options(), registry: dict | None = None, progress: Progress | None = None) -> tuple[DataFrame, DataFrame]:
     """PIPE-3, PIPE-4: (chunks with vectors, status of each file) of scanned files with their content (see ``scan.scan``).
 
     A blank text leaves one chunk with the file's name; its note says so, and the file counts as done.
     """
     wanted = ct.indexable(files, options.multimedia)
-    texts = extract.extract(wanted.select("path", "extension", "category", "content"), registry, timeouts=options.timeouts)
-    rows = wanted.drop("content").join(texts, "path").withColumn("context", tx.path_context(F.col("path"), F.lit(root)))
-    rows = rows.withColumn("error", F.when(F.col("error") == "unsupported", "skipped").otherwise(F.col("error")))
-    rows = stage(rows, "extracted")  # every file is read and extracted once
+    with _phase(progress, "extracting_progress", wanted) as seen:
+        rows = _extracted(wanted, root, options, registry, seen)
     usable = chunking.rescue(rows.filter(F.col("error").isNull()))
     cut = chunking.chunks(usable, id_col="path", pages_col="page_map").withColumnRenamed("doc_id", "path")
     cut = cut.join(usable.select("path", "context", "category", "extension", F.col("name").alias("file_name")), "path")
-    passages = cut.select(F.col("chunk_id").alias("id"), tx.embed_text(F.col("context"), F.col("text")).alias("text"))
-    made = cut.join(options.encoder(passages).select(F.col("id").alias("chunk_id"), F.col("vector").alias("dense")), "chunk_id", "left").withColumn("file_id", F.col("path"))
-    made = stage(made, "chunks")  # and encoded once
+    if progress:
+        cut = stage(cut, "cut")  # counted before they are encoded
+        progress.event("embedding_start", 0, cut.count())
+    with _phase(progress, "embedding_progress", cut) as seen:
+        made = _encoded(cut, options, seen)
+    if progress:
+        progress.event("indexing_progress", n := made.select("path").distinct().count(), n)
     counts = made.groupBy("path").agg(F.count("dense").alias("indexed_chunks"), F.count("*").alias("n_chunks"))
     status = rows.select("path", "extractor", "error").join(counts, "path", "left").na.fill(0, ["indexed_chunks", "n_chunks"])
     lost = (F.col("n_chunks") > 0) & (F.col("indexed_chunks") == 0)
@@ -177,16 +215,35 @@ def index_file(files: DataFrame, path: str, chunks: DataFrame, options: Options
     return ct.delete_where(chunks, F.col("file_id") == path).unionByName(made, allowMissingColumns=True), status
 
 
-def ingest(spark, root: str, source_id: str, catalog: DataFrame | None = None, chunks: DataFrame | None = None, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
-    """PIPE-1, PIPE-2: (files, chunks) of a source after a scan; with a catalog only what the incremental diff finds is read again."""
+def ingest(spark, root: str, source_id: str, catalog: DataFrame | None = None, chunks: DataFrame | None = None, options: Options = Options(), on_progress: Callable[[str, Event], None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """PIPE-1, PIPE-2: (files, chunks) of a source after a scan; with a catalog only what the incremental diff finds is read again.
+
+    ``on_progress(source_id, event)`` is called on the driver while the tasks run, with events that STR-4 folds (see ``progress``).
+    """
+    progress = Progress(spark, source_id, on_progress) if on_progress else None
+    try:
+        got = _ingested(spark, root, source_id, catalog, chunks, options, progress)
+    except Exception as e:
+        if progress:
+            progress.event("error", message=f"{type(e).__name__}: {e}"[:300])
+        raise
+    if progress:
+        progress.event("done")
+    return got
+
+
+def _ingested(spark, root: str, source_id: str, catalog: DataFrame | None, chunks: DataFrame | None, options: Options, progress: Progress | None) -> tuple[DataFrame, DataFrame]:
     listing = scan.scan(spark, root, content=True)
+    if progress:
+        progress.event("scanning")
+        progress.event("progress", n := listing.select("path").count(), n)
     if catalog is None:
-        made, status = prepare(listing, root, options)
+        made, status = prepare(listing, root, options, progress=progress)
         files = listing.drop("content").withColumn("source_id", F.lit(source_id)).join(status, "path", "left")
         return files, made.withColumn("source_id", F.lit(source_id))
     diff = ct.incremental_diff(catalog.select("path", "modified_at", "size", "index_status"), listing.select("path", "modified_at", "size"))
     todo = ct.to_index(diff)
-    made, status = prepare(listing.join(todo, "path", "left_semi"), root, options)
+    made, status = prepare(listing.join(todo, "path", "left_semi"), root, options, progress=progress)
     fresh = listing.drop("content").join(todo, "path", "left_semi").withColumn("source_id", F.lit(source_id)).join(status, "path", "left")
     gone = diff.filter("state = 'deleted'").select("path").unionByName(todo)
     kept = ct.delete_keys(catalog, gone, "path").unionByName(fresh, allowMissingColumns=True)

@@ -560,8 +560,10 @@ def image_size(content: bytes) -> tuple[int, int] | None:
     return None
 
 
-def media_extractor(kind: str, transcribe: Callable[[bytes], list[str]] | None = None, caption: Callable[[bytes], str] | None = None, read: Callable[[bytes], str] | None = None, frames: Callable[[bytes], list[bytes]] | None = None, interval: int = 30, most: int = 20) -> Extractor:
-    """SRC-10, SRC-22..24, UDF-7..9: an extractor of a kind (audio, image, video, pdf-ocr) from models, each of which may be missing or fail (its part is then left out)."""
+def media_extractor(kind: str, transcribe: Callable[[bytes], list[str]] | None = None, caption: Callable[[bytes], str] | None = None, read: Callable[[bytes], str] | None = None, frames: Callable[[bytes], list[bytes]] | None = None, interval: int = 30, most: int = 20, caption_again: Callable[[bytes], str] | None = None) -> Extractor:
+    """SRC-10, SRC-22..24, UDF-7..9: an extractor of a kind (audio, image, video, pdf-ocr) from models, each of which may be missing or fail (its part is then left out).
+
+    A caption that came out empty is asked for once more with ``caption_again`` (a shorter prompt). Models may be ``encoders.Lazy``."""
 
     def attempt(model, *args, default):
         try:
@@ -569,6 +571,9 @@ def media_extractor(kind: str, transcribe: Callable[[bytes], list[str]] | None =
         except Exception:  # noqa: BLE001  a part that fails is left out
             return default
 
+    def described(picture: bytes) -> str:
+        return attempt(caption, picture, default="") or attempt(caption_again, picture, default="")
+
     def run(content: bytes) -> Extracted:
         if kind == "pdf-ocr":
             text, pages = join_pages([attempt(read, page, default="") for page in attempt(frames, content, default=[])])
@@ -577,9 +582,9 @@ def media_extractor(kind: str, transcribe: Callable[[bytes], list[str]] | None =
         if kind == "audio":
             return spoken, [], kind
         if kind == "image":
-            parts = [("Descripcion: ", attempt(caption, content, default="").strip()), ("Texto en la imagen: ", attempt(read, content, default="").strip())]
+            parts = [("Descripcion: ", described(content).strip()), ("Texto en la imagen: ", attempt(read, content, default="").strip())]
             return "\n\n".join(label + x for label, x in parts if x), [], kind
-        seen = [(i * interval, attempt(caption, frame, default="")) for i, frame in enumerate(attempt(frames, content, default=[])[:most])]
+        seen = [(i * interval, described(frame)) for i, frame in enumerate(attempt(frames, content, default=[])[:most])]
         lines = "\n".join(f"[{at // 60:02d}:{at % 60:02d}] {x}" for at, x in seen if x)
         return "\n\n".join(x for x in (spoken, lines) if x), [], kind
 
