@@ -48,7 +48,8 @@ def _passages(chunks: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Options:
     """Settings of a search; ``merged`` applies only those that are given. ``indexes`` serve searches without filters; the
-    others compare all chunks that pass. ``timeouts`` bound the reading of a file by category (None: unbounded, in the task itself)."""
+    others compare all chunks that pass. ``timeouts`` bound the reading of a file by category (None: unbounded, in the task itself);
+    ``registry`` has the extractors by extension, if not the usual ones."""
 
     encoder: encoders.Encoder = encoders.hashed_encoder()
     scorer: encoders.Scorer | None = encoders.overlap_scorer
@@ -59,6 +60,7 @@ class Options:
     multimedia: bool = False
     indexes: Indexes | None = None
     timeouts: dict[str, float] | None = field(default_factory=lambda: dict(extract.TIMEOUTS))
+    registry: dict[str, extract.Extractor] | None = None
 
     def merged(self, **given) -> Options:
         return Options(**(self.__dict__ | {k: v for k, v in given.items() if v is not None}))
@@ -190,7 +192,7 @@ def prepare(files: DataFrame, root: str, options: Options = Options(), registry:
     """
     wanted = ct.indexable(files, options.multimedia)
     with _phase(progress, "extracting_progress", wanted) as seen:
-        rows = _extracted(wanted, root, options, registry, seen)
+        rows = _extracted(wanted, root, options, registry or options.registry, seen)
     usable = chunking.rescue(rows.filter(F.col("error").isNull()))
     cut = chunking.chunks(usable, id_col="path", pages_col="page_map").withColumnRenamed("doc_id", "path")
     cut = cut.join(usable.select("path", "context", "category", "extension", F.col("name").alias("file_name")), "path")

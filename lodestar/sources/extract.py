@@ -29,6 +29,7 @@ Extractor = Callable[[bytes], Extracted]
 EXTRACTORS: dict[str, Extractor] = {}
 #: SCL-31's fixed values: seconds that reading a file may take, by category; "" for all others.
 TIMEOUTS = {"audio": 600.0, "image": 900.0, "video": 1800.0, "": 45.0}
+LAYOUT_TIMEOUTS = TIMEOUTS | {".pdf": 1800.0}
 RESULT = "text string, page_map array<struct<page: int, start: int>>, extractor string, error string"
 
 
@@ -409,16 +410,24 @@ def _pdf_font(objects: dict[int, tuple[bytes, bytes]], number: int) -> tuple[dic
     return table, len(wide[1]) // 2 if wide else 1
 
 
-def _pdf_page(stream: bytes, fonts: dict[bytes, tuple[dict[int, str], int]]) -> str:
+def pdf_text(raw: bytes, font: tuple[dict[int, str], int]) -> str:
+    """What a string shows in a font."""
+    (table, width), data = font, _pdf_string(raw)
+    return "".join(table.get(int.from_bytes(data[i : i + width], "big"), "") for i in range(0, len(data), width)) if table else data.decode("latin-1")
+
+
+def pdf_tokens(stream: bytes) -> list[bytes]:
+    return _TOKENS.findall(stream)
+
+
+def pdf_page_text(stream: bytes, fonts: dict[bytes, tuple[dict[int, str], int]]) -> str:
     """The text that a page's content shows; a move to another line starts one."""
     out, stack, font = [], [], ({}, 1)
 
     def show(raw: bytes) -> None:
-        table, width = font
-        data = _pdf_string(raw)
-        out.append("".join(table.get(int.from_bytes(data[i : i + width], "big"), "") for i in range(0, len(data), width)) if table else data.decode("latin-1"))
+        out.append(pdf_text(raw, font))
 
-    for token in _TOKENS.findall(stream):
+    for token in pdf_tokens(stream):
         if not re.match(rb"[A-Za-z'\"*]", token):
             stack.append(token)
             continue
@@ -440,9 +449,8 @@ def _pdf_page(stream: bytes, fonts: dict[bytes, tuple[dict[int, str], int]]) ->
     return "".join(out).strip("\n")
 
 
-@extractor("pdf", "pdf")
-def pdf(content: bytes) -> tuple[str, list[tuple[int, int]]]:
-    """SRC-8: the text layer of every page (uncompressed or Flate streams), pages end to end, with where each begins. Encrypted files fail; pages that are pictures have no text."""
+def pdf_pages(content: bytes) -> list[tuple[bytes, dict[bytes, tuple[dict[int, str], int]]]]:
+    """(content, fonts by name) of every page, uncompressed or Flate streams. Encrypted files fail."""
     if b"/Encrypt" in content:
         raise ValueError("encrypted")
     objects = _pdf_objects(content)
@@ -458,7 +466,7 @@ def pdf(content: bytes) -> tuple[str, list[tuple[int, int]]]:
             yield number
 
     roots = [n for n, (head, _) in objects.items() if re.search(rb"/Type\s*/Pages\b", head) and not re.search(rb"/Parent\b", head)]
-    texts = []
+    found = []
     for number in [p for r in roots for p in pages(r, frozenset([r]))]:
         head = objects[number][0]
         held = head
@@ -467,8 +475,14 @@ def pdf(content: bytes) -> tuple[str, list[tuple[int, int]]]:
         for ref in refs(b"Font", held):
             held += objects.get(ref, (b"", b""))[0]
         fonts = {b"/" + name: _pdf_font(objects, int(ref)) for name, ref in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", held) if b"/Font" in objects.get(int(ref), (b"", b""))[0]}
-        texts.append(_pdf_page(b"\n".join(objects.get(c, (b"", b""))[1] for c in refs(b"Contents", head)), fonts))
-    return join_pages(texts)
+        found.append((b"\n".join(objects.get(c, (b"", b""))[1] for c in refs(b"Contents", head)), fonts))
+    return found
+
+
+@extractor("pdf", "pdf")
+def pdf(content: bytes) -> tuple[str, list[tuple[int, int]]]:
+    """SRC-8: the text layer of every page, pages end to end, with where each begins. Pages that are pictures have no text."""
+    return join_pages([pdf_page_text(*page) for page in pdf_pages(content)])
 
 
 def run_one(content: bytes | None, ext: str | None, texty: bool, registry: dict[str, Extractor]) -> tuple[str | None, list | None, str | None, str | None]:
@@ -486,7 +500,7 @@ def run_one(content: bytes | None, ext: str | None, texty: bool, registry: dict[
 def extract(files: DataFrame, registry: dict[str, Extractor] | None = None, key: str = "path", timeouts: dict[str, float] | None = None, seen: Callable[[], None] | None = None) -> DataFrame:
     """UDF-1: (key, text, page_map, extractor, error) of files (key, extension, content): one Arrow pass, a file at a time in memory.
 
-    With ``timeouts`` (seconds by category, "" for others; ``files`` then have a category) every task extracts in a child process:
+    With ``timeouts`` (seconds by extension or category, "" for others; ``files`` then have a category) every task extracts in a child process:
     a file that takes longer is the error "timeout", and the task goes on with a new child (see ``deadline``). ``seen`` is called
     on the worker after each file.
     """
@@ -505,7 +519,8 @@ def extract(files: DataFrame, registry: dict[str, Extractor] | None = None, key:
         if child is None:
             return run_one(*file, registry)
         try:
-            return child(*file, seconds=timeouts.get(category or "", timeouts.get("", TIMEOUTS[""])))
+            wait = next((timeouts[x] for x in ((file[1] or "").lower(), category, "") if x in timeouts), TIMEOUTS[""])
+            return child(*file, seconds=wait)
         except TimeoutError:
             return None, None, None, "timeout"
         except deadline.Died as e:
