@@ -248,7 +248,7 @@ def matchers_of(rules: dict[str, dict]) -> list[tuple]:
 def spans_of(dfa: Automaton, matchers: list, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(text number, start, end, kind number), positions in code points, by text and start."""
     starts, ends, owner, masks = scan_lanes(dfa, data, offsets)
-    found = []
+    found, whole = [], memoryview(data)
     done = [0] * len(matchers)  # where the kind's last span that went on beyond its match ends
     for lane in np.flatnonzero(masks).tolist():
         piece, text = data[starts[lane] : ends[lane]].tobytes(), int(owner[lane])
@@ -259,7 +259,7 @@ def spans_of(dfa: Automaton, matchers: list, data: np.ndarray, offsets: np.ndarr
                     if len(m[group]) < least or begin < done[kind]:
                         continue
                     if rest:
-                        end += rest.match(data[end : offsets[text + 1]].tobytes()).end()
+                        end = rest.match(whole, end, int(offsets[text + 1])).end()
                         done[kind] = end
                     found.append((text, begin, end, kind))
     found.sort()

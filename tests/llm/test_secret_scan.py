@@ -112,3 +112,18 @@ def test_redaction_of_keys_null_ids_repeats_and_no_rows(spark):
     assert sorted((str(r.doc_id), str(r.text), r._gone) for r in scan.redact(docs).collect()) == [("1", "a [SECRET] b", 2)] * 2 + [("None", "None", 3), ("None", "[SECRET]", 1)]
     assert scan.redact(docs.limit(0)).count() == 0 and scan.redact(docs).columns == docs.columns
     assert sorted(sum(x.kind == "pem" for x in r.spans) for r in scan.scan(docs).collect()) == [0, 1, 1, 1]
+
+
+def test_many_beginnings_of_keys_take_linear_time():
+    """A match that goes on copies nothing of the rest of its text."""
+    import time
+
+    dfa = scan.compile_rules({k: r["scan"] for k, r in scan.RULES.items()})
+    took = []
+    for n in (5_000, 80_000):
+        data, offsets = text_bytes(pa.array(["-----BEGIN PRIVATE KEY-----\n" * n]))
+        begun = time.process_time()
+        spans = list(scan.spans_of(dfa, scan.matchers_of(scan.RULES), data, offsets))
+        took.append(time.process_time() - begun)
+        assert len([s for s in spans if dfa.kinds[s[3]] == "pem"]) == n
+    assert took[1] < 40 * took[0] + 1
