@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 KB, MB, GB = 1024, 1024**2, 1024**3
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Halves away from zero and the sign of zero kept, as SQL's round of a double has it; Spark's own loses the sign."""
+    scaled = value * 10.0**digits
+    near = F.rint(scaled)
+    return F.when(F.abs(scaled - near) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(near) / 10.0**digits
+
+
 def relevance_percent(score: Column) -> Column:
     """SCL-21: a logit as 0 to 100; null and NaN give null."""
     safe = F.nanvl(score, F.lit(None).cast("double"))
