@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from ..session import task_count
+
 #: The debounce time, event types that count, names of transient files.
 DEBOUNCE = "10 seconds"
 CHANGES = ("created", "modified", "deleted", "moved")
@@ -168,14 +171,32 @@ def split_channels(tokens: list[str]) -> list[tuple[str, str]]:
 
 
 def token_channels(tokens: DataFrame, key: str = "answer_id", seq: str = "seq", token: str = "token") -> DataFrame:
-    """STR-5 for every answer: (answer_id, seq, kind, text). A group is one answer, bounded by the generator's limit."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        pieces = split_channels(frame.sort_values("seq")["token"].fillna("").tolist())
-        return pd.DataFrame({"answer_id": [frame["answer_id"].iloc[0]] * len(pieces), "seq": range(len(pieces)), "kind": [k for k, _ in pieces], "text": [t for _, t in pieces]})
+    """STR-5 for every answer: (answer_id, seq, kind, text). A task walks over its sorted tokens; of an answer it holds only what its channel holds back."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answer, held, inside, n, begun = None, "", False, 0, False
+        for batch in source:
+            out: list[tuple] = []
+            for own, text in zip(batch.column("answer_id").to_pylist(), batch.column("token").to_pylist()):
+                if own != answer or not begun:
+                    if held:
+                        out.append((answer, n, "thinking" if inside else "token", held))
+                    answer, held, inside, n, begun = own, "", False, 0, True
+                pieces, held, inside = channel_step(held, inside, text or "")
+                for kind, piece in pieces:
+                    out.append((answer, n, kind, piece))
+                    n += 1
+            yield told(out, batch.column("answer_id").type)
+        if held:
+            yield told([(answer, n, "thinking" if inside else "token", held)], batch.column("answer_id").type)
+
+    def told(out: list[tuple], answer_type: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*out)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (answer_type, pa.int32(), pa.string(), pa.string()))], ["answer_id", "seq", "kind", "text"])
 
     rows = tokens.select(F.col(key).alias("answer_id"), F.col(seq).alias("seq"), F.col(token).alias("token"))
-    return rows.groupBy("answer_id").applyInPandas(run, f"answer_id {tokens.schema[key].dataType.simpleString()}, seq int, kind string, text string")
+    dealt = rows.repartition(task_count(tokens.sparkSession), "answer_id").sortWithinPartitions("answer_id", "seq")
+    return dealt.mapInArrow(run, f"answer_id {tokens.schema[key].dataType.simpleString()}, seq int, kind string, text string")
 
 
 def channels_of(text: Column) -> tuple[Column, Column]:
