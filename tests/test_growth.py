@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as tx
-from lodestar.operators import cells, encoders, retrieval
+from lodestar.operators import cells, encoders, inverted, retrieval
 from lodestar.plans import pipelines
 from lodestar.streaming import events
 
@@ -68,3 +68,16 @@ def test_hits_thin_out_the_chunks_where_they_are_read(spark, tmp_path):
     found = pipelines.retrieve(asked, kept, 2, pipelines.Options(scorer=None, use_mmr=False))
     assert {(r.qid, r.chunk_id) for r in found.filter("rank = 1").collect()} == {(1, 3), (2, 7)}
     assert "LeftSemi" in plan_of(found)
+
+
+def test_postings_are_brought_together_once_for_all_queries(spark, monkeypatch):
+    """A range's postings meet every query in one group: no group, and so no copy of them, for each block of queries."""
+    monkeypatch.setattr(inverted, "BLOCK_TERMS", 2)
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} all " * (1 + i % 3)) for i in range(120)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, f"w{i % 7} all x{i}") for i in range(30)], "qid long, text string")
+    index = inverted.InvertedIndex.build(docs, range_docs=20)
+    assert index.ranges == 6
+    found = index.top(queries, 4)
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in retrieval.bm25(docs, queries, 4).collect()}
+    plan = plan_of(found)
+    assert "FlatMapCoGroupsInArrow" in plan and "FlatMapGroupsInArrow" not in plan
