@@ -81,3 +81,17 @@ def test_postings_are_brought_together_once_for_all_queries(spark, monkeypatch):
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in retrieval.bm25(docs, queries, 4).collect()}
     plan = plan_of(found)
     assert "FlatMapCoGroupsInArrow" in plan and "FlatMapGroupsInArrow" not in plan
+
+
+def test_a_query_goes_once_to_a_part_of_the_cells(spark, monkeypatch):
+    """Vectors are shuffled for each part, not for each cell: 12 cells in at most 5 parts."""
+    monkeypatch.setattr(cells, "PART_VECTORS", 40)
+    rng = np.random.default_rng(4)
+    frame = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(200)], "id long, vector array<double>")
+    index = cells.CellIndex.build(frame, cells=12, block=9)
+    queries = frame.filter("id < 30").withColumnRenamed("id", "qid")
+    asked = index._asked(queries, 1, 3).select("qid", "cell", "away", F.lit(-2.0).alias("least"))
+    assert asked.count() == 30 * 12
+    plan = index._compared(asked, queries, 3, 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "pmod(xxhash64(cell" in plan and "), 5)" in plan
+    assert {tuple(r)[:2] for r in index.top(queries, 3).collect()} == {tuple(r)[:2] for r in retrieval.knn(frame, queries, 3).collect()}
