@@ -147,7 +147,9 @@ def features(docs: DataFrame, runs: int, n: int, text_col: str, id_col: str) ->
 
 def _alike(posts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, alike): the chance that two nodes of a bucket agree on a minimum of their sketches, under the bucket's own hash."""
-    rows = posts.join(nodes.select("node", "sketch"), "node").select("key", "n", F.expr("array_min(transform(sketch, x -> xxhash64(x, key)))").alias("m"))
+    own = posts.groupBy("node").agg(F.collect_list(F.struct("key", "n")).alias("at"))  # at most a tree's keys; a node meets its sketch once
+    least = F.expr("transform(at, a -> struct(a.key AS key, a.n AS n, array_min(transform(sketch, x -> xxhash64(x, a.key))) AS m))")
+    rows = own.join(nodes.select("node", "sketch"), "node").select(F.explode(least).alias("a")).select("a.*")
     held = rows.groupBy("key", "n", "m").agg(F.count("*").alias("c"))
     return held.groupBy("key").agg((F.sum(F.col("c") * F.col("c")) / F.max(1.0 * F.col("n") * F.col("n"))).alias("alike"), F.max("n").alias("n"))
 

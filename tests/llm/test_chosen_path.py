@@ -144,3 +144,12 @@ def test_columns_named_like_helpers(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x", 1), (2, "a b c d e f", "y", 2), (3, "z", "z", 3)], "doc_id long, text string, _kept string, _key int")
     kept = chosen_path.keep_one(docs)
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, "a b c d e f", "x", 1), (3, "z", "z", 3)]
+
+
+def test_a_node_meets_its_sketch_once_however_many_large_buckets_it_is_in(spark):
+    posts = spark.createDataFrame([(node, key, 3) for key in range(5) for node in (1, 2, 3)], "node long, key long, n long")
+    nodes = spark.createDataFrame([(1, [7, 8]), (2, [7, 8]), (3, [9]), (4, [7])], "node long, sketch array<long>")
+    found = chosen_path._alike(posts, nodes)
+    assert sorted((r.key, round(r.alike, 6), r.n) for r in found.collect()) == [(key, round(5 / 9, 6), 3) for key in range(5)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join Inner") < plan.index("collect_list")  # a row a node is joined
