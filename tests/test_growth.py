@@ -95,3 +95,26 @@ def test_a_query_goes_once_to_a_part_of_the_cells(spark, monkeypatch):
     plan = index._compared(asked, queries, 3, 6)._jdf.queryExecution().optimizedPlan().toString()
     assert "pmod(xxhash64(cell" in plan and "), 5)" in plan
     assert {tuple(r)[:2] for r in index.top(queries, 3).collect()} == {tuple(r)[:2] for r in retrieval.knn(frame, queries, 3).collect()}
+
+
+def test_postings_of_many_terms_are_not_shuffled(spark, monkeypatch, tmp_path):
+    """Ranges are scored where their postings are read, whether the queries' terms are pushed into the scan or too many for it."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} all v{i} " * (1 + i % 3)) for i in range(120)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, f"w{i % 7} all v{i} x{i}") for i in range(40)], "qid long, text string")
+    want = {tuple(r) for r in retrieval.bm25(docs, queries, 4).collect()}
+    inverted.InvertedIndex.build(docs, range_docs=20, path=f"{tmp_path}/it's an index")
+    index = inverted.InvertedIndex(spark, f"{tmp_path}/it's an index")  # a folder that was written before
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for pushed in (1000, 1):
+            monkeypatch.setattr(inverted, "PUSHED_TERMS", pushed)
+            for first in (inverted.FIRST_RANGES, index.ranges):
+                found = index.top(queries, 4, first=first)
+                plan = found._jdf.queryExecution().executedPlan().toString()
+                scan = next(i for i, line in enumerate(plan.splitlines()) if "FileScan parquet" in line and "tfs" in line)
+                above = plan.splitlines()[:scan]
+                cogroup = max(i for i, line in enumerate(above) if "FlatMapCoGroupsInArrow" in line)
+                assert not any("Exchange" in line or "Join" in line for line in above[cogroup:]) and "Bucketed: true" in plan
+                assert {tuple(r) for r in found.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
